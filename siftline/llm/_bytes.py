@@ -106,10 +106,16 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return h[at], at
 
 
-def whole(hashes: np.ndarray) -> np.uint64:
-    """One hash of a short run of words, unlike that of any longer run."""
-    h = np.zeros(1, np.uint64)
+def runs(hashes: np.ndarray, k: int) -> np.ndarray:
+    """One hash of every run of k words, unlike those of runs of other lengths and of shingles(): for texts shorter than a shingle."""
+    n = max(0, len(hashes) - k + 1)
+    h = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        for x in hashes:
-            h = mix(h * _ODD + x)
-        return mix(h + np.uint64(len(hashes)) * np.uint64(0xA24BAED4963EE407))[0]
+        for j in range(k):
+            h = mix(h * _ODD + hashes[j : j + n])
+        return mix(h + np.uint64(k) * np.uint64(0xA24BAED4963EE407))
+
+
+def whole(hashes: np.ndarray) -> np.uint64:
+    """runs() of all words at once."""
+    return runs(hashes, len(hashes))[0]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftline.llm import jaccard_join, mixing, ordinal_quality, quality_rules, sharding, url_filters
+from siftline.llm import decontaminate, jaccard_join, mixing, ordinal_quality, quality_rules, sharding, url_filters
 from siftline.llm._common import table
 
 
@@ -26,6 +26,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that documents hold: no row for a clean document."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_report(table(spark, sf_dir, "documents"))
 
@@ -36,7 +41,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal_quality.grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), grade)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op4_source_mixing, op5_sharding, op9_jaccard_join, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op4_source_mixing, op5_sharding, op6_decontamination, op9_jaccard_join, op10_quality_classifier)}
 
 #: A word, as a class of characters.
 _WORD = r"[^\x20\x09-\x0D]+"
