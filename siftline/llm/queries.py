@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftline.llm import decontaminate, jaccard_join, mixing, ordinal_quality, quality_rules, sharding, url_filters
+from siftline.llm import decontaminate, jaccard_join, language_id, mixing, ordinal_quality, quality_rules, sharding, toxicity, url_filters
 from siftline.llm._common import table
 
 
@@ -18,6 +18,11 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), labels).drop("mined_confidence")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return language_id.identify(table(spark, sf_dir, "documents"), held_out)
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("toxic"), held_out, ~held_out)
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_report(table(spark, sf_dir, "documents"))
 
@@ -41,7 +51,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal_quality.grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), grade)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op4_source_mixing, op5_sharding, op6_decontamination, op9_jaccard_join, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_language_id, op4_source_mixing, op5_sharding, op6_decontamination, op7_toxicity, op9_jaccard_join, op10_quality_classifier)}
 
 #: A word, as a class of characters.
 _WORD = r"[^\x20\x09-\x0D]+"
