@@ -33,6 +33,8 @@ ORDER, GAP, LAMBDA, WINDOW = 4, 2, 0.5, 7
 LANDMARKS, WITNESS_WORDS, NEGATIVES, ROUNDS, COST = 400, 240, 4_000, 5, 10.0
 #: How much an instance with inserted characters or blanks weighs.
 VARIED = 1.0
+#: Evidence for a telling word.
+TELLING = 20.0
 DECIDE = 0.7
 
 _SYMBOLS, _DROP, _PAD = 28, 255, WINDOW + (ORDER - 1) * GAP + 1
@@ -146,6 +148,13 @@ def _svm(z: np.ndarray, y: np.ndarray, share: np.ndarray, cost: float) -> tuple[
     return w[:-1], float(w[-1])
 
 
+def _telling(c1: int, c0: int, n1: int, n0: int) -> bool:
+    """Whether a word is in more texts of the first kind than chance gives among many words: twice the log-likelihood ratio above TELLING."""
+    e1 = (c1 + c0) * n1 / (n1 + n0)
+    e0 = c1 + c0 - e1
+    return c1 > e1 and 2 * (c1 * np.log(c1 / e1) + (c0 * np.log(c0 / e0) if c0 else 0.0)) > TELLING
+
+
 def fit(texts: list[str], toxic: list[int]) -> Model | None:
     """None unless there are texts of both kinds with words."""
     y = np.array(toxic, np.int64)
@@ -167,7 +176,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model | None:
     for w, o in {(w, o) for w, o in zip(word, owner.tolist())}:
         seen[y[o]][w] += 1
     n1, n0 = int(y.sum()), int((1 - y).sum())
-    odds = {w: np.log((c + 0.1) / (n1 + 0.2)) - np.log((seen[0][w] + 0.1) / (n0 + 0.2)) for w, c in seen[1].items() if c >= 3}
+    odds = {w: np.log((c + 0.1) / (n1 + 0.2)) - np.log((seen[0][w] + 0.1) / (n0 + 0.2)) for w, c in seen[1].items() if c >= 3 and _telling(c, seen[0][w], n1, n0)}
     telling = sorted((w for w in odds if odds[w] > 1.5), key=lambda w: (-odds[w] * np.sqrt(seen[1][w]), w))[:WITNESS_WORDS]
     first_of: dict[bytes, int] = {}
     for i, w in enumerate(word):
