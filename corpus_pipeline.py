@@ -1,10 +1,45 @@
-"""From raw documents to token shards."""
+"""From raw documents to token shards: five stages, each over all that the one before it kept."""
+
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from siftline.llm import decontaminate, jaccard_join, mixing, quality_rules, token_shards
+from siftline.llm._common import stored, table
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that quality rules or their host's verdict reject."""
+    return quality_rules.passing(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by 80 % or more of their five-word shingles."""
+    return jaccard_join.one_of_each(docs, k=5, similar=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a benchmark passage."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: documents repeated, or cut to the words that the mix takes."""
+    return mixing.mixed(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token shards in training order; a row a sequence tells its place."""
+    return token_shards.shard_index(docs)
+
+
+STAGES = [("quality_rules", rules), ("jaccard_join", near_duplicates), ("decontamination", decontamination), ("source_mixing", mixture), ("token_shards", token_output)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages; each one's rows are written as Parquet in the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftline.llm import decontaminate, jaccard_join, language_id, mixing, ordinal_quality, quality_rules, sharding, toxicity, url_filters
+from siftline.llm import decontaminate, jaccard_join, language_id, mixing, ordinal_quality, quality_rules, sharding, token_shards, toxicity, url_filters
 from siftline.llm._common import table
 
 
@@ -41,6 +41,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("toxic"), held_out, ~held_out)
 
 
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a sequence: its slot, shard and place, the document it begins with, and a checksum of its ids."""
+    return token_shards.shard_index(table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_report(table(spark, sf_dir, "documents"))
 
@@ -51,7 +56,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal_quality.grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), grade)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_language_id, op4_source_mixing, op5_sharding, op6_decontamination, op7_toxicity, op9_jaccard_join, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_language_id, op4_source_mixing, op5_sharding, op6_decontamination, op7_toxicity, op8_token_shards, op9_jaccard_join, op10_quality_classifier)}
 
 #: A word, as a class of characters.
 _WORD = r"[^\x20\x09-\x0D]+"
