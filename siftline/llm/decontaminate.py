@@ -197,4 +197,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **names) -> DataFrame:
     """docs without those that hold a benchmark item, in the columns of docs. Documents of a null doc_id are looked at row by row and stay only if no document of null doc_id is contaminated."""
     bad = stored(contaminated(docs, benchmark, doc_id=doc_id, **names).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(small(bad, bad.count()), F.col(doc_id).eqNullSafe(F.col("_bad")), "left_anti")
+    held = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_doc"))
+    return held.join(small(bad, bad.count()), F.col("_doc").eqNullSafe(F.col("_bad")), "left_anti").select("_row.*")

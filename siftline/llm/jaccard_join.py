@@ -329,13 +329,14 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **n
     Documents of a null doc_id whose component has no other name stay.
     """
     report, _ = join_documents(docs, doc_id=doc_id, text=text, **names)
-    losers = report.filter("doc_id <> component_id").select("doc_id").distinct()
-    losers = stored(losers, "losers")
-    kept = docs.join(small(losers.withColumnRenamed("doc_id", "_id"), losers.count()), F.col(doc_id) == F.col("_id"), "left_anti")
+    held = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_doc"), F.xxhash64(text).alias("_hash"))
+    losers = stored(report.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "losers")
+    kept = held.join(small(losers, losers.count()), F.col("_doc") == F.col("_id"), "left_anti")
     again = stored(report.filter("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id")), "again")
     n_again = again.count()
     if not n_again:
-        return kept
-    first = Window.partitionBy(doc_id).orderBy(F.xxhash64(text))
-    twice = kept.join(small(again, n_again), F.col(doc_id) == F.col("_id"), "left_semi").withColumn("_first", F.row_number().over(first)).filter("_first = 1").drop("_first")
-    return kept.join(small(again, n_again), F.col(doc_id) == F.col("_id"), "left_anti").unionByName(twice)
+        return kept.select("_row.*")
+    first = Window.partitionBy("_doc").orderBy("_hash")
+    twice = kept.join(small(again, n_again), F.col("_doc") == F.col("_id"), "left_semi").withColumn("_first", F.row_number().over(first)).filter("_first = 1")
+    once = kept.join(small(again, n_again), F.col("_doc") == F.col("_id"), "left_anti")
+    return once.select("_row.*").unionByName(twice.select("_row.*"))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siftline.llm import _bytes
 from siftline.llm._common import bound_batches, keyed_hash, sampled
 
-FIT_ROWS, FIT_CHARS, SEED = 3_000, 6_000, 9
+FIT_ROWS, FIT_CHARS, SEED = 2_000, 4_000, 9
 ORDER, GAP, LAMBDA, WINDOW = 4, 2, 0.5, 7
 LANDMARKS, WITNESS_WORDS, NEGATIVES, ROUNDS, COST = 400, 240, 4_000, 5, 10.0
 #: How much an instance with inserted characters or blanks weighs.
@@ -99,12 +99,13 @@ def fades() -> np.ndarray:
 def decisions(weight: np.ndarray, s: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Decision (without the offset) of the windows that begin at starts: shared passes over all symbols."""
     n = len(s) - (ORDER - 1) * GAP
-    wide = s.astype(np.int32)
-    pair = {d: wide[: len(s) - d] * _SYMBOLS + wide[d:] for d in range(1, GAP + 1)}
     own = np.zeros(n, np.float32)
-    for d, fade in zip(_STEPS, _FADE):
-        a, c = pair[d[0]][:n] * _SYMBOLS**2, pair[d[2]][d[0] + d[1] : d[0] + d[1] + n]
-        own += weight.take(a + c) * fade
+    for lo in range(0, n, _bytes.CHUNK):
+        m = min(_bytes.CHUNK, n - lo)
+        wide = s[lo : lo + m + (ORDER - 1) * GAP].astype(np.int32)
+        pair = {d: wide[: len(wide) - d] * _SYMBOLS + wide[d:] for d in range(1, GAP + 1)}
+        for d, fade in zip(_STEPS, _FADE):
+            own[lo : lo + m] += weight.take(pair[d[0]][:m] * _SYMBOLS**2 + pair[d[2]][d[0] + d[1] : d[0] + d[1] + m]) * fade
     upto = np.concatenate([[0.0], np.cumsum(own, dtype=np.float64)])
     return upto[np.minimum(starts + WINDOW, n)] - upto[np.minimum(starts, n)]
 
@@ -171,10 +172,11 @@ def fit(texts: list[str], toxic: list[int]) -> Model | None:
     owner = np.searchsorted(begins - 1, starts, "right") - 1
     ends = np.flatnonzero((s[1:] == 0) & (s[:-1] != 0)) + 1
     raw = s.tobytes()
-    word = [raw[a + 1 : b] for a, b in zip(starts.tolist(), ends.tolist())]
-    seen = [Counter(), Counter()]
-    for w, o in {(w, o) for w, o in zip(word, owner.tolist())}:
-        seen[y[o]][w] += 1
+    pool: dict[bytes, bytes] = {}
+    word = [pool.setdefault(w, w) for w in (raw[a + 1 : b] for a, b in zip(starts.tolist(), ends.tolist()))]
+    seen, firsts = [Counter(), Counter()], np.searchsorted(owner, np.arange(len(y) + 1))
+    for o in range(len(y)):
+        seen[y[o]].update(set(word[firsts[o] : firsts[o + 1]]))
     n1, n0 = int(y.sum()), int((1 - y).sum())
     odds = {w: np.log((c + 0.1) / (n1 + 0.2)) - np.log((seen[0][w] + 0.1) / (n0 + 0.2)) for w, c in seen[1].items() if c >= 3 and _telling(c, seen[0][w], n1, n0)}
     telling = sorted((w for w in odds if odds[w] > 1.5), key=lambda w: (-odds[w] * np.sqrt(seen[1][w]), w))[:WITNESS_WORDS]
@@ -223,7 +225,6 @@ def fit(texts: list[str], toxic: list[int]) -> Model | None:
 
     best = np.array([odds.get(w, -9.0) for w in word])
     toxic_texts = np.flatnonzero(y == 1)
-    firsts = np.searchsorted(owner, np.arange(len(y) + 1))
     hard = np.zeros(0, np.int64)
     model, score = Model(), best
     for turn in range(ROUNDS):
