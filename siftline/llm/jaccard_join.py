@@ -30,8 +30,9 @@ from siftline.llm import _bytes
 from siftline.llm._common import bound_batches, dropped, small, stored
 
 SHINGLE, SIMILAR = 4, 85
-#: A shingle found LOCAL times in one flush of COUNTED shingles of a partition counts as frequent; ORDERED of them enter the order.
-LOCAL, COUNTED, ORDERED = 4, 2_000_000, 200_000
+#: Shingles that can be in a prefix by their hash, so those below REACH times a prefix's share of all hashes, are counted
+#: over all texts (COUNTED at a time within a task); the ORDERED most frequent ones found FREQUENT times or more enter the order.
+REACH, COUNTED, FREQUENT, ORDERED = 1.35, 2_000_000, 3, 400_000
 #: Lists of up to LIST sets are read whole at once; of longer ones each set is read against LEADERS leaders first.
 LIST, LEADERS = 64, 6
 #: A frequent shingle's list is dealt to several tasks of about so many sets.
@@ -57,20 +58,20 @@ def doc_sets(column: pa.Array, k: int = SHINGLE):
                 yield lo + i, np.zeros(0, np.uint64)
 
 
-def frequent(docs: DataFrame, k: int) -> list[np.ndarray]:
+def frequent(docs: DataFrame, k: int, similar: int) -> list[np.ndarray]:
     """Hashes (sorted) and counts of frequent shingles, at most ORDERED of them; used for the order only."""
+    top = np.uint64(min(1.0, REACH * (100 - similar) / 100) * ((1 << 64) - 2048))
 
     def run(batches):
         held, size = [], 0
 
         def flush():
             u, c = np.unique(np.concatenate(held), return_counts=True)
-            u, c = u[c >= LOCAL], c[c >= LOCAL]
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
 
         for b in batches:
             for _, s in doc_sets(b.column(0), k):
-                held.append(s)
+                held.append(s[: np.searchsorted(s, top)])
                 size += len(s)
                 if size >= COUNTED:
                     yield flush()
@@ -78,7 +79,8 @@ def frequent(docs: DataFrame, k: int) -> list[np.ndarray]:
         if held:
             yield flush()
 
-    found = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(ORDERED).toPandas()
+    found = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= FREQUENT)
+    found = found.orderBy(F.desc("c"), "h").limit(ORDERED).toPandas()
     h, c = found["h"].to_numpy(np.int64).view(np.uint64), found["c"].to_numpy(np.int64)
     o = np.argsort(h)
     return [h[o], c[o]]
@@ -96,15 +98,15 @@ def least_overlap(n: int, similar: int) -> int:
     return -(-n * similar // 100)
 
 
-def sketch(s: np.ndarray) -> bytes:
+def sketch(s: np.ndarray) -> np.ndarray:
     """Parity of the number of members in each of SKETCH bins: two sets differ in at least as many members as sketches in bits."""
-    return np.packbits((np.bincount((s >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+    return np.packbits((np.bincount((s >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
 
 
 def set_table(docs: DataFrame, k: int, similar: int) -> DataFrame:
     """doc_id, n, c (class of equal sets, null for empty ones), c8 (64 bits of it, for lists), sketch, and the prefix: shingles and their frequencies."""
     spark = docs.sparkSession
-    common = spark.sparkContext.broadcast(frequent(docs, k))  # at most ORDERED pairs
+    common = spark.sparkContext.broadcast(frequent(docs, k, similar))  # at most ORDERED pairs
 
     def run(batches):
         for b in batches:
@@ -121,9 +123,9 @@ def set_table(docs: DataFrame, k: int, similar: int) -> DataFrame:
                 m = len(s) - least_overlap(len(s), similar) + 1
                 o = np.argsort(f, kind="stable")[:m]  # s is sorted by hash
                 pre.append(s[o].view(np.int64)), freq.append(f[o].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(c, pa.string()), pa.array(c8, pa.int64()), pa.array(sk, pa.binary()), pa.array(pre, pa.list_(pa.int64())), pa.array(freq, pa.list_(pa.int32()))], names=["doc_id", "n", "c", "c8", "sketch", "prefix", "freq"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(c, pa.string()), pa.array(c8, pa.int64()), pa.array(sk, pa.list_(pa.int64())), pa.array(pre, pa.list_(pa.int64())), pa.array(freq, pa.list_(pa.int32()))], names=["doc_id", "n", "c", "c8", "sketch", "prefix", "freq"])
 
-    schema = docs.select("doc_id").schema.add("n", "long").add("c", "string").add("c8", "long").add("sketch", "binary").add("prefix", ArrayType(LongType())).add("freq", ArrayType(IntegerType()))
+    schema = docs.select("doc_id").schema.add("n", "long").add("c", "string").add("c8", "long").add("sketch", ArrayType(LongType())).add("prefix", ArrayType(LongType())).add("freq", ArrayType(IntegerType()))
     return stored(docs.select("doc_id", "text").mapInArrow(run, schema), "sets")
 
 
@@ -222,7 +224,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, simi
             if not t.num_rows:
                 continue
             n = t.column(2).to_numpy() + t.column(3).to_numpy()
-            x, y = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint8).reshape(t.num_rows, -1) for i in (4, 5))
+            x, y = (t.column(i).flatten().to_numpy().view(np.uint64).reshape(t.num_rows, -1) for i in (4, 5))
             differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
             yield t.filter(pa.array(100 * (n - differ) >= similar * (n + differ)))  # the intersection is (n - d) / 2, the union (n + d) / 2
 
@@ -280,17 +282,20 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def second_reading(post: DataFrame, tokens: DataFrame, comps: DataFrame, similar: int) -> DataFrame:
-    """Pairs (a, b) across components from the lists named by tokens: all that sizes and places allow. comps: c (64 bits), label."""
+def second_reading(post: DataFrame, tokens: DataFrame, classes: DataFrame, comps: DataFrame, similar: int) -> DataFrame:
+    """Pairs (a, b) across components from the lists named by tokens: all that sizes, places and sketches allow."""
     p = post.join(small(tokens, tokens.count()), "token").select("token", "n", "c", "pos")
-    p = p.join(comps, "c", "left").select("token", "n", "c", "pos", F.coalesce("label", F.col("c").cast("string")).alias("label"))
+    about = classes.join(comps, "c", "left").select(F.col("c8").alias("c"), "sketch", F.coalesce("label", "c").alias("label"))
+    p = p.join(about, "c").select("token", "n", "c", "pos", "label", "sketch")
     p = stored(p, "long_lists")
     mixed = p.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
     p = p.join(mixed, "token", "left_semi")
-    x, y = (p.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("n", "c", "pos", "label")]) for s in "xy")
+    x, y = (p.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("n", "c", "pos", "label", "sketch")]) for s in "xy")
     size = (F.col("x_n") <= F.col("y_n")) & (100 * F.col("x_n") >= similar * F.col("y_n"))
     place = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) * (100 + similar) >= similar * (F.col("x_n") + F.col("y_n"))
-    pairs = x.join(y, "token").filter((F.col("x_label") != F.col("y_label")) & size & place & ((F.col("x_n") < F.col("y_n")) | (F.col("x_c") < F.col("y_c"))))
+    differ = sum((F.bit_count(F.get("x_sketch", F.lit(i)).bitwiseXOR(F.get("y_sketch", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    near = 100 * (F.col("x_n") + F.col("y_n") - differ) >= similar * (F.col("x_n") + F.col("y_n") + differ)
+    pairs = x.join(y, "token").filter((F.col("x_label") != F.col("y_label")) & size & place & near & ((F.col("x_n") < F.col("y_n")) | (F.col("x_c") < F.col("y_c"))))
     return pairs.select(F.least("x_c", "y_c").alias("a"), F.greatest("x_c", "y_c").alias("b")).distinct()
 
 
@@ -309,7 +314,7 @@ def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     comps = components(links)
     tokens = stored(found.filter("b is null").select(F.col("a").alias("token")).distinct(), "tokens")
     if tokens.count():
-        more = stored(second_reading(post, tokens, comps.join(classes.select("c", "c8"), "c").select(F.col("c8").alias("c"), "label"), similar), "candidates")
+        more = stored(second_reading(post, tokens, classes, comps, similar), "candidates")
         links = links.union(verified(more, classes, docs, k, similar))
         comps = components(links)
     named = classes.select("c", "rep", "docs").join(comps, "c", "left").withColumn("label", F.coalesce("label", "c"))

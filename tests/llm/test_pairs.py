@@ -42,7 +42,7 @@ def test_long_lists(spark, monkeypatch):
     """One passage in all documents, near copies in chains: lists are longer than a block and dealt out."""
     monkeypatch.setattr(J, "LIST", 4)
     monkeypatch.setattr(J, "LEADERS", 2)
-    monkeypatch.setattr(J, "LOCAL", 2)
+    monkeypatch.setattr(J, "DEALT", 20)
     r = random.Random(8)
     base = [f"p{i}" for i in range(40)]
     rows = []
