@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from siftline.functions import text as T, vocabulary as V
-from siftline.operators import audit as A, dedupe as D, facets as C, ordering as O, rules as R, scoring as S, state as K
+from siftline.functions import language as L, parsers as P, text as T, vocabulary as V
+from siftline.operators import audit as A, dedupe as D, facets as C, ordering as O, rules as R, scorer as X, scoring as S, state as K
+from siftline.streaming import state as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -595,3 +597,93 @@ def top_values_per_group(spark, sf):
     c = Tables(spark, sf).documents.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
     r = c.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "lang"))).filter("r <= 3")
     return K.history(r, ["source"], ["r"], F.concat_ws(" ", "lang", "n"), "top", ", ")
+
+
+# ------------------------------------------------------------------ parsers, models and streams
+_DL = {c: "len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{x}'" for x in ws) + ")))" for c, ws in L.FUNCTION_WORDS.items()}
+
+
+@query(rf"""WITH d AS (SELECT doc_id, length(text) AS n, string_split_regex(lower(substr(text, 1, {L.SAMPLE_CHARS})), '[^\p{{L}}]+') AS w FROM documents), h AS (SELECT doc_id, n, {", ".join(f"{e} AS {c}" for c, e in _DL.items())} FROM d),
+b AS (SELECT *, list_max([{", ".join(f"{{'n': {c}, 'c': '{c}'}}" for c in _DL)}]) AS best, en + fr + de + es AS total FROM h)
+SELECT doc_id, CASE WHEN n >= {L.LEAST_CHARS} AND coalesce(best.n / nullif(total, 0), 0) >= {L.LEAST_SHARE} THEN best.c END AS lang, CASE WHEN n >= {L.LEAST_CHARS} THEN round(coalesce(best.n / nullif(total, 0), 0), 9) ELSE 0.0 END AS share FROM b""")
+def detect_language(spark, sf):
+    d = Tables(spark, sf).documents.select("doc_id", L.detect(F.col("text")).alias("r"))
+    return d.select("doc_id", "r.lang", F.round("r.share", 9).alias("share"))
+
+
+@query()
+def language_requirements(spark, sf):
+    said = ["Fluent English required; Finnish is a plus.", "Swedish is not required.", "You speak German and Dutch is a preference.", "Nothing of the kind."]
+    v = spark.createDataFrame(list(enumerate(said)), "i int, s string")
+    d = Tables(spark, sf).documents.select("doc_id", "text").join(F.broadcast(v), F.col("doc_id") % len(said) == F.col("i"))
+    return R.language_requirements(d.select("doc_id", F.concat_ws("\n", "text", "s").alias("text")), "doc_id", "text")
+
+
+@query()
+def deadline_extract(spark, sf):
+    said = ["Application deadline: 13 September 2024", "apply via our portal by 26/10/2024", "Bewerbungsfrist: 1. März", "a deadline-driven team", "closing date 2024-12-31."]
+    v = spark.createDataFrame(list(enumerate(said)), "i int, s string")
+    d = Tables(spark, sf).documents.select("doc_id", "text").join(F.broadcast(v), F.col("doc_id") % len(said) == F.col("i"))
+    return d.select("doc_id", P.find_deadline(F.concat_ws("\n", "text", "s"), date(2024, 9, 1)).cast("string").alias("deadline"))
+
+
+@query()
+def country_guess(spark, sf):
+    said = ["Helsinki, Finland", "Birmingham, AL", "Amsterdam, NH, NL", "Milano, MI", "Berlin, DEU", "Remote", "Atlanta, Georgia, USA"]
+    v = spark.createDataFrame(list(enumerate(said)), "i int, s string")
+    n = Tables(spark, sf).supplier.join(F.broadcast(v), F.col("s_suppkey") % len(said) == F.col("i"))
+    return n.select("s_suppkey", P.guess_country(F.col("s")).alias("country"))
+
+
+@query()
+def strip_html(spark, sf):
+    return Tables(spark, sf).pages.select("page_id", P.strip_html(F.col("html")).alias("text"))
+
+
+@query()
+def rule_filter(spark, sf):
+    """The whole rule filter over documents as postings: titles from first lines, places from sources, deadlines and years from texts."""
+    d = Tables(spark, sf).documents
+    jobs = d.select(
+        F.col("doc_id").cast("string").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("description"), F.when(F.col("doc_id") % 4 == 0, "Senior").alias("seniority_raw"), F.col("lang").alias("posting_language"),
+        F.when(F.col("doc_id") % 3 == 0, "US").when(F.col("doc_id") % 3 == 1, "FI").alias("country"), F.when(F.col("doc_id") % 5 == 0, "remote").otherwise("onsite").alias("remote"), F.lit(None).cast("string").alias("remote_region"), F.lit("Europe").alias("location_raw"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 10_000).alias("posted_at"))
+    profile = R.Profile(title_terms=("th", "le", "de"), drop_label_terms=("senior",), tiers=(("FI",), (), ()), drop_if_written_in=("es",), languages_weak=("fr",))
+    out = R.evaluate(jobs, profile, date(2023, 12, 31), requirements=R.language_requirements(jobs, "id", "description"))
+    return out.select("id", "status", F.array_join("reasons", " | ").alias("reasons"), "location_tier")
+
+
+@query("""SELECT doc_id AS job_id, least(100, 10 * CAST((length(lower(substr('text: ' || text, 1, 6000))) - length(replace(lower(substr('text: ' || text, 1, 6000)), 'tion', ''))) / 4 AS INTEGER)) AS score FROM documents WHERE doc_id % 3 <> 0""")
+def scorer_incremental(spark, sf):
+    d = X.prompts(Tables(spark, sf).documents, ["text"], "doc_id")
+    scorer = X.LexicalScorer(["tion"])
+    stored = d.filter("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("job_id"), F.lit("screen").alias("stage"), F.lit(scorer.model).alias("model"), F.lit(scorer.prompt_version).alias("prompt_version"))
+    out = X.run_stage(d.withColumn("doc_id", F.col("doc_id").cast("string")), scorer, "screen", stored, key="doc_id")
+    return out.select(F.col("job_id").cast("long").alias("job_id"), "score")
+
+
+@query("SELECT user_id, CAST(min(ts) AS TIMESTAMP) AS first_seen, CAST(max(ts) AS TIMESTAMP) AS last_seen, count(*) AS n FROM events GROUP BY user_id")
+def stream_upsert(spark, sf):
+    """events read as a stream of files into first and last seen by user, to the end of what is there."""
+    name = f"siftline_seen_{uuid.uuid4().hex[:8]}"
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    spark.conf.set("spark.sql.streaming.schemaInference", "false")
+    q = ST.seen(stream, "user_id", "ts").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n, CAST(sum(CAST(round(value, 2) AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2")
+def stream_windows(spark, sf):
+    """Tumbling windows of a day over events as a stream; the same plan as a batch."""
+    e = Tables(spark, sf).events
+    w = ST.windowed(e.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 day", None, "1 hour", ["event_type"], F.count(F.lit(1)).alias("n"), F.sum(F.round("value", 2).cast("decimal(18,2)")).cast("double").alias("total"))
+    return w.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "total")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS s FROM events), i AS (SELECT user_id, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM g)
+SELECT user_id, count(*) AS n FROM i GROUP BY user_id, i""")
+def session_counts(spark, sf):
+    e = Tables(spark, sf).events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return ST.sessions(e, "user_id", "ts", "6 hours", "1 hour").select("user_id", "n")
