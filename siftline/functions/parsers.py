@@ -180,7 +180,7 @@ def country_in(*texts: str | None) -> str | None:
             return V.CITIES[low[0]]
         for p in low[1:] if len(low) == 2 else low:
             if len(p) == 2 and p.isalpha():
-                out = "US" if p in V.US_STATES else "CA" if p in V.CA_PROVINCES else _iso(p)
+                out = V.STATE_CODES_OF_COUNTRIES.get(p) or ("US" if p in V.US_STATES else "CA" if p in V.CA_PROVINCES else _iso(p))
                 if out:
                     return out
         for p in parts:

@@ -295,12 +295,12 @@ def weighted_mean_criteria(spark, sf):
 
 @query("""WITH u AS (SELECT CASE l_linestatus WHEN 'O' THEN 'large' ELSE 'other' END AS model, CAST(l_quantity AS BIGINT) AS i, CAST(l_linenumber AS BIGINT) AS o, l_returnflag = 'R' AS batch FROM lineitem),
 c AS (SELECT model, (i * 5.0 + i * 2 * 5.0 * 0.1 + o * 25.0) / 1e6 * CASE WHEN batch THEN 0.5 ELSE 1.0 END AS cost FROM u)
-SELECT model, round(CAST(sum(cost) AS DOUBLE), 6) AS cost FROM c GROUP BY ROLLUP (model)""")
+SELECT model, round(CAST(sum(cost) AS DOUBLE), 7) AS cost FROM c GROUP BY ROLLUP (model)""")
 def cost_rollup(spark, sf):
     u = Tables(spark, sf).lineitem.select(
         F.when(F.col("l_linestatus") == "O", "large").otherwise("other").alias("model"), F.col("l_quantity").cast("long").alias("input"), (F.col("l_quantity").cast("long") * 2).alias("cache_read"),
         F.lit(0).alias("cache_write"), F.col("l_linenumber").cast("long").alias("output"), (F.col("l_returnflag") == "R").alias("batch"))
-    return S.costs(u, "model").select("model", F.round("cost", 6).alias("cost"))
+    return S.costs(u, "model").select("model", F.round("cost", 7).alias("cost"))
 
 
 # ------------------------------------------------------------------ dedupe

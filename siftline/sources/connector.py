@@ -146,6 +146,7 @@ def decoded(body: bytes) -> str:
 
 def fetch(spark: SparkSession, urls: list[str], **options: str) -> DataFrame:
     spark.dataSource.register(FetchSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("fetch").option("urls", json.dumps(urls)).options(**options).load()
 
 

@@ -67,7 +67,7 @@ def blocks(*parts: Column) -> Column:
 
 
 # ------------------------------------------------------------------ JSON shapes
-def json_feed(name: str, at: str, *, fields: dict[str, str], tags: str | None = None, html: bool = True, remote_flag: str | None = None, keep: Column | None = None):
+def json_feed(name: str, at: str, *, fields: dict[str, str], tags: str | None = None, html: bool = True, remote_flag: str | None = None, keep: str | None = None):
     """Parser of JSON pages: at is the array's path, fields map posting columns to record paths."""
 
     def parse(pages: DataFrame) -> DataFrame:
@@ -83,14 +83,14 @@ def json_feed(name: str, at: str, *, fields: dict[str, str], tags: str | None =
         get.setdefault("remote", T.remote_kind(F.concat_ws(" ", get["title"], place), flag))
         if tags:
             get["tags"] = strings(F.try_variant_get("record", tags, "variant"))
-        out = postings(r if keep is None else r.filter(keep), name, **get)
+        out = postings(r if keep is None else r.filter(F.expr(keep)), name, **get)
         return out.dropDuplicates(["source_id"])
 
     return register(Adapter(name, parse, f"JSON records at {at}", complete_listing=True))
 
 
 json_feed("paged", "$.data", fields={"source_id": "$.slug", "url": "$.url", "title": "$.title", "company": "$.company_name", "description": "$.description", "location_raw": "$.location", "posted_at": "$.created_at"}, tags="$.tags", remote_flag="$.remote")
-json_feed("noticed", "$", fields={"source_id": "$.id", "url": "$.url", "title": "$.position", "company": "$.company", "description": "$.description", "location_raw": "$.location", "posted_at": "$.epoch"}, tags="$.tags", keep=F.try_variant_get("record", "$.id", "string").isNotNull())
+json_feed("noticed", "$", fields={"source_id": "$.id", "url": "$.url", "title": "$.position", "company": "$.company", "description": "$.description", "location_raw": "$.location", "posted_at": "$.epoch"}, tags="$.tags", keep="try_variant_get(record, '$.id', 'string') IS NOT NULL")
 json_feed("regional", "$.jobs", fields={"source_id": "$.id", "url": "$.url", "title": "$.title", "company": "$.company_name", "description": "$.description", "location_raw": "$.candidate_required_location", "salary_text": "$.salary", "posted_at": "$.publication_date"}, tags="$.tags")
 json_feed("cursor", "$.jobs", fields={"source_id": "$.guid", "url": "$.applicationLink", "title": "$.title", "company": "$.companyName", "description": "$.description", "location_raw": "$.locationRestrictions[0]", "seniority_raw": "$.seniority[0]", "posted_at": "$.pubDate"})
 json_feed("hits", "$.hits", fields={"source_id": "$.objectID", "url": "$.url", "title": "$.name", "company": "$.organization.name", "description": "$.summary", "location_raw": "$.offices[0].city", "remote": "$.remote"}, tags="$.sectors")
