@@ -130,8 +130,7 @@ def find_deadline(text, today: date):
     return F.pandas_udf(lambda s: s.map(lambda t: deadline_in(t, today)), DateType())(text)
 
 
-_YEARS = re.compile(r"(\d{1,2})\s*(?:\+|-\s*\d{1,2}|–\s*\d{1,2})?\s*(?:years?|yrs?|vuotta|jahre|år|anos)\b", re.I)
-_EXPERIENCE = re.compile(r"experien|kokemus|erfahrung|erfarenhet|experiência|background|track record", re.I)
+_YEARS, _EXPERIENCE = re.compile(V.YEARS, re.I), re.compile(V.EXPERIENCE, re.I)
 
 
 def years_in(text: str | None) -> int | None:
