@@ -1,7 +1,8 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings over hashed text.
 
 P(grade <= k) = logistic(threshold_k - w·x) with ordered thresholds and one weight vector for all grades. x holds the
-shares of hashed words and of hashed word shapes (capitals, digits, marks) in the whole text. It is fitted on at most
+shares of hashed words and of hashed word shapes (capitals, digits, marks, a word said
+again) in the whole text. It is fitted on at most
 FIT_ROWS labelled documents; every document is scored, with its expected grade and the probability of reaching the
 grade asked for.
 
@@ -43,8 +44,13 @@ def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """(bucket of each word, bucket of its shape, words before each text)."""
     starts, ends, first = _bytes.words(buf, offs)
     mask = np.uint64((1 << (BITS - 1)) - 1)
-    word = (_bytes.word_hashes(buf, starts, ends) & mask).astype(np.int64)
+    hashes = _bytes.word_hashes(buf, starts, ends)
+    word = (hashes & mask).astype(np.int64)
     shape = (_bytes.word_hashes(buf, starts, ends, _bytes.SHAPE) & mask).astype(np.int64) + (1 << (BITS - 1))
+    again = np.zeros(len(starts), bool)
+    again[1:] = hashes[1:] == hashes[:-1]
+    again[first[:-1][first[:-1] < len(again)]] = False
+    shape[again] = 1 << (BITS - 1)  # a word that repeats the one before it has a shape of its own
     return word, shape, first
 
 
