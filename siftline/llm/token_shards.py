@@ -7,6 +7,7 @@ the training order, known without sorting or shuffling random numbers. Slots are
 sorted and written as records of a fixed stride (little-endian ids and a newline), so slot s lies in shard
 s // per_shard at byte (s % per_shard) * stride, and reading can stop and go on anywhere.
 
+What a task sends to a shard travels as one compressed body, and a shard is put in order by the task that writes it.
 Files go through Spark's own writer with its commit protocol to any store that Spark reaches. Defined cases: null texts
 give no tokens, empty ones only the end token; repeated documents are packed as often as they occur; an empty table
 writes no record. Other columns are ignored.
@@ -25,6 +26,7 @@ import pandas as pd
 import pyarrow as pa
 import pyspark
 import tiktoken
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftline.llm import _bytes
@@ -35,6 +37,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50_256
 LENGTH, PER_SHARD, KEY, ROUNDS = 1024, 4096, 0x5EED, 6
+#: Sequences that a task deals to shards at a time.
+DEALT = 4_096
 
 
 @dataclass(frozen=True)
@@ -162,13 +166,63 @@ def write_shards(docs: DataFrame, path: str | None = None, vocabulary: str = VOC
     shard = F.floor(F.col("slot") / per_shard).cast("int")
     index = stored(index.select("slot", shard.alias("shard"), ((F.col("slot") % per_shard) * layout.stride).alias("byte_offset"), "sequence", "n_tokens", "first_doc_id", "n_docs", "tokens_crc32"), "slots")
     if total:
-        records = placed.select(slot_of("sequence").alias("slot"), "tokens").repartitionById(layout.shards, shard).sortWithinPartitions("slot")
-        records.select(F.col("tokens").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(f"{path}/shards")
+        dealt = _dealt(placed.select("sequence", "tokens"), layout).repartitionById(layout.shards, F.col("shard"))
+        _ordered(dealt, layout).select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(f"{path}/shards")
     spark.createDataFrame([(json.dumps(asdict(layout)),)], "value string").coalesce(1).write.text(f"{path}/layout")
     dropped(sequences)
     return index, layout
 
 
+def _dealt(placed: DataFrame, layout: Layout) -> DataFrame:
+    """shard, slots and their records as one compressed body: what a task sends to a shard from DEALT sequences at a time."""
+
+    def run(batches):
+        numbers, records, n = [], [], 0
+
+        def deal():
+            at = slots(np.concatenate(numbers), layout.sequences, layout.key)
+            body = np.concatenate(records)
+            order = np.argsort(at, kind="stable")
+            shards, first = np.unique(at[order] // layout.per_shard, return_index=True)
+            coder = zstandard.ZstdCompressor(level=3)
+            parts = np.split(order, first[1:])
+            return pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), pa.array([at[p] for p in parts], pa.list_(pa.int64())), pa.array([coder.compress(body[p].tobytes()) for p in parts], pa.binary())], names=["shard", "slots", "body"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            numbers.append(b.column(0).to_numpy())
+            records.append(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1))
+            n += b.num_rows
+            if n >= DEALT:
+                yield deal()
+                numbers, records, n = [], [], 0
+        if n:
+            yield deal()
+
+    return placed.mapInArrow(run, "shard int, slots array<bigint>, body binary")
+
+
+def _ordered(dealt: DataFrame, layout: Layout) -> DataFrame:
+    """The records of each partition's shard in the order of their slots: one shard's bytes at a time."""
+    size = layout.length * layout.width
+
+    def run(batches):
+        at, records = [], []
+        for b in batches:
+            for where, body in zip(b.column(1), b.column(2)):
+                at.append(where.values.to_numpy())
+                records.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(body.as_py()), np.uint8).reshape(-1, size))
+        if at:
+            records = np.concatenate(records)[np.argsort(np.concatenate(at), kind="stable")]
+            for lo in range(0, len(records), 1024):
+                part = records[lo : lo + 1024]
+                ends = np.arange(len(part) + 1, dtype=np.int32) * size
+                yield pa.RecordBatch.from_arrays([pa.BinaryArray.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(part.tobytes())])], names=["value"])
+
+    return dealt.mapInArrow(run, "value binary")
+
+
 def read_layout(spark: SparkSession, path: str) -> Layout:
     return Layout(**json.loads(spark.read.text(f"{path}/layout").first()[0]))
 
