@@ -125,3 +125,18 @@ def page(df: DataFrame, order: list[Column], start: int, n: int) -> DataFrame:
     """One page of an ordered list with the total on every row."""
     total = df.agg(F.count(F.lit(1)).alias("total"))
     return df.orderBy(*order).offset(start).limit(n).join(F.broadcast(total))
+
+
+def entered(before: DataFrame, after: DataFrame, fresh: DataFrame, key: str) -> int:
+    """How many fresh rows are in the top now and were not before. Tops are small by nature."""
+    return after.select(key).join(fresh.select(key), key, "left_semi").join(before.select(key), key, "left_anti").count()
+
+
+def shuffled_twice(df: DataFrame, key: str, seed: int, size: int) -> DataFrame:
+    """The rows in two seeded orders, in chunks: for scoring the same rows twice."""
+    out = None
+    for run in (1, 2):
+        order = [F.md5(F.concat(F.lit(f"{seed}:{run}:"), F.col(key).cast("string"))), F.col(key)]
+        one = chunked(df, order, size).withColumn("run", F.lit(run))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -96,3 +96,11 @@ def posted_line(posted: Column, first_seen: Column, now: Column) -> Column:
     age, known = F.date_diff(now, posted), F.date_diff(now, first_seen)
     return F.concat(F.format_string("posted %d days ago", age), F.when(F.date_diff(posted, first_seen) > 7, ", reposted").otherwise(""), F.when(known >= 21, ", long open").otherwise(""))
 
+
+
+def sentinel_summary(samples: DataFrame, screened: DataFrame, ranked: DataFrame, min_score: int, least_rank: int) -> DataFrame:
+    """For each gate: sampled, screened, passed (false drops) and finds (passed and ranked well). samples: id, gate."""
+    s = screened.select(F.col("job_id").alias("id"), (F.col("relevant") & (F.col("score") >= min_score)).alias("_p"))
+    r = ranked.select(F.col("job_id").alias("id"), F.col("score").alias("_r"))
+    j = samples.join(s, "id", "left").join(r, "id", "left")
+    return j.groupBy("gate").agg(F.count(F.lit(1)).alias("sampled"), F.count("_p").alias("screened"), F.count_if("_p").alias("passed"), F.count_if(F.col("_p") & (F.col("_r") >= least_rank)).alias("finds"))

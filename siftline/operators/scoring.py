@@ -56,3 +56,16 @@ def costs(usage: DataFrame, model: str, prices: dict[str, tuple[float, float]] =
     full = (F.col("input") * i + F.col("cache_write") * i * V.CACHE_WRITE + F.col("cache_read") * i * V.CACHE_READ + F.col("output") * o) / 1e6
     cost = F.when(F.col("batch"), full * V.BATCH_SHARE).otherwise(full)
     return joined.withColumn("_cost", cost).rollup(model).agg(F.sum("_cost").alias("cost"))
+
+
+def normalised_criteria(raw: Column, names: dict[str, str]) -> Column:
+    """A map of criteria by their own keys or labels (names: key to label), clamped to 0 and 100, in the order of names."""
+    pairs = []
+    for key, label in names.items():
+        value = F.coalesce(F.element_at(raw, key), F.element_at(raw, label))
+        pairs.append(F.when(value.isNotNull(), F.struct(F.lit(key).alias("k"), F.least(F.lit(100), F.greatest(F.lit(0), value)).alias("v"))))
+    return F.map_from_entries(F.filter(F.array(*pairs), lambda x: x.isNotNull()))
+
+
+def unknown_criteria(raw: Column, names: dict[str, str]) -> Column:
+    return F.array_sort(F.array_except(F.map_keys(raw), F.array(*[F.lit(x) for kv in names.items() for x in kv])))

@@ -48,3 +48,16 @@ def trimmed(chosen: DataFrame, budget: float, keep_least: dict[str, int]) -> tup
             total -= r["height"]
     stays = [r for r in rows if (r["slot"], r["part_id"]) not in gone]
     return chosen.sparkSession.createDataFrame(stays, chosen.schema), float(total)
+
+
+def claim_name(taken: dict[str, str], candidates: list[str], owner: str) -> str:
+    """The first candidate that is free or the owner's already; then the last one with a number. Registers the claim."""
+    n = 1
+    for name in candidates:
+        if taken.get(name, owner) == owner:
+            taken[name] = owner
+            return name
+    while taken.get(f"{candidates[-1]}-{n}", owner) != owner:
+        n += 1
+    taken[f"{candidates[-1]}-{n}"] = owner
+    return f"{candidates[-1]}-{n}"

@@ -69,3 +69,10 @@ def test_moment(value, iso):
 def test_evergreen(spark):
     df = spark.createDataFrame([("Register  your INTEREST", "talent pool"), ("x", "our Talent\nPool"), ("x", None)], "a string, b string")
     assert [r[0] for r in df.select(T.evergreen(F.col("a"), F.col("b"))).collect()] == ["register your interest", "talent pool", None]
+
+
+def test_names(spark):
+    assert values(spark, [" Ärt & Co/2_x ", "..a..", None], T.safe_name) == ["art-co-2-x", "a", ""]
+    assert values(spark, ["ACME Corp. GmbH", "Nokia Oyj", "IBM", "Maersk A/S"], T.short_company) == ["Acme", "Nokia", "IBM", "Maersk"]
+    assert values(spark, ["gap: x", "other", "what: y"], lambda c: T.note_kind(c, ["gap"])) == ["gap", "uncategorised", "uncategorised"]
+    assert spark.range(1).select(T.in_vocabulary(F.array(F.lit("b"), F.lit("z"), F.lit("a"), F.lit("b")), ["a", "b", "c"])).first()[0] == ["a", "b"]
