@@ -123,7 +123,7 @@ def rule_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hos
 
 def passing(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """docs without what the rules or their hosts' verdicts reject, in the columns of docs."""
-    held = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("text"), F.col(host).alias("source"))
-    scored = rule_numbers(held.drop("_row"))
-    verdicts = stored(host_verdicts(stored(scored.drop("text"), "rules")), "hosts")
-    return judged(rule_numbers(held), verdicts).filter("kept").select("_row.*")
+    own = lambda c: f"_row.`{c}`"
+    held = docs.select(F.struct(*docs.columns).alias("_row"))
+    scored = stored(rule_numbers(held, own(text)), "rules")  # with the texts: their numbers cost more than a copy
+    return judged(scored, stored(host_verdicts(scored, own(host)), "hosts"), own(host)).filter("kept").select("_row.*")
