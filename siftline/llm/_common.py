@@ -17,18 +17,29 @@ BATCH_ROWS, BATCH_BYTES = 1_000, "16m"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it; the warehouse where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """This application's folder in the one that all executors share, as spark.checkpoint.dir names it.
+
+    Where that is not set: the warehouse of a cluster, and the default checkpoint folder of a local session.
+    """
+    conf = spark.sparkContext.getConf()
+    base = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{base.rstrip('/')}/siftline"
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        base = spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{base.rstrip('/')}/siftline/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this application has stored: call it when its results are written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, level: int = 3) -> DataFrame:
     """df as written to a Parquet table in the shared folder and read again: lineage ends there and survives a lost executor."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

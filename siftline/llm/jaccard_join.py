@@ -263,23 +263,33 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, simi
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(c, label) for all ends of links(a, b): label is the smallest name in the component.
+    """(c, label) for the ends of links(a, b) but the smallest of each component: label is that smallest name.
 
-    Labels go to the least of the neighbours' and then to that label's own label, until none changes; every round is
-    a written table.
+    Every round points each node at its least neighbour if that is smaller, and on to the end of that chain, and
+    contracts the links by it; what is left of them shrinks from round to round. Rounds are written tables.
     """
-    edges = stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct(), "edges")
-    labels = stored(edges.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("v")).select("c", F.least("c", "v").alias("label")), "labels")
-    while True:
-        near = edges.join(labels, edges["v"] == labels["c"]).groupBy("u").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("c") == F.col("u")).select("c", "label", F.least("label", "near").alias("next"))
-        jump = step.select(F.col("c").alias("_c"), F.col("next").alias("_next"))
-        after = stored(step.join(jump, F.col("next") == F.col("_c"), "left").select("c", "label", F.least("next", F.coalesce("_next", "next")).alias("next")), "labels")
-        changed = after.filter("label <> next").count()
-        dropped(labels)
-        labels = after.select("c", F.col("next").alias("label"))
-        if not changed:
-            return labels
+    edges = stored(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    named = None
+    while edges.count():
+        jump = stored(edges.groupBy(F.col("v").alias("c")).agg(F.min("u").alias("label")), "labels")
+        changed = 1
+        while changed:  # to the end of each chain
+            on = jump.select(F.col("c").alias("label"), F.col("label").alias("_next"))
+            after = stored(jump.join(on, "label", "left").select("c", "label", F.coalesce("_next", "label").alias("next")), "labels")
+            changed = after.filter("label <> next").count()
+            dropped(jump)
+            jump = after.select("c", F.col("next").alias("label"))
+        to = lambda end: jump.select(F.col("c").alias(end), F.col("label").alias(f"{end}_to"))
+        moved = edges.join(to("u"), "u", "left").join(to("v"), "v", "left").select(F.coalesce("u_to", "u").alias("u"), F.coalesce("v_to", "v").alias("v"))
+        rest = stored(moved.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+        if named is None:
+            named = jump
+        else:
+            on = jump.select(F.col("c").alias("label"), F.col("label").alias("_next"))
+            named = stored(named.join(on, "label", "left").select("c", F.coalesce("_next", "label").alias("label")).unionByName(jump), "labels")
+        dropped(edges)
+        edges = rest
+    return links.select(F.col("a").alias("c"), F.col("b").alias("label")).limit(0) if named is None else named
 
 
 def second_reading(post: DataFrame, tokens: DataFrame, classes: DataFrame, comps: DataFrame, similar: int) -> DataFrame:
