@@ -7,7 +7,7 @@ room is used, so that no shard passes its quota of documents. Documents without
 quotas that differ by one at most (law "rows"). Documents of one key on one shard are interchangeable, so rounds run
 on counts (key, shard, documents), never on pairs; a key may be larger than a shard and is then split.
 
-Defined cases: a null text is linked with nothing and has 8 bytes; repeated rows are separate, linked documents; an
+Defined cases: a null text is linked with nothing, has 8 bytes and the checksum of no bytes (0); repeated rows are separate, linked documents; an
 empty table gives an empty table.
 """
 
@@ -64,7 +64,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     """Every document's size, text_crc32, law, shard and slot. key: links documents of equal values (by default the text)."""
     link = text_key(F.col(text)) if key is None else key
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
-    base = docs.select(F.col(doc_id).alias("doc_id"), size.alias("size"), F.crc32(F.col(text).cast("binary")).alias("text_crc32"), link.cast("string").alias("k"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), size.alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), link.cast("string").alias("k"))
     base = base.withColumn("h", keyed_hash(seed, F.col("doc_id").cast("string"), "text_crc32", "size"))
     base = stored(base, "nodes")
     ties = [F.col("doc_id"), F.col("size")]

@@ -38,7 +38,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 END = 50_256
 LENGTH, PER_SHARD, KEY, ROUNDS = 1024, 4096, 0x5EED, 6
 #: Sequences that a task deals to shards at a time.
-DEALT = 4_096
+DEALT = 12_288
 
 
 @dataclass(frozen=True)
@@ -148,7 +148,7 @@ def write_shards(docs: DataFrame, path: str | None = None, vocabulary: str = VOC
     path = path or f"{scratch_dir(spark)}/token-shards-{uuid.uuid4().hex}"
     with open(vocabulary, "rb") as f:
         data = f.read()
-    sequences = stored(packed(docs, data, pattern, length, end), "packed")
+    sequences = stored(packed(docs, data, pattern, length, end), "packed", level=8)
     counts = {r["part"]: r["n"] for r in sequences.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a task
     before, total = [], 0
     for part in sorted(counts):
