@@ -316,7 +316,12 @@ def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sets = set_table(docs, k, similar)
     filled = sets.filter("c is not null")
-    classes = stored(filled.groupBy("c").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("docs"), F.first("n").alias("n"), F.first("c8").alias("c8"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"), F.first("freq").alias("freq")), "classes")
+    copies = stored(filled.groupBy("c").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("docs")).filter("docs > 1"), "copies")
+    n_copies = copies.count()
+    about = ["c8", "n", "sketch", "prefix", "freq"]
+    alone = filled.join(small(copies.select("c"), n_copies), "c", "left_anti").select("c", *about, F.col("doc_id").alias("rep"), F.lit(1).cast("long").alias("docs"))
+    several = filled.join(small(copies, n_copies), "c").groupBy("c").agg(*[F.first(x).alias(x) for x in (*about, "rep", "docs")])  # a row a class and task
+    classes = alone.unionByName(stored(several, "classes"))  # those of one document are read from the sets each time
     post = postings(classes)
     dealt = post.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "c").select("token", "salt", "n", "c", "pos")
     found = stored(candidates(dealt, similar), "candidates")
