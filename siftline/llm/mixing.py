@@ -21,7 +21,7 @@ from fractions import Fraction
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from siftline.llm._common import bound_batches, keyed_hash, n_words, running, stored
+from siftline.llm._common import bound_batches, keyed_hash, n_words, running
 
 WEIGHTS, CAP, SEED, SHARDS = (1, 2, 3), 3, 20_240_607, 8
 #: Words of a block at most; small sources get at least BLOCKS_LEAST blocks through shorter ones.
