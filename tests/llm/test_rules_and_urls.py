@@ -71,3 +71,11 @@ def test_mined_rules_block_what_they_fit(spark):
     got = {r.page_id: r.verdict for r in U.filter_urls(pages, labels).collect()}
     assert all(got[i] == ("block" if i % 3 and i % 2 else "allow") for i in range(600)), [i for i in range(600) if got[i] != ("block" if i % 3 and i % 2 else "allow")][:5]
     assert got[900] == got[901] == "block"
+
+
+def test_urls_empty_and_clashing(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/es/", "h", "p"), (None, None, None, None)], "page_id long, url string, host string, rule string")
+    labels = spark.createDataFrame([(1, None), (None, True)], "page_id long, bad boolean")
+    got = {(r.page_id, r.host, r.rule, r.verdict) for r in U.filter_urls(pages, labels).collect()}
+    assert got == {(1, "a.net", "net/es/", "block"), (None, "", None, "allow")}
+    assert U.filter_urls(pages.limit(0), labels).count() == 0
