@@ -2,32 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from siftline.llm import decontaminate, jaccard_join, mixing, quality_rules, token_shards
-from siftline.llm._common import dropped, stored, table
+from siftline.llm._common import MADE, dropped, forget, stored, table
+
+#: Tables that the stage before stored for itself; its output is written by now, so they go when the next stage begins.
+_LEFT: list[str] = []
+
+
+def staged(stage: Callable) -> Callable:
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = " ".join(docs.inputFiles())
+        forget(spark, [p for p in _LEFT if p in MADE and p.rsplit("/", 1)[-1] not in read])
+        before = set(MADE)
+        out = stage(spark, docs, sf_dir)
+        _LEFT[:] = [] if stage.__name__ == "token_output" else [p for p in MADE if p not in before]  # the result's own index stays
+        return out
+
+    return run_stage
 
 
+@staged
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that quality rules or their host's verdict reject."""
     return quality_rules.passing(docs)
 
 
+@staged
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by 80 % or more of their five-word shingles."""
     return jaccard_join.one_of_each(docs, k=5, similar=80)
 
 
+@staged
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a benchmark passage."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@staged
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: documents repeated, or cut to the words that the mix takes."""
     return mixing.mixed(docs)
 
 
+@staged
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards in training order; a row a sequence tells its place."""
     return token_shards.shard_index(docs)

@@ -35,22 +35,30 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Folders of the tables that stored() made in this process.
+MADE: list[str] = []
+
+
 def stored(df: DataFrame, label: str, level: int = 3) -> DataFrame:
     """df as written to a Parquet table in the shared folder and read again: lineage ends there and survives a lost executor."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
+    MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table that stored() made and that no result needs any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if f"{scratch_dir(spark).split(':', 1)[-1].lstrip('/')}/" in f:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    read = " ".join(df.inputFiles())
+    forget(df.sparkSession, [p for p in MADE if p.rsplit("/", 1)[-1] in read])
+
+
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        MADE.remove(p)
 
 
 def bound_batches(spark: SparkSession) -> None:
