@@ -113,6 +113,12 @@ def history_per_key(spark, sf):
     return K.history(Tables(spark, sf).events.filter("user_id % 10 = 0"), ["user_id"], ["ts", "event_id"], F.col("event_type"))
 
 
+@query("SELECT user_id, string_agg(event_type, '>' ORDER BY ts, event_id) AS history FROM events GROUP BY user_id")
+def history_all_keys(spark, sf):
+    """history_per_key over every user."""
+    return K.history(Tables(spark, sf).events, ["user_id"], ["ts", "event_id"], F.col("event_type"))
+
+
 _HALF = "2024-01-16"
 
 
@@ -412,6 +418,12 @@ def systematic_sample(spark, sf):
     return O.every_nth(o, [F.col("o_orderkey")], 10)
 
 
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders WHERE o_orderstatus = 'F') WHERE (n - 1) % 10 = 0")
+def systematic_sample_all(spark, sf):
+    """systematic_sample over the orders of every customer."""
+    return O.every_nth(Tables(spark, sf).orders.filter("o_orderstatus = 'F'").select("o_orderkey"), [F.col("o_orderkey")], 10)
+
+
 @query("SELECT c_custkey, c_name FROM customer ORDER BY md5('11:' || c_custkey), c_custkey LIMIT 30")
 def uniform_sample_seeded(spark, sf):
     return O.uniform_sample(Tables(spark, sf).customer, "c_custkey", 30, 11).select("c_custkey", "c_name")
