@@ -2,10 +2,12 @@
 
 Documents are linked when their texts are equal, or through any other key given. Linked documents start on shards in
 turn, which is balanced. In each round the shards of every key's documents are counted, and the documents of a shard
-ask to move to the neighbours' most frequent shard that has room; requests are granted in a seeded order until the
-room is used, so that no shard passes its quota of documents. Documents without links then fill the shards up to
-quotas that differ by one at most (law "rows"). Documents of one key on one shard are interchangeable, so rounds run
-on counts (key, shard, documents), never on pairs; a key may be larger than a shard and is then split.
+ask to move to the shard with most of their key that it does not fill. Requests are granted as swaps and longer cycles
+between shards and as paths into room, in a seeded order; those left over are exchanged for whole keys of the shard
+that they ask for; so no shard passes its quota of documents. Rounds end when two in a row bring nothing together; the
+share of linked documents still cut is logged. Documents without links then fill the shards up to quotas that differ
+by one at most (law "rows"). Documents of one key on one shard are interchangeable, so rounds run on counts (key,
+shard, documents), never on pairs; a key may be larger than a shard and is then split.
 
 Defined cases: a null text is linked with nothing, has 8 bytes and the checksum of no bytes (0); repeated rows are separate, linked documents; an
 empty table gives an empty table.
@@ -13,12 +15,16 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+import logging
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from siftline.llm._common import dropped, keyed_hash, running, small, stored
 
-SHARDS, ROUNDS, SEED = 24, 6, 7
+SHARDS, SEED = 24, 7
+log = logging.getLogger(__name__)
 
 
 def text_key(text: Column) -> Column:
@@ -26,41 +32,112 @@ def text_key(text: Column) -> Column:
     return F.when(text.isNotNull(), F.concat_ws(":", F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit(1), text)), F.length(text)))
 
 
-def _round(state: DataFrame, room: list[int], turn: int) -> DataFrame:
+def granted_flows(asked: list[list[int]], room: list[int]) -> list[list[int]]:
+    """How much of what is asked from shard to shard can move at once: shortest cycles of requests (swaps first) and paths into room, until none is left."""
+    left, room = [list(r) for r in asked], list(room)
+    n = len(room)
+    out = [[0] * n for _ in range(n)]
+    for length in range(1, n + 1):
+        for start in range(n):
+            while path := _shortest(left, room, start, length):
+                ends = path[-1] != start
+                steps = list(zip(path, path[1:]))
+                moved = min([left[a][b] for a, b in steps] + ([room[path[-1]]] if ends else []))
+                for a, b in steps:
+                    left[a][b] -= moved
+                    out[a][b] += moved
+                if ends:
+                    room[path[-1]] -= moved
+                    room[start] += moved
+    return out
+
+
+def _shortest(left: list[list[int]], room: list[int], start: int, most: int) -> list[int] | None:
+    """A shortest path of requests, of at most so many steps, from start to a shard with room or back to start."""
+    paths, seen = [[start]], set()
+    for _ in range(most):
+        longer = []
+        for path in paths:
+            for b, asked in enumerate(left[path[-1]]):
+                if asked and b not in seen:
+                    if b == start or room[b]:
+                        return [*path, b]
+                    seen.add(b)
+                    longer.append([*path, b])
+        paths = longer
+    return None
+
+
+def _of_pair(flows: list[list[int]], a: Column, b: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(x).cast("long") for row in flows for x in row]), a * len(flows) + b + 1)
+
+
+def _summed(moves: DataFrame, shards: int) -> list[list[int]]:
+    """Documents by (from, to): a row a pair of shards."""
+    out = [[0] * shards for _ in range(shards)]
+    for r in moves.groupBy("shard", "goal").agg(F.sum("n").alias("n")).collect():
+        out[r["shard"]][r["goal"]] = r["n"]
+    return out
+
+
+def _round(state: DataFrame, quotas: list[int], room: list[int], turn: int) -> DataFrame:
     """One round: (k, shard, n) after the granted moves. room: by shard, documents that it may still take."""
-    has_room = F.element_at(F.array(*[F.lit(r).cast("long") for r in room]), F.col("shard") + 1)
-    ranked = Window.partitionBy("k").orderBy(F.desc("n"), F.xxhash64("k", "shard"))
-    best = state.filter(has_room > 0).withColumn("_r", F.row_number().over(ranked))
-    goal = best.filter("_r = 1").select("k", F.col("shard").alias("goal"), F.col("n").alias("goal_n"))
-    asks = state.join(goal, "k").filter((F.col("shard") != F.col("goal")) & ((F.col("n") < F.col("goal_n")) | ((F.col("n") == F.col("goal_n")) & (F.xxhash64("k", "shard") > F.xxhash64("k", "goal")))))
-    asks = stored(asks, "asks")
+    shards = len(quotas)
+    tie = F.xxhash64(F.lit(turn), "k", "shard")
+    open_ = F.col("n") < F.element_at(F.array(*[F.lit(q).cast("long") for q in quotas]), F.col("shard") + 1)  # a key's full shard takes no more of it
+    parts = Window.partitionBy("k")
+    ranked = parts.orderBy(F.desc("n"), tie)
+    several = state.filter(open_).withColumn("_r", F.row_number().over(ranked))
+    goal = several.filter("_r = 1").select("k", F.col("shard").alias("goal"))
+    asks = stored(several.filter("_r > 1").select("k", "shard", "n").join(goal, "k"), "asks")
     total = asks.count()
-    laid = running(asks, ["goal"], F.col("n"), F.xxhash64(F.lit(turn), "k", "shard"), [F.col("shard")], total, "_before")
-    space = F.element_at(F.array(*[F.lit(r).cast("long") for r in room]), F.col("goal") + 1)
-    granted = laid.withColumn("moved", F.greatest(F.lit(0), F.least(F.col("n"), space - F.col("_before")))).filter("moved > 0")
-    changes = granted.select("k", "shard", (-F.col("moved")).alias("n")).unionByName(granted.select("k", F.col("goal").alias("shard"), F.col("moved").alias("n")))
+    asked = _summed(asks, shards)
+    flows = granted_flows(asked, room)
+
+    # What stays asked is exchanged for whole keys of the shard that is asked.
+    over = [[asked[a][b] - flows[a][b] for b in range(shards)] for a in range(shards)]
+    takers = [[a for a in range(shards) if over[a][b]] for b in range(shards)]
+    back = None
+    if any(takers):
+        lists = F.element_at(F.array(*[F.array(*[F.lit(a) for a in t]).cast("array<int>") for t in takers]), F.col("shard") + 1)
+        whole = state.withColumn("_parts", F.count(F.lit(1)).over(parts)).filter("_parts = 1").withColumn("_to", lists).filter(F.size("_to") > 0)
+        offers = whole.select("k", "shard", "n", F.get("_to", F.pmod(tie, F.size("_to")).cast("int")).alias("goal"))
+        offers = stored(offers.filter(F.col("n") <= _of_pair(over, F.col("goal"), F.col("shard"))), "offers")
+        laid = running(offers, ["shard", "goal"], F.col("n"), tie, [F.col("k")], offers.count(), "_before")
+        back = stored(laid.filter(F.col("_before") + F.col("n") <= _of_pair(over, F.col("goal"), F.col("shard"))).select("k", "shard", "goal", F.col("n").alias("moved")), "exchanged")
+        given = _summed(back.withColumnRenamed("moved", "n"), shards)
+        flows = [[flows[a][b] + given[b][a] for b in range(shards)] for a in range(shards)]
+
+    laid = running(asks, ["shard", "goal"], F.col("n"), tie, [F.col("k")], total, "_before")
+    moves = laid.withColumn("moved", F.greatest(F.lit(0), F.least(F.col("n"), _of_pair(flows, F.col("shard"), F.col("goal")) - F.col("_before")))).filter("moved > 0").select("k", "shard", "goal", "moved")
+    moves = moves if back is None else moves.unionByName(back)
+    changes = moves.select("k", "shard", (-F.col("moved")).alias("n")).unionByName(moves.select("k", F.col("goal").alias("shard"), F.col("moved").alias("n")))
     return state.unionByName(changes).groupBy("k", "shard").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
-def propagate(counts: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> tuple[DataFrame, list[dict]]:
-    """counts(k, shard, n) after label propagation under quotas, and for each round its loads and the share of documents beside their key's largest part."""
+def propagate(counts: DataFrame, quotas: list[int], rounds: int | None = None) -> tuple[DataFrame, list[dict]]:
+    """counts(k, shard, n) after label propagation under quotas, until two rounds in a row bring nothing together (or for so many rounds).
+
+    For each round: its loads, the documents beside their key's largest part, and the share of them that is cut: how
+    often another document of the same key, or the document itself, drawn at random, is on another shard.
+    """
     state, told = stored(counts, "labels"), []
-    for turn in range(rounds + 1):
+    for turn in count():
         loads = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row a shard
-        split = state.groupBy("k").agg(F.sum("n").alias("n"), F.max("n").alias("most")).agg(F.sum(F.col("n") - F.col("most"))).first()[0]
-        told.append({"loads": loads, "apart": split or 0})
-        if turn == rounds or not split or (turn > 1 and told[-1]["apart"] == told[-2]["apart"]):
+        keys = state.groupBy("k").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+        linked, apart, cut = keys.agg(F.sum("n"), F.sum(F.col("n") - F.col("most")), F.sum((F.col("n") - F.col("squares") / F.col("n")).cast("decimal(38,6)"))).first()
+        told.append({"loads": loads, "apart": apart or 0, "cut": float(cut or 0) / (linked or 1)})
+        log.info("round %d: %d of %d linked documents apart, cut share %.6f", turn, apart or 0, linked or 0, told[-1]["cut"])
+        if turn == rounds or not apart or (turn > 1 and told[-1]["cut"] >= told[-3]["cut"]):
             break
         room = [max(0, q - loads.get(s, 0)) for s, q in enumerate(quotas)]
-        if not any(room):
-            break
-        after = stored(_round(state, room, turn), "labels")
+        after = stored(_round(state, quotas, room, turn), "labels")
         dropped(state)
         state = after
     return state, told
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, doc_id: str = "doc_id", text: str = "text", key: Column | None = None, seed: int = SEED) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None, doc_id: str = "doc_id", text: str = "text", key: Column | None = None, seed: int = SEED) -> DataFrame:
     """Every document's size, text_crc32, law, shard and slot. key: links documents of equal values (by default the text)."""
     link = text_key(F.col(text)) if key is None else key
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8

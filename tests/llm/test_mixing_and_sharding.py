@@ -86,3 +86,28 @@ def test_a_group_larger_than_a_shard_is_split(spark):
     assert set(Counter(r.shard for r in rows).values()) == {20}
     hot = Counter(r.shard for r in rows if r.doc_id < 60)
     assert sorted(hot.values(), reverse=True)[:3] == [20, 20, 20] or max(hot.values()) == 20
+
+
+def test_pairs_meet_where_all_rows_are_linked(spark):
+    """No shard has room: only exchanges bring copies together."""
+    df = spark.createDataFrame([(i, f"text {i % 1200}") for i in range(2400)], "doc_id long, text string")
+    rows = S.shard_documents(df).collect()
+    assert set(Counter(r.shard for r in rows).values()) == {100}
+    where = defaultdict(set)
+    for r in rows:
+        where[r.doc_id % 1200].add(r.shard)
+    assert sum(len(w) > 1 for w in where.values()) <= 0.04 * 1200
+
+
+def test_keys_larger_than_a_shard_fill_shards(spark):
+    df = spark.createDataFrame([(i, f"text {i % 4}") for i in range(240)], "doc_id long, text string")
+    parts = Counter((r.shard, r.doc_id % 4) for r in S.shard_documents(df, shards=8).collect())
+    assert sum(parts.values()) == 240 and len(parts) <= 20  # 32 as dealt, 8 at best
+
+
+def test_flows_keep_quotas():
+    asked = [[0, 5, 0], [3, 0, 4], [2, 0, 0]]
+    got = S.granted_flows(asked, [0, 0, 0])
+    assert got == [[0, 5, 0], [3, 0, 2], [2, 0, 0]]
+    got = S.granted_flows([[0, 5, 0], [0, 0, 4], [0, 0, 0]], [0, 0, 3])
+    assert all(sum(r[b] for r in got) - sum(got[b]) <= (0, 0, 3)[b] for b in range(3)) and sum(map(sum, got)) == 6
