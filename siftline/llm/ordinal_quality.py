@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siftline.llm import _bytes
 from siftline.llm._common import bound_batches, keyed_hash, sampled
 
-#: Labelled documents that fitting uses at most, and bytes of each.
-FIT_ROWS, FIT_BYTES = 6_000, 20_000
+#: Labelled documents that fitting uses at most, whole.
+FIT_ROWS = 6_000
 BITS, STEPS, RATE, L2, SEED = 15, 300, 0.05, 1e-6, 5
 #: Selection: probability of reaching this grade of at least this much.
 SELECT_GRADE, SELECT_TAIL = 1, 0.5
@@ -100,10 +100,10 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: Column, doc_id: str, text: str, label_id: str, rows: int, size: int) -> list:
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: Column, doc_id: str, text: str, label_id: str, rows: int) -> list:
     """At most rows (text, label) of a bounded sample by hash; labels of the sample are broadcast, the documents scanned once."""
     some = sampled(labels.select(F.col(label_id).alias("_id"), label.alias("_label")).filter("_label is not null and _id is not null"), rows, keyed_hash(SEED, F.col("_id").cast("string")))
-    found = docs.select(F.col(doc_id).alias("_id"), F.substring(text, 1, size).alias("_text")).join(F.broadcast(some), "_id").filter("_text is not null")
+    found = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(some), "_id").filter("_text is not null")
     return sampled(found, rows, keyed_hash(SEED, F.col("_id").cast("string"))).select("_text", "_label").collect()
 
 
@@ -111,7 +111,7 @@ def grade_documents(docs: DataFrame, labels: DataFrame, grade: Column, doc_id: s
     """doc_id, expected_grade, tail (probability of select_grade or more) and kept for every document. grade: a column of labels."""
     spark = docs.sparkSession
     bound_batches(spark)
-    known = labelled_texts(docs, labels, grade, doc_id, text, label_id, FIT_ROWS, FIT_BYTES)
+    known = labelled_texts(docs, labels, grade, doc_id, text, label_id, FIT_ROWS)
     model = fit([r[0] for r in known], [int(r[1]) for r in known])
     held = spark.sparkContext.broadcast(model)
 

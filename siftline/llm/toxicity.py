@@ -13,7 +13,7 @@ with blanks between their characters. A text's score is its worst window's decis
 curve that is fitted to the labels.
 
 Defined cases: null, empty and wordless texts have score 0; without labels of both kinds every score is 0; repeated
-rows get equal scores. At most FIT_ROWS labelled texts of each kind are learnt from, the first FIT_CHARS of each.
+rows get equal scores. At most FIT_ROWS labelled texts of each kind are learnt from, whole.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siftline.llm import _bytes
 from siftline.llm._common import bound_batches, keyed_hash, sampled
 
-FIT_ROWS, FIT_CHARS, SEED = 2_000, 4_000, 9
+FIT_ROWS, SEED = 2_000, 9
 ORDER, GAP, LAMBDA, WINDOW = 4, 2, 0.5, 7
 LANDMARKS, WITNESS_WORDS, NEGATIVES, ROUNDS, COST = 400, 240, 4_000, 5, 10.0
 #: How much an instance with inserted characters or blanks weighs.
@@ -270,7 +270,7 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: Column, usable: Column, doc
     known = labels.select(F.col(label_id).alias("_id"), toxic.cast("int").alias("_toxic"), usable.alias("_use")).filter("_use and _id is not null and _toxic in (0, 1)")
     order = keyed_hash(SEED, F.col("_id").cast("string"))
     some = sampled(known.filter("_toxic = 1"), FIT_ROWS, order).unionByName(sampled(known.filter("_toxic = 0"), FIT_ROWS, order)).drop("_use")
-    found = docs.select(F.col(doc_id).alias("_id"), F.substring(text, 1, FIT_CHARS).alias("_text")).join(F.broadcast(some), "_id").filter("_text is not null")
+    found = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(some), "_id").filter("_text is not null")
     rows = sampled(found, 2 * FIT_ROWS, order).select("_text", "_toxic").collect()
     return fit([r[0] for r in rows], [r[1] for r in rows])
 

@@ -110,3 +110,18 @@ def test_ordinal_grades(spark):
     assert np.mean([got[i].kept == (i % 3 == 2) for i in range(300, 400)]) > 0.95
     assert got[900].expected_grade == got[901].expected_grade and got[902].kept
     assert {x.expected_grade for x in O.grade_documents(docs, lab.limit(0), F.col("grade")).collect()} == {0.0}
+
+
+def test_fitting_reads_whole_texts(spark, monkeypatch):
+    """The telling word stands after 30,000 characters: both models are given it."""
+    rows = [(i, "calm words " * 3_000 + f"end{i}") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, y int")
+    seen = []
+    monkeypatch.setattr(T, "fit", lambda texts, toxic: seen.extend(texts))
+    T.learn(docs, labels, F.col("y"), F.lit(True), "doc_id", "text", "doc_id")
+    assert sorted(seen) == sorted(t for _, t in rows)
+    monkeypatch.setattr(O, "fit", lambda texts, grades: seen.extend(texts) or O.Model(np.zeros(1), np.zeros(0), np.array([0])))
+    seen.clear()
+    O.grade_documents(docs, labels, F.col("y"))
+    assert sorted(seen) == sorted(t for _, t in rows)
