@@ -19,10 +19,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftline.llm import _bytes
-from siftline.llm._common import bound_batches, small, stored
+from siftline.llm._common import bound_batches
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Weighted Jaccard of 0.8 is a cosine of 0.8 at least, and 0.88 where weights are alike: 40 of 256 bits are expected to differ, with a deviation of 5.8.
@@ -163,28 +163,37 @@ def _prints_hits(index: Index, s: np.ndarray, starts: np.ndarray, n: int):
                     yield w, item
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similar: float = SIMILAR, k: int = SHINGLE) -> DataFrame:
-    """doc_id, item_id, similarity and first word of the best window, for every document and item at or above the threshold."""
-    spark = docs.sparkSession
+def _broadcast_index(spark: SparkSession, benchmark: DataFrame, item_id: str, item_text: str, k: int):
     bound_batches(spark)
     items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter("t is not null").limit(MAX_ITEMS + 1).collect()
     if len(items) > MAX_ITEMS:
         raise ValueError(f"more than {MAX_ITEMS} benchmark items: run them in parts")
-    held = spark.sparkContext.broadcast(Index([tuple(r) for r in items], k))
-    short = any(n < k for n in held.value.sizes)
+    return spark.sparkContext.broadcast(Index([tuple(r) for r in items], k))
+
+
+def _hits_by_row(index: Index, texts: pa.Array, similar: float):
+    """(row, its hits) of the rows that have a shingle of some item."""
+    short = any(n < index.k for n in index.sizes)
+    for lo, hi, buf, offs in _bytes.chunks(texts):
+        starts, ends, first = _bytes.words(buf, offs)
+        h = _bytes.word_hashes(buf, starts, ends)
+        s, at = _bytes.shingles(h, first, index.k)
+        touched = np.unique(np.searchsorted(first, at[index.is_known(s)], "right") - 1) if not short else range(hi - lo)
+        for i in touched:
+            yield lo + int(i), hits_of(index, h[first[i] : first[i + 1]], similar)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similar: float = SIMILAR, k: int = SHINGLE) -> DataFrame:
+    """doc_id, item_id, similarity and first word of the best window, for every document and item at or above the threshold."""
+    held = _broadcast_index(docs.sparkSession, benchmark, item_id, item_text, k)
 
     def run(batches):
         index = held.value
         for b in batches:
             row, item, sim, word = [], [], [], []
-            for lo, hi, buf, offs in _bytes.chunks(b.column(1)):
-                starts, ends, first = _bytes.words(buf, offs)
-                h = _bytes.word_hashes(buf, starts, ends)
-                s, at = _bytes.shingles(h, first, k)
-                touched = np.unique(np.searchsorted(first, at[index.is_known(s)], "right") - 1) if not short else range(hi - lo)
-                for i in touched:
-                    for j, (x, w) in hits_of(index, h[first[i] : first[i + 1]], similar).items():
-                        row.append(lo + int(i)), item.append(index.ids[j]), sim.append(x), word.append(w)
+            for i, hits in _hits_by_row(index, b.column(1), similar):
+                for j, (x, w) in hits.items():
+                    row.append(i), item.append(index.ids[j]), sim.append(x), word.append(w)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(item, item_type), pa.array(sim, pa.float64()), pa.array(word, pa.int64())], names=["doc_id", "item_id", "similarity", "first_word"])
 
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -194,8 +203,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     return narrow.mapInArrow(run, schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **names) -> DataFrame:
-    """docs without those that hold a benchmark item, in the columns of docs. Documents of a null doc_id are looked at row by row and stay only if no document of null doc_id is contaminated."""
-    bad = stored(contaminated(docs, benchmark, doc_id=doc_id, **names).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    held = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_doc"))
-    return held.join(small(bad, bad.count()), F.col("_doc").eqNullSafe(F.col("_bad")), "left_anti").select("_row.*")
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", similar: float = SIMILAR, k: int = SHINGLE) -> DataFrame:
+    """docs without the rows whose text holds a benchmark item, in the columns of docs. Each row is judged by its own text, whatever its id."""
+    held = _broadcast_index(docs.sparkSession, benchmark, item_id, item_text, k)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for b in batches:
+            kept = np.ones(b.num_rows, bool)
+            for i, hits in _hits_by_row(held.value, b.column(at), similar):
+                kept[i] = not hits
+            yield b.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)

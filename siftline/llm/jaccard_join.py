@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
-from pyspark.sql.window import Window
 
 from siftline.llm import _bytes
 from siftline.llm._common import bound_batches, dropped, small, stored
@@ -104,14 +103,15 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def set_table(docs: DataFrame, k: int, similar: int) -> DataFrame:
-    """doc_id, n, c (class of equal sets, null for empty ones), c8 (64 bits of it, for lists), sketch, and the prefix: shingles and their frequencies."""
+    """The columns of docs before its text, n, c (class of equal sets, null for empty ones), c8 (64 bits of it, for lists), sketch, and the prefix: shingles and their frequencies."""
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(frequent(docs, k, similar))  # at most ORDERED pairs
+    about = [c for c in docs.columns if c != "text"]
 
     def run(batches):
         for b in batches:
             n, c, c8, sk, pre, freq = [], [], [], [], [], []
-            for _, s in doc_sets(b.column(1), k):
+            for _, s in doc_sets(b.column(len(about)), k):
                 n.append(len(s))
                 if not len(s):
                     c.append(None), c8.append(None), sk.append(None), pre.append(None), freq.append(None)
@@ -123,10 +123,10 @@ def set_table(docs: DataFrame, k: int, similar: int) -> DataFrame:
                 m = len(s) - least_overlap(len(s), similar) + 1
                 o = np.argsort(f, kind="stable")[:m]  # s is sorted by hash
                 pre.append(s[o].view(np.int64)), freq.append(f[o].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(c, pa.string()), pa.array(c8, pa.int64()), pa.array(sk, pa.list_(pa.int64())), pa.array(pre, pa.list_(pa.int64())), pa.array(freq, pa.list_(pa.int32()))], names=["doc_id", "n", "c", "c8", "sketch", "prefix", "freq"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(about)], pa.array(n, pa.int64()), pa.array(c, pa.string()), pa.array(c8, pa.int64()), pa.array(sk, pa.list_(pa.int64())), pa.array(pre, pa.list_(pa.int64())), pa.array(freq, pa.list_(pa.int32()))], names=[*about, "n", "c", "c8", "sketch", "prefix", "freq"])
 
-    schema = docs.select("doc_id").schema.add("n", "long").add("c", "string").add("c8", "long").add("sketch", ArrayType(LongType())).add("prefix", ArrayType(LongType())).add("freq", ArrayType(IntegerType()))
-    return stored(docs.select("doc_id", "text").mapInArrow(run, schema), "sets")
+    schema = docs.select(*about).schema.add("n", "long").add("c", "string").add("c8", "long").add("sketch", ArrayType(LongType())).add("prefix", ArrayType(LongType())).add("freq", ArrayType(IntegerType()))
+    return stored(docs.select(*about, "text").mapInArrow(run, schema), "sets")
 
 
 def class_of(s: np.ndarray) -> str:
@@ -309,11 +309,8 @@ def second_reading(post: DataFrame, tokens: DataFrame, classes: DataFrame, comps
     return pairs.select(F.least("x_c", "y_c").alias("a"), F.greatest("x_c", "y_c").alias("b")).distinct()
 
 
-def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, similar: int = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, component_id for every document; the verified links a, b between classes)."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def _joined(docs: DataFrame, k: int, similar: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sets of docs, whose columns are doc_id, others and text; c, label and component_id of the classes that share their component; links)."""
     sets = set_table(docs, k, similar)
     filled = sets.filter("c is not null")
     copies = stored(filled.groupBy("c").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("docs")).filter("docs > 1"), "copies")
@@ -334,8 +331,14 @@ def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         comps = components(links)
     named = classes.select("c", "rep", "docs").join(comps, "c", "left").withColumn("label", F.coalesce("label", "c"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"), F.sum("docs").alias("of"))
-    shared = stored(named.join(least, "label").filter("of > 1").select("c", "component_id"), "named")
-    out = sets.join(small(shared, shared.count()), "c", "left")
+    return sets, stored(named.join(least, "label").filter("of > 1").select("c", "label", "component_id"), "named"), links
+
+
+def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, similar: int = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, component_id for every document; the verified links a, b between classes)."""
+    bound_batches(docs.sparkSession)
+    sets, shared, links = _joined(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), k, similar)
+    out = sets.join(small(shared.drop("label"), shared.count()), "c", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), links
 
 
@@ -343,20 +346,24 @@ def jaccard_report(docs: DataFrame, **names) -> DataFrame:
     return join_documents(docs, **names)[0]
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **names) -> DataFrame:
-    """docs with one document of each component: the one that names it; of repeated rows with that doc_id, the first by hash.
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
+    """docs with one row of each component: of the least doc_id, or of a null one where no row has another; ties go by hash.
 
-    Documents of a null doc_id whose component has no other name stay.
+    Decisions are joined back by a key of id and text: 128 bits that only rows equal in both share.
     """
-    report, _ = join_documents(docs, doc_id=doc_id, text=text, **names)
-    held = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_doc"), F.xxhash64(text).alias("_hash"))
-    losers = stored(report.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "losers")
-    kept = held.join(small(losers, losers.count()), F.col("_doc") == F.col("_id"), "left_anti")
-    again = stored(report.filter("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id")), "again")
+    bound_batches(docs.sparkSession)
+    k1, k2 = (F.xxhash64(F.lit(i), F.col(doc_id).isNull(), doc_id, F.col(text).isNull(), text) for i in (1, 2))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col(text).alias("text"))
+    sets, shared, _ = _joined(rows, k, similar)
+    members = stored(sets.select("doc_id", "k1", "k2", "c").join(small(shared, shared.count()), "c").groupBy("label", "k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows")), "members")
+    winner = stored(members.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("w")), "winners")
+    judged = stored(members.join(small(winner, winner.count()), "label").select("k1", "k2", "rows", ((F.col("k1") == F.col("w.k1")) & (F.col("k2") == F.col("w.k2"))).alias("wins")), "judged")
+    losers, again = judged.filter("not wins").select("k1", "k2"), judged.filter("wins and rows > 1").select("k1", "k2")
+    held = docs.select(F.struct(*docs.columns).alias("_row"), k1.alias("k1"), k2.alias("k2"))
+    kept = held.join(small(losers, losers.count()), ["k1", "k2"], "left_anti")
     n_again = again.count()
     if not n_again:
         return kept.select("_row.*")
-    first = Window.partitionBy("_doc").orderBy("_hash")
-    twice = kept.join(small(again, n_again), F.col("_doc") == F.col("_id"), "left_semi").withColumn("_first", F.row_number().over(first)).filter("_first = 1")
-    once = kept.join(small(again, n_again), F.col("_doc") == F.col("_id"), "left_anti")
+    twice = kept.join(small(again, n_again), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    once = kept.join(small(again, n_again), ["k1", "k2"], "left_anti")
     return once.select("_row.*").unionByName(twice.select("_row.*"))

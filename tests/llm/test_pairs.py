@@ -114,3 +114,17 @@ def test_multi_index_finds_all_within_radius():
         p = D.np.packbits(bits)
         exact = set(D.np.flatnonzero(D.np.bitwise_count(index.prints ^ p).sum(1) <= D.RADIUS).tolist())
         assert index.near(p) == exact
+
+
+def test_stages_judge_rows_not_ids(spark):
+    """Null and repeated ids: a contaminated row or a copy takes no other row of its id with it."""
+    passage = " ".join(f"b{i}" for i in range(20))
+    texts = [" ".join(f"{x}{i}" for i in range(30)) for x in "cdefg"]
+    near = texts[0].replace("c29", "other")
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    rows = [(None, passage), (None, texts[0]), (7, passage), (7, texts[1]), (None, texts[2])]
+    got = D.clean(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
+    rows = [(1, texts[0]), (None, near), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (4, texts[3] + " more"), (None, texts[4])]
+    got = J.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), k=5, similar=80).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([rows[0], rows[2], rows[4], rows[6], rows[7]], key=str)
