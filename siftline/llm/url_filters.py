@@ -11,6 +11,8 @@ rule fits. Repeated urls share one judgement. Without labelled urls nothing is m
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,8 +22,6 @@ from siftline.llm._common import small, stored
 LISTED = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 #: Pruning of mined rules.
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT, MIN_URLS = 0.002, 0.8, 1.5, 10
-#: Most tokens of one url that enter mining (the first ones); matching uses all.
-MINED_TOKENS = 24
 BAD = "\u0001bad"
 
 
@@ -64,14 +64,19 @@ def listed_rule(host: Column, path: Column, rules=LISTED) -> Column:
 def mined_rules(labelled: DataFrame, url: str = "url", bad: str = "bad") -> DataFrame:
     """Rules from urls with a boolean label: rule_id, tokens, confidence, n_tokens."""
     spark = labelled.sparkSession
-    items = F.concat(F.slice(url_tokens(F.col(url)), 1, MINED_TOKENS), F.when(F.col(bad), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>")))
-    baskets = stored(labelled.filter(F.col(bad).isNotNull() & F.col(url).isNotNull()).select(items.alias("items")).filter(F.size("items") > 0), "baskets")
+    items = F.concat(url_tokens(F.col(url)), F.when(F.col(bad), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>")))
+    baskets = stored(labelled.filter(F.col(bad).isNotNull() & F.col(url).isNotNull()).select(F.monotonically_increasing_id().alias("basket"), items.alias("items")).filter(F.size("items") > 0), "baskets")
     n, n_bad = baskets.agg(F.count(F.lit(1)), F.count_if(F.array_contains("items", BAD))).first()
     schema = "rule_id bigint, tokens array<string>, confidence double, n_tokens int"
-    if not n or not n_bad:
+    support = max(MIN_SUPPORT, min(1.0, MIN_URLS / n)) if n else 1.0
+    least = ceil(support * n)
+    if not n_bad or n_bad < least:
         return spark.createDataFrame([], schema)
-    support = max(MIN_SUPPORT, min(1.0, MIN_URLS / n))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=MIN_CONFIDENCE).fit(baskets)
+    # A rule's tokens are each in as many bad urls as its support asks; other tokens go by exact count, which loses no rule.
+    each = baskets.select("basket", F.array_contains("items", BAD).alias("bad"), F.explode("items").alias("token"))
+    often = stored(each.groupBy("token").agg(F.count_if("bad").alias("n_bad")).filter(F.col("n_bad") >= least).select("token"), "frequent_tokens")
+    kept = stored(each.join(small(often, often.count()), "token").groupBy("basket").agg(F.collect_list("token").alias("items")), "mined")
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / kept.count(), minConfidence=MIN_CONFIDENCE).fit(kept)
     rules = model.associationRules.filter((F.element_at("consequent", 1) == BAD) & (F.col("confidence") >= MIN_LIFT * n_bad / n))
     return rules.select(F.xxhash64(F.array_join(F.array_sort("antecedent"), "\u0001")).alias("rule_id"), F.col("antecedent").alias("tokens"), "confidence", F.size("antecedent").alias("n_tokens"))
 

@@ -79,3 +79,13 @@ def test_urls_empty_and_clashing(spark):
     got = {(r.page_id, r.host, r.rule, r.verdict) for r in U.filter_urls(pages, labels).collect()}
     assert got == {(1, "a.net", "net/es/", "block"), (None, "", None, "allow")}
     assert U.filter_urls(pages.limit(0), labels).count() == 0
+
+
+def test_mining_reads_the_last_tokens(spark):
+    """A telling query parameter stands after more than 24 path parts."""
+    word = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:05d}")
+    rows = [(i, "http://x.example.org/en/" + "/".join(word(100 * i + j) for j in range(30)) + ("?tracker=1" if i % 3 == 0 else "?page=1")) for i in range(300)]
+    pages = spark.createDataFrame([(i, u.replace("example.org", "example.edu")) for i, u in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 3 == 0) for i in range(200)], "page_id long, bad boolean")
+    got = {r.page_id: r.verdict for r in U.filter_urls(pages, labels).collect()}
+    assert got == {i: "block" if i % 3 == 0 else "allow" for i in range(300)}
