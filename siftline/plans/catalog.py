@@ -597,6 +597,13 @@ def conversation_history(spark, sf):
     return K.history(c, ["conv_id"], ["turn"], F.concat("role", F.lit(": "), F.substring("text", 1, 20)), separator=" / ")
 
 
+@query("SELECT conv_id, sha256(string_agg(role || ': ' || text, ' / ' ORDER BY turn)) AS history FROM conversations GROUP BY conv_id")
+def conversation_history_whole(spark, sf):
+    """conversation_history of the whole texts, as a checksum."""
+    h = K.history(Tables(spark, sf).conversations, ["conv_id"], ["turn"], F.concat("role", F.lit(": "), "text"), separator=" / ")
+    return h.select("conv_id", F.sha2("history", 256).alias("history"))
+
+
 @query("SELECT l_partkey, count(*) AS n, count(*) FILTER (l_linestatus = 'O') AS n_open FROM lineitem GROUP BY l_partkey")
 def slice_counts(spark, sf):
     """Column-pruned scan with conditional counts by group."""
