@@ -189,7 +189,8 @@ def candidates(sorted_postings: DataFrame, similar: int) -> DataFrame:
             t = b.column(0).to_numpy()
             if len(t) > 2:  # lists of one posting go unread; the batch's ends may go on in its neighbours
                 same = t[1:] == t[:-1]
-                b = b.filter(pa.array(np.concatenate([[True], same[1:] | same[:-1], [True]])))
+                dealt = b.column(1).to_numpy()[1:-1] != 0  # another part of the list may have postings: its token is to be marked
+                b = b.filter(pa.array(np.concatenate([[True], same[1:] | same[:-1] | dealt, [True]])))
             cols = [b.column(i).to_pylist() for i in range(5)]
             for t, s, nn, cc, pp in zip(*cols):
                 if (t, s) != (token, salt):

@@ -128,3 +128,19 @@ def test_stages_judge_rows_not_ids(spark):
     rows = [(1, texts[0]), (None, near), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (4, texts[3] + " more"), (None, texts[4])]
     got = J.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), k=5, similar=80).collect()
     assert sorted(map(tuple, got), key=str) == sorted([rows[0], rows[2], rows[4], rows[6], rows[7]], key=str)
+
+
+def test_lone_postings_of_dealt_lists(spark, monkeypatch):
+    """Two linked classes of many copies, each alone in its part of every list that they share."""
+    monkeypatch.setattr(J, "_frequencies", lambda s, common: J.np.full(len(s), 100_000))
+    rows = []
+    for g in range(40):
+        w = [f"g{g}w{i}" for i in range(11)]
+        rows += [(4 * g + c, " ".join(w)) for c in (0, 1)] + [(4 * g + c, " ".join(w + ["more"])) for c in (2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # parts of a list in different tasks
+    try:
+        got = sorted(map(tuple, J.jaccard_report(df).collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == brute(rows, 4, 85)
