@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -12,23 +14,37 @@ CHUNK = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = 1 << 12
+#: Bytes of the longest word that is hashed by sums of products; longer ones get a cryptographic hash each.
+LONG = 64
 
 
-def _table(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+@dataclass(frozen=True)
+class Fold:
+    """Which bytes count as equal (as: what each byte stands for), and a random number for each."""
 
+    as_: np.ndarray
+    value: np.ndarray
 
-#: A random number for each byte, A-Z as a-z.
-LOWER = _table(11)
-LOWER[65:91] = LOWER[97:123]
-LOWER[_SPACE] = 0
-#: A random number for each kind of byte: capitals, small letters, digits, bytes beyond ASCII, and each mark by itself.
-SHAPE = _table(12)
-SHAPE[65:91], SHAPE[97:123], SHAPE[48:58], SHAPE[128:] = SHAPE[65], SHAPE[97], SHAPE[48], SHAPE[97]
-SHAPE[_SPACE] = 0
+
+def _fold(seed: int, as_: np.ndarray) -> Fold:
+    value = (np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1))[as_]
+    value[_SPACE] = 0
+    return Fold(as_, value)
+
+
+def _ranges(*pairs: tuple[slice, int | slice]) -> np.ndarray:
+    out = np.arange(256, dtype=np.uint8)
+    for where, what in pairs:
+        out[where] = np.arange(256, dtype=np.uint8)[what]
+    return out
+
+
+#: A-Z as a-z.
+LOWER = _fold(11, _ranges((slice(65, 91), slice(97, 123))))
+#: Kinds of bytes: capitals, small letters and bytes beyond ASCII, digits, and each mark by itself.
+SHAPE = _fold(12, _ranges((slice(65, 91), 65), (slice(97, 123), 97), (slice(48, 58), 48), (slice(128, 256), 97)))
 with np.errstate(over="ignore"):
-    _POW = np.multiply.accumulate(np.full(_POWERS, np.uint64(0xD6E8FEB86659FD93), np.uint64))
+    _POW = np.multiply.accumulate(np.full(LONG, np.uint64(0xD6E8FEB86659FD93), np.uint64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -74,16 +90,21 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = LOWER) -> np.ndarray:
-    """64 bits for each word, equal for words of equal bytes (under the table)."""
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: Fold = LOWER) -> np.ndarray:
+    """64 bits for each word, equal for words of equal bytes (as the fold has them)."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     at = np.zeros(len(buf), np.int64)
     at[starts] = starts
     at = np.arange(len(buf)) - np.maximum.accumulate(at)
+    size = ends - starts
     with np.errstate(over="ignore"):
-        sums = np.add.reduceat(table[buf] * _POW[at & (_POWERS - 1)], starts)
-        return mix(sums + (ends - starts).astype(np.uint64) * _ODD)
+        sums = np.add.reduceat(fold.value[buf] * _POW[np.minimum(at, LONG - 1)], starts)
+        out = mix(sums + size.astype(np.uint64) * _ODD)
+    for i in np.flatnonzero(size > LONG):
+        word = fold.as_[buf[starts[i] : ends[i]]].tobytes()
+        out[i] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+    return out
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
@@ -11,7 +17,7 @@ from pyspark.sql.window import Window
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 #: Most rows that an explicit broadcast may hold; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 #: Rows and bytes that an Arrow batch may hold, for bounded Python workers.
 BATCH_ROWS, BATCH_BYTES = 1_000, "16m"
 
@@ -19,13 +25,16 @@ BATCH_ROWS, BATCH_BYTES = 1_000, "16m"
 def scratch_dir(spark: SparkSession) -> str:
     """This application's folder in the one that all executors share, as spark.checkpoint.dir names it.
 
-    Where that is not set: the warehouse of a cluster, and the default checkpoint folder of a local session.
+    A local session that does not set it gets a folder of its own; a cluster that does not is an error, since no other
+    folder is known to be shared.
     """
     conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        base = spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="siftline-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/siftline/{spark.sparkContext.applicationId}"
 
 
@@ -35,8 +44,19 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Folders of the tables that stored() made in this process.
-MADE: list[str] = []
+#: Folders of the tables that stored() made within made_here(), and that are not dropped yet.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def made_here() -> Iterator[list[str]]:
+    """A list that fills with the folders of the tables stored within, in this thread or task only."""
+    here: list[str] = []
+    token = _MADE.set(here)
+    try:
+        yield here
+    finally:
+        _MADE.reset(token)
 
 
 def stored(df: DataFrame, label: str, level: int = 3) -> DataFrame:
@@ -44,21 +64,26 @@ def stored(df: DataFrame, label: str, level: int = 3) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
-    MADE.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _MADE.get() is not None:
+        _MADE.get().append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table that stored() made and that no result needs any more."""
-    read = " ".join(df.inputFiles())
-    forget(df.sparkSession, [p for p in MADE if p.rsplit("/", 1)[-1] in read])
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete tables that stored() made and that no result needs any more."""
+    for df in tables:
+        if df is not None:
+            forget(df.sparkSession, [df.stored_at])
 
 
 def forget(spark: SparkSession, paths: list[str]) -> None:
-    for p in paths:
+    for p in list(paths):
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        MADE.remove(p)
+        if _MADE.get() and p in _MADE.get():
+            _MADE.get().remove(p)
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -85,17 +110,14 @@ def keyed_hash(seed: int, *cols: Column) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
-#: Rows that one bucket of a running sum should hold.
-BUCKET_ROWS = 20_000
-
-
 def running(df: DataFrame, group: list[str], value: Column, order: Column, ties: list[Column], rows: int, out: str) -> DataFrame:
     """Exclusive running sum of value within group, in the order (bucket of order, order, ties), as column out.
 
     No task holds a whole group: rows are dealt by (group, bucket), buckets are summed first, and each bucket starts
-    from the sum of those before it. group columns must not be null. order: a well-spread hash as long.
+    from the sum of those before it. Of n rows there are about as many buckets as a bucket has rows, the root of n.
+    group columns must not be null. order: a well-spread hash as long.
     """
-    buckets = max(1, -(-rows // BUCKET_ROWS))
+    buckets = 1 + isqrt(rows)
     spread = df.withColumn("_order", order).withColumn("_bucket", F.pmod(F.shiftright("_order", 8), F.lit(buckets)).cast("int")).withColumn("_value", value)
     sums = spread.groupBy(*group, "_bucket").agg(F.sum("_value").alias("_sum"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

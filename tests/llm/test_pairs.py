@@ -65,11 +65,31 @@ def test_one_of_each(documents):
     assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == want
 
 
-def weighted(index, a, b):
-    return index.similarity(a, b)
+def built(items, k=D.SHINGLE):
+    """An index of all items in one part, weighed as _parts() weighs them."""
+    lists = [D._shingle_list(t, k) for _, t in items]
+    n = sum(len(h) > 0 for h, _ in lists)
+    u, c = D.np.unique(D.np.concatenate([D.np.unique(s) for _, s in lists]), return_counts=True)
+    often = c >= max(2, n / D.COMMON)
+    return D.Index(D.pa.array([i for i, _ in items]), [t for _, t in items], D.Weights(n, u[often], c[often]), k)
 
 
-def test_decontamination_equals_brute_force(spark):
+def every_window(index, docs):
+    """(document, item) to the best similarity of all windows, none passed over."""
+    want = {}
+    for d, text in docs:
+        h, _ = D._shingle_list(text, D.SHINGLE)
+        for j, size in enumerate(index.lengths):
+            for a in range(len(h) - size + 1):
+                part = h[a : a + size]
+                s = D._bytes.shingles(part, D.np.array([0, size]), D.SHINGLE)[0] if size >= D.SHINGLE else D._bytes.runs(part, int(size))
+                sim = index.similarity(j, s)
+                if sim >= D.SIMILAR - 1e-12 and sim > want.get((d, index.ids[j].as_py()), (0, 0))[0] + 1e-12:
+                    want[d, index.ids[j].as_py()] = (sim, a)
+    return want
+
+
+def test_decontamination_equals_brute_force(spark, monkeypatch):
     r = random.Random(3)
     vocabulary = [f"v{i}" for i in range(400)]
     items = [(i, " ".join(r.choice(vocabulary) for _ in range(n))) for i, n in enumerate([6, 12, 20, 20, 33, 45, 3])] + [(50, None), (51, ""), (52, None)]
@@ -85,35 +105,60 @@ def test_decontamination_equals_brute_force(spark):
         docs.append((i, " ".join(w) if i != 5 else None))
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as item_id", "2 as similarity")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    index = D.Index(items)
-    want = {}
-    for d, text in docs:
-        h, _ = D._shingle_list(text, D.SHINGLE)
-        for j, size in enumerate(index.lengths):
-            for a in range(len(h) - size + 1):
-                part = h[a : a + size]
-                s = D._bytes.shingles(part, D.np.array([0, size]), D.SHINGLE)[0] if size >= D.SHINGLE else D._bytes.runs(part, int(size))
-                sim = index.similarity(j, s)
-                if sim >= D.SIMILAR - 1e-12 and sim > want.get((d, index.ids[j]), 0):
-                    want[d, index.ids[j]] = sim
-    got = {(x.doc_id, x.item_id): x.similarity for x in D.contaminated(df, bench).collect()}
-    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want) and len(want) > 20
+    want = every_window(built(items), docs)
     bad = {d for d, _ in want}
-    out = D.clean(df, bench)
-    assert out.columns == df.columns and {x.doc_id for x in out.collect()} == {d for d, _ in docs} - bad
+    for part in (D.PART_ITEMS, 3):  # in one part, and in three
+        monkeypatch.setattr(D, "PART_ITEMS", part)
+        got = {(x.doc_id, x.item_id): (x.similarity, x.first_word) for x in D.contaminated(df, bench).collect()}
+        assert got.keys() == want.keys() and len(want) > 20
+        assert all(abs(got[x][0] - want[x][0]) < 1e-9 and got[x][1] == want[x][1] for x in want)
+        out = D.clean(df, bench)
+        assert out.columns == df.columns and {x.doc_id for x in out.collect()} == {d for d, _ in docs} - bad
     assert D.contaminated(df, bench.limit(0)).count() == 0 and D.contaminated(df.limit(0), bench).count() == 0
+    named = D.contaminated(df.selectExpr("cast(doc_id as decimal(9, 0)) as doc_id", "text"), bench.selectExpr("named_struct('a', item_id) as item_id", "text"))
+    assert {(int(x.doc_id), x.item_id.a) for x in named.collect()} == want.keys()
+
+
+def test_repeated_shingles_are_found():
+    """Items that end in one word again and again, weighed like the rest: documents at the threshold by all windows are found."""
+    found = 0
+    for own, again in ((180, 20), (240, 26), (400, 46)):
+        for seed in range(30):
+            w = [f"s{seed}w{i}" for i in range(own)]
+            items = [(1, " ".join(w + ["la"] * again)), (2, " ".join(f"s{seed}o{i}" for i in range(60)))]
+            doc = [f"a{i}" for i in range(seed)] + w + [f"b{i}" for i in range(again)]
+            index = built(items)
+            h, _ = D._shingle_list(" ".join(doc), D.SHINGLE)
+            s = D._bytes.shingles(h[seed : seed + own + again], D.np.array([0, own + again]), D.SHINGLE)[0]
+            assert index.similarity(0, s) >= D.SIMILAR
+            found += 0 in D.hits_of(index, h)
+    assert found == 90
+
+
+def test_running_fingerprints_are_those_of_their_windows():
+    r = D.np.random.default_rng(2)
+    for kinds in (1, 3, 40, 10_000):
+        s = D._bytes.mix(r.integers(0, kinds, 200).astype(D.np.uint64))
+        weights = D.Weights(9, s[:2], D.np.array([4, 2]))
+        starts = D.np.array([0, 1, 2, 5, 60, 61, 170])
+        got = D.window_bits(s, starts, 30, weights)
+        for w, bits in zip(starts, got):
+            u, c = D.np.unique(s[w : w + 30], return_counts=True)
+            times = D.np.concatenate([D.np.arange(x) for x in c])
+            u = D.np.repeat(u, c)
+            want = (D.normals(D.features(u, times)) * D.np.sqrt(weights(u))[:, None]).sum(0)
+            assert (bits == (want > 1e-5))[abs(want) > 1e-3].all()
 
 
 def test_multi_index_finds_all_within_radius():
-    index = D.Index([(i, " ".join(f"w{(i * 7 + j) % 90}" for j in range(30))) for i in range(40)])
+    index = built([(i, " ".join(f"w{(i * 7 + j) % 90}" for j in range(30))) for i in range(90)])
     r = D.np.random.default_rng(1)
+    own = D.np.unpackbits(index.prints.view(D.np.uint8), axis=1)[:, : D.BITS]
     for _ in range(50):
-        p = index.prints[r.integers(40)].copy()
-        bits = D.np.unpackbits(p)
-        bits[r.choice(D.BITS, r.integers(0, 90), replace=False)] ^= 1
-        p = D.np.packbits(bits)
-        exact = set(D.np.flatnonzero(D.np.bitwise_count(index.prints ^ p).sum(1) <= D.RADIUS).tolist())
-        assert index.near(p) == exact
+        bits = own[r.integers(90)].copy()
+        bits[r.choice(D.BITS, r.integers(0, 100), replace=False)] ^= 1
+        exact = D.np.flatnonzero((own != bits).sum(1) <= D.RADIUS)
+        assert index.near(bits[None, :] > 0)[0].tolist() == exact.tolist()
 
 
 def test_stages_judge_rows_not_ids(spark):
