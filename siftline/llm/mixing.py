@@ -1,171 +1,160 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
 Targets: all words shared by weight, each source's share stopped at CAP times its size, the excess shared again.
-Every source's documents are laid end to end in a seeded order and cut into blocks of as many words. Blocks are
-apportioned to sources by highest quotients target / (2 awards + 1), which gives an integer quota per source, and per
-output shard as the awards of consecutive houses (the method never takes an award back as the house grows). A source's
-awards go through its blocks in a seeded order, again and again; a document takes from each block what it has there.
+Every source's documents are laid end to end in a seeded order, and that again and again; blocks are runs of BLOCK
+words there, equal for all sources, however small. Blocks are apportioned to sources by highest quotients
+target / (2 awards + 1). Output shards are filled one after the other: a shard's quota of a source is what the house
+up to it awards beyond the house before it (the method never takes an award back as the house grows), so each shard
+holds the sources in proportion. A source's blocks are selected in its seeded order: shard k takes those from the sum
+of the quotas before it up to its own. So whole documents are taken but at the ends of a shard's run, and every word
+taken has a shard.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in the order of weights; documents
 without words take nothing; repeated rows are separate documents; empty tables give empty tables; columns of other
-names pass through unchanged.
+names pass through unchanged. The driver holds a row a source, nothing else.
 """
 
 from __future__ import annotations
 
-import math
-import random
+import heapq
 import re
 from fractions import Fraction
+from math import lcm
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from siftline.llm._common import bound_batches, keyed_hash, n_words, running
+from siftline.llm._common import bound_batches, keyed_hash, n_words, running, small, stored
 
 WEIGHTS, CAP, SEED, SHARDS = (1, 2, 3), 3, 20_240_607, 8
-#: Words of a block at most; small sources get at least BLOCKS_LEAST blocks through shorter ones.
-BLOCK, BLOCKS_LEAST = 1024, 64
-#: The driver keeps one row a source; more sources than this are an error, not a sample.
-MAX_SOURCES = 100_000
+#: Words of a block: what a source's words may miss its target by.
+BLOCK = 8
 
 
 def targets(sizes: list[int], weights=WEIGHTS, cap: int = CAP) -> list[Fraction]:
-    """Words for each source, in their order: by weight, none above cap times its size."""
+    """Words for each source, in their order: by weight, none above cap times its size. The sources that fill up first come first."""
     w = [weights[i % len(weights)] for i in range(len(sizes))]
-    left, open_, out = Fraction(sum(sizes)), list(range(len(sizes))), [Fraction(0)] * len(sizes)
-    while open_:
-        share = left / sum(w[i] for i in open_)
-        full = [i for i in open_ if share * w[i] > cap * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = share * w[i]
+    order = sorted(range(len(sizes)), key=lambda i: (Fraction(sizes[i], w[i]), i))
+    left, open_, out = sum(sizes), sum(w), [Fraction(0)] * len(sizes)
+    for at, i in enumerate(order):
+        if left * w[i] <= cap * sizes[i] * open_:
+            share = Fraction(left, open_)
+            for j in order[at:]:
+                out[j] = share * w[j]
             break
-        for i in full:
-            out[i] = Fraction(cap * sizes[i])
-            left -= out[i]
-        open_ = [i for i in open_ if i not in set(full)]
+        out[i] = Fraction(cap * sizes[i])
+        left, open_ = left - cap * sizes[i], open_ - w[i]
     return out
 
 
 def apportion(shares: list[Fraction], house: int) -> list[int]:
     """Sainte-Laguë seats: the house awards with the highest quotients share / (2 s + 1), ties to the earlier source.
 
-    A divisor gives all awards but a few; the rest follow one by one from the quotients.
+    A divisor gives all awards but a few; the rest follow from heaps of quotients.
     """
-    total = sum(shares)
+    unit = lcm(*(x.denominator for x in shares)) if shares else 1
+    whole = [x.numerator * (unit // x.denominator) for x in shares]
+    total = sum(whole)
     if not house or not total:
         return [0] * len(shares)
-    unit = total / house
-    seats = [max(0, math.ceil(x / unit - Fraction(1, 2))) for x in shares]
-    while sum(seats) > house:
-        i = min((i for i in range(len(seats)) if seats[i]), key=lambda i: (shares[i] / (2 * seats[i] - 1), -i))
-        seats[i] -= 1
-    while sum(seats) < house:
-        i = max((i for i in range(len(seats)) if shares[i]), key=lambda i: (shares[i] / (2 * seats[i] + 1), -i))
-        seats[i] += 1
+    seats = [max(0, -((total - 2 * x * house) // (2 * total))) for x in whole]
+    more = sum(seats) - house
+    heap = [(Fraction(x, 2 * s - 1), -i) for i, (x, s) in enumerate(zip(whole, seats)) if s] if more > 0 else [(-Fraction(x, 2 * s + 1), i) for i, (x, s) in enumerate(zip(whole, seats)) if x]
+    heapq.heapify(heap) if more else None
+    for _ in range(abs(more)):
+        i = abs(heap[0][1])
+        seats[i] -= 1 if more > 0 else -1
+        if more > 0 and not seats[i]:
+            heapq.heappop(heap)
+        else:
+            heapq.heapreplace(heap, (Fraction(whole[i], 2 * seats[i] - 1), -i) if more > 0 else (-Fraction(whole[i], 2 * seats[i] + 1), i))
     return seats
 
 
-def plan(sizes: list[int], weights=WEIGHTS, cap: int = CAP, seed: int = SEED, shards: int = SHARDS) -> dict:
-    """Block length, targets, quotas by shard and source, and each source's seeded block order (a b + c mod n)."""
+def plan(sizes: list[int], weights=WEIGHTS, cap: int = CAP, shards: int = SHARDS, block: int = BLOCK) -> dict:
+    """Targets, and quotas in blocks by shard and source; no source gets more blocks than cap times its words hold."""
     goal = targets(sizes, weights, cap)
-    least = min((s for s in sizes if s), default=0)
-    block = max(1, min(BLOCK, least // BLOCKS_LEAST))
-    blocks = [-(-s // block) for s in sizes]
     house = round(sum(goal) / block)
-    marks = [apportion(goal, house * (k + 1) // shards) for k in range(shards)]
-    quotas = [[m[i] - (marks[k - 1][i] if k else 0) for i in range(len(sizes))] for k, m in enumerate(marks)]
-    order = []
-    for i, n in enumerate(blocks):
-        r = random.Random(f"{seed}:{i}")
-        a = r.randrange(1, min(max(n, 2), 1 << 20))
-        while math.gcd(a, max(n, 1)) != 1:
-            a = r.randrange(1, min(max(n, 2), 1 << 20))
-        order.append((a, r.randrange(max(n, 1))))
-    awards = [min(sum(q[i] for q in quotas), cap * blocks[i]) for i in range(len(sizes))]
-    return {"block": block, "target": goal, "blocks": blocks, "quotas": quotas, "awards": awards, "order": order}
-
-
-def mixture(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights=WEIGHTS, cap: int = CAP, seed: int = SEED) -> tuple[DataFrame, dict]:
-    """(docs in a column _row, with size, source_size, target, taken and the blocks' times; the plan)."""
+    most = [cap * s // block for s in sizes]
+    marks = [[0] * len(sizes)] + [[min(a, m) for a, m in zip(apportion(goal, house * (k + 1) // shards), most)] for k in range(shards)]
+    return {"target": goal, "quotas": [[b - a for a, b in zip(*pair)] for pair in zip(marks, marks[1:])]}
+
+
+def mixture(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights=WEIGHTS, cap: int = CAP, seed: int = SEED, shards: int = SHARDS, block: int = BLOCK) -> tuple[DataFrame, dict]:
+    """(docs in a column _row, with size, source_size, target, taken, taken_by_shard, and _from and _ends for the places taken; the plan)."""
     spark = docs.sparkSession
     held = docs.select(
         F.struct(*docs.columns).alias("_row"), n_words(F.col(text)).alias("size"),
         F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")).alias("_source"),
         keyed_hash(seed, F.col(doc_id).cast("string"), F.col(text)).alias("_hash"), F.col(doc_id).cast("string").alias("_id"),
     )
-    totals = held.groupBy("_source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: mix groups of sources instead")
+    held = stored(held, "sizes")  # words are counted once
+    totals = held.groupBy("_source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()  # a row a source
     totals.sort(key=lambda r: (r["_source"] == "n", r["_source"]))
-    how = plan([r["size"] for r in totals], weights, cap, seed)
+    how = plan([r["size"] for r in totals], weights, cap, shards, block)
+    ends, at = [], [0] * len(totals)
+    for quota in how["quotas"]:
+        at = [a + block * q for a, q in zip(at, quota)]
+        ends.append(at)
     facts = spark.createDataFrame(
-        [(r["_source"], r["size"], float(g), n, q, a, c) for r, g, n, q, (a, c) in zip(totals, how["target"], how["blocks"], how["awards"], how["order"])],
-        "_source string, source_size long, target double, _blocks long, _awards long, _a long, _c long",
+        [(r["_source"], r["size"], float(g), [e[i] for e in ends]) for i, (r, g) in enumerate(zip(totals, how["target"]))],
+        "_source string, source_size long, target double, _ends array<bigint>",
     )
     laid = running(held, ["_source"], F.col("size"), F.col("_hash"), [F.col("_id"), F.col("size")], sum(r["n"] for r in totals), "_from")
-    laid = laid.join(F.broadcast(facts), "_source")  # at most MAX_SOURCES rows
-    block = F.lit(how["block"]).cast("long")
+    laid = laid.join(small(facts, len(totals)), "_source")
 
-    def times(b):
-        rank = F.pmod(F.col("_a") * b + F.col("_c"), F.col("_blocks"))
-        q, n = F.col("_awards"), F.col("_blocks")
-        return F.floor(q / n).cast("long") + (rank < F.pmod(q, n)).cast("long")
+    def upto(place: Column, end: Column) -> Column:
+        """Words before a place of the source that stand before end in its repetitions."""
+        size = F.greatest(F.col("source_size"), F.lit(1))
+        return F.floor(end / size) * place + F.least(place, F.pmod(end, size))
 
-    own = F.sequence(F.floor(F.col("_from") / block), F.floor((F.col("_from") + F.col("size") - 1) / block))
-    end = F.col("_from") + F.col("size")
-    spans = F.transform(own, lambda b: F.struct((F.greatest(b * block, F.col("_from")) - F.col("_from")).alias("lo"), (F.least((b + 1) * block, end) - F.col("_from")).alias("hi"), times(b).alias("times")))
-    laid = laid.withColumn("_spans", F.when(F.col("size") > 0, spans).otherwise(F.array().cast("array<struct<lo:bigint,hi:bigint,times:bigint>>")))
-    taken = F.aggregate("_spans", F.lit(0).cast("long"), lambda s, x: s + (x["hi"] - x["lo"]) * x["times"])
-    return laid.withColumn("taken", taken), how
+    before = F.transform("_ends", lambda e: (upto(F.col("_from") + F.col("size"), e) - upto(F.col("_from"), e)).cast("long"))
+    laid = laid.withColumn("_before", before).withColumn("taken", F.element_at("_before", -1))
+    by_shard = F.transform("_before", lambda b, k: b - F.coalesce(F.get("_before", k - 1), F.lit(0)))
+    return laid.withColumn("taken_by_shard", by_shard).drop("_before"), how
 
 
 def mix_report(docs: DataFrame, **names) -> DataFrame:
-    """A row a document: size, its source's size and target, and the words that the mix takes of it."""
+    """A row a document: size, its source's size and target, and the words that the mix takes of it, in all and by output shard."""
     laid, _ = mixture(docs.select("doc_id", "text", "source"), **names)
-    return laid.select("_row.doc_id", "size", "source_size", "target", "taken")
+    return laid.select("_row.doc_id", "size", "source_size", "target", "taken", "taken_by_shard")
 
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def _cut(text: str, spans: list[dict], turn: int) -> str | None:
-    """The words of the spans that are taken more than turn times; the very text if that is all of them."""
-    take = [s for s in spans if s["times"] > turn]
-    if len(take) == len(spans):
-        return text
+def _cut(text: str, lo: int, hi: int) -> str:
+    """The text from its word number lo up to its word number hi."""
     at = [m.span() for m in _WORDS.finditer(text)]
-    runs: list[list[int]] = []
-    for s in take:
-        if runs and runs[-1][1] == s["lo"]:
-            runs[-1][1] = s["hi"]
-        else:
-            runs.append([s["lo"], s["hi"]])
-    return "\n".join(text[at[lo][0] : at[hi - 1][1]] for lo, hi in runs) or None
+    return text[at[lo][0] : at[hi - 1][1]]
 
 
-def mixed(docs: DataFrame, text: str = "text", **names) -> DataFrame:
-    """The mix itself, in the columns of docs: a row for each time that a document is taken, holding the words taken that time."""
+def mixed(docs: DataFrame, text: str = "text", shard: str | None = None, **names) -> DataFrame:
+    """The mix itself, in the columns of docs: a row for each time that a document is taken by a shard, holding the words taken. shard: name of a column that tells the shard."""
     bound_batches(docs.sparkSession)
     laid, _ = mixture(docs, text=text, **names)
-    most = F.coalesce(F.array_max(F.transform("_spans", lambda s: s["times"])), F.lit(0))
-    turns = laid.filter("taken > 0").select("_row", "_spans", F.explode(F.sequence(F.lit(0), most.cast("int") - 1)).alias("_turn"))
-    fits = F.forall("_spans", lambda s: s["times"] > F.col("_turn"))
-    whole = turns.filter(fits).select("_row.*")
-    part = turns.filter(~fits).select("_row", F.col("_row")[text].alias("_text"), "_spans", "_turn")
-    cut = _with_cut(part).select(*[F.col("_cut").alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])
+    start, size = F.col("_from"), F.col("size")
+    first = lambda k: F.coalesce(F.get("_ends", k - 1), F.lit(0))
+    turns = F.sequence(F.lit(0).cast("long"), F.floor((F.element_at("_ends", -1) - 1) / F.col("source_size")).cast("long"))
+    piece = lambda e, k: F.transform(turns, lambda t: F.struct(
+        k.alias("shard"), F.greatest(F.lit(0), first(k) - start - t * F.col("source_size")).cast("long").alias("lo"), F.least(size, e - start - t * F.col("source_size")).cast("long").alias("hi")))
+    pieces = F.filter(F.flatten(F.transform("_ends", piece)), lambda p: p["hi"] > p["lo"])
+    rows = laid.filter("taken > 0").select("_row", "size", F.explode(pieces).alias("_p"))
+    own = lambda c: F.col("_row")[c]
+    extra = [F.col("_p.shard").alias(shard)] if shard else []
+    fits = (F.col("_p.lo") == 0) & (F.col("_p.hi") == F.col("size"))
+    whole = rows.filter(fits).select("_row.*", *extra)
+    part = _with_cut(rows.filter(~fits).select("_row", own(text).alias("_text"), "_p"))  # two a shard and source
+    cut = part.select(*[F.col("_cut").alias(c) if c == text else own(c).alias(c) for c in docs.columns], *extra)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return whole.unionByName(cut)
 
 
 def _with_cut(part: DataFrame) -> DataFrame:
-    schema = part.drop("_text", "_spans", "_turn").schema.add("_cut", "string")
-
     def run(batches):
         for b in batches:
-            cols = [b.column(i).to_pylist() for i in range(1, 4)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_cut(*x) for x in zip(*cols)], pa.string())], names=["_row", "_cut"])
+            cut = [_cut(t, p["lo"], p["hi"]) for t, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cut, pa.string())], names=["_row", "_p", "_cut"])
 
-    return part.mapInArrow(run, schema)
+    return part.mapInArrow(run, part.drop("_text").schema.add("_cut", "string"))

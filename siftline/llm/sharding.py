@@ -2,7 +2,8 @@
 
 Documents are linked when their texts are equal, or through any other key given. Linked documents start on shards in
 turn, which is balanced. In each round the shards of every key's documents are counted, and the documents of a shard
-ask to move to the shard with most of their key that it does not fill. Requests are granted as swaps and longer cycles
+ask to move to the shard with most of their key that it does not fill; keys of over half a shard claim one each, those
+with most there first. Requests are granted as swaps and longer cycles
 between shards and as paths into room, in a seeded order; those left over are exchanged for whole keys of the shard
 that they ask for; so no shard passes its quota of documents. Rounds end when two in a row bring nothing together; the
 share of linked documents still cut is logged. Documents without links then fill the shards up to quotas that differ
@@ -80,6 +81,17 @@ def _summed(moves: DataFrame, shards: int) -> list[list[int]]:
     return out
 
 
+def _claims(state: DataFrame, least: float) -> list[tuple[str, int]]:
+    """(key, shard) for keys of more documents than least, half a quota, so fewer than two a shard: the shard with most of it that no such key with more claims."""
+    large = state.groupBy("k").agg(F.sum("n").alias("of_key")).filter(F.col("of_key") > max(1, least)).select("k")
+    parts = sorted(state.join(F.broadcast(large), "k").collect(), key=lambda r: (-r["n"], r["k"], r["shard"]))
+    claims: dict[str, int] = {}
+    for r in parts:
+        if r["k"] not in claims and r["shard"] not in claims.values():
+            claims[r["k"]] = r["shard"]
+    return list(claims.items())
+
+
 def _round(state: DataFrame, quotas: list[int], room: list[int], turn: int) -> DataFrame:
     """One round: (k, shard, n) after the granted moves. room: by shard, documents that it may still take."""
     shards = len(quotas)
@@ -89,7 +101,10 @@ def _round(state: DataFrame, quotas: list[int], room: list[int], turn: int) -> D
     ranked = parts.orderBy(F.desc("n"), tie)
     several = state.filter(open_).withColumn("_r", F.row_number().over(ranked))
     goal = several.filter("_r = 1").select("k", F.col("shard").alias("goal"))
-    asks = stored(several.filter("_r > 1").select("k", "shard", "n").join(goal, "k"), "asks")
+    if claims := _claims(state.filter(open_), min(quotas) / 2):
+        claimed = state.sparkSession.createDataFrame(claims, "k string, _claimed int")
+        goal = goal.join(F.broadcast(claimed), "k", "left").select("k", F.coalesce("_claimed", "goal").alias("goal"))  # fewer than two rows a shard
+    asks = stored(several.join(goal, "k").filter("shard <> goal").select("k", "shard", "n", "goal"), "asks")
     total = asks.count()
     asked = _summed(asks, shards)
     flows = granted_flows(asked, room)

@@ -1,3 +1,5 @@
+import random
+import time
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -43,20 +45,67 @@ def test_mix_meets_targets(documents):
     for r in rows:
         s = texts[r.doc_id][1]
         assert r.source_size == total[s] and abs(r.target - goal[s]) < 1e-6
-    assert all(abs(taken[s] - goal[s]) <= 0.05 * goal[s] + 3 for s in order)
+    assert all(abs(taken[s] - goal[s]) <= M.BLOCK for s in order)
+
+
+def test_quotas_by_shard(documents):
+    """Each shard takes its integer quota of blocks of each source, and the first words of the seeded order that no shard before it took."""
+    docs = documents.filter("doc_id is not null")
+    laid, how = M.mixture(docs)
+    rows = laid.select("_row.source", "size", "_from", "source_size", "taken", "taken_by_shard").collect()
+    order = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
+    assert len(how["quotas"]) == M.SHARDS
+    for i, s in enumerate(order):
+        mine = [r for r in rows if r.source == s]
+        for k in range(M.SHARDS):
+            assert sum(r.taken_by_shard[k] for r in mine) == M.BLOCK * how["quotas"][k][i]
+        place = 0  # brute force: word by word
+        want = {id(r): [0] * M.SHARDS for r in mine}
+        stream = [r for r in sorted((r for r in mine if r.size), key=lambda r: r._from) for _ in range(r.size)]
+        for k in range(M.SHARDS):
+            for _ in range(M.BLOCK * how["quotas"][k][i]):
+                want[id(stream[place % len(stream)])][k] += 1
+                place += 1
+        assert all(list(r.taken_by_shard) == want[id(r)] and r.taken == sum(want[id(r)]) for r in mine)
+
+
+def test_a_small_source_beside_a_large_one():
+    how = M.plan([40, 10**12])
+    got = [M.BLOCK * sum(q[i] for q in how["quotas"]) for i in range(2)]
+    assert abs(got[0] - 120) <= M.BLOCK and abs(got[1] - (10**12 - 80)) <= M.BLOCK
+    shares = [q[1] for q in how["quotas"]]
+    assert max(shares) - min(shares) <= 2
+
+
+def test_many_sources():
+    r = random.Random(1)
+    sizes = [r.randrange(1, 10**7) for _ in range(20_000)]
+    begun = time.time()
+    how = M.plan(sizes)
+    assert time.time() - begun < 60
+    for i, (g, s) in enumerate(zip(how["target"], sizes)):
+        got = M.BLOCK * sum(q[i] for q in how["quotas"])
+        assert abs(got - g) <= 2 * M.BLOCK and got <= 3 * s
 
 
 def test_mixed_rows_hold_the_words_taken(documents, empty):
     docs = documents.filter("doc_id is not null")
     out = M.mixed(docs)
     assert out.columns == docs.columns
-    words = Counter()
-    for r in out.collect():
+    words, shards = Counter(), Counter()
+    for r in M.mixed(docs, shard="in_shard").collect():
         words[r.doc_id] += len(r.text.split())
-    taken = Counter()
+        shards[r.doc_id, r.in_shard] += len(r.text.split())
+    again = Counter()
+    for r in out.collect():
+        again[r.doc_id] += len(r.text.split())
+    assert again == words
+    taken, by_shard = Counter(), Counter()
     for r in M.mix_report(docs).collect():
         taken[r.doc_id] += r.taken
-    assert +words == +taken
+        for k, n in enumerate(r.taken_by_shard):
+            by_shard[r.doc_id, k] += n
+    assert +words == +taken and +shards == +by_shard
     assert M.mixed(empty).count() == 0 and M.mix_report(empty).count() == 0
 
 
