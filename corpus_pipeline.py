@@ -8,20 +8,22 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from siftline.llm import decontaminate, jaccard_join, mixing, quality_rules, token_shards
-from siftline.llm._common import MADE, dropped, forget, stored, table
+from siftline.llm._common import dropped, forget, made_here, stored, table
 
-#: Tables that the stage before stored for itself; its output is written by now, so they go when the next stage begins.
-_LEFT: list[str] = []
+#: By application and folder of tables: what the stage before stored for itself; its output is written by now, so that goes when the next stage begins.
+_LEFT: dict[tuple[str, str], list[str]] = {}
 
 
 def staged(stage: Callable) -> Callable:
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        run = (spark.sparkContext.applicationId, sf_dir)
         read = " ".join(docs.inputFiles())
-        forget(spark, [p for p in _LEFT if p in MADE and p.rsplit("/", 1)[-1] not in read])
-        before = set(MADE)
-        out = stage(spark, docs, sf_dir)
-        _LEFT[:] = [] if stage.__name__ == "token_output" else [p for p in MADE if p not in before]  # the result's own index stays
+        forget(spark, [p for p in _LEFT.pop(run, []) if p.rsplit("/", 1)[-1] not in read])
+        with made_here() as made:
+            out = stage(spark, docs, sf_dir)
+        if stage.__name__ != "token_output":  # the result's own index stays
+            _LEFT[run] = made
         return out
 
     return run_stage
