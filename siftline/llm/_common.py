@@ -86,9 +86,9 @@ def forget(spark: SparkSession, paths: list[str]) -> None:
             _MADE.get().remove(p)
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small whatever the length of the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Keep Arrow batches small whatever the length of the texts; rows: more for rows of fixed length."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 

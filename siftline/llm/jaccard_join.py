@@ -1,44 +1,55 @@
 """Exact n-gram Jaccard join that follows set relations.
 
-A document's set is its distinct K-word shingles; two sets link when 100 |a ∩ b| >= SIMILAR |a ∪ b|. Prefix filtering
-under a global order, rare shingles first, gives inverted lists; the order uses the counts of frequent shingles and
-the hash otherwise, and any order is exact.
-
-Index skipping. A list is read in blocks by set size and position: a block whose sizes or remaining positions cannot
-reach the threshold is skipped. Equal sets are one class with one posting.
-
-Answer skipping. Linked sets share an answer (their component), so a list is first read against the leaders of its
-blocks only. Where that leaves a long list with sets of several components, its remaining answers are derived from
-those computed: pairs inside a component are skipped, and only pairs across components are read, all of them. No
-candidate is dropped: a pair that shares a prefix shingle and may reach the threshold is either verified exactly or
-already in one component.
+A document's set is its distinct K-word shingles; two sets link when 100 |a ∩ b| >= SIMILAR |a ∪ b|. Equal sets are one
+class. Two sets that link share one of the first n - least overlap + 1 shingles (the prefix) of each under any order of
+all shingles. The order here puts rare shingles first, and is found in two steps. Shingles with hashes in a low range
+are counted in all sets; one in more than LIST sets is frequent. Most sets have their whole prefix in rare shingles of
+the low range, in the order of hashes. The others are read again: their remaining shingles are counted among them, and
+their prefix goes on with rare shingles of those, then with frequent ones by their counts. So text that many documents
+share is in a prefix only where a document has little else.
+
+Index skipping. A list holds the sets of a shingle by size and place in the prefix. It is read in blocks of BLOCK sets:
+a pair of blocks whose sizes or places cannot reach the threshold is skipped before any pair of sets is formed. Lists
+of rare shingles have LIST sets at most and are read by themselves.
+
+Answer skipping. Lists of frequent shingles are dealt out by their counts, and each set is read there against leaders
+only. Sets that are linked by then share their answer (a component). For the answers across components, the sets of a
+list, component, size band and place band stand behind one of them: its distances to others, less the largest distances
+of those behind it, decide whether they can have answers in common at all, and only then sets are compared one by one.
+No link is lost: a pair that shares a prefix shingle and may reach the threshold is verified exactly, or is in one
+component already.
 
 Defined cases: null and wordless texts have an empty set, which links with nothing (also not with each other); a text
 of fewer than K words has its whole sequence as one shingle; a null doc_id takes part, a component is named by its
-smallest doc_id that is not null; repeated rows are equal sets.
+smallest doc_id that is not null; repeated rows are equal sets. Hashes stand for words and shingles (64 bits) and for
+sets (128 bits and the size).
 """
 
 from __future__ import annotations
 
+from math import log
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from siftline.llm import _bytes
 from siftline.llm._common import bound_batches, dropped, small, stored
 
 SHINGLE, SIMILAR = 4, 85
-#: Shingles that can be in a prefix by their hash, so those below REACH times a prefix's share of all hashes, are counted
-#: over all texts (COUNTED at a time within a task); the ORDERED most frequent ones found FREQUENT times or more enter the order.
-REACH, COUNTED, FREQUENT, ORDERED = 1.35, 2_000_000, 3, 400_000
-#: Lists of up to LIST sets are read whole at once; of longer ones each set is read against LEADERS leaders first.
-LIST, LEADERS = 64, 6
-#: A frequent shingle's list is dealt to several tasks of about so many sets.
-DEALT = 4_096
+#: The low range of hashes, as so many times a prefix's share of all.
+REACH = 1.35
+#: Shingles in more sets than this are frequent; BLOCK sets of a list are skipped at once.
+LIST, BLOCK = 64, 16
+#: A frequent shingle's list is dealt to tasks of about so many sets, where each set is read against LEADERS leaders.
+DEALT, LEADERS = 4_096, 6
 #: Bits of the parity sketch that bounds the difference of two sets from below.
 SKETCH = 512
-
+#: Postings that a task handles at a time, and pairs formed at once.
+POSTINGS, PAIRS = 1 << 16, 1 << 20
+#: Bands of places in the prefix.
+PLACES = 4
 
 def doc_sets(column: pa.Array, k: int = SHINGLE):
     """(row, set as a sorted array) for every text of a column; an empty set for a text without words."""
@@ -57,42 +68,6 @@ def doc_sets(column: pa.Array, k: int = SHINGLE):
                 yield lo + i, np.zeros(0, np.uint64)
 
 
-def frequent(docs: DataFrame, k: int, similar: int) -> list[np.ndarray]:
-    """Hashes (sorted) and counts of frequent shingles, at most ORDERED of them; used for the order only."""
-    top = np.uint64(min(1.0, REACH * (100 - similar) / 100) * ((1 << 64) - 2048))
-
-    def run(batches):
-        held, size = [], 0
-
-        def flush():
-            u, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
-
-        for b in batches:
-            for _, s in doc_sets(b.column(0), k):
-                held.append(s[: np.searchsorted(s, top)])
-                size += len(s)
-                if size >= COUNTED:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
-
-    found = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= FREQUENT)
-    found = found.orderBy(F.desc("c"), "h").limit(ORDERED).toPandas()
-    h, c = found["h"].to_numpy(np.int64).view(np.uint64), found["c"].to_numpy(np.int64)
-    o = np.argsort(h)
-    return [h[o], c[o]]
-
-
-def _frequencies(s: np.ndarray, common: list[np.ndarray]) -> np.ndarray:
-    h, c = common
-    if not len(h):
-        return np.zeros(len(s), np.int64)
-    at = np.minimum(np.searchsorted(h, s), len(h) - 1)
-    return np.where(h[at] == s, c[at], 0)
-
-
 def least_overlap(n: int, similar: int) -> int:
     return -(-n * similar // 100)
 
@@ -102,30 +77,30 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((s >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
 
 
+def _low_end(similar: int) -> np.uint64:
+    return np.uint64(min(1.0, REACH * (100 - similar) / 100) * ((1 << 64) - 2048))
+
+
 def set_table(docs: DataFrame, k: int, similar: int) -> DataFrame:
-    """The columns of docs before its text, n, c (class of equal sets, null for empty ones), c8 (64 bits of it, for lists), sketch, and the prefix: shingles and their frequencies."""
-    spark = docs.sparkSession
-    common = spark.sparkContext.broadcast(frequent(docs, k, similar))  # at most ORDERED pairs
+    """The columns of docs before its text, n, c (class of equal sets, null for empty ones), c8 (64 bits of it, for lists), sketch, and the shingles of the low range."""
     about = [c for c in docs.columns if c != "text"]
+    top = _low_end(similar)
 
     def run(batches):
         for b in batches:
-            n, c, c8, sk, pre, freq = [], [], [], [], [], []
+            n, c, c8, sk, low = [], [], [], [], []
             for _, s in doc_sets(b.column(len(about)), k):
                 n.append(len(s))
                 if not len(s):
-                    c.append(None), c8.append(None), sk.append(None), pre.append(None), freq.append(None)
+                    c.append(None), c8.append(None), sk.append(None), low.append(None)
                     continue
                 c.append(class_of(s))
                 c8.append(int(c[-1][:16], 16) - (1 << 63))
                 sk.append(sketch(s))
-                f = _frequencies(s, common.value)
-                m = len(s) - least_overlap(len(s), similar) + 1
-                o = np.argsort(f, kind="stable")[:m]  # s is sorted by hash
-                pre.append(s[o].view(np.int64)), freq.append(f[o].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(about)], pa.array(n, pa.int64()), pa.array(c, pa.string()), pa.array(c8, pa.int64()), pa.array(sk, pa.list_(pa.int64())), pa.array(pre, pa.list_(pa.int64())), pa.array(freq, pa.list_(pa.int32()))], names=[*about, "n", "c", "c8", "sketch", "prefix", "freq"])
+                low.append(s[: np.searchsorted(s, top)].view(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(about)], pa.array(n, pa.int64()), pa.array(c, pa.string()), pa.array(c8, pa.int64()), pa.array(sk, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int64()))], names=[*about, "n", "c", "c8", "sketch", "low"])
 
-    schema = docs.select(*about).schema.add("n", "long").add("c", "string").add("c8", "long").add("sketch", ArrayType(LongType())).add("prefix", ArrayType(LongType())).add("freq", ArrayType(IntegerType()))
+    schema = docs.select(*about).schema.add("n", "long").add("c", "string").add("c8", "long").add("sketch", ArrayType(LongType())).add("low", ArrayType(LongType()))
     return stored(docs.select(*about, "text").mapInArrow(run, schema), "sets")
 
 
@@ -137,12 +112,64 @@ def class_of(s: np.ndarray) -> str:
     return f"{int(a):016x}{int(b):016x}{len(s):x}"
 
 
-def postings(classes: DataFrame) -> DataFrame:
-    """token, salt (part of a list that is dealt out), n, c (64 bits of the class), pos (place in the prefix)."""
-    entry = F.posexplode(F.arrays_zip(F.col("prefix").alias("prefix"), F.col("freq").alias("freq")))
-    p = classes.select("n", F.col("c8").alias("c"), entry.alias("pos", "e")).select(F.col("e.prefix").alias("token"), F.col("e.freq").alias("freq"), "n", "c", "pos")
-    parts = F.greatest(F.lit(1), F.ceil(F.col("freq") / DEALT)).cast("int")
-    return p.withColumn("salt", F.pmod(F.xxhash64("c"), parts).cast("int"))
+def _again(docs: DataFrame, need: DataFrame, k: int) -> DataFrame:
+    """(c, s) of the classes in need(c, rep): their sets made again from one document each."""
+    reps = need.select("rep").distinct()
+    texts = docs.join(small(reps, reps.count()), docs["doc_id"].eqNullSafe(reps["rep"]), "left_semi").select("text")
+
+    def made(batches):
+        for t in batches:
+            c, s = [], []
+            for _, x in doc_sets(t.column(0), k):
+                if len(x):
+                    c.append(class_of(x)), s.append(x.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()), pa.array(s, pa.list_(pa.int64()))], names=["c", "s"])
+
+    return texts.mapInArrow(made, "c string, s array<bigint>").join(need.select("c").distinct(), "c", "left_semi").dropDuplicates(["c"])
+
+
+def _counted(lists: DataFrame, column: str, label: str) -> DataFrame:
+    """lists(c8, column, ...) with hot: (freq, token) of the frequent shingles in column, counted over all of lists; and rare: the others, in their order."""
+    each = lists.select("c8", F.explode(column).alias("token"))
+    often = stored(each.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).filter(F.col("freq") > LIST), f"{label}_shingles")
+    n = often.count()
+    if not n:
+        return lists.withColumn("hot", F.array().cast("array<struct<freq:bigint,token:bigint>>")).withColumn("rare", F.col(column))
+    hot = stored(each.join(small(often, n), "token").groupBy("c8").agg(F.collect_list(F.struct("freq", "token")).alias("hot")), f"{label}_of_sets")
+    dropped(often)
+    rows, entries = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("hot")), F.lit(0))).first()
+    out = lists.join(small(hot, rows + entries), "c8", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<struct<freq:bigint,token:bigint>>")))
+    return out.withColumn("rare", F.when(F.size("hot") == 0, F.col(column)).otherwise(F.array_except(column, F.col("hot.token"))))
+
+
+def prefixes(classes: DataFrame, docs: DataFrame, k: int, similar: int) -> tuple[DataFrame, DataFrame]:
+    """Prefixes as (c8, n, prefix: array of (token, freq)), freq 0 for rare shingles: those of rare shingles of the low range alone, and the others."""
+    need = (F.col("n") - F.ceil(F.col("n") * similar / 100) + 1).cast("int")
+    entry = lambda tokens: F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(0).cast("long").alias("freq")))
+    marked = stored(_counted(classes.select("c", "c8", "n", "rep", "low"), "low", "frequent").withColumn("done", F.size("rare") >= need).select("c", "c8", "n", "rep", "hot", "done", F.when(F.col("done"), F.slice("rare", 1, need)).otherwise(F.col("rare")).alias("rare")), "marked")
+    short, open_ = marked.filter("done").select("c8", "n", entry(F.col("rare")).alias("prefix")), marked.filter("not done")
+    if open_.isEmpty():
+        return short, short.limit(0)
+    bound = int(np.array([_low_end(similar)]).view(np.int64)[0])
+    sets = _again(docs, open_.select("c", "rep"), k).select("c", F.filter("s", lambda x: _beyond(x, bound)).alias("rest"))
+    sets = stored(open_.select("c", "c8", "n", F.col("rare").alias("rare_low"), F.col("hot").alias("hot_low")).join(sets, "c"), "open_sets")
+    counted = _counted(sets, "rest", "open_frequent")
+    late = F.transform(F.array_sort(F.concat("hot_low", "hot")), lambda x: F.struct(x["token"].alias("token"), x["freq"].alias("freq")))
+    long_ = counted.select("c8", "n", F.slice(F.concat(entry(F.col("rare_low")), entry(F.col("rare")), late), 1, need).alias("prefix"))
+    return short, stored(long_, "open_prefixes")
+
+
+def _beyond(x: Column, bound: int) -> Column:
+    """Whether a hash, unsigned but held as a signed number, is not below bound."""
+    return (x >= bound) | (x < 0) if bound >= 0 else (x >= bound) & (x < 0)
+
+
+def postings(prefixes: DataFrame) -> DataFrame:
+    """token, salt (0: a rare shingle's list; else the part of a list that is dealt out), n, c (64 bits of the class), pos (place in the prefix)."""
+    p = prefixes.select("n", F.col("c8").alias("c"), F.posexplode("prefix").alias("pos", "e"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("e.freq") / DEALT)).cast("int")
+    salt = F.when(F.col("e.freq") > 0, 1 + F.pmod(F.xxhash64("c"), parts)).otherwise(0).cast("int")
+    return p.select(F.col("e.token").alias("token"), salt.alias("salt"), "n", "c", "pos")
 
 
 def _may_link(n1, p1, n2, p2, similar: int):
@@ -150,75 +177,84 @@ def _may_link(n1, p1, n2, p2, similar: int):
     return (100 * np.minimum(n1, n2) >= similar * np.maximum(n1, n2)) & (np.minimum(n1 - p1, n2 - p2) * (100 + similar) >= similar * (n1 + n2))
 
 
+def _block_pairs(starts: np.ndarray, k: int, n: np.ndarray, p: np.ndarray, similar: int):
+    """Pairs of rows of the lists of k sets that begin at starts; blocks that cannot reach the threshold are skipped."""
+    at = starts[:, None] + np.arange(k)[None, :]
+    blocks = [(lo, min(k, lo + BLOCK)) for lo in range(0, k, BLOCK)]
+    room = [(n[at[:, lo:hi]] - p[at[:, lo:hi]]).max(1) for lo, hi in blocks]
+    for x, (lo, hi) in enumerate(blocks):
+        for y, (lo2, hi2) in enumerate(blocks[x:], x):
+            least, most = n[at[:, lo2]], n[at[:, hi - 1]]  # lists go by size
+            may = (x == y) | ((100 * most >= similar * least) & (np.minimum(room[x], room[y]) * (100 + similar) >= similar * (n[at[:, lo]] + least)))
+            i, j = np.triu_indices(hi - lo, 1) if x == y else (g.reshape(-1) for g in np.meshgrid(np.arange(hi - lo), np.arange(hi2 - lo2), indexing="ij"))
+            of = starts[may]
+            for some in range(0, len(of), step := max(1, PAIRS // max(1, len(i)))):
+                first = of[some : some + step, None]
+                yield (first + (lo + i)[None, :]).reshape(-1), (first + (lo2 + j)[None, :]).reshape(-1)
+
+
+def _leader_pairs(start: int, m: int):
+    """Pairs of rows of one long list: each set with leaders of its block, of its neighbours and of blocks farther on, and leaders with the next."""
+    i = np.arange(m)
+    for r in range(LEADERS):
+        yield start + i, start + np.clip((i // LIST) * LIST + (r - 1) * LIST if r < 3 else (i // LIST) * LIST + (r * 17) % LIST, 0, m - 1)
+    lead = np.arange(0, m, LIST)
+    yield start + lead[:-1], start + lead[1:]
+
+
 def candidates(sorted_postings: DataFrame, similar: int) -> DataFrame:
-    """Pairs a, b of classes (64 bits each), and rows with b null: a is the token of a list that needs its second reading."""
-
-    def pairs_of(n, c, p, i, j):
-        keep = (i != j) & _may_link(n[i], p[i], n[j], p[j], similar)
-        i, j = i[keep], j[keep]
-        return [(min(c[x], c[y]), max(c[x], c[y])) for x, y in zip(i, j) if c[x] != c[y]]
-
-    def read(n, c, p):
-        m = len(n)
-        if m <= LIST:
-            i, j = np.triu_indices(m, 1)
-            return pairs_of(n, c, p, i, j)
-        i = np.arange(m)  # sorted by size: the leaders of the block and of its neighbours, and of blocks farther on
-        out = []
-        for r in range(LEADERS):
-            lead = np.clip((i // LIST) * LIST + (r - 1) * LIST if r < 3 else (i // LIST) * LIST + (r * 17) % LIST, 0, m - 1)
-            out += pairs_of(n, c, p, i, lead)
-        lead = np.arange(0, m, LIST)  # leaders among themselves, next to next
-        return out + pairs_of(n, c, p, lead[:-1], lead[1:])
+    """Pairs a, b of classes (64 bits each): all of short lists, those with leaders of long ones."""
+
+    def pairs(cols: list[np.ndarray], starts: np.ndarray):
+        _, _, n, c, p = cols
+        size, found = np.diff(starts), []
+
+        def add(i, j):
+            keep = _may_link(n[i], p[i], n[j], p[j], similar)
+            i, j = i[keep], j[keep]
+            x, y = np.minimum(c[i], c[j]), np.maximum(c[i], c[j])
+            found.append(np.stack([x, y], 1)[x != y])
+
+        for k in np.unique(size[size > 1]).tolist():
+            of = starts[:-1][size == k]
+            if k <= LIST:
+                for i, j in _block_pairs(of, k, n, p, similar):
+                    add(i, j)
+            else:
+                for start in of.tolist():
+                    for i, j in _leader_pairs(start, k):
+                        add(i, j)
+        ab = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        if len(ab):
+            ab = ab[np.lexsort((ab[:, 1], ab[:, 0]))]
+            ab = ab[np.concatenate([[True], (ab[1:] != ab[:-1]).any(1)])]
+        for lo in range(0, len(ab), POSTINGS):
+            yield pa.RecordBatch.from_arrays([pa.array(ab[lo : lo + POSTINGS, 0]), pa.array(ab[lo : lo + POSTINGS, 1])], names=["a", "b"])
 
     def run(batches):
-        seen: set = set()
-        token, salt, n, c, p, mark = None, None, [], [], [], False
-        out_a, out_b = [], []
-
-        def close():
-            if len(n) > 1:
-                for x in read(np.array(n), c, np.array(p)):
-                    if x not in seen:
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        seen.add(x)
-                        out_a.append(x[0]), out_b.append(x[1])
-
+        held, size = [], 0
         for b in batches:
-            t = b.column(0).to_numpy()
-            if len(t) > 2:  # lists of one posting go unread; the batch's ends may go on in its neighbours
-                same = t[1:] == t[:-1]
-                dealt = b.column(1).to_numpy()[1:-1] != 0  # another part of the list may have postings: its token is to be marked
-                b = b.filter(pa.array(np.concatenate([[True], same[1:] | same[:-1] | dealt, [True]])))
-            cols = [b.column(i).to_pylist() for i in range(5)]
-            for t, s, nn, cc, pp in zip(*cols):
-                if (t, s) != (token, salt):
-                    close()
-                    token, salt, n, c, p, mark = t, s, [], [], [], False
-                n.append(nn), c.append(cc), p.append(pp)
-                if len(n) > LIST and not mark or s and len(n) == 1:
-                    mark = True
-                    out_a.append(t), out_b.append(None)
-                if len(n) >= DEALT:  # a longer list goes on in the next piece, joined by its last leader
-                    close()
-                    n, c, p = n[-1:], c[-1:], p[-1:]
-            if len(out_a) > 5_000:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-                out_a, out_b = [], []
-        close()
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+            held.append([b.column(i).to_numpy() for i in range(5)])
+            size += b.num_rows
+            if size >= POSTINGS:
+                cols = [np.concatenate(x) for x in zip(*held)]
+                starts = np.flatnonzero(np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]))
+                yield from pairs(cols, starts)
+                held, size = [[x[starts[-1] :] for x in cols]], 0  # the last list may go on
+        if held:
+            cols = [np.concatenate(x) for x in zip(*held)]
+            if len(cols[0]):
+                starts = np.flatnonzero(np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]))
+                yield from pairs(cols, np.append(starts, len(cols[0])))
 
     return sorted_postings.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFrame:
-    """The pairs of classes that link, by name: first by the sketches' bound, then by the sets, which are made again from one document each."""
-    spark = docs.sparkSession
-    info = classes.select("c", "c8", "n", "sketch", "rep")
-    A, B = info.select(*[F.col(x).alias(f"a_{x}") for x in info.columns]), info.select(*[F.col(x).alias(f"b_{x}") for x in info.columns])
-    both = pairs.join(A, F.col("a") == F.col("a_c8")).join(B, F.col("b") == F.col("b_c8")).select(F.col("a_c").alias("a"), F.col("b_c").alias("b"), "a_n", "b_n", "a_sketch", "b_sketch", "a_rep", "b_rep")
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFrame | None:
+    """The pairs of classes that link, by name: first by the sketches' bound, then by the sets, which are made again from one document each. None if the bound leaves none."""
+    info = classes.select("c8", "n", "sketch")
+    A, B = (info.select(*[F.col(x).alias(f"{e}_{x}") for x in info.columns]) for e in "ab")
+    both = pairs.join(A, F.col("a") == F.col("a_c8")).join(B, F.col("b") == F.col("b_c8")).select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch")
 
     def bound(batches):
         for t in batches:
@@ -227,25 +263,21 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, simi
             n = t.column(2).to_numpy() + t.column(3).to_numpy()
             x, y = (t.column(i).flatten().to_numpy().view(np.uint64).reshape(t.num_rows, -1) for i in (4, 5))
             differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-            yield t.filter(pa.array(100 * (n - differ) >= similar * (n + differ)))  # the intersection is (n - d) / 2, the union (n + d) / 2
-
-    left = stored(both.mapInArrow(bound, both.schema).select("a", "b", "a_rep", "b_rep"), "pairs")
-    if not left.count():
-        return left.select("a", "b")
-    reps = left.select(F.col("a_rep").alias("rep")).union(left.select("b_rep")).distinct()
-    need = left.select(F.col("a").alias("c")).union(left.select("b")).distinct()
-    texts = docs.join(small(reps, reps.count()), docs["doc_id"].eqNullSafe(reps["rep"]), "left_semi").select("text")
-
-    def again(batches):
-        for t in batches:
-            c, s = [], []
-            for _, x in doc_sets(t.column(0), k):
-                if len(x):
-                    c.append(class_of(x)), s.append(x.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()), pa.array(s, pa.list_(pa.int64()))], names=["c", "s"])
+            yield t.select(["a", "b"]).filter(pa.array(100 * (n - differ) >= similar * (n + differ)))  # the intersection is (n - d) / 2, the union (n + d) / 2
 
-    sets = texts.mapInArrow(again, "c string, s array<bigint>").join(need, "c", "left_semi").dropDuplicates(["c"])
-    sets = stored(sets, "members")
+    spark = docs.sparkSession
+    bound_batches(spark, POSTINGS)
+    near = stored(both.mapInArrow(bound, "a long, b long"), "near")
+    bound_batches(spark)
+    if near.isEmpty():
+        dropped(near)
+        return None
+    names = classes.select("c8", "c", "rep")
+    A, B = (names.select(*[F.col(x).alias(f"{e}_{x}") for x in names.columns]) for e in "ab")
+    left = near.distinct().join(A, F.col("a") == F.col("a_c8")).join(B, F.col("b") == F.col("b_c8"))
+    left = stored(left.select(F.col("a_c").alias("a"), F.col("b_c").alias("b"), "a_rep", "b_rep"), "pairs")
+    need = left.select(F.col("a").alias("c"), F.col("a_rep").alias("rep")).union(left.select("b", "b_rep"))
+    sets = stored(_again(docs, need, k), "members")
     sa, sb = sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), sets.select(F.col("c").alias("b"), F.col("s").alias("sb"))
 
     def exact(batches):
@@ -259,7 +291,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, simi
 
     out = left.select("a", "b").join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb")
     done = stored(out.mapInArrow(exact, "a string, b string"), "links")
-    dropped(sets), dropped(left)
+    dropped(sets, left, near)
     return done
 
 
@@ -271,65 +303,97 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = stored(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     named = None
-    while edges.count():
+    while not edges.isEmpty():
         jump = stored(edges.groupBy(F.col("v").alias("c")).agg(F.min("u").alias("label")), "labels")
-        changed = 1
-        while changed:  # to the end of each chain
+        while True:  # to the end of each chain
             on = jump.select(F.col("c").alias("label"), F.col("label").alias("_next"))
-            after = stored(jump.join(on, "label", "left").select("c", "label", F.coalesce("_next", "label").alias("next")), "labels")
-            changed = after.filter("label <> next").count()
+            after = stored(jump.join(on, "label", "left").select("c", F.coalesce("_next", "label").alias("label"), F.col("_next").isNotNull().alias("moved")), "labels")
             dropped(jump)
-            jump = after.select("c", F.col("next").alias("label"))
-        to = lambda end: jump.select(F.col("c").alias(end), F.col("label").alias(f"{end}_to"))
+            jump = after
+            if jump.filter("moved").isEmpty():
+                break
+            jump = after.select("c", "label")
+            jump.stored_at = after.stored_at
+        jump_ = jump.select("c", "label")
+        to = lambda end: jump_.select(F.col("c").alias(end), F.col("label").alias(f"{end}_to"))
         moved = edges.join(to("u"), "u", "left").join(to("v"), "v", "left").select(F.coalesce("u_to", "u").alias("u"), F.coalesce("v_to", "v").alias("v"))
         rest = stored(moved.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
         if named is None:
-            named = jump
+            named = jump_
         else:
-            on = jump.select(F.col("c").alias("label"), F.col("label").alias("_next"))
-            named = stored(named.join(on, "label", "left").select("c", F.coalesce("_next", "label").alias("label")).unionByName(jump), "labels")
+            on = jump_.select(F.col("c").alias("label"), F.col("label").alias("_next"))
+            named = stored(named.join(on, "label", "left").select("c", F.coalesce("_next", "label").alias("label")).unionByName(jump_), "labels")
         dropped(edges)
         edges = rest
+    dropped(edges)
     return links.select(F.col("a").alias("c"), F.col("b").alias("label")).limit(0) if named is None else named
 
 
-def second_reading(post: DataFrame, tokens: DataFrame, classes: DataFrame, comps: DataFrame, similar: int) -> DataFrame:
-    """Pairs (a, b) across components from the lists named by tokens: all that sizes, places and sketches allow."""
-    p = post.join(small(tokens, tokens.count()), "token").select("token", "n", "c", "pos")
+def _differ(x: Column, y: Column) -> Column:
+    """Bits in which two sketches differ."""
+    return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+
+
+def across(hot: DataFrame, classes: DataFrame, comps: DataFrame, similar: int) -> DataFrame:
+    """Pairs (a, b) across components from the lists of frequent shingles: all that sizes, places and sketches allow.
+
+    The sets of a list, component, size band and place band are a group behind its least set, with a radius in bits of
+    the sketch. The sketches' distance is a metric, so groups whose leaders are farther apart than the threshold and
+    both radii allow have no link across.
+    """
+    prefix = (F.col("n") - F.ceil(F.col("n") * similar / 100) + 1).cast("int")
     about = classes.join(comps, "c", "left").select(F.col("c8").alias("c"), "sketch", F.coalesce("label", "c").alias("label"))
-    p = p.join(about, "c").select("token", "n", "c", "pos", "label", "sketch")
-    p = stored(p, "long_lists")
-    mixed = p.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
-    p = p.join(mixed, "token", "left_semi")
-    x, y = (p.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("n", "c", "pos", "label", "sketch")]) for s in "xy")
-    size = (F.col("x_n") <= F.col("y_n")) & (100 * F.col("x_n") >= similar * F.col("y_n"))
+    p = hot.select("token", "n", "c", "pos", F.floor(F.log("n") / log(100 / similar)).cast("int").alias("band"), F.floor(PLACES * F.col("pos") / prefix).cast("int").alias("place"))
+    p = stored(p.join(about, "c"), "long_lists")
+    mixed = stored(p.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token"), "mixed_lists")
+    p = p.join(small(mixed, mixed.count()), "token", "left_semi")
+    keys = ["token", "band", "place", "label"]
+    groups = stored(p.groupBy(*keys).agg(F.min(F.struct("c", "sketch")).alias("lead"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max(F.col("n") - F.col("pos")).alias("room")), "leads")
+    radius = p.join(groups.select(*keys, "lead"), keys).groupBy(*keys).agg(F.max(_differ(F.col("sketch"), F.col("lead.sketch"))).alias("radius"))
+    groups = stored(groups.join(radius, keys), "groups")
+    x = groups.select(*[F.col(c).alias(f"x_{c}") for c in groups.columns]).withColumn("y_band", F.explode(F.array(*[F.col("x_band") + i for i in (-1, 0, 1)])))
+    y = groups.select(*[F.col(c).alias(f"y_{c}") for c in groups.columns]).withColumn("x_token", F.col("y_token"))
+    sizes = (100 * F.col("x_n_hi") >= similar * F.col("y_n_lo")) & (100 * F.col("y_n_hi") >= similar * F.col("x_n_lo"))
+    places = F.least("x_room", "y_room") * (100 + similar) >= similar * (F.col("x_n_lo") + F.col("y_n_lo"))
+    reach = (_differ(F.col("x_lead.sketch"), F.col("y_lead.sketch")) - F.col("x_radius") - F.col("y_radius")) * (100 + similar) <= (100 - similar) * (F.col("x_n_hi") + F.col("y_n_hi"))
+    met = x.join(y, ["x_token", "y_band"]).filter((F.col("x_label") < F.col("y_label")) & sizes & places & reach)
+    met = stored(met.select("x_token", *[f"{e}_{c}" for e in "xy" for c in ("band", "place", "label")]), "near_groups")
+    member = lambda e: p.select(F.col("token").alias("x_token"), *[F.col(c).alias(f"{e}_{c}") for c in ("band", "place", "label", "n", "c", "pos", "sketch")])
+    both = met.join(member("x"), ["x_token", "x_band", "x_place", "x_label"]).join(member("y"), ["x_token", "y_band", "y_place", "y_label"])
+    size = (100 * F.least("x_n", "y_n") >= similar * F.greatest("x_n", "y_n"))
     place = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) * (100 + similar) >= similar * (F.col("x_n") + F.col("y_n"))
-    differ = sum((F.bit_count(F.get("x_sketch", F.lit(i)).bitwiseXOR(F.get("y_sketch", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    differ = _differ(F.col("x_sketch"), F.col("y_sketch"))
     near = 100 * (F.col("x_n") + F.col("y_n") - differ) >= similar * (F.col("x_n") + F.col("y_n") + differ)
-    pairs = x.join(y, "token").filter((F.col("x_label") != F.col("y_label")) & size & place & near & ((F.col("x_n") < F.col("y_n")) | (F.col("x_c") < F.col("y_c"))))
-    return pairs.select(F.least("x_c", "y_c").alias("a"), F.greatest("x_c", "y_c").alias("b")).distinct()
+    return both.filter(size & place & near).select(F.least("x_c", "y_c").alias("a"), F.greatest("x_c", "y_c").alias("b")).distinct()
 
 
 def _joined(docs: DataFrame, k: int, similar: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets of docs, whose columns are doc_id, others and text; c, label and component_id of the classes that share their component; links)."""
+    spark = docs.sparkSession
     sets = set_table(docs, k, similar)
     filled = sets.filter("c is not null")
     copies = stored(filled.groupBy("c").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("docs")).filter("docs > 1"), "copies")
     n_copies = copies.count()
-    about = ["c8", "n", "sketch", "prefix", "freq"]
+    about = ["c8", "n", "sketch", "low"]
     alone = filled.join(small(copies.select("c"), n_copies), "c", "left_anti").select("c", *about, F.col("doc_id").alias("rep"), F.lit(1).cast("long").alias("docs"))
     several = filled.join(small(copies, n_copies), "c").groupBy("c").agg(*[F.first(x).alias(x) for x in (*about, "rep", "docs")])  # a row a class and task
-    classes = alone.unionByName(stored(several, "classes"))  # those of one document are read from the sets each time
-    post = postings(classes)
-    dealt = post.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "c").select("token", "salt", "n", "c", "pos")
+    classes = stored(alone.unionByName(several), "classes")
+    short, long_ = prefixes(classes, docs, k, similar)
+    post = postings(short).unionByName(postings(long_))
+    dealt = post.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "pos")
+    bound_batches(spark, POSTINGS)
     found = stored(candidates(dealt, similar), "candidates")
-    links = verified(found.filter("b is not null").distinct(), classes, docs, k, similar)
+    bound_batches(spark)
+    links = verified(found.distinct(), classes, docs, k, similar)
+    links = spark.createDataFrame([], "a string, b string") if links is None else links
+    dropped(found)
     comps = components(links)
-    tokens = stored(found.filter("b is null").select(F.col("a").alias("token")).distinct(), "tokens")
-    if tokens.count():
-        more = stored(second_reading(post, tokens, classes, comps, similar), "candidates")
-        links = links.union(verified(more, classes, docs, k, similar))
-        comps = components(links)
+    hot = postings(long_).filter("salt > 0")
+    if not hot.isEmpty():
+        more = verified(stored(across(hot, classes, comps, similar), "candidates"), classes, docs, k, similar)
+        if more is not None:
+            links = links.union(more)
+            comps = components(links)
     named = classes.select("c", "rep", "docs").join(comps, "c", "left").withColumn("label", F.coalesce("label", "c"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"), F.sum("docs").alias("of"))
     return sets, stored(named.join(least, "label").filter("of > 1").select("c", "label", "component_id"), "named"), links

@@ -176,8 +176,9 @@ def test_stages_judge_rows_not_ids(spark):
 
 
 def test_lone_postings_of_dealt_lists(spark, monkeypatch):
-    """Two linked classes of many copies, each alone in its part of every list that they share."""
-    monkeypatch.setattr(J, "_frequencies", lambda s, common: J.np.full(len(s), 100_000))
+    """Every shingle in two sets counts as frequent, and each set is alone in its part of every list."""
+    monkeypatch.setattr(J, "LIST", 1)
+    monkeypatch.setattr(J, "DEALT", 1)
     rows = []
     for g in range(40):
         w = [f"g{g}w{i}" for i in range(11)]
@@ -189,3 +190,44 @@ def test_lone_postings_of_dealt_lists(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == brute(rows, 4, 85)
+
+
+def test_random_near_copies(spark, monkeypatch):
+    """Clusters that share passages, at thresholds around theirs: lists, ranges and groups of every kind."""
+    for least, seed in ((1, 1), (3, 2), (64, 3)):
+        monkeypatch.setattr(J, "LIST", least)
+        monkeypatch.setattr(J, "BLOCK", 2)
+        monkeypatch.setattr(J, "DEALT", 8)
+        monkeypatch.setattr(J, "REACH", 0.7)
+        r = random.Random(seed)
+        passage = [f"p{i}" for i in range(60)]
+        bases = [passage[: r.randrange(0, 60)] + [f"b{j}w{i}" for i in range(r.randrange(8, 60))] for j in range(8)]
+        rows = []
+        for i in range(150):
+            w = list(r.choice(bases))
+            for _ in range(r.randrange(0, 3)):
+                w[r.randrange(len(w))] = f"x{r.randrange(99)}"
+            rows.append((i, " ".join(w)))
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        for k, similar in ((3, 75), (1, 90)):
+            assert sorted(map(tuple, J.jaccard_report(df, k=k, similar=similar).collect()), key=str) == brute(rows, k, similar)
+
+
+def test_boilerplate_makes_no_pairs(spark):
+    """Documents of 100 shared and 30 own words: no prefix holds what they share, so no pair is formed."""
+    shared = [f"s{i}" for i in range(100)]
+    rows = [(i, " ".join(shared + [f"o{i}w{j}" for j in range(30)])) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = J.set_table(docs, 4, 85)
+    classes = sets.withColumnRenamed("doc_id", "rep")
+    short, long_ = J.prefixes(classes, docs, 4, 85)
+    assert short.count() + long_.count() == 1500
+    post = J.postings(short).unionByName(J.postings(long_))
+    assert post.filter("salt > 0").count() == 0 and post.groupBy("token").count().filter("count > 1").count() == 0
+
+
+def test_long_words_are_told_apart(spark):
+    a, b = "a" + "x" * 4095 + "b", "b" + "x" * 4095 + "a"
+    rows = [(1, a), (2, b), (3, a.upper()), (4, "u v w " + a), (5, "u v w " + b)]
+    got = J.jaccard_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 1, 4), (5, 1, 5)]
