@@ -7,7 +7,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siftline.functions import parsers as P, text as T, vocabulary as V
+from siftline.functions import dates as D, places as P, text as T, vocabulary as V
 
 
 @dataclass(frozen=True)
@@ -68,9 +68,9 @@ def evaluate(jobs: DataFrame, profile: Profile, today: date, requirements: DataF
     label = F.coalesce("seniority_raw", F.lit(""))
     bad_label = (label != "") & ~T.found(label, keep_level) & (T.found(label, drop_level) | T.found(label, drop_label))
     seniority = F.when(T.found(title, keep_level), "kept_by_title").when(T.found(title, drop_level), "excluded_by_title").when(bad_label, "excluded_by_label").otherwise("unlabeled")
-    df = df.withColumn("_years", P.years_required(text)).withColumn("_deadline", P.find_deadline(text, today))
-    df = df.withColumn("_region0", P.remote_region(F.concat_ws(" ", "remote_region", "location_raw"))).withColumn("_region1", P.remote_region(F.col("description")))
-    df = df.withColumn("_seniority", seniority).withColumn("_region", F.when((F.col("_region0") == "unknown") & (F.col("remote") == "remote"), F.col("_region1")).otherwise(F.col("_region0")))
+    df = df.withColumn("_years", D.years_required(text)).withColumn("_deadline", D.find_deadline(text, today))
+    df = df.withColumn("_seniority", seniority).withColumn("_region0", P.remote_region(F.concat_ws(" ", "remote_region", "location_raw")))
+    df = df.withColumn("_region", F.when((F.col("_region0") == "unknown") & (F.col("remote") == "remote"), F.coalesce(P.remote_region(F.col("description")), F.lit("unknown"))).otherwise(F.col("_region0")))
     level = F.when(F.col("_seniority") == "excluded_by_title", F.concat(F.lit("title level excluded by profile: "), _quoted(title))).when(F.col("_seniority") == "excluded_by_label", F.concat(F.lit("seniority label "), _quoted(label), F.lit(" excluded by profile")))
     years, kept_level = F.col("_years"), F.col("_seniority") == "kept_by_title"
     many = F.when((years > profile.max_years_review) & ~kept_level, F.format_string("asks for %d+ years of experience", years))

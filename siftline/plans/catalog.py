@@ -9,7 +9,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from siftline.functions import language as L, parsers as P, text as T, vocabulary as V
+from siftline.functions import dates as DT, language as L, parsers as P, places as G, text as T, vocabulary as V
 from siftline.operators import audit as A, dedupe as D, facets as C, ordering as O, rules as R, scorer as X, scoring as S, state as K
 from siftline.streaming import state as ST
 
@@ -588,7 +588,7 @@ _PLACES = ["Remote, US only", "Anywhere in Europe", "Worldwide", "Must be locate
 @query("SELECT p_partkey, CASE " + " ".join(f"WHEN regexp_matches(r, '{p}') THEN '{n}'" for p, n in ((V.REMOTE_US, "us_only"), (V.REMOTE_EU, "europe"), (V.REMOTE_WORLD, "worldwide"))) + " ELSE 'unknown' END AS region FROM part JOIN (VALUES " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(_PLACES)) + f") v(i, r) ON p_partkey % {len(_PLACES)} = i")
 def remote_region(spark, sf):
     v = spark.createDataFrame(list(enumerate(_PLACES)), "i int, r string")
-    return Tables(spark, sf).part.join(F.broadcast(v), F.col("p_partkey") % len(_PLACES) == F.col("i")).select("p_partkey", T.remote_region(F.col("r")).alias("region"))
+    return Tables(spark, sf).part.join(F.broadcast(v), F.col("p_partkey") % len(_PLACES) == F.col("i")).select("p_partkey", G.remote_region(F.col("r")).alias("region"))
 
 
 @query("SELECT conv_id, string_agg(role || ': ' || substr(text, 1, 20), ' / ' ORDER BY turn) AS history FROM conversations GROUP BY conv_id")
@@ -643,7 +643,7 @@ def deadline_extract(spark, sf):
     said = ["Application deadline: 13 September 2024", "apply via our portal by 26/10/2024", "Bewerbungsfrist: 1. März", "a deadline-driven team", "closing date 2024-12-31."]
     v = spark.createDataFrame(list(enumerate(said)), "i int, s string")
     d = Tables(spark, sf).documents.select("doc_id", "text").join(F.broadcast(v), F.col("doc_id") % len(said) == F.col("i"))
-    return d.select("doc_id", P.find_deadline(F.concat_ws("\n", "text", "s"), date(2024, 9, 1)).cast("string").alias("deadline"))
+    return d.select("doc_id", DT.find_deadline(F.concat_ws("\n", "text", "s"), date(2024, 9, 1)).cast("string").alias("deadline"))
 
 
 @query()
@@ -651,7 +651,7 @@ def country_guess(spark, sf):
     said = ["Helsinki, Finland", "Birmingham, AL", "Amsterdam, NH, NL", "Milano, MI", "Berlin, DEU", "Remote", "Atlanta, Georgia, USA"]
     v = spark.createDataFrame(list(enumerate(said)), "i int, s string")
     n = Tables(spark, sf).supplier.join(F.broadcast(v), F.col("s_suppkey") % len(said) == F.col("i"))
-    return n.select("s_suppkey", P.guess_country(F.col("s")).alias("country"))
+    return n.select("s_suppkey", G.guess_country(F.col("s")).alias("country"))
 
 
 @query()

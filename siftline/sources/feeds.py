@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from siftline.functions import parsers as P, text as T
+from siftline.functions import dates as D, parsers as P, places as G, text as T
 from siftline.sources.connector import Adapter, path, postings, records, register
 
 
@@ -50,7 +50,7 @@ def salary(low: Column, high: Column, currency: Column, period: Column | None =
 def region_country(region: Column) -> Column:
     """The country of a region text if all its parts name the same one."""
     parts = F.filter(F.split(region, r"\s*[,;/]\s*"), lambda x: x != "")
-    return F.when(F.size(parts) == 1, P.guess_country(region)).otherwise(P.guess_country(F.when(F.size(F.array_distinct(parts)) == 1, F.element_at(parts, 1))))
+    return F.when(F.size(parts) == 1, G.guess_country(region)).otherwise(G.guess_country(F.when(F.size(F.array_distinct(parts)) == 1, F.element_at(parts, 1))))
 
 
 def languages_line(value: Column, name: str = "code", level: str = "level") -> Column:
@@ -78,7 +78,7 @@ def json_feed(name: str, at: str, *, fields: dict[str, str], tags: str | None =
         if html and "description" in get:
             get["description"] = P.clean_description(get["description"])
         place = get.get("location_raw", F.lit(None).cast("string"))
-        get.setdefault("country", P.guess_country(place))
+        get.setdefault("country", G.guess_country(place))
         flag = path(F.col("record"), remote_flag, "boolean") if remote_flag else F.lit(None).cast("boolean")
         get.setdefault("remote", T.remote_kind(F.concat_ws(" ", get["title"], place), flag))
         if tags:
@@ -106,7 +106,7 @@ def parse_dimension(pages: DataFrame, places: DataFrame, default_country: str =
         v = v.join(F.broadcast(dim), kind, "left")
     return postings(
         v, "dimension", source_id=path(F.col("record"), "$.id"), title=path(F.col("record"), "$.positionTitle"), company=path(F.col("record"), "$.employerName"), city=F.col("town_name"),
-        location_raw=F.concat_ws(", ", "town_name", "county_name", "country_name"), country=F.coalesce(P.guess_country(F.col("country_name")), F.lit(default_country)),
+        location_raw=F.concat_ws(", ", "town_name", "county_name", "country_name"), country=F.coalesce(G.guess_country(F.col("country_name")), F.lit(default_country)),
         salary_text=salary(path(F.col("record"), "$.salaryFrom", "double"), path(F.col("record"), "$.salaryTo", "double"), F.lit("EUR")), posted_at=when(path(F.col("record"), "$.publishDate")),
     )
 
@@ -141,7 +141,7 @@ def parse_rss(pages: DataFrame) -> DataFrame:
     i = rss_items(pages)
     company, title = split_title(F.col("title"))
     skills = F.transform(F.split(F.coalesce("skills", F.lit("")), ","), lambda s: F.regexp_replace(F.trim(s), "^and ", ""))
-    return postings(i, "rss", source_id=F.coalesce("guid", "link"), url=F.col("link"), title=title, company=company, description=P.clean_description(F.col("description")), location_raw=F.col("region"), remote_region=F.col("region"), remote=F.lit("remote"), tags=F.filter(skills, lambda s: s != ""), posted_at=P.parse_date(F.col("date"))).dropDuplicates(["url"])
+    return postings(i, "rss", source_id=F.coalesce("guid", "link"), url=F.col("link"), title=title, company=company, description=P.clean_description(F.col("description")), location_raw=F.col("region"), remote_region=F.col("region"), remote=F.lit("remote"), tags=F.filter(skills, lambda s: s != ""), posted_at=D.parse_date(F.col("date"))).dropDuplicates(["url"])
 
 
 register(Adapter("rss", parse_rss, "RSS items with 'Company: Title'", complete_listing=True))
@@ -202,7 +202,7 @@ def parse_json_ld(pages: DataFrame) -> DataFrame:
     place = F.concat_ws(", ", F.coalesce(g("$.jobLocation.address.addressLocality"), g("$.jobLocation[0].address.addressLocality")), F.coalesce(g("$.jobLocation.address.addressCountry"), g("$.jobLocation[0].address.addressCountry")))
     return postings(
         n, "jsonld", source_id=F.coalesce(g("$.identifier.value"), g("$.identifier"), F.col("url")), url=F.col("url"), title=g("$.title"), company=F.coalesce(g("$.hiringOrganization.name"), g("$.hiringOrganization")), description=P.clean_description(g("$.description")), location_raw=place,
-        city=F.coalesce(g("$.jobLocation.address.addressLocality"), g("$.jobLocation[0].address.addressLocality")), country=P.guess_country(place), employment_type=g("$.employmentType"), salary_text=base_salary(F.col("n")), posted_at=P.parse_date(g("$.datePosted")), remote=F.when(g("$.jobLocationType") == "TELECOMMUTE", "remote"),
+        city=F.coalesce(g("$.jobLocation.address.addressLocality"), g("$.jobLocation[0].address.addressLocality")), country=G.guess_country(place), employment_type=g("$.employmentType"), salary_text=base_salary(F.col("n")), posted_at=D.parse_date(g("$.datePosted")), remote=F.when(g("$.jobLocationType") == "TELECOMMUTE", "remote"),
     )
 
 

@@ -3,7 +3,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.functions import parsers as P, text as T
+from siftline.functions import dates as D, parsers as P, places as G, text as T
 
 
 def values(spark, rows, column):
@@ -34,36 +34,42 @@ def test_stacks(spark, text, tags):
 @pytest.mark.parametrize("text,day", [
     ("Application deadline: 13 September 2026", "2026-09-13"), ("apply via our portal by 26/10/2026", "2026-10-26"), ("Bewerbungsfrist: 1. März", "2027-03-01"), ("closing date September 13th", "2026-09-13"), ("deadline-driven", None),
     ("deadline 31.2.2026 or 1.3.2027", "2027-03-01"), ("deadline soon. Founded 2026-10-10", None), ("hakuaika päättyy 13. syyskuuta", "2026-09-13"), ("deadline 2019-01-01", None), (None, None), ("deadline 20 August", "2026-08-20")])
-def test_deadline(text, day):
-    out = P.deadline_in(text, date(2026, 9, 1))
-    assert (out and out.isoformat()) == day
+def test_deadline(spark, text, day):
+    assert values(spark, [text], lambda x: D.find_deadline(x, date(2026, 9, 1)).cast("string")) == [day]
 
 
 @pytest.mark.parametrize("text,code", [
-    ("Helsinki, Finland", "FI"), ("Birmingham, AL", "US"), ("Amsterdam, NH, NL", "NL"), ("Milano, MI", "IT"), ("Berlin, DEU", "DE"), ("Somewhere", None), ("Atlanta, Georgia, USA", "US"), ("UK", "GB"), ("Utrecht, NL, 3584 AB", "NL"), ("Toronto, ON", "CA"), ("X | Tallinn", "EE"), (None, None)])
-def test_country(text, code):
-    assert P.country_in(text) == code
+    ("Helsinki, Finland", "FI"), ("Birmingham, AL", "US"), ("Amsterdam, NH, NL", "NL"), ("Milano, MI", "IT"), ("Berlin, DEU", "DE"), ("Somewhere", None), ("Atlanta, Georgia, USA", "US"), ("UK", "GB"), ("Utrecht, NL, 3584 AB", "NL"), ("Toronto, ON", "CA"), ("X | Tallinn", "EE"), (None, None),
+    ("Rome, GA", "IT"), ("Dublin, CA", "IE"), ("Bristol, CT", "US"), ("Nicosia, CY", "CY"), ("Valletta, MLT", "MT"), ("Beijing", "CN"), ("Seoul, South Korea", "KR"), ("O'Fallon, Missouri", "US"), ("can we", None), ("Cambridge, MA", "US"), ("Paris, Texas", "US"), ("São Paulo", "BR"), ("Bad Homburg", "DE"), ("", None), ("Mexico City | Austin", "MX")])
+def test_country(spark, text, code):
+    assert values(spark, [text], G.guess_country) == [code]
 
 
-@pytest.mark.parametrize("text,years", [("Minimum 5 years of engineering experience, 1 year of experience with X", 5), ("1-3 years experience", 1), ("founded 10 years ago", None), ("25 years of experience", None), (None, None)])
-def test_years(text, years):
-    assert P.years_in(text) == years
+@pytest.mark.parametrize("text,years", [("Minimum 5 years of engineering experience, 1 year of experience with X", 5), ("1-3 years experience", 1), ("founded 10 years ago", None), ("25 years of experience", None), (None, None), ("experience" + " " * 70 + "4 years", 4), ("experience" + " " * 90 + "4 years", None), ("7 years old. " + "x" * 90 + " 2 years of working", 2), ("3 years" + "x" * 200 + "5 years" + " " * 60 + "background", 5)])
+def test_years(spark, text, years):
+    assert values(spark, [text], D.years_required) == [years]
 
 
-@pytest.mark.parametrize("text,region", [("US only", "us_only"), ("anywhere in Europe", "europe"), ("Worldwide", "worldwide"), ("Israel only", "country_only:IL"), ("", "unknown"), ("home", "unknown")])
-def test_region(text, region):
-    assert P.remote_region_in(text) == region
+@pytest.mark.parametrize("text,region", [("US only", "us_only"), ("anywhere in Europe", "europe"), ("Worldwide", "worldwide"), ("Israel only", "country_only:IL"), ("", "unknown"), ("home", "unknown"), ("Nowhere only", "unknown")])
+def test_region(spark, text, region):
+    assert values(spark, [text], G.remote_region) == [region]
 
 
-def test_html():
+def test_html(spark):
     assert P.text_of_html("<p>a <b>b</b></p><script>x</script><ul><li>c<li>d</ul>&amp;") == "a b\nc\nd\n&"
-    assert P.prose("<p>...</p>") is None and P.prose("a{color:red} b{margin:0} " * 20) is None and P.prose("<p>" + "real words " * 9 + "</p>").startswith("real")
+    got = values(spark, ["<p>...</p>", "a{color:red} b{margin:0} " * 20, "<p>" + "real words " * 9 + "</p>", " plain words of a body that are long enough to be read ", None], P.clean_description)
+    assert got == [None, None, ("real words " * 9).strip(), "plain words of a body that are long enough to be read", None]
 
 
-@pytest.mark.parametrize("value,iso", [("2024-01-02T03:04:05Z", "2024-01-02T03:04:05+00:00"), ("1704164645", "2024-01-02T03:04:05+00:00"), ("1704164645000", "2024-01-02T03:04:05+00:00"), ("Tue, 02 Jan 2024 03:04:05 +0000", "2024-01-02T03:04:05+00:00"), ("2.1.2024", "2024-01-02T00:00:00+00:00"), ("?", None), (None, None)])
-def test_moment(value, iso):
-    out = P.moment(value)
-    assert (out and out.isoformat()) == iso
+@pytest.mark.parametrize("value,iso", [("2024-01-02T03:04:05Z", "2024-01-02T03:04:05+00:00"), ("1704164645", "2024-01-02T03:04:05+00:00"), ("1704164645000", "2024-01-02T03:04:05+00:00"), ("Tue, 02 Jan 2024 03:04:05 +0000", "2024-01-02T03:04:05+00:00"), ("2.1.2024", "2024-01-02T00:00:00+00:00"), ("?", None), (None, None),
+    ("2 Jan 2024 05:04:05 +0200", "2024-01-02T03:04:05+00:00"), ("Tue, 2 Jan 2024 03:04:05 GMT", "2024-01-02T03:04:05+00:00"), ("2024-01-02", "2024-01-02T00:00:00+00:00"), ("2 de janeiro de 2024", "2024-01-02T00:00:00+00:00"), ("02-01-2024", "2024-01-02T00:00:00+00:00")])
+def test_moment(spark, value, iso):
+    assert values(spark, [value], lambda x: F.date_format(D.parse_date(x), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")) == [iso]
+
+
+@pytest.mark.parametrize("text,day", [("3 days ago", "2026-08-29"), ("Yesterday", "2026-08-31"), ("há 2 semanas", "2026-08-18"), ("30+ days ago", "2026-08-02"), ("hoje", "2026-09-01"), ("5 hours ago", "2026-09-01"), ("a month ago", "2026-08-02"), ("soon", None), (None, None)])
+def test_relative_day(spark, text, day):
+    assert values(spark, [text], lambda x: D.relative_day(x, date(2026, 9, 1)).cast("string")) == [day]
 
 
 def test_evergreen(spark):
