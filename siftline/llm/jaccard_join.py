@@ -45,9 +45,11 @@ LIST, BLOCK = 64, 16
 #: A frequent shingle's list is dealt to tasks of about so many sets, where each set is read against LEADERS leaders.
 DEALT, LEADERS = 4_096, 6
 #: Bits of the parity sketch that bounds the difference of two sets from below.
-SKETCH = 512
+SKETCH = 2_048
 #: Postings that a task handles at a time, and pairs formed at once.
 POSTINGS, PAIRS = 1 << 16, 1 << 20
+#: Pairs of numbers (16 bytes) that may be broadcast.
+NUMBERS = 500_000
 #: Bands of places in the prefix.
 PLACES = 4
 
@@ -135,10 +137,10 @@ def _counted(lists: DataFrame, column: str, label: str) -> DataFrame:
     n = often.count()
     if not n:
         return lists.withColumn("hot", F.array().cast("array<struct<freq:bigint,token:bigint>>")).withColumn("rare", F.col(column))
-    hot = stored(each.join(small(often, n), "token").groupBy("c8").agg(F.collect_list(F.struct("freq", "token")).alias("hot")), f"{label}_of_sets")
+    hot = stored(each.join(small(often, n, NUMBERS), "token").groupBy("c8").agg(F.collect_list(F.struct("freq", "token")).alias("hot")), f"{label}_of_sets")
     dropped(often)
     rows, entries = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("hot")), F.lit(0))).first()
-    out = lists.join(small(hot, rows + entries), "c8", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<struct<freq:bigint,token:bigint>>")))
+    out = lists.join(small(hot, rows + entries, NUMBERS), "c8", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<struct<freq:bigint,token:bigint>>")))
     return out.withColumn("rare", F.when(F.size("hot") == 0, F.col(column)).otherwise(F.array_except(column, F.col("hot.token"))))
 
 
@@ -250,8 +252,9 @@ def candidates(sorted_postings: DataFrame, similar: int) -> DataFrame:
     return sorted_postings.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFrame | None:
-    """The pairs of classes that link, by name: first by the sketches' bound, then by the sets, which are made again from one document each. None if the bound leaves none."""
+def bounded(pairs: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
+    """The pairs whose sketches do not rule the threshold out, by name, with a document of each: a, b, a_rep, b_rep."""
+    spark = pairs.sparkSession
     info = classes.select("c8", "n", "sketch")
     A, B = (info.select(*[F.col(x).alias(f"{e}_{x}") for x in info.columns]) for e in "ab")
     both = pairs.join(A, F.col("a") == F.col("a_c8")).join(B, F.col("b") == F.col("b_c8")).select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch")
@@ -265,22 +268,24 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, simi
             differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
             yield t.select(["a", "b"]).filter(pa.array(100 * (n - differ) >= similar * (n + differ)))  # the intersection is (n - d) / 2, the union (n + d) / 2
 
-    spark = docs.sparkSession
     bound_batches(spark, POSTINGS)
     near = stored(both.mapInArrow(bound, "a long, b long"), "near")
     bound_batches(spark)
-    if near.isEmpty():
-        dropped(near)
-        return None
     names = classes.select("c8", "c", "rep")
     A, B = (names.select(*[F.col(x).alias(f"{e}_{x}") for x in names.columns]) for e in "ab")
     left = near.distinct().join(A, F.col("a") == F.col("a_c8")).join(B, F.col("b") == F.col("b_c8"))
-    left = stored(left.select(F.col("a_c").alias("a"), F.col("b_c").alias("b"), "a_rep", "b_rep"), "pairs")
-    need = left.select(F.col("a").alias("c"), F.col("a_rep").alias("rep")).union(left.select("b", "b_rep"))
+    out = stored(left.select(F.col("a_c").alias("a"), F.col("b_c").alias("b"), "a_rep", "b_rep"), "pairs")
+    dropped(near)
+    return out
+
+
+def exact(pairs: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFrame:
+    """The pairs (a, b) that link, by their sets, which are made again from one document each."""
+    need = pairs.select(F.col("a").alias("c"), F.col("a_rep").alias("rep")).union(pairs.select("b", "b_rep"))
     sets = stored(_again(docs, need, k), "members")
     sa, sb = sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), sets.select(F.col("c").alias("b"), F.col("s").alias("sb"))
 
-    def exact(batches):
+    def compared(batches):
         for t in batches:
             sizes = []
             for x, y in zip(t.column(2), t.column(3)):
@@ -289,12 +294,37 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, simi
                 sizes.append(100 * common >= similar * (len(x) + len(y) - common))
             yield t.select(["a", "b"]).filter(pa.array(sizes, pa.bool_()))
 
-    out = left.select("a", "b").join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb")
-    done = stored(out.mapInArrow(exact, "a string, b string"), "links")
-    dropped(sets, left, near)
+    out = pairs.select("a", "b").join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb")
+    done = stored(out.mapInArrow(compared, "a string, b string"), "links")
+    dropped(sets)
     return done
 
 
+def resolved(pairs: DataFrame, links: DataFrame | None, comps: DataFrame | None, docs: DataFrame, k: int, similar: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """(links, components) with what pairs add: first each class is compared with the least of its partners, then only pairs across the components that this leaves."""
+    def across_(p: DataFrame) -> DataFrame:
+        if comps is None:
+            return p
+        of = lambda e: comps.select(F.col("c").alias(e), F.col("label").alias(f"{e}_of"))
+        return p.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("a_of", "a") != F.coalesce("b_of", "b")).select("a", "b", "a_rep", "b_rep")
+
+    tested = None
+    for turn in range(2):
+        left = across_(pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        if not turn:
+            left = left.groupBy("b").agg(F.min(F.struct("a", "a_rep", "b_rep")).alias("x")).select("x.a", "b", "x.a_rep", "x.b_rep")
+        left = stored(left, "compared")
+        if not left.isEmpty():
+            found = exact(left, docs, k, similar)
+            links = found if links is None else links.union(found)
+            comps = components(links)
+        if tested is not None:
+            dropped(left)
+        tested = left if tested is None else tested
+    dropped(tested, pairs)
+    return links, comps
+
+
 def components(links: DataFrame) -> DataFrame:
     """(c, label) for the ends of links(a, b) but the smallest of each component: label is that smallest name.
 
@@ -334,7 +364,7 @@ def _differ(x: Column, y: Column) -> Column:
     return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
 
 
-def across(hot: DataFrame, classes: DataFrame, comps: DataFrame, similar: int) -> DataFrame:
+def across(hot: DataFrame, classes: DataFrame, comps: DataFrame | None, similar: int) -> DataFrame:
     """Pairs (a, b) across components from the lists of frequent shingles: all that sizes, places and sketches allow.
 
     The sets of a list, component, size band and place band are a group behind its least set, with a radius in bits of
@@ -342,7 +372,7 @@ def across(hot: DataFrame, classes: DataFrame, comps: DataFrame, similar: int) -
     both radii allow have no link across.
     """
     prefix = (F.col("n") - F.ceil(F.col("n") * similar / 100) + 1).cast("int")
-    about = classes.join(comps, "c", "left").select(F.col("c8").alias("c"), "sketch", F.coalesce("label", "c").alias("label"))
+    about = (classes.withColumn("label", F.lit(None).cast("string")) if comps is None else classes.join(comps, "c", "left")).select(F.col("c8").alias("c"), "sketch", F.coalesce("label", "c").alias("label"))
     p = hot.select("token", "n", "c", "pos", F.floor(F.log("n") / log(100 / similar)).cast("int").alias("band"), F.floor(PLACES * F.col("pos") / prefix).cast("int").alias("place"))
     p = stored(p.join(about, "c"), "long_lists")
     mixed = stored(p.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token"), "mixed_lists")
@@ -384,16 +414,15 @@ def _joined(docs: DataFrame, k: int, similar: int) -> tuple[DataFrame, DataFrame
     bound_batches(spark, POSTINGS)
     found = stored(candidates(dealt, similar), "candidates")
     bound_batches(spark)
-    links = verified(found.distinct(), classes, docs, k, similar)
-    links = spark.createDataFrame([], "a string, b string") if links is None else links
+    links, comps = resolved(bounded(found.distinct(), classes, similar), None, None, docs, k, similar)
     dropped(found)
-    comps = components(links)
     hot = postings(long_).filter("salt > 0")
     if not hot.isEmpty():
-        more = verified(stored(across(hot, classes, comps, similar), "candidates"), classes, docs, k, similar)
-        if more is not None:
-            links = links.union(more)
-            comps = components(links)
+        more = stored(across(hot, classes, comps, similar), "candidates")
+        links, comps = resolved(bounded(more, classes, similar), links, comps, docs, k, similar)
+        dropped(more)
+    if links is None:
+        links, comps = spark.createDataFrame([], "a string, b string"), spark.createDataFrame([], "c string, label string")
     named = classes.select("c", "rep", "docs").join(comps, "c", "left").withColumn("label", F.coalesce("label", "c"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"), F.sum("docs").alias("of"))
     return sets, stored(named.join(least, "label").filter("of > 1").select("c", "label", "component_id"), "named"), links
