@@ -20,7 +20,7 @@ from siftline.llm._common import small, stored
 
 #: The listed rules of the contract: host with path, and verdict.
 LISTED = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-#: Pruning of mined rules.
+#: Pruning of mined rules: a rule's urls are this share of the labelled ones and MIN_URLS at least, whatever their number.
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT, MIN_URLS = 0.002, 0.8, 1.5, 10
 BAD = "\u0001bad"
 
@@ -43,7 +43,7 @@ def url_tokens(url: Column) -> Column:
     query = F.filter(F.split(F.coalesce(F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1), F.lit("")), "&"), lambda x: x != "")
     found = F.concat(
         F.transform(labels, lambda x: F.concat(F.lit("h:"), x)),
-        F.transform(F.split(F.coalesce(F.element_at(F.slice(F.reverse(labels), 2, 1), 1), F.lit("")), "-"), lambda x: F.concat(F.lit("w:"), x)),
+        F.transform(F.split(F.coalesce(F.get(F.slice(F.reverse(labels), 2, 1), 0), F.lit("")), "-"), lambda x: F.concat(F.lit("w:"), x)),
         F.transform(parts, lambda x: F.concat(F.lit("p:"), F.regexp_replace(F.lower(x), r"\d+", "0"))),
         F.transform(query, lambda x: F.concat(F.lit("q:"), F.regexp_replace(x, "=.*", ""))),
     )
@@ -68,8 +68,7 @@ def mined_rules(labelled: DataFrame, url: str = "url", bad: str = "bad") -> Data
     baskets = stored(labelled.filter(F.col(bad).isNotNull() & F.col(url).isNotNull()).select(F.monotonically_increasing_id().alias("basket"), items.alias("items")).filter(F.size("items") > 0), "baskets")
     n, n_bad = baskets.agg(F.count(F.lit(1)), F.count_if(F.array_contains("items", BAD))).first()
     schema = "rule_id bigint, tokens array<string>, confidence double, n_tokens int"
-    support = max(MIN_SUPPORT, min(1.0, MIN_URLS / n)) if n else 1.0
-    least = ceil(support * n)
+    least = max(MIN_URLS, ceil(MIN_SUPPORT * n))
     if not n_bad or n_bad < least:
         return spark.createDataFrame([], schema)
     # A rule's tokens are each in as many bad urls as its support asks; other tokens go by exact count, which loses no rule.

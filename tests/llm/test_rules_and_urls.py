@@ -1,5 +1,7 @@
+import random
 import re
 from collections import Counter
+from itertools import combinations
 
 from siftline.llm import quality_rules as Q, url_filters as U
 
@@ -89,3 +91,50 @@ def test_mining_reads_the_last_tokens(spark):
     labels = spark.createDataFrame([(i, i % 3 == 0) for i in range(200)], "page_id long, bad boolean")
     got = {r.page_id: r.verdict for r in U.filter_urls(pages, labels).collect()}
     assert got == {i: "block" if i % 3 == 0 else "allow" for i in range(300)}
+
+
+def url_tokens(url):
+    if "://" not in url:
+        return frozenset()
+    rest = url.split("://", 1)[1]
+    host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+    labels = [x for x in host.lower().split(".") if x]
+    query = re.search(r"^[^?#]*\?([^#]*)", url)
+    found = ["h:" + x for x in labels] + ["w:" + x for x in (labels[-2] if len(labels) > 1 else "").split("-")]
+    found += ["p:" + re.sub(r"\d+", "0", x.lower()) for x in re.split(r"[/._-]+", path) if x]
+    found += ["q:" + re.sub("=.*", "", x) for x in (query[1] if query else "").split("&") if x]
+    return frozenset(x for x in found if len(x) > 2)
+
+
+def test_mining_and_matching_equal_brute_force(spark, monkeypatch):
+    """Every set of tokens of every labelled url is counted; the rules, and the urls that they fit, are the same."""
+    monkeypatch.setattr(U, "MIN_URLS", 4)
+    r = random.Random(5)
+    urls = [f"http://{r.choice(['a', 'b', 'cheap-pills'])}.example.{r.choice(['org', 'edu'])}/{r.choice(['en', 'fr', 'x'])}/{r.choice(['p1', 'q', 'win'])}" + r.choice(["", "?ref=1", "?ref=2&s=3"]) for _ in range(160)]
+    bad = [("pills" in u and "ref" in u) or ("win" in u and "/x/" in u) or r.random() < 0.05 for u in urls]
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(900, None), (901, "no scheme")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, bad[i]) for i in range(120)] + [(900, True)], "page_id long, bad boolean")
+    all_, of_bad = Counter(), Counter()
+    for u, b in zip(urls[:120], bad):
+        tokens = sorted(url_tokens(u))
+        for n in range(1, len(tokens) + 1):
+            for c in combinations(tokens, n):
+                all_[c] += 1
+                of_bad[c] += b
+    base = sum(bad[:120]) / 120
+    want = {c: of_bad[c] / all_[c] for c in all_ if of_bad[c] >= 4 and of_bad[c] / all_[c] >= max(U.MIN_CONFIDENCE, U.MIN_LIFT * base)}
+    known = pages.join(labels, "page_id").select("url", "bad")
+    rules = U.mined_rules(known)
+    got = {tuple(sorted(x.tokens)): x.confidence for x in rules.collect()}
+    assert got.keys() == want.keys() and len(want) > 5 and all(abs(got[c] - want[c]) < 1e-9 for c in want)
+    best = {u: max((f for c, f in want.items() if set(c) <= url_tokens(u)), default=None) for u in urls}
+    judged = {x.page_id: x for x in U.filter_urls(pages, labels).collect()}
+    for i, u in enumerate(urls):
+        assert judged[i].verdict == ("block" if best[u] is not None else "allow") and (judged[i].mined_confidence is None) == (best[u] is None)
+    assert judged[900].verdict == judged[901].verdict == "allow"
+
+
+def test_support_is_the_same_rule_at_every_size(spark):
+    rows = [(i, f"http://z.example.org/{'bad' if i < 9 else 'good'}/x") for i in range(60)]
+    known = spark.createDataFrame([(u, i < 9) for i, u in rows], "url string, bad boolean")
+    assert U.mined_rules(known).count() == 0  # nine urls, one below MIN_URLS
