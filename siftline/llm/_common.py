@@ -133,3 +133,10 @@ def running(df: DataFrame, group: list[str], value: Column, order: Column, ties:
 def sampled(df: DataFrame, rows: int, order: Column) -> DataFrame:
     """The rows with the smallest order values, at most as many as given: a bounded sample that reruns repeat."""
     return df.withColumn("_order", order).orderBy("_order").limit(rows).drop("_order")
+
+
+def whole_texts(df: DataFrame, text: str, rows: int, size: int, order: Column, kind: str) -> DataFrame:
+    """Of a bounded sample, the first rows of each kind by order (ties by text) whose texts have so many bytes together: whole texts, so that fitting on them takes bounded memory."""
+    first = Window.partitionBy(kind).orderBy("_order", text)
+    so_far = F.sum(F.octet_length(text)).over(first.rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("_order", order).withColumn("_n", F.row_number().over(first)).withColumn("_bytes", so_far).filter((F.col("_n") <= rows) & (F.col("_bytes") <= size)).drop("_n", "_bytes")

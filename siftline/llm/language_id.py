@@ -1,13 +1,13 @@
 """Language identification by a byte convolutional network.
 
 Filters of several widths over bytes, a maximum over each fixed-length window, and a softmax over the languages,
-trained in numpy by Adam on windows of labelled texts. A whole text is cut into windows of WINDOW bytes (the last one
+trained in numpy by Adam on windows of whole labelled texts. A whole text is cut into windows of WINDOW bytes (the last one
 padded); its prediction is the language with the highest mean log-probability, its score that language's share.
 For prediction a filter of width w is a sum of table look-ups by pairs of bytes, which is the same convolution.
 
 Defined cases: a null text, or one without a letter, is "und" with score 0. Without labelled texts everything is "und".
-Repeated rows get equal predictions. At most FIT_ROWS texts are learnt from, as many of each language, FIT_CHARS of
-each from a place that its id gives.
+Repeated rows get equal predictions; a row without an id counts as held out. At most FIT_ROWS texts and FIT_BYTES of
+text are learnt from, as many of each language, whole: each training step draws texts, and a window of each, from all.
 """
 
 from __future__ import annotations
@@ -15,13 +15,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from siftline.llm import _bytes
-from siftline.llm._common import bound_batches, keyed_hash
+from siftline.llm._common import bound_batches, keyed_hash, whole_texts
 
-FIT_ROWS, FIT_CHARS, SEED = 2_400, 1_200, 13
-WINDOW, WIDTHS, FILTERS, EPOCHS, BATCH, RATE = 128, (2, 3, 4), 12, 12, 128, 0.01
+FIT_ROWS, FIT_BYTES, SEED = 2_400, 32 << 20, 13
+WINDOW, WIDTHS, FILTERS, STEPS, BATCH, RATE = 128, (2, 3, 4), 12, 2_000, 128, 0.01
 
 
 class Network:
@@ -42,21 +41,21 @@ class Network:
         n = x.shape[1] - w + 1
         return sum(self.tables[w][j][x[:, j : j + n]] for j in range(w)) + self.bias[w]
 
-    def train(self, x: np.ndarray, y: np.ndarray, seed: int = SEED) -> None:
-        r, m, v, t = np.random.default_rng(seed), None, None, 0
-        for _ in range(EPOCHS):
-            order = r.permutation(len(x))
-            for lo in range(0, len(x), BATCH):
-                b, t = order[lo : lo + BATCH], t + 1
-                grads = self._gradients(x[b], y[b])
-                m = m or [np.zeros_like(g) for g in grads]
-                v = v or [np.zeros_like(g) for g in grads]
-                for p, g, a, c in zip(self.parameters(), grads, m, v):
-                    a *= 0.9
-                    a += 0.1 * g
-                    c *= 0.999
-                    c += 0.001 * g * g
-                    p -= RATE * (a / (1 - 0.9**t)) / (np.sqrt(c / (1 - 0.999**t)) + 1e-8)
+    def train(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int = SEED) -> None:
+        """x: the windows of all texts, those of text i from first[i] on; y: the texts' languages."""
+        r, m, v, n = np.random.default_rng(seed), None, None, np.diff(first)
+        texts = np.flatnonzero(n)
+        for t in range(1, STEPS + 1):
+            of = texts[r.integers(0, len(texts), BATCH)]
+            grads = self._gradients(x[first[of] + (r.random(BATCH) * n[of]).astype(np.int64)], y[of])
+            m = m or [np.zeros_like(g) for g in grads]
+            v = v or [np.zeros_like(g) for g in grads]
+            for p, g, a, c in zip(self.parameters(), grads, m, v):
+                a *= 0.9
+                a += 0.1 * g
+                c *= 0.999
+                c += 0.001 * g * g
+                p -= RATE * (a / (1 - 0.9**t)) / (np.sqrt(c / (1 - 0.999**t)) + 1e-8)
 
     def _gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         peaks, places = [], []
@@ -128,13 +127,13 @@ def fit(texts: list[str], languages: list[str]) -> Network | None:
     if not texts:
         return None
     names = sorted(set(languages))
-    y, xs, ys = [names.index(a) for a in languages], [], []
-    for lo, hi, buf, offs in _bytes.chunks(pa.array(texts, pa.large_string())):
+    xs, sizes = [], []
+    for _, _, buf, offs in _bytes.chunks(pa.array(texts, pa.large_string())):
         x, first = windows(buf, offs)
-        xs.append(x), ys.append(np.repeat(np.array(y[lo:hi]), np.diff(first)))
+        xs.append(x), sizes.append(np.diff(first))
     net = Network(names)
     if len(names) > 1 and sum(map(len, xs)):
-        net.train(np.concatenate(xs), np.concatenate(ys))
+        net.train(np.concatenate(xs), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.array([names.index(a) for a in languages]))
     return net
 
 
@@ -165,11 +164,9 @@ def learn(docs: DataFrame, usable: Column, doc_id: str, text: str, lang: str) ->
     each = max(1, FIT_ROWS // len(counts))
     order = keyed_hash(SEED, F.col(doc_id).cast("string"))
     bound = F.create_map(*[F.lit(x) for a, n in counts.items() for x in (a, min(1.0, 4.0 * each / n + 100.0 / n))])
-    start = (F.pmod(keyed_hash(SEED + 1, F.col(doc_id).cast("string")), F.greatest(F.lit(1), F.length(text) - FIT_CHARS)) + 1).cast("int")
     near = rows.filter(F.pmod(order, F.lit(1 << 30)) < F.element_at(bound, F.col(lang)) * (1 << 30))
-    near = near.select(F.col(lang).alias("lang"), F.substring(F.col(text), start, F.lit(FIT_CHARS)).alias("text"), order.alias("_order")).filter(F.col("text").rlike(r"\p{L}"))
-    first = Window.partitionBy("lang").orderBy("_order", "text")
-    some = near.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= each).orderBy("_order", "text").select("text", "lang").collect()
+    near = near.select(F.col(lang).alias("lang"), F.col(text).alias("text"), order.alias("_order")).filter(F.col("text").rlike(r"\p{L}"))
+    some = whole_texts(near, "text", each, FIT_BYTES // len(counts), F.col("_order"), "lang").orderBy("_order", "text").select("text", "lang").collect()
     return fit([r[0] for r in some], [r[1] for r in some])
 
 
@@ -177,7 +174,8 @@ def identify(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: st
     """doc_id, held_out, lang_pred and score for every document; learns from those that are not held out."""
     spark = docs.sparkSession
     bound_batches(spark)
-    net = learn(docs, ~F.coalesce(held_out, F.lit(True)), doc_id, text, lang)
+    held_out = F.coalesce(held_out, F.lit(True))
+    net = learn(docs, ~held_out, doc_id, text, lang)
     held = spark.sparkContext.broadcast(net)
 
     def run(batches):

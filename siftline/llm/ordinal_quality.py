@@ -3,7 +3,7 @@
 P(grade <= k) = logistic(threshold_k - w·x) with ordered thresholds and one weight vector for all grades. x holds the
 shares of hashed words and of hashed word shapes (capitals, digits, marks, a word said
 again) in the whole text. It is fitted on at most
-FIT_ROWS labelled documents; every document is scored, with its expected grade and the probability of reaching the
+FIT_ROWS labelled documents and FIT_BYTES of text; every document is scored, with its expected grade and the probability of reaching the
 grade asked for.
 
 Defined cases: a null or empty text has x = 0, so the thresholds alone decide. Labels with a null grade are left out;
@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftline.llm import _bytes
-from siftline.llm._common import bound_batches, keyed_hash, sampled
+from siftline.llm._common import bound_batches, keyed_hash, sampled, whole_texts
 
-#: Labelled documents that fitting uses at most, whole.
-FIT_ROWS = 6_000
+#: Labelled documents that fitting uses at most, whole, and bytes of their texts.
+FIT_ROWS, FIT_BYTES = 6_000, 24 << 20
 BITS, STEPS, RATE, L2, SEED = 15, 300, 0.05, 1e-6, 5
 #: Selection: probability of reaching this grade of at least this much.
 SELECT_GRADE, SELECT_TAIL = 1, 0.5
@@ -101,10 +101,11 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: Column, doc_id: str, text: str, label_id: str, rows: int) -> list:
-    """At most rows (text, label) of a bounded sample by hash; labels of the sample are broadcast, the documents scanned once."""
+    """At most rows (text, label) and FIT_BYTES of a bounded sample by hash; labels of the sample are broadcast, the documents scanned once."""
     some = sampled(labels.select(F.col(label_id).alias("_id"), label.alias("_label")).filter("_label is not null and _id is not null"), rows, keyed_hash(SEED, F.col("_id").cast("string")))
     found = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(some), "_id").filter("_text is not null")
-    return sampled(found, rows, keyed_hash(SEED, F.col("_id").cast("string"))).select("_text", "_label").collect()
+    order = keyed_hash(SEED, F.col("_id").cast("string"))
+    return whole_texts(sampled(found, rows, order).withColumn("_all", F.lit(1)), "_text", rows, FIT_BYTES, order, "_all").select("_text", "_label").collect()
 
 
 def grade_documents(docs: DataFrame, labels: DataFrame, grade: Column, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", select_grade: int = SELECT_GRADE, select_tail: float = SELECT_TAIL) -> DataFrame:

@@ -13,7 +13,8 @@ with blanks between their characters. A text's score is its worst window's decis
 curve that is fitted to the labels.
 
 Defined cases: null, empty and wordless texts have score 0; without labels of both kinds every score is 0; repeated
-rows get equal scores. At most FIT_ROWS labelled texts of each kind are learnt from, whole.
+rows get equal scores; a row without an id counts as held out. At most FIT_ROWS labelled texts and FIT_BYTES of text of
+each kind are learnt from, whole.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftline.llm import _bytes
-from siftline.llm._common import bound_batches, keyed_hash, sampled
+from siftline.llm._common import bound_batches, keyed_hash, sampled, whole_texts
 
-FIT_ROWS, SEED = 2_000, 9
+FIT_ROWS, FIT_BYTES, SEED = 2_000, 8 << 20, 9
 ORDER, GAP, LAMBDA, WINDOW = 4, 2, 0.5, 7
 LANDMARKS, WITNESS_WORDS, NEGATIVES, ROUNDS, COST = 400, 240, 4_000, 5, 10.0
 #: How much an instance with inserted characters or blanks weighs.
@@ -271,7 +272,7 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: Column, usable: Column, doc
     order = keyed_hash(SEED, F.col("_id").cast("string"))
     some = sampled(known.filter("_toxic = 1"), FIT_ROWS, order).unionByName(sampled(known.filter("_toxic = 0"), FIT_ROWS, order)).drop("_use")
     found = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(some), "_id").filter("_text is not null")
-    rows = sampled(found, 2 * FIT_ROWS, order).select("_text", "_toxic").collect()
+    rows = whole_texts(sampled(found, 2 * FIT_ROWS, order), "_text", FIT_ROWS, FIT_BYTES, order, "_toxic").select("_text", "_toxic").collect()
     return fit([r[0] for r in rows], [r[1] for r in rows])
 
 
@@ -289,6 +290,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, toxic: Column, held_out:
                 score[lo:hi] = model.score(model.worst(buf, offs))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score), pa.array((score >= DECIDE).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.col(text).alias("text"))
     schema = narrow.select("doc_id", "held_out").schema.add("score", "double").add("predicted", "integer")
     return narrow.mapInArrow(run, schema)

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -113,15 +114,56 @@ def test_ordinal_grades(spark):
 
 
 def test_fitting_reads_whole_texts(spark, monkeypatch):
-    """The telling word stands after 30,000 characters: both models are given it."""
-    rows = [(i, "calm words " * 3_000 + f"end{i}") for i in range(4)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    """The telling word stands after 30,000 characters: all models are given it. A bound in bytes leaves out texts, not parts of them."""
+    rows = [(i, "calm words " * 3_000 + f"end{i}", "ab"[i % 2]) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, y int")
     seen = []
-    monkeypatch.setattr(T, "fit", lambda texts, toxic: seen.extend(texts))
-    T.learn(docs, labels, F.col("y"), F.lit(True), "doc_id", "text", "doc_id")
-    assert sorted(seen) == sorted(t for _, t in rows)
-    monkeypatch.setattr(O, "fit", lambda texts, grades: seen.extend(texts) or O.Model(np.zeros(1), np.zeros(0), np.array([0])))
-    seen.clear()
-    O.grade_documents(docs, labels, F.col("y"))
-    assert sorted(seen) == sorted(t for _, t in rows)
+    models = {
+        "T": (lambda: T.learn(docs, labels, F.col("y"), F.lit(True), "doc_id", "text", "doc_id"), T, lambda texts, toxic: seen.extend(texts)),
+        "O": (lambda: O.grade_documents(docs, labels, F.col("y")), O, lambda texts, grades: seen.extend(texts) or O.Model(np.zeros(1), np.zeros(0), np.array([0]))),
+        "L": (lambda: L.learn(docs, F.lit(True), "doc_id", "text", "lang"), L, lambda texts, langs: seen.extend(texts)),
+    }
+    for run, module, fit in models.values():
+        seen.clear()
+        monkeypatch.setattr(module, "fit", fit)
+        run()
+        assert sorted(seen) == sorted(t for _, t, _ in rows)
+        seen.clear()
+        monkeypatch.setattr(module, "FIT_BYTES", 2 * len(rows[0][1]) + 9 if module is not T else len(rows[0][1]) + 9)
+        run()
+        assert len(seen) == 2 and set(seen) <= {t for _, t, _ in rows}
+
+
+def test_rows_without_an_id_and_empty_tables(spark, documents, empty):
+    labels = spark.createDataFrame([(i, int(i % 7 == 0), 1) for i in range(150)], "doc_id long, toxic int, quality int")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    for out in (T.score_documents(documents, labels, F.col("toxic"), held, ~held), L.identify(documents, held)):
+        got = out.select("doc_id", "held_out").collect()
+        assert len(got) == documents.count() and all(r.held_out is (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    assert T.score_documents(empty, labels, F.col("toxic"), held, ~held).count() == 0
+    assert O.grade_documents(empty, labels, F.col("quality")).count() == 0
+    assert O.grade_documents(documents, labels, F.col("quality")).count() == documents.count()
+
+
+def test_tails_equal_the_cumulative_link_word_by_word(spark):
+    """Brute force: P(grade > k) from the mean weight of a text's words and shapes, one word at a time."""
+    texts = ["Good words here 12 and more", "bad bad bad !!!", "", "Ünï cödé x", "a" * 100 + " tail"]
+    r = np.random.default_rng(4)
+    model = O.Model(r.normal(size=1 << O.BITS) * 5, np.array([-0.5, 0.8]), np.array([0, 1, 2]))
+    half = 1 << (O.BITS - 1)
+
+    def one(word, fold):
+        b = word.encode()
+        return int(_bytes.word_hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]), fold)[0]) % half
+
+    for text in texts:
+        total, before = 0.0, None
+        for w in text.split():
+            total += model.weights[one(w, _bytes.LOWER)] + model.weights[half if w.lower() == before else half + one(w, _bytes.SHAPE)]
+            before = w.lower()
+        score = total / max(1, len(text.split()))
+        want = [1 / (1 + np.exp(b - score)) for b in model.bias]
+        for _, _, buf, offs in _bytes.chunks(pa.array([text])):
+            word, shape, first = O.features(buf, offs)
+            assert np.allclose(model.tails(O._means(model.weights[word] + model.weights[shape], first))[0], want)
