@@ -10,7 +10,9 @@ s // per_shard at byte (s % per_shard) * stride, and reading can stop and go on
 What a task sends to a shard travels as one compressed body, and a shard is put in order by the task that writes it.
 Files go through Spark's own writer with its commit protocol to any store that Spark reaches. Defined cases: null texts
 give no tokens, empty ones only the end token; repeated documents are packed as often as they occur; an empty table
-writes no record. Other columns are ignored.
+writes no record. Ids of any type, and null ones, are carried. Other columns are ignored. Documents are packed within
+the input's partitions, so the same files read with other partition sizes give other sequences; the index tells what
+was written, and a rerun that reads the same partitions repeats it.
 """
 
 from __future__ import annotations
@@ -98,6 +100,7 @@ def packed(docs: DataFrame, vocabulary: bytes, pattern: str, length: int, end: i
         pending: list[np.ndarray] = []  # pieces of the open sequence and their documents
         size, first, docs_here = 0, None, 0
         rows: list[tuple] = []
+        id_type = None
 
         def emit():
             nonlocal size, first, docs_here, place, pending
@@ -108,6 +111,7 @@ def packed(docs: DataFrame, vocabulary: bytes, pattern: str, length: int, end: i
             place, pending, size, first, docs_here = place + 1, [], 0, None, 0
 
         for b in batches:
+            id_type = b.column(0).type
             for i, text in enumerate(b.column(1)):
                 text = text.as_py()
                 if text is None:
@@ -131,7 +135,6 @@ def packed(docs: DataFrame, vocabulary: bytes, pattern: str, length: int, end: i
             yield _rows(rows, id_type)
 
     narrow = docs.select(F.col("doc_id"), F.col("text"))
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[narrow.dtypes[0][1]]
     schema = spark.createDataFrame([], "part int, place long, tokens binary, n_tokens int").schema
     schema = schema.add("first_doc_id", narrow.schema["doc_id"].dataType).add("n_docs", "integer")
     return narrow.mapInArrow(run, schema)

@@ -41,3 +41,11 @@ def test_round_trip(spark, documents, tmp_path):
 def test_nothing_to_write(spark, empty, tmp_path):
     index, layout = T.write_shards(empty, path=str(tmp_path / "out"))
     assert index.count() == 0 and layout.sequences == 0
+
+
+def test_ids_of_other_types_and_null_ones(spark, tmp_path):
+    for cast in ("decimal(9, 0)", "string", "int"):
+        docs = spark.createDataFrame([(None, "one two"), (None, None), (3, "")], "doc_id long, text string").selectExpr(f"cast(doc_id as {cast}) as doc_id", "text", "1 as slot").coalesce(1)
+        index, layout = T.write_shards(docs, path=str(tmp_path / cast[:3]), length=4)
+        got = index.collect()
+        assert len(got) == layout.sequences == 1 and got[0].first_doc_id is None and got[0].n_docs == 2
