@@ -10,7 +10,7 @@ from pyspark.sql.types import StringType
 
 from siftline.functions import vocabulary as V
 
-_BLOCKS = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "header", "footer"}
+BLOCKS = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "header", "footer"}
 _HIDDEN = {"script", "style", "noscript", "template"}
 
 
@@ -22,13 +22,13 @@ class _Text(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in _HIDDEN:
             self.depth += 1
-        elif tag in _BLOCKS:
+        elif tag in BLOCKS:
             self.parts.append("\n")
 
     def handle_endtag(self, tag):
         if tag in _HIDDEN:
             self.depth = max(0, self.depth - 1)
-        elif tag in _BLOCKS:
+        elif tag in BLOCKS:
             self.parts.append("\n")
 
     def handle_data(self, data):

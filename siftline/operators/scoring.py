@@ -13,18 +13,28 @@ def query_terms(texts: DataFrame, weight: str = "weight", text: str = "text") ->
 
 
 def bm25(docs: DataFrame, query: DataFrame, doc_id: str, text: Column, k1: float = V.BM25_K1, b: float = V.BM25_B) -> DataFrame:
-    """doc_id, score of all documents that hold a query term. The pool is docs itself.
+    """doc_id, score of all documents that hold a query term. The pool is docs itself; a document is a row.
 
-    Lengths need no shuffle; only the terms of the query are counted, so what is exploded and shuffled is bounded by
-    the query's terms in each text, and the query side is small by nature (a profile's words).
+    Tokens are cut down to the query's terms where they are made. One aggregate gives the pool's size and lengths and
+    each term's documents: a row a query term. Scores are then sums over a document's own terms, so no text, token or
+    document is shuffled. The query is a profile's words: its terms are held by the driver and in every task.
     """
-    base = docs.select(F.col(doc_id), T.tokens(text).alias("_t")).withColumn("_n", F.size("_t"))
-    pool = base.agg(F.count(F.lit(1)).alias("_docs"), F.avg("_n").alias("_mean"))
-    tf = base.select(doc_id, "_n", F.explode("_t").alias("term")).join(F.broadcast(query), "term").groupBy(doc_id, "_n", "term", "weight").agg(F.count(F.lit(1)).alias("_tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    idf = F.log(1 + (F.col("_docs") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    part = F.col("weight") * idf * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_n") / F.col("_mean")))
-    return tf.join(F.broadcast(df), "term").join(F.broadcast(pool)).groupBy(doc_id).agg(F.sum(part).alias("score"))
+    weight = {r["term"]: float(r["weight"]) for r in query.select("term", "weight").collect()}
+    own = lambda t: F.struct(F.size(t).alias("n"), F.filter(t, lambda x: x.isin(*weight)).alias("hits"))
+    base = docs.select(F.col(doc_id), F.element_at(F.transform(F.array(T.tokens(text)), own), 1).alias("_t"))
+    seen = base.select("_t.n", F.explode_outer(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("_t.hits"))).alias("term"))
+    stats = seen.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("n"))
+    pool = F.max(F.when(F.col("term").isNull(), F.struct("df", "n"))).alias("pool")
+    terms = stats.agg(pool, F.map_from_entries(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "df")))).alias("df"))  # a row, with a query's terms
+    one = terms.select(F.col("pool.df").alias("_docs"), (F.col("pool.n") / F.col("pool.df")).alias("_mean"), F.col("df").alias("_df"))
+    table = F.create_map(*[F.lit(x) for kv in weight.items() for x in kv]) if weight else F.lit(None).cast("map<string,double>")
+
+    def part(term: Column) -> Column:
+        df, tf = F.try_element_at("_df", term), F.size(F.filter("_t.hits", lambda x: x == term))
+        return F.try_element_at(table, term) * F.log(1 + (F.col("_docs") - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_t.n") / F.col("_mean")))
+
+    score = F.aggregate(F.array_sort(F.array_distinct("_t.hits")), F.lit(0.0), lambda s, term: s + part(term))
+    return base.filter(F.size("_t.hits") > 0).join(F.broadcast(one)).select(doc_id, score.alias("score"))
 
 
 def offset(rank: DataFrame, refine: DataFrame, key: str, least: int = V.MIN_CALIBRATION) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from datetime import date
@@ -352,17 +353,33 @@ def reason_category(spark, sf):
     return Tables(spark, sf).labels.join(F.broadcast(v), F.col("doc_id") % len(_REASONS) == F.col("i")).select("doc_id", T.reason_category(F.col("r")).alias("category"))
 
 
-@query("""WITH d AS (SELECT doc_id, list_filter([CASE WHEN quality = 0 THEN 'poor' END, CASE WHEN n_chars > 20000 THEN 'too long: ' || n_chars END, CASE WHEN lang = 'de' AND n_chars > 3000 THEN 'posting written in de' END], lambda x: x IS NOT NULL) AS drops,
-list_filter([CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN n_chars < 300 THEN 'short' END], lambda x: x IS NOT NULL) AS reviews FROM documents LEFT JOIN labels USING (doc_id))
-SELECT doc_id, CASE WHEN len(drops) > 0 THEN 'drop' WHEN len(reviews) > 0 THEN 'review' ELSE 'keep' END AS status, array_to_string(list_concat(drops, reviews), '|') AS reasons FROM d""")
+_TITLES = ["Junior developer", "Senior developer", "Nurse", "Cook", "Software engineer", "Platform intern"]
+
+
+@query(f"""WITH v(i, title) AS (VALUES {", ".join(f"({i}, '{t}')" for i, t in enumerate(_TITLES))}), j AS (SELECT doc_id, title, lang, CASE WHEN doc_id % 4 = 0 THEN 'Senior' END AS label,
+CASE WHEN doc_id % 3 = 0 THEN 'US' WHEN doc_id % 3 = 1 THEN 'FI' END AS country, CASE WHEN doc_id % 5 = 0 THEN 'remote' WHEN doc_id % 5 = 1 THEN 'unknown' ELSE 'onsite' END AS remote, CAST(doc_id % 90 AS INTEGER) AS age FROM documents JOIN v ON doc_id % {len(_TITLES)} = i),
+t AS (SELECT *, regexp_matches(title, '(?i)\\b(developer|engineer|platform)') AS fits, regexp_matches(title, '(?i)\\bnurse') AS outside, regexp_matches(title, '(?i)\\b(junior|intern)') AS low, regexp_matches(title, '(?i)\\bsenior') AS high,
+CASE country WHEN 'FI' THEN 1 WHEN 'SE' THEN 2 ELSE CASE WHEN remote = 'remote' THEN 0 END END AS location_tier FROM j),
+r AS (SELECT doc_id, location_tier, list_filter([
+CASE WHEN outside AND NOT fits THEN 'title looks like a non-software role: ''' || title || '''' WHEN NOT fits THEN 'title not a software/IT role: ''' || title || '''' END,
+CASE WHEN low THEN NULL WHEN high THEN 'title level excluded by profile: ''' || title || '''' WHEN label = 'Senior' THEN 'seniority label ''Senior'' excluded by profile' END,
+CASE WHEN lang = 'es' THEN 'posting written in es' END,
+CASE WHEN remote <> 'remote' AND location_tier IS NULL AND country IS NOT NULL THEN 'on-site in ' || country || ', outside target countries' END,
+CASE WHEN age > 60 THEN 'posting is ' || age || ' days old (max 60)' END], lambda x: x IS NOT NULL) AS drops, list_filter([
+CASE WHEN lang = 'fr' THEN 'posting written in fr' END,
+CASE WHEN remote <> 'remote' AND location_tier IS NULL AND country IS NULL THEN CASE WHEN remote = 'unknown' THEN 'location unknown' ELSE 'on-site with unknown country' END END], lambda x: x IS NOT NULL) AS reviews FROM t)
+SELECT doc_id, CASE WHEN len(drops) > 0 THEN 'drop' WHEN len(reviews) > 0 THEN 'review' ELSE 'keep' END AS status, array_to_string(list_concat(drops, reviews), ' | ') AS reasons, location_tier FROM r""")
 def rule_status(spark, sf):
-    t = Tables(spark, sf)
-    d = t.documents.select("doc_id", "lang", "n_chars").join(t.labels, "doc_id", "left")
-    some = lambda *c: F.filter(F.array(*c), lambda x: x.isNotNull())
-    drops = some(F.when(F.col("quality") == 0, "poor"), F.when(F.col("n_chars") > 20000, F.concat(F.lit("too long: "), "n_chars")), F.when((F.col("lang") == "de") & (F.col("n_chars") > 3000), "posting written in de"))
-    reviews = some(F.when(F.col("toxic") == 1, "toxic"), F.when(F.col("n_chars") < 300, "short"))
-    d = d.withColumn("drops", drops).withColumn("reviews", reviews)
-    return d.select("doc_id", F.when(F.size("drops") > 0, "drop").when(F.size("reviews") > 0, "review").otherwise("keep").alias("status"), F.array_join(F.concat("drops", "reviews"), "|").alias("reasons"))
+    """The rule filter over postings of fixed titles: roles, levels, labels, languages, places and ages."""
+    v = spark.createDataFrame(list(enumerate(_TITLES)), "i int, title string")
+    d = Tables(spark, sf).documents.join(F.broadcast(v), F.col("doc_id") % len(_TITLES) == F.col("i"))
+    none, today = F.lit(None).cast("string"), date(2024, 9, 1)
+    jobs = d.select(
+        F.col("doc_id").alias("id"), "title", none.alias("description"), F.when(F.col("doc_id") % 4 == 0, "Senior").alias("seniority_raw"), F.col("lang").alias("posting_language"), none.alias("remote_region"), none.alias("location_raw"),
+        F.when(F.col("doc_id") % 3 == 0, "US").when(F.col("doc_id") % 3 == 1, "FI").alias("country"), F.when(F.col("doc_id") % 5 == 0, "remote").when(F.col("doc_id") % 5 == 1, "unknown").otherwise("onsite").alias("remote"),
+        F.date_sub(F.lit(today), (F.col("doc_id") % 90).cast("int")).cast("timestamp").alias("posted_at"))
+    profile = R.Profile(title_terms=("developer", "engineer", "platform"), exclude_title_terms=("nurse",), keep_level_terms=("junior", "intern"), drop_level_terms=("senior",), tiers=(("FI",), ("SE",), ()), drop_if_written_in=("es",), languages_weak=("fr",))
+    return R.evaluate(jobs, profile, today).select(F.col("id").alias("doc_id"), "status", F.array_join("reasons", " | ").alias("reasons"), "location_tier")
 
 
 @query("SELECT doc_id, CASE WHEN lang IN ('en') THEN 1 WHEN lang IN ('fr', 'es') THEN 2 WHEN lang IN ('de') THEN 3 END AS tier FROM documents")
@@ -376,13 +393,28 @@ _PLAIN = {"articles": r"(^|[^\p{L}\p{N}])(the|le|der|el)($|[^\p{L}\p{N}])", "num
 
 @query("SELECT doc_id, array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN '{t}' END" for t, p in _PLAIN.items()) + "], lambda x: x IS NOT NULL)), ',') AS tags FROM documents")
 def stack_tags_simple(spark, sf):
-    hits = F.array(*[F.when(F.col("text").rlike("(?i)" + p), t) for t, p in _PLAIN.items()])
-    return Tables(spark, sf).documents.select("doc_id", F.array_join(F.array_sort(F.filter(hits, lambda x: x.isNotNull())), ",").alias("tags"))
+    return Tables(spark, sf).documents.select("doc_id", F.array_join(T.stack_tags(F.col("text"), _PLAIN), ",").alias("tags"))
 
 
-@query()
+_SKILLS = ["React and Node.js", "Vitamin C and plan C", "C, Python and Rust", "embedded C firmware", "C-level manager", "we trust you", "iOS and Swift", "go to market", "Go developer", "only .NET and C#", "QA testers", "programs in C", "C++ or Java, CI/CD", "ärust ä.net éqa"]
+
+
+def _re2(pattern: str) -> str:
+    """A stack pattern for an engine without look-around, whose word ends are ASCII ones: the ends of alternatives take the character beyond; inner word ends are implied by what stands there."""
+    word, other = r"[\p{L}\p{M}\p{N}_]", r"[^\p{L}\p{M}\p{N}_]"
+    p = pattern.replace(r"\bc\b(?![+#\-])", "\0").replace(r"(?<!\w)", r"\b")
+    p = re.sub(r"(^|\|)\0", lambda m: m[1] + r"\b" + "\0", p)
+    p = re.sub("\0" + r"(?=\||$)", lambda m: r"c(?:$|[^+#\-\p{L}\p{M}\p{N}_])", p).replace("\0", "c")
+    p = re.sub(r"(^|\|)\\b", lambda m: m[1] + f"(?:^|{other})", p)
+    p = re.sub(r"\\b(\||$)", lambda m: f"(?:$|{other})" + m[1], p)
+    return p.replace(r"\b", "").replace(r"\w", word)
+
+
+@query("WITH v(i, s) AS (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(_SKILLS)) + f"), d AS (SELECT doc_id, text || ' . ' || s AS t FROM documents JOIN v ON doc_id % {len(_SKILLS)} = i) SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, '(?i)({_re2(p)})') THEN '{t}' END" for t, p in sorted(V.STACKS.items())) + "], lambda x: x IS NOT NULL), ',') AS tags FROM d")
 def stack_tags_full(spark, sf):
-    return Tables(spark, sf).documents.select("doc_id", T.stack_tags(F.col("text")).alias("tags"))
+    v = spark.createDataFrame(list(enumerate(_SKILLS)), "i int, s string")
+    d = Tables(spark, sf).documents.join(F.broadcast(v), F.col("doc_id") % len(_SKILLS) == F.col("i"))
+    return d.select("doc_id", F.array_join(T.stack_tags(F.concat_ws(" . ", "text", "s")), ",").alias("tags"))
 
 
 @query("SELECT doc_id, lang, source FROM documents LEFT JOIN labels USING (doc_id) WHERE lang IN ('en', 'fr') AND source IN ('src0', 'src1', 'src2') AND n_chars >= 500 AND contains(lower(text), 'an') AND coalesce(CAST(quality AS VARCHAR), 'none') IN ('1', 'none')")
@@ -638,23 +670,59 @@ def language_requirements(spark, sf):
     return R.language_requirements(d.select("doc_id", F.concat_ws("\n", "text", "s").alias("text")), "doc_id", "text")
 
 
-@query()
+_DEADLINES = ["Application deadline: 13 September 2024", "apply via our portal by 26/10/2024", "Bewerbungsfrist: 1. März", "a deadline-driven team", "closing date 2024-12-31.", "deadline 31.2.2025 or 1.3.2025", "hakuaika päättyy 13. syyskuuta", "deadline soon. Founded 2024-10-10", "closing date July 5th"]
+_MONTHS = "MAP {" + ", ".join(f"'{x}': {n}" for x, n in DT.months().items()) + "}"
+_MADE = "try_cast({} || '-' || lpad({}, 2, '0') || '-' || lpad({}, 2, '0') AS DATE)"
+_NAME = f"CAST({_MONTHS}[lower(regexp_extract(d, '(?i)({DT.month_pattern()})', 1))] AS VARCHAR)"
+_DAY = "regexp_extract(d, '(?:^|[^0-9])([0-9]{1,2})(?:[^0-9]|$)', 1)"
+_AFTER = f"string_split(regexp_replace(t, '(?i){DT.deadline_cue()}', chr(1) || '\\1', 'g'), chr(1))[2:]"
+
+
+@query(f"""WITH v(i, s) AS (VALUES {", ".join(f"({i}, '{x}')" for i, x in enumerate(_DEADLINES))}), t AS (SELECT doc_id, text || chr(10) || s AS t FROM documents JOIN v ON doc_id % {len(_DEADLINES)} = i),
+w AS (SELECT doc_id, unnest({_AFTER}) AS w, generate_subscripts({_AFTER}, 1) AS i FROM t),
+c AS (SELECT doc_id, i, regexp_extract_all(regexp_replace(substr(w, 1, {V.DEADLINE_WINDOW}), '{V.DEADLINE_STOP}', '\\1'), '(?i)(?:{DT.date_pattern()})') AS m FROM w),
+e AS (SELECT doc_id, i, unnest(m) AS d, generate_subscripts(m, 1) AS j FROM c),
+r AS (SELECT doc_id, i, j, CASE WHEN regexp_matches(d, '^[0-9]{{4}}-') THEN try_cast(d AS DATE) WHEN regexp_matches(d, '^[0-9]+[./][0-9]+[./][0-9]+$') THEN {_MADE.format("regexp_extract(d, '([0-9]{4})$', 1)", "regexp_extract(d, '[./]([0-9]+)[./]', 1)", "regexp_extract(d, '^([0-9]+)', 1)")}
+  WHEN regexp_matches(d, '[0-9]{{4}}') THEN {_MADE.format("regexp_extract(d, '([0-9]{4})', 1)", _NAME, _DAY)}
+  WHEN {_MADE.format("'2024'", _NAME, _DAY)} < DATE '2024-09-01' - {V.YEAR_ROLLS_AFTER} THEN {_MADE.format("'2025'", _NAME, _DAY)} ELSE {_MADE.format("'2024'", _NAME, _DAY)} END AS day FROM e),
+f AS (SELECT doc_id, CAST(arg_min(day, i * 1000 + j) AS VARCHAR) AS deadline FROM r WHERE day - DATE '2024-09-01' BETWEEN -{V.FARTHEST_BEHIND} AND {V.FARTHEST_AHEAD} GROUP BY doc_id)
+SELECT doc_id, deadline FROM t LEFT JOIN f USING (doc_id)""")
 def deadline_extract(spark, sf):
-    said = ["Application deadline: 13 September 2024", "apply via our portal by 26/10/2024", "Bewerbungsfrist: 1. März", "a deadline-driven team", "closing date 2024-12-31."]
-    v = spark.createDataFrame(list(enumerate(said)), "i int, s string")
-    d = Tables(spark, sf).documents.select("doc_id", "text").join(F.broadcast(v), F.col("doc_id") % len(said) == F.col("i"))
+    v = spark.createDataFrame(list(enumerate(_DEADLINES)), "i int, s string")
+    d = Tables(spark, sf).documents.select("doc_id", "text").join(F.broadcast(v), F.col("doc_id") % len(_DEADLINES) == F.col("i"))
     return d.select("doc_id", DT.find_deadline(F.concat_ws("\n", "text", "s"), date(2024, 9, 1)).cast("string").alias("deadline"))
 
 
-@query()
+_LOCATIONS = ["Helsinki, Finland", "Birmingham, AL", "Amsterdam, NH, NL", "Milano, MI", "Berlin, DEU", "Remote", "Atlanta, Georgia, USA", "Nicosia, CY", "X | Tallinn", "UK", "Cambridge, MA", "Seoul, South Korea", "Utrecht, NL, 3584 AB", "Toronto, ON", "New Mexico", "Rome, GA"]
+#: The country codes that occur in these places.
+_CODES2 = {"nl": "NL", "cy": "CY", "uk": "GB", "ma": "MA", "al": "AL", "ga": "GA", "in": "IN"}
+_CODES3 = {"DEU": "DE", "USA": "US"}
+_MAP = lambda d: "MAP {" + ", ".join(f"'{k}': '{x}'" for k, x in d.items()) + "}"
+_EITHER = {**_CODES2, **{c: "CA" for c in V.CA_PROVINCES}, **{c: "US" for c in V.US_STATES}, **V.STATE_CODES_OF_COUNTRIES}
+_LONGEST = r"(SELECT arg_max(code, length(name)) FROM {0} WHERE regexp_matches(lower(s), '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(name) || '($|[^\p{{L}}\p{{N}}_])'))"
+
+
+@query(f"""WITH v(i, t) AS (VALUES {", ".join(f"({i}, '{x}')" for i, x in enumerate(_LOCATIONS))}), names(name, code) AS (VALUES {", ".join(f"('{n}', '{c}')" for n, c in (V.COUNTRIES | V.US_STATE_NAMES).items())}), cities(name, code) AS (VALUES {", ".join(f"('{n}', '{c}')" for n, c in V.CITIES.items())}),
+g AS (SELECT i, trim(unnest(string_split(t, '|'))) AS s, generate_subscripts(string_split(t, '|'), 1) AS k FROM v), p AS (SELECT *, list_filter(list_transform(string_split(s, ','), lambda x: trim(x)), lambda x: x <> '') AS raw FROM g WHERE s <> ''),
+q AS (SELECT *, list_transform(raw, lambda x: lower(x)) AS low, raw[-1] AS z FROM p),
+r AS (SELECT i, k, coalesce(CASE WHEN len(raw) >= 3 AND upper(z) = z AND lower(z) <> z AND lower(z) NOT IN ({", ".join(f"'{c}'" for c in (*V.US_STATES, *V.CA_PROVINCES))}) THEN coalesce({_MAP(_CODES3)}[z], {_MAP(_CODES2)}[lower(z)]) END, CASE WHEN length(s) = 2 THEN {_MAP(_CODES2)}[lower(s)] END, {_LONGEST.format("names")}) AS a,
+  coalesce(CASE WHEN len(low) >= 3 THEN {_MAP(_CODES2)}[low[-1]] END, CASE WHEN len(low) = 2 AND low[1] NOT IN ({", ".join(f"'{c}'" for c in V.US_NAMESAKES)}) THEN {_MAP(V.CITIES)}[low[1]] END,
+    list_filter(list_transform(CASE WHEN len(low) = 2 THEN low[2:] ELSE low END, lambda x: {_MAP(_EITHER)}[x]), lambda x: x IS NOT NULL)[1], list_filter(list_transform(raw, lambda x: {_MAP(_CODES3)}[x]), lambda x: x IS NOT NULL)[1]) AS b, {_LONGEST.format("cities")} AS c FROM q),
+u AS (SELECT i, coalesce(arg_min(a, k) FILTER (a IS NOT NULL), arg_min(b, k) FILTER (b IS NOT NULL), arg_min(c, k) FILTER (c IS NOT NULL)) AS country FROM r GROUP BY i)
+SELECT s_suppkey, country FROM supplier JOIN u ON s_suppkey % {len(_LOCATIONS)} = i""")
 def country_guess(spark, sf):
-    said = ["Helsinki, Finland", "Birmingham, AL", "Amsterdam, NH, NL", "Milano, MI", "Berlin, DEU", "Remote", "Atlanta, Georgia, USA"]
-    v = spark.createDataFrame(list(enumerate(said)), "i int, s string")
-    n = Tables(spark, sf).supplier.join(F.broadcast(v), F.col("s_suppkey") % len(said) == F.col("i"))
+    v = spark.createDataFrame(list(enumerate(_LOCATIONS)), "i int, s string")
+    n = Tables(spark, sf).supplier.join(F.broadcast(v), F.col("s_suppkey") % len(_LOCATIONS) == F.col("i"))
     return n.select("s_suppkey", G.guess_country(F.col("s")).alias("country"))
 
 
-@query()
+_TEXT = r"regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style|noscript|template)\b[^>]*>.*?</(script|style|noscript|template)>', '', 'gsi')"
+_TEXT = rf"regexp_replace(regexp_replace({_TEXT}, '</?({'|'.join(sorted(P.BLOCKS))})\b[^>]*>', chr(10), 'gi'), '<[^>]*>', '', 'g')"
+for _a, _b in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&#39;", "chr(39)"), ("&nbsp;", "' '"), ("&amp;", "'&'")):
+    _TEXT = f"replace({_TEXT}, '{_a}', {_b})"
+
+
+@query(f"SELECT page_id, nullif(array_to_string(list_filter(list_transform(string_split({_TEXT}, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)), '') AS text FROM pages")
 def strip_html(spark, sf):
     return Tables(spark, sf).pages.select("page_id", P.strip_html(F.col("html")).alias("text"))
 
