@@ -112,3 +112,19 @@ def relative_day(text: Column, today: date) -> Column:
     for unit, days in ((r"days?|dias?", 1), (r"weeks?|semanas?", 7), (r"months?|m[eê]s(?:es)?", 30)):
         out = out.when(low.rlike(rf"\b(?:{unit})\b"), F.date_sub(F.lit(today), n * days))
     return out
+
+
+def parse_pt_date(value: Column, today: date) -> Column:
+    """The day of a Portuguese posting date: hoje, ontem, anteontem, "há 3 dias", "9 set" (this year's, or the last one's where it would lie ahead), "28 de Agosto de 2026", else as parse_date()."""
+    low = F.lower(F.regexp_replace(F.trim(value), r"\s+", " "))
+    now, relative, named = F.lit(today), r"h[áa]\s+([0-9]+)\s*(minuto|hora|dia|semana|m[êe]s|mes)", r"([0-9]{1,2})\s*(?:de\s+)?([a-zç]+)\.?(?:\s*(?:de\s+)?([0-9]{4}))?"
+    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    back = F.regexp_extract(low, relative, 1).try_cast("int") * F.coalesce(F.try_element_at(table(V.PT_DAYS), F.regexp_extract(low, relative, 2)), F.lit(30))
+    month = F.try_element_at(table(V.PT_MONTHS), F.left(F.regexp_extract(low, named, 2), F.lit(3)))
+    day, year = F.regexp_extract(low, named, 1), F.nullif(F.regexp_extract(low, named, 3), F.lit(""))
+    this = _day(F.lit(today.year), month, day)
+    spoken = F.when(year.isNotNull(), _day(year, month, day)).when(this > F.date_add(now, 1), _day(F.lit(today.year - 1), month, day)).otherwise(this)
+    return (
+        F.when(low.startswith("hoje"), now).when(low.startswith("anteontem"), F.date_sub(now, 2)).when(low.startswith("ontem"), F.date_sub(now, 1))
+        .when(low.rlike(relative), F.date_sub(now, back)).when(low.rlike(named) & month.isNotNull(), spoken).otherwise(parse_date(value).cast("date"))
+    )

@@ -6,7 +6,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from siftline.functions import vocabulary as V
 
@@ -52,9 +52,23 @@ def strip_html(html: pd.Series) -> pd.Series:
     return html.map(text_of_html)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _stripped(bodies: pd.Series) -> pd.Series:
+    return bodies.map(lambda b: [text_of_html(x) for x in b] if b is not None else None)
+
+
+def first_description(bodies: Column) -> Column:
+    """The first of an array of bodies that is prose."""
+    return F.get(F.filter(F.transform(F.arrays_zip(bodies.alias("raw"), _stripped(bodies).alias("bare")), lambda x: _prose(F.when(x["raw"].rlike(V.TAGS), x["bare"]).otherwise(x["raw"]))), lambda x: x.isNotNull()), 0)
+
+
 def clean_description(text: Column) -> Column:
     """Readable prose of a posting body, without tags where it has any; null for placeholders, of few letters, and for page shells, of many style rules."""
-    body = F.regexp_replace(F.when(text.rlike(V.TAGS), strip_html(text)).otherwise(text), r"^\s+|\s+$", "")
+    return _prose(F.when(text.rlike(V.TAGS), strip_html(text)).otherwise(text))
+
+
+def _prose(text: Column) -> Column:
+    body = F.regexp_replace(text, r"^\s+|\s+$", "")
     rules = F.aggregate(F.regexp_extract_all(body, F.lit(V.STYLE_RULE), F.lit(0)), F.lit(0), lambda n, x: n + F.length(x))
     letters = F.length(F.regexp_replace(body, r"\P{L}", ""))
     return F.when((letters >= V.LEAST_LETTERS) & (rules <= V.MOST_STYLE * F.length(body)), body)

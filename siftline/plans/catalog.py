@@ -774,3 +774,6 @@ SELECT user_id, count(*) AS n FROM i GROUP BY user_id, i""")
 def session_counts(spark, sf):
     e = Tables(spark, sf).events.withColumn("ts", F.col("ts").cast("timestamp"))
     return ST.sessions(e, "user_id", "ts", "6 hours", "1 hour").select("user_id", "n")
+
+
+from siftline.plans import extra as _extra  # noqa: E402,F401  registers its queries
