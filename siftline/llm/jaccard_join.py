@@ -44,12 +44,14 @@ REACH = 1.35
 LIST, BLOCK = 64, 16
 #: A frequent shingle's list is dealt to tasks of about so many sets, where each set is read against LEADERS leaders.
 DEALT, LEADERS = 4_096, 6
-#: Bits of the parity sketch that bounds the difference of two sets from below.
-SKETCH = 2_048
+#: Powers of two: bits of the parity sketch that bounds the difference of two sets from below. All have a brief one of LEAST_BITS.
+LEAST_BITS, MOST_BITS = 9, 20
 #: Postings that a task handles at a time, and pairs formed at once.
 POSTINGS, PAIRS = 1 << 16, 1 << 20
 #: Pairs of numbers (16 bytes) that may be broadcast.
 NUMBERS = 500_000
+#: Tasks for tables of short rows that are handled again and again, and rows of each beyond.
+TASKS, TASK_ROWS = 8, 100_000
 #: Bands of places in the prefix.
 PLACES = 4
 
@@ -74,9 +76,23 @@ def least_overlap(n: int, similar: int) -> int:
     return -(-n * similar // 100)
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Parity of the number of members in each of SKETCH bins: two sets differ in at least as many members as sketches in bits."""
-    return np.packbits((np.bincount((s >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
+def sketch(s: np.ndarray, bits: int) -> np.ndarray:
+    """Parity of the number of members in each of so many bins: two sets differ in at least as many members as sketches in bits."""
+    bins = (s >> np.uint64(40)).astype(np.int64) & (bits - 1)
+    return np.packbits((np.bincount(bins, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
+def sketch_bits(n: int) -> int:
+    """Bits for the sketch of a set: the power of two at or above its size, within bounds."""
+    return 1 << min(MOST_BITS, max(LEAST_BITS, (n - 1).bit_length()))
+
+
+def folded(words: np.ndarray, length: int) -> np.ndarray:
+    """Sketches (rows of words) as those of fewer bins: halves fall together."""
+    while words.shape[1] > length:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
 
 
 def _low_end(similar: int) -> np.uint64:
@@ -84,25 +100,26 @@ def _low_end(similar: int) -> np.uint64:
 
 
 def set_table(docs: DataFrame, k: int, similar: int) -> DataFrame:
-    """The columns of docs before its text, n, c (class of equal sets, null for empty ones), c8 (64 bits of it, for lists), sketch, and the shingles of the low range."""
+    """The columns of docs before its text, n, c (class of equal sets, null for empty ones), c8 (64 bits of it, for lists), sketch, brief sketch, and the shingles of the low range."""
     about = [c for c in docs.columns if c != "text"]
     top = _low_end(similar)
 
     def run(batches):
         for b in batches:
-            n, c, c8, sk, low = [], [], [], [], []
+            n, c, c8, sk, brief, low = [], [], [], [], [], []
             for _, s in doc_sets(b.column(len(about)), k):
                 n.append(len(s))
                 if not len(s):
-                    c.append(None), c8.append(None), sk.append(None), low.append(None)
+                    c.append(None), c8.append(None), sk.append(None), brief.append(None), low.append(None)
                     continue
                 c.append(class_of(s))
                 c8.append(int(c[-1][:16], 16) - (1 << 63))
-                sk.append(sketch(s))
+                sk.append(sketch(s, sketch_bits(len(s))))
+                brief.append(folded(sk[-1][None, :], 1 << LEAST_BITS - 6)[0])
                 low.append(s[: np.searchsorted(s, top)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(about)], pa.array(n, pa.int64()), pa.array(c, pa.string()), pa.array(c8, pa.int64()), pa.array(sk, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int64()))], names=[*about, "n", "c", "c8", "sketch", "low"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(about)], pa.array(n, pa.int64()), pa.array(c, pa.string()), pa.array(c8, pa.int64()), pa.array(sk, pa.list_(pa.int64())), pa.array(brief, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int64()))], names=[*about, "n", "c", "c8", "sketch", "brief", "low"])
 
-    schema = docs.select(*about).schema.add("n", "long").add("c", "string").add("c8", "long").add("sketch", ArrayType(LongType())).add("low", ArrayType(LongType()))
+    schema = docs.select(*about).schema.add("n", "long").add("c", "string").add("c8", "long").add("sketch", ArrayType(LongType())).add("brief", ArrayType(LongType())).add("low", ArrayType(LongType()))
     return stored(docs.select(*about, "text").mapInArrow(run, schema), "sets")
 
 
@@ -170,7 +187,7 @@ def postings(prefixes: DataFrame) -> DataFrame:
     """token, salt (0: a rare shingle's list; else the part of a list that is dealt out), n, c (64 bits of the class), pos (place in the prefix)."""
     p = prefixes.select("n", F.col("c8").alias("c"), F.posexplode("prefix").alias("pos", "e"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("e.freq") / DEALT)).cast("int")
-    salt = F.when(F.col("e.freq") > 0, 1 + F.pmod(F.xxhash64("c"), parts)).otherwise(0).cast("int")
+    salt = F.when(F.col("e.freq") > 0, 1 + F.pmod(F.xxhash64("c", "e.token"), parts)).otherwise(0).cast("int")
     return p.select(F.col("e.token").alias("token"), salt.alias("salt"), "n", "c", "pos")
 
 
@@ -264,8 +281,12 @@ def bounded(pairs: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
             if not t.num_rows:
                 continue
             n = t.column(2).to_numpy() + t.column(3).to_numpy()
-            x, y = (t.column(i).flatten().to_numpy().view(np.uint64).reshape(t.num_rows, -1) for i in (4, 5))
-            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            offsets = [t.column(i).offsets.to_numpy() for i in (4, 5)]
+            sizes, differ = [np.diff(o) for o in offsets], np.zeros(t.num_rows, np.int64)
+            for lengths in np.unique(np.stack(sizes, 1), axis=0).tolist():
+                rows = np.flatnonzero((sizes[0] == lengths[0]) & (sizes[1] == lengths[1]))
+                x, y = (folded(t.column(4 + i).values.to_numpy().view(np.uint64)[offsets[i][rows][:, None] + np.arange(lengths[i])[None, :]], min(lengths)) for i in (0, 1))
+                differ[rows] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
             yield t.select(["a", "b"]).filter(pa.array(100 * (n - differ) >= similar * (n + differ)))  # the intersection is (n - d) / 2, the union (n + d) / 2
 
     bound_batches(spark, POSTINGS)
@@ -301,30 +322,35 @@ def exact(pairs: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFrame:
 
 
 def resolved(pairs: DataFrame, links: DataFrame | None, comps: DataFrame | None, docs: DataFrame, k: int, similar: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """(links, components) with what pairs add: first each class is compared with the least of its partners, then only pairs across the components that this leaves."""
+    """(links, components) with what pairs add. Without components yet, each class is first compared with the least of its partners; then only pairs across the components that there are."""
     def across_(p: DataFrame) -> DataFrame:
         if comps is None:
             return p
         of = lambda e: comps.select(F.col("c").alias(e), F.col("label").alias(f"{e}_of"))
         return p.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("a_of", "a") != F.coalesce("b_of", "b")).select("a", "b", "a_rep", "b_rep")
 
-    tested = None
-    for turn in range(2):
+    tested, n, first = None, pairs.count(), comps is None
+    for turn in ("least", "all") if first else ("all",):
         left = across_(pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        if not turn:
+        if turn == "least":
             left = left.groupBy("b").agg(F.min(F.struct("a", "a_rep", "b_rep")).alias("x")).select("x.a", "b", "x.a_rep", "x.b_rep")
-        left = stored(left, "compared")
+        left = stored(_sized(left, n), "compared")
         if not left.isEmpty():
             found = exact(left, docs, k, similar)
             links = found if links is None else links.union(found)
             comps = components(links)
-        if tested is not None:
-            dropped(left)
-        tested = left if tested is None else tested
-    dropped(tested, pairs)
+        if turn == "all":
+            dropped(left, tested)
+        tested = left
+    dropped(pairs)
     return links, comps
 
 
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    """df, of about so many short rows, in as many tasks as they ask for, TASKS at least."""
+    return df.coalesce(TASKS + rows // TASK_ROWS)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(c, label) for the ends of links(a, b) but the smallest of each component: label is that smallest name.
 
@@ -333,26 +359,25 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = stored(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     named = None
-    while not edges.isEmpty():
-        jump = stored(edges.groupBy(F.col("v").alias("c")).agg(F.min("u").alias("label")), "labels")
+    while n := edges.count():
+        jump = stored(_sized(edges.groupBy(F.col("v").alias("c")).agg(F.min("u").alias("label")), n), "labels")
         while True:  # to the end of each chain
             on = jump.select(F.col("c").alias("label"), F.col("label").alias("_next"))
-            after = stored(jump.join(on, "label", "left").select("c", F.coalesce("_next", "label").alias("label"), F.col("_next").isNotNull().alias("moved")), "labels")
+            after = jump.select("c", "label").join(on, "label", "left").select("c", F.coalesce("_next", "label").alias("label"), F.col("_next").isNotNull().alias("moved"))
+            after = stored(_sized(after, n), "labels")
             dropped(jump)
             jump = after
             if jump.filter("moved").isEmpty():
                 break
-            jump = after.select("c", "label")
-            jump.stored_at = after.stored_at
-        jump_ = jump.select("c", "label")
-        to = lambda end: jump_.select(F.col("c").alias(end), F.col("label").alias(f"{end}_to"))
+        heads = jump.select("c", "label")
+        to = lambda end: heads.select(F.col("c").alias(end), F.col("label").alias(f"{end}_to"))
         moved = edges.join(to("u"), "u", "left").join(to("v"), "v", "left").select(F.coalesce("u_to", "u").alias("u"), F.coalesce("v_to", "v").alias("v"))
-        rest = stored(moved.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+        rest = stored(_sized(moved.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), n), "edges")
         if named is None:
-            named = jump_
+            named = heads
         else:
-            on = jump_.select(F.col("c").alias("label"), F.col("label").alias("_next"))
-            named = stored(named.join(on, "label", "left").select("c", F.coalesce("_next", "label").alias("label")).unionByName(jump_), "labels")
+            on = heads.select(F.col("c").alias("label"), F.col("label").alias("_next"))
+            named = stored(_sized(named.join(on, "label", "left").select("c", F.coalesce("_next", "label").alias("label")).unionByName(heads), n), "labels")
         dropped(edges)
         edges = rest
     dropped(edges)
@@ -360,25 +385,30 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _differ(x: Column, y: Column) -> Column:
-    """Bits in which two sketches differ."""
-    return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    """Bits in which two brief sketches differ."""
+    return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range((1 << LEAST_BITS) // 64)), F.lit(0))
 
 
-def across(hot: DataFrame, classes: DataFrame, comps: DataFrame | None, similar: int) -> DataFrame:
-    """Pairs (a, b) across components from the lists of frequent shingles: all that sizes, places and sketches allow.
+def listed(hot: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
+    """The postings of frequent shingles with their sets' names and brief sketches, and bands of size and place."""
+    prefix = (F.col("n") - F.ceil(F.col("n") * similar / 100) + 1).cast("int")
+    p = hot.select("token", "n", F.col("c").alias("c8"), "pos", F.floor(F.log("n") / log(100 / similar)).cast("int").alias("band"), F.floor(PLACES * F.col("pos") / prefix).cast("int").alias("place"))
+    return stored(p.join(classes.select("c8", "c", F.col("brief").alias("sketch")), "c8"), "long_lists")
+
+
+def across(lists: DataFrame, comps: DataFrame | None, similar: int, step: str) -> DataFrame:
+    """Pairs (a, b) across components from the lists of frequent shingles.
 
     The sets of a list, component, size band and place band are a group behind its least set, with a radius in bits of
     the sketch. The sketches' distance is a metric, so groups whose leaders are farther apart than the threshold and
-    both radii allow have no link across.
+    both radii allow have no link across. Of the other pairs of groups come, by step: "leaders" only, "members" with
+    the other's leader, or "all" that sizes, places and sketches allow.
     """
-    prefix = (F.col("n") - F.ceil(F.col("n") * similar / 100) + 1).cast("int")
-    about = (classes.withColumn("label", F.lit(None).cast("string")) if comps is None else classes.join(comps, "c", "left")).select(F.col("c8").alias("c"), "sketch", F.coalesce("label", "c").alias("label"))
-    p = hot.select("token", "n", "c", "pos", F.floor(F.log("n") / log(100 / similar)).cast("int").alias("band"), F.floor(PLACES * F.col("pos") / prefix).cast("int").alias("place"))
-    p = stored(p.join(about, "c"), "long_lists")
+    p = lists.withColumn("label", F.col("c")) if comps is None else lists.join(comps, "c", "left").withColumn("label", F.coalesce("label", "c"))
     mixed = stored(p.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token"), "mixed_lists")
     p = p.join(small(mixed, mixed.count()), "token", "left_semi")
     keys = ["token", "band", "place", "label"]
-    groups = stored(p.groupBy(*keys).agg(F.min(F.struct("c", "sketch")).alias("lead"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max(F.col("n") - F.col("pos")).alias("room")), "leads")
+    groups = stored(p.groupBy(*keys).agg(F.min(F.struct("c", "c8", "sketch")).alias("lead"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max(F.col("n") - F.col("pos")).alias("room")), "leads")
     radius = p.join(groups.select(*keys, "lead"), keys).groupBy(*keys).agg(F.max(_differ(F.col("sketch"), F.col("lead.sketch"))).alias("radius"))
     groups = stored(groups.join(radius, keys), "groups")
     x = groups.select(*[F.col(c).alias(f"x_{c}") for c in groups.columns]).withColumn("y_band", F.explode(F.array(*[F.col("x_band") + i for i in (-1, 0, 1)])))
@@ -387,14 +417,21 @@ def across(hot: DataFrame, classes: DataFrame, comps: DataFrame | None, similar:
     places = F.least("x_room", "y_room") * (100 + similar) >= similar * (F.col("x_n_lo") + F.col("y_n_lo"))
     reach = (_differ(F.col("x_lead.sketch"), F.col("y_lead.sketch")) - F.col("x_radius") - F.col("y_radius")) * (100 + similar) <= (100 - similar) * (F.col("x_n_hi") + F.col("y_n_hi"))
     met = x.join(y, ["x_token", "y_band"]).filter((F.col("x_label") < F.col("y_label")) & sizes & places & reach)
-    met = stored(met.select("x_token", *[f"{e}_{c}" for e in "xy" for c in ("band", "place", "label")]), "near_groups")
-    member = lambda e: p.select(F.col("token").alias("x_token"), *[F.col(c).alias(f"{e}_{c}") for c in ("band", "place", "label", "n", "c", "pos", "sketch")])
-    both = met.join(member("x"), ["x_token", "x_band", "x_place", "x_label"]).join(member("y"), ["x_token", "y_band", "y_place", "y_label"])
-    size = (100 * F.least("x_n", "y_n") >= similar * F.greatest("x_n", "y_n"))
-    place = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) * (100 + similar) >= similar * (F.col("x_n") + F.col("y_n"))
-    differ = _differ(F.col("x_sketch"), F.col("y_sketch"))
-    near = 100 * (F.col("x_n") + F.col("y_n") - differ) >= similar * (F.col("x_n") + F.col("y_n") + differ)
-    return both.filter(size & place & near).select(F.least("x_c", "y_c").alias("a"), F.greatest("x_c", "y_c").alias("b")).distinct()
+    met = stored(met.select("x_token", *[f"{e}_{c}" for e in "xy" for c in ("band", "place", "label")], F.col("x_lead.c8").alias("x_lead"), F.col("y_lead.c8").alias("y_lead")), "near_groups")
+    member = lambda e: p.select(F.col("token").alias("x_token"), *[F.col(c).alias(f"{e}_{c}") for c in ("band", "place", "label", "n", "c8", "pos", "sketch")])
+    xs, ys = (met.join(member(e), ["x_token", f"{e}_band", f"{e}_place", f"{e}_label"]) for e in "xy")
+    if step == "leaders":
+        pairs = met.select(F.col("x_lead").alias("x"), F.col("y_lead").alias("y"))
+    elif step == "members":
+        pairs = xs.select(F.col("x_c8").alias("x"), F.col("y_lead").alias("y")).distinct().unionByName(ys.select(F.col("x_lead").alias("x"), F.col("y_c8").alias("y")).distinct())
+    else:
+        both = xs.join(member("y"), ["x_token", "y_band", "y_place", "y_label"])
+        size = 100 * F.least("x_n", "y_n") >= similar * F.greatest("x_n", "y_n")
+        place = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) * (100 + similar) >= similar * (F.col("x_n") + F.col("y_n"))
+        differ = _differ(F.col("x_sketch"), F.col("y_sketch"))
+        near = 100 * (F.col("x_n") + F.col("y_n") - differ) >= similar * (F.col("x_n") + F.col("y_n") + differ)
+        pairs = both.filter(size & place & near).select(F.col("x_c8").alias("x"), F.col("y_c8").alias("y"))
+    return stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
 
 
 def _joined(docs: DataFrame, k: int, similar: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -404,7 +441,7 @@ def _joined(docs: DataFrame, k: int, similar: int) -> tuple[DataFrame, DataFrame
     filled = sets.filter("c is not null")
     copies = stored(filled.groupBy("c").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("docs")).filter("docs > 1"), "copies")
     n_copies = copies.count()
-    about = ["c8", "n", "sketch", "low"]
+    about = ["c8", "n", "sketch", "brief", "low"]
     alone = filled.join(small(copies.select("c"), n_copies), "c", "left_anti").select("c", *about, F.col("doc_id").alias("rep"), F.lit(1).cast("long").alias("docs"))
     several = filled.join(small(copies, n_copies), "c").groupBy("c").agg(*[F.first(x).alias(x) for x in (*about, "rep", "docs")])  # a row a class and task
     classes = stored(alone.unionByName(several), "classes")
@@ -418,9 +455,14 @@ def _joined(docs: DataFrame, k: int, similar: int) -> tuple[DataFrame, DataFrame
     dropped(found)
     hot = postings(long_).filter("salt > 0")
     if not hot.isEmpty():
-        more = stored(across(hot, classes, comps, similar), "candidates")
-        links, comps = resolved(bounded(more, classes, similar), links, comps, docs, k, similar)
-        dropped(more)
+        lists = listed(hot, classes, similar)
+        for step in ("leaders", "members", "all"):  # each on the components that the one before it left
+            more = across(lists, comps, similar, step)
+            if more.isEmpty():
+                break
+            links, comps = resolved(bounded(more, classes, similar), links, comps, docs, k, similar)
+            dropped(more)
+        dropped(lists)
     if links is None:
         links, comps = spark.createDataFrame([], "a string, b string"), spark.createDataFrame([], "c string, label string")
     named = classes.select("c", "rep", "docs").join(comps, "c", "left").withColumn("label", F.coalesce("label", "c"))
