@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from siftline.functions import text as T, vocabulary as V
+from siftline.operators.joins import look_up
 
 
 def keyed(df: DataFrame, company: str, title: str, key: str, aliases: DataFrame | None = None) -> DataFrame:
@@ -14,7 +17,7 @@ def keyed(df: DataFrame, company: str, title: str, key: str, aliases: DataFrame
     df = df.withColumn("_title", T.alnum_key(F.col(title))).withColumn("_company", F.when(F.coalesce(F.trim(company), F.lit("")) != "", own))
     if aliases is not None:
         a = aliases.select(T.company_key(F.col("alias")).alias("_company"), T.company_key(F.col("name")).alias("_name"))
-        df = df.join(F.broadcast(a), "_company", "left").withColumn("_company", F.coalesce("_name", "_company")).drop("_name")
+        df = look_up(df, a.dropDuplicates(["_company"]), "_company").withColumn("_company", F.coalesce("_name", "_company")).drop("_name")
     return df.withColumn("_group", F.when(F.col("_company").isNull(), F.concat(F.lit("\u0001"), F.col(key).cast("string"))).otherwise(F.col("_company")))
 
 
@@ -50,5 +53,8 @@ def dedupe(df: DataFrame, key: str = "id", company: str = "company", title: str
 
 def later_copies(df: DataFrame, keys: list[str], order: list[str], key: str) -> DataFrame:
     """Each later row of a key beside the first one."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).withColumn("first_id", F.first(key).over(w)).filter("_n > 1").select("first_id", F.col(key).alias("copy_id"))
+    at = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(key).alias("key"))
+    first = df.groupBy(*keys).agg(F.min(at).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")  # a row a key and task
+    same = [F.col(f"_d.{k}").eqNullSafe(F.col(f"_f.{k}")) for k in keys]
+    both = df.withColumn("_at", at).alias("_d").join(first.alias("_f"), reduce(and_, same)).filter(F.col("_at") > F.col("_first"))
+    return both.select(F.col("_first.key").alias("first_id"), F.col(f"_d.{key}").alias("copy_id"))

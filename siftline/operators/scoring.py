@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftline.functions import text as T, vocabulary as V
+from siftline.operators.joins import look_up
 
 
 def query_terms(texts: DataFrame, weight: str = "weight", text: str = "text") -> DataFrame:
@@ -55,7 +56,7 @@ def effective(rank: Column, refine: Column, off: Column) -> Column:
 
 def weighted_criteria(df: DataFrame, keys: list[str], criterion: str, value: str, weights: DataFrame) -> DataFrame:
     """Weighted mean of the criteria that are present; null where their weights sum to 0."""
-    return df.join(F.broadcast(weights), criterion).groupBy(*keys).agg(F.try_divide(F.sum(F.col(value) * F.col("weight")), F.sum("weight")).alias("weighted"))
+    return look_up(df, weights, criterion, "inner").groupBy(*keys).agg(F.try_divide(F.sum(F.col(value) * F.col("weight")), F.sum("weight")).alias("weighted"))
 
 
 def costs(usage: DataFrame, model: str, prices: dict[str, tuple[float, float]] = V.PRICES) -> DataFrame:

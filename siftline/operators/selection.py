@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from siftline.operators.joins import look_up
+
 
 def violations(parts: DataFrame, chosen: DataFrame, limits: DataFrame) -> DataFrame:
     """slot, part_id, problem: unknown, twice, too many, empty. parts: slot, part_id; chosen: slot, part_id; limits: slot, most, least."""
@@ -22,7 +24,7 @@ def defaults(parts: DataFrame, limits: DataFrame) -> DataFrame:
     flagged = F.max(F.col("is_default").cast("int")).over(Window.partitionBy("slot")) == 1
     pool = parts.withColumn("_f", flagged).filter(~F.col("_f") | F.col("is_default"))
     place = F.row_number().over(Window.partitionBy("slot").orderBy("position", "part_id"))
-    return pool.withColumn("_n", place).join(F.broadcast(limits.select("slot", "most")), "slot").filter("_n <= most").select("slot", "part_id", F.col("_n").alias("position"))
+    return look_up(pool.withColumn("_n", place), limits.select("slot", "most"), "slot", "inner").filter("_n <= most").select("slot", "part_id", F.col("_n").alias("position"))
 
 
 def resolved(parts: DataFrame, chosen: DataFrame) -> DataFrame:

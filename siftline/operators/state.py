@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from siftline.operators.joins import look_up
+
 
 def scan(df: DataFrame, *, source: tuple[str, str] | None = None, since: tuple[str, Column] | None = None, ids: tuple[DataFrame, str] | None = None) -> DataFrame:
     """Rows of a source, since a time, of a list of ids: predicates go down to the files, the list is a semi-join."""
@@ -74,7 +76,7 @@ def misses(seen: DataFrame, runs: DataFrame, key: str, run: str) -> DataFrame:
     order = Window.orderBy(run)  # a row a run
     numbered = runs.select(run).distinct().withColumn("_n", F.row_number().over(order))
     total = numbered.agg(F.max("_n").alias("_total"))
-    return last.join(F.broadcast(numbered), F.col("last_run") == F.col(run)).join(F.broadcast(total)).select(key, "last_run", (F.col("_total") - F.col("_n")).cast("long").alias("missed_runs"))
+    return look_up(last, numbered, F.col("last_run") == F.col(run), "inner").join(F.broadcast(total)).select(key, "last_run", (F.col("_total") - F.col("_n")).cast("long").alias("missed_runs"))
 
 
 def last_good_run(runs: DataFrame, flagged: DataFrame, before: Column | int) -> DataFrame:

@@ -156,16 +156,15 @@ def path(value: Column, where: str, kind: str = "string") -> Column:
 
 
 def records(payloads: DataFrame, where: str = "$") -> DataFrame:
-    """url, record (variant): the array at a path of each payload, a row an element. Payloads that are no JSON give none."""
-    spark = payloads.sparkSession
+    """page_url, pos, record (variant): the array at a path of each payload, a row an element. Payloads that are no JSON give none."""
     v = payloads.select("url", F.try_parse_json("payload").alias("v")).select("url", F.try_variant_get("v", where, "variant").alias("v")).filter("v is not null")
-    v.createOrReplaceTempView("_siftline_payloads")
-    return spark.sql("SELECT url AS page_url, value AS record FROM _siftline_payloads, LATERAL variant_explode(v)")
+    each = v.lateralJoin(payloads.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    return each.select(F.col("url").alias("page_url"), "pos", F.col("value").alias("record"))
 
 
-def postings(rows: DataFrame, source: str, **fields: Column) -> DataFrame:
-    """rows as postings: named fields, the others null; texts cleaned; rows without id or title left out."""
-    out = []
+def postings(rows: DataFrame, source: str, _order: Column | None = None, **fields: Column) -> DataFrame:
+    """rows as postings: named fields, the others null; texts cleaned; rows without id or title left out. _order: kept as a column, to tell copies apart."""
+    out = [] if _order is None else [_order.alias("_order")]
     for part in POSTING.split(", "):
         name, kind = part.split(" ")
         value = F.lit(source) if name == "source" else fields.get(name, F.lit(None))

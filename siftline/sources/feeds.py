@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from siftline.operators.joins import look_up
 from siftline.functions import dates as D, parsers as P, places as G, text as T
 from siftline.sources.connector import Adapter, path, postings, records, register
 
@@ -83,8 +84,9 @@ def json_feed(name: str, at: str, *, fields: dict[str, str], tags: str | None =
         get.setdefault("remote", T.remote_kind(F.concat_ws(" ", get["title"], place), flag))
         if tags:
             get["tags"] = strings(F.try_variant_get("record", tags, "variant"))
-        out = postings(r if keep is None else r.filter(F.expr(keep)), name, **get)
-        return out.dropDuplicates(["source_id"])
+        out = postings(r if keep is None else r.filter(F.expr(keep)), name, _order=F.struct("page_url", "pos"), **get)
+        first = out.groupBy("source_id").agg(F.min_by(F.struct(*out.columns), "_order").alias("_row"))  # the copy on the first page, that stands first there
+        return first.select("_row.*").drop("_order")
 
     return register(Adapter(name, parse, f"JSON records at {at}", complete_listing=True))
 
@@ -98,12 +100,12 @@ json_feed("jsonfeed", "$.items", fields={"source_id": "$.id", "url": "$.url", "t
 
 
 def parse_dimension(pages: DataFrame, places: DataFrame, default_country: str = "EE") -> DataFrame:
-    """Fact records whose town, county and country are ids of a dimension (kind, id, name): three broadcast look-ups."""
+    """Fact records whose town, county and country are ids of a dimension (kind, id, name): three look-ups."""
     r = records(pages, "$.vacancies")
     v = r.select("record", *[path(F.col("record"), f"$.{k}Id", "long").alias(k) for k in ("town", "county", "country")])
     for kind in ("town", "county", "country"):
         dim = places.filter(F.col("kind") == kind).select(F.col("id").alias(kind), F.col("name").alias(f"{kind}_name"))
-        v = v.join(F.broadcast(dim), kind, "left")
+        v = look_up(v, dim, kind)
     return postings(
         v, "dimension", source_id=path(F.col("record"), "$.id"), title=path(F.col("record"), "$.positionTitle"), company=path(F.col("record"), "$.employerName"), city=F.col("town_name"),
         location_raw=F.concat_ws(", ", "town_name", "county_name", "country_name"), country=F.coalesce(G.guess_country(F.col("country_name")), F.lit(default_country)),
