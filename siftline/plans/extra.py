@@ -89,17 +89,17 @@ _AGO = {"3 days ago": 3, "Yesterday": 1, "Today": 0, "30+ days ago": 30, "2 week
 def _expected(samples: dict) -> str:
     """SQL of the sample's day: the days back from TODAY, or the day itself."""
     days = [f"WHEN {i} THEN " + ("CAST(NULL AS DATE)" if x is None else f"DATE '{x}'" if isinstance(x, str) else f"DATE '{TODAY}' - {x}") for i, x in enumerate(samples.values())]
-    return "CASE i " + " ".join(days) + " END AS day"
+    return "CAST(CASE i " + " ".join(days) + " END AS VARCHAR) AS day"
 
 
 @query(_of_parts(list(_PT), _expected(_PT)))
 def portuguese_dates(spark, sf):
-    return _over_parts(spark, sf, list(_PT), day=DT.parse_pt_date(F.col("s"), TODAY))
+    return _over_parts(spark, sf, list(_PT), day=DT.parse_pt_date(F.col("s"), TODAY).cast("string"))
 
 
 @query(_of_parts(list(_AGO), _expected(_AGO)))
 def relative_dates(spark, sf):
-    return _over_parts(spark, sf, list(_AGO), day=DT.relative_day(F.col("s"), TODAY))
+    return _over_parts(spark, sf, list(_AGO), day=DT.relative_day(F.col("s"), TODAY).cast("string"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'remote' WHEN 1 THEN 'FI/EE' WHEN 2 THEN 'EU/EEA' WHEN 3 THEN 'extended' ELSE '?' END AS tier, CASE WHEN p_size = 1 THEN 'closes today' ELSE 'closes in ' || (p_size - 1) || ' days' END AS closes, 'screen: score ' || p_size || ', ' || p_brand AS gate, replace(lower(p_name), '_', ' ') AS label FROM part")
