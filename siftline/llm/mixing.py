@@ -80,11 +80,11 @@ def plan(sizes: list[int], weights=WEIGHTS, cap: int = CAP, shards: int = SHARDS
     return {"target": goal, "quotas": [[b - a for a, b in zip(*pair)] for pair in zip(marks, marks[1:])]}
 
 
-def mixture(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights=WEIGHTS, cap: int = CAP, seed: int = SEED, shards: int = SHARDS, block: int = BLOCK) -> tuple[DataFrame, dict]:
-    """(docs in a column _row, with size, source_size, target, taken, taken_by_shard, and _from and _ends for the places taken; the plan)."""
+def mixture(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights=WEIGHTS, cap: int = CAP, seed: int = SEED, shards: int = SHARDS, block: int = BLOCK, keep: list[str] | None = None) -> tuple[DataFrame, dict]:
+    """(docs, or their columns to keep, in a column _row, with size, source_size, target, taken, taken_by_shard, and _from and _ends for the places taken; the plan)."""
     spark = docs.sparkSession
     held = docs.select(
-        F.struct(*docs.columns).alias("_row"), n_words(F.col(text)).alias("size"),
+        F.struct(*(keep or docs.columns)).alias("_row"), n_words(F.col(text)).alias("size"),
         F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")).alias("_source"),
         keyed_hash(seed, F.col(doc_id).cast("string"), F.col(text)).alias("_hash"), F.col(doc_id).cast("string").alias("_id"),
     )
@@ -116,7 +116,7 @@ def mixture(docs: DataFrame, text: str = "text", source: str = "source", doc_id:
 
 def mix_report(docs: DataFrame, **names) -> DataFrame:
     """A row a document: size, its source's size and target, and the words that the mix takes of it, in all and by output shard."""
-    laid, _ = mixture(docs.select("doc_id", "text", "source"), **names)
+    laid, _ = mixture(docs.select("doc_id", "text", "source"), keep=["doc_id"], **names)
     return laid.select("_row.doc_id", "size", "source_size", "target", "taken", "taken_by_shard")
 
 
