@@ -12,8 +12,8 @@ Index skipping. A list holds the sets of a shingle by size and place in the pref
 a pair of blocks whose sizes or places cannot reach the threshold is skipped before any pair of sets is formed. Lists
 of rare shingles have LIST sets at most and are read by themselves.
 
-Answer skipping. Lists of frequent shingles are dealt out by their counts, and each set is read there against leaders
-only. Sets that are linked by then share their answer (a component). For the answers across components, the sets of a
+Answer skipping. Lists of frequent shingles are dealt out by their counts, and each set is read against leaders only,
+in the lists of its FIRST rarest ones. Sets that are linked by then share their answer (a component). For the answers across components, the sets of a
 list, component, size band and place band stand behind one of them: its distances to others, less the largest distances
 of those behind it, decide whether they can have answers in common at all, and only then sets are compared one by one.
 No link is lost: a pair that shares a prefix shingle and may reach the threshold is verified exactly, or is in one
@@ -43,7 +43,9 @@ REACH = 1.35
 #: Shingles in more sets than this are frequent; BLOCK sets of a list are skipped at once.
 LIST, BLOCK = 64, 16
 #: A frequent shingle's list is dealt to tasks of about so many sets, where each set is read against LEADERS leaders.
-DEALT, LEADERS = 4_096, 6
+DEALT, LEADERS = 4_096, 3
+#: Lists of frequent shingles that a set is read in first: the rarest of them.
+FIRST = 2
 #: Powers of two: bits of the parity sketch that bounds the difference of two sets from below. All have a brief one of LEAST_BITS.
 LEAST_BITS, MOST_BITS = 9, 20
 #: Postings that a task handles at a time, and pairs formed at once.
@@ -157,7 +159,7 @@ def _counted(lists: DataFrame, column: str, label: str) -> DataFrame:
     hot = stored(each.join(small(often, n, NUMBERS), "token").groupBy("c8").agg(F.collect_list(F.struct("freq", "token")).alias("hot")), f"{label}_of_sets")
     dropped(often)
     rows, entries = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("hot")), F.lit(0))).first()
-    out = lists.join(small(hot, rows + entries, NUMBERS), "c8", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<struct<freq:bigint,token:bigint>>")))
+    out = lists.join(small(hot, rows + entries), "c8", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<struct<freq:bigint,token:bigint>>")))
     return out.withColumn("rare", F.when(F.size("hot") == 0, F.col(column)).otherwise(F.array_except(column, F.col("hot.token"))))
 
 
@@ -183,9 +185,10 @@ def _beyond(x: Column, bound: int) -> Column:
     return (x >= bound) | (x < 0) if bound >= 0 else (x >= bound) & (x < 0)
 
 
-def postings(prefixes: DataFrame) -> DataFrame:
-    """token, salt (0: a rare shingle's list; else the part of a list that is dealt out), n, c (64 bits of the class), pos (place in the prefix)."""
-    p = prefixes.select("n", F.col("c8").alias("c"), F.posexplode("prefix").alias("pos", "e"))
+def postings(prefixes: DataFrame, first: int | None = None) -> DataFrame:
+    """token, salt (0: a rare shingle's list; else the part of a list that is dealt out), n, c (64 bits of the class), pos (place in the prefix). first: so many frequent shingles of each set."""
+    upto = F.lit(None).cast("int") if first is None else F.size(F.filter("prefix", lambda e: e["freq"] == 0)) + first
+    p = prefixes.select("n", F.col("c8").alias("c"), upto.alias("upto"), F.posexplode("prefix").alias("pos", "e")).filter("upto is null or pos < upto")
     parts = F.greatest(F.lit(1), F.ceil(F.col("e.freq") / DEALT)).cast("int")
     salt = F.when(F.col("e.freq") > 0, 1 + F.pmod(F.xxhash64("c", "e.token"), parts)).otherwise(0).cast("int")
     return p.select(F.col("e.token").alias("token"), salt.alias("salt"), "n", "c", "pos")
@@ -213,10 +216,10 @@ def _block_pairs(starts: np.ndarray, k: int, n: np.ndarray, p: np.ndarray, simil
 
 
 def _leader_pairs(start: int, m: int):
-    """Pairs of rows of one long list: each set with leaders of its block, of its neighbours and of blocks farther on, and leaders with the next."""
+    """Pairs of rows of one long list, by size and place: each set with the leaders of its block and its neighbours, and leaders with the next."""
     i = np.arange(m)
     for r in range(LEADERS):
-        yield start + i, start + np.clip((i // LIST) * LIST + (r - 1) * LIST if r < 3 else (i // LIST) * LIST + (r * 17) % LIST, 0, m - 1)
+        yield start + i, start + np.clip((i // LIST + r - LEADERS // 2) * LIST, 0, (m - 1) // LIST * LIST)
     lead = np.arange(0, m, LIST)
     yield start + lead[:-1], start + lead[1:]
 
@@ -401,14 +404,15 @@ def across(lists: DataFrame, comps: DataFrame | None, similar: int, step: str) -
 
     The sets of a list, component, size band and place band are a group behind its least set, with a radius in bits of
     the sketch. The sketches' distance is a metric, so groups whose leaders are farther apart than the threshold and
-    both radii allow have no link across. Of the other pairs of groups come, by step: "leaders" only, "members" with
-    the other's leader, or "all" that sizes, places and sketches allow.
+    both radii allow have no link across. Of the other pairs of groups come, by step: "leaders" only; the "members" of
+    groups of several with the other's leader; or "all" of two groups of several that sizes, places and sketches allow.
+    Components only grow, so a set that is alone in a step was alone before, and was compared there.
     """
     p = lists.withColumn("label", F.col("c")) if comps is None else lists.join(comps, "c", "left").withColumn("label", F.coalesce("label", "c"))
     mixed = stored(p.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token"), "mixed_lists")
     p = p.join(small(mixed, mixed.count()), "token", "left_semi")
     keys = ["token", "band", "place", "label"]
-    groups = stored(p.groupBy(*keys).agg(F.min(F.struct("c", "c8", "sketch")).alias("lead"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max(F.col("n") - F.col("pos")).alias("room")), "leads")
+    groups = stored(p.groupBy(*keys).agg(F.min(F.struct("c", "c8", "sketch", "n")).alias("lead"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max(F.col("n") - F.col("pos")).alias("room"), F.count(F.lit(1)).alias("sets")), "leads")
     radius = p.join(groups.select(*keys, "lead"), keys).groupBy(*keys).agg(F.max(_differ(F.col("sketch"), F.col("lead.sketch"))).alias("radius"))
     groups = stored(groups.join(radius, keys), "groups")
     x = groups.select(*[F.col(c).alias(f"x_{c}") for c in groups.columns]).withColumn("y_band", F.explode(F.array(*[F.col("x_band") + i for i in (-1, 0, 1)])))
@@ -417,20 +421,23 @@ def across(lists: DataFrame, comps: DataFrame | None, similar: int, step: str) -
     places = F.least("x_room", "y_room") * (100 + similar) >= similar * (F.col("x_n_lo") + F.col("y_n_lo"))
     reach = (_differ(F.col("x_lead.sketch"), F.col("y_lead.sketch")) - F.col("x_radius") - F.col("y_radius")) * (100 + similar) <= (100 - similar) * (F.col("x_n_hi") + F.col("y_n_hi"))
     met = x.join(y, ["x_token", "y_band"]).filter((F.col("x_label") < F.col("y_label")) & sizes & places & reach)
-    met = stored(met.select("x_token", *[f"{e}_{c}" for e in "xy" for c in ("band", "place", "label")], F.col("x_lead.c8").alias("x_lead"), F.col("y_lead.c8").alias("y_lead")), "near_groups")
+    met = stored(met.select("x_token", *[f"{e}_{c}" for e in "xy" for c in ("band", "place", "label")], "x_lead", "y_lead", (F.col("x_sets") > 1).alias("x_more"), (F.col("y_sets") > 1).alias("y_more")), "near_groups")
     member = lambda e: p.select(F.col("token").alias("x_token"), *[F.col(c).alias(f"{e}_{c}") for c in ("band", "place", "label", "n", "c8", "pos", "sketch")])
-    xs, ys = (met.join(member(e), ["x_token", f"{e}_band", f"{e}_place", f"{e}_label"]) for e in "xy")
+    xs, ys = (met.filter(f"{e}_more").join(member(e), ["x_token", f"{e}_band", f"{e}_place", f"{e}_label"]) for e in "xy")
+
+    def near(n: Column, other: Column, x: Column, y: Column) -> Column:
+        differ = _differ(x, y)
+        return (100 * F.least(n, other) >= similar * F.greatest(n, other)) & (100 * (n + other - differ) >= similar * (n + other + differ))
+
     if step == "leaders":
-        pairs = met.select(F.col("x_lead").alias("x"), F.col("y_lead").alias("y"))
+        pairs = met.select(F.col("x_lead.c8").alias("x"), F.col("y_lead.c8").alias("y"))
     elif step == "members":
-        pairs = xs.select(F.col("x_c8").alias("x"), F.col("y_lead").alias("y")).distinct().unionByName(ys.select(F.col("x_lead").alias("x"), F.col("y_c8").alias("y")).distinct())
+        beside = lambda p, e, o: p.filter(near(F.col(f"{e}_n"), F.col(f"{o}_lead.n"), F.col(f"{e}_sketch"), F.col(f"{o}_lead.sketch"))).select(F.col(f"{e}_c8").alias("x"), F.col(f"{o}_lead.c8").alias("y"))
+        pairs = beside(xs, "x", "y").unionByName(beside(ys, "y", "x"))
     else:
-        both = xs.join(member("y"), ["x_token", "y_band", "y_place", "y_label"])
-        size = 100 * F.least("x_n", "y_n") >= similar * F.greatest("x_n", "y_n")
+        both = xs.filter("y_more").join(member("y"), ["x_token", "y_band", "y_place", "y_label"])
         place = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) * (100 + similar) >= similar * (F.col("x_n") + F.col("y_n"))
-        differ = _differ(F.col("x_sketch"), F.col("y_sketch"))
-        near = 100 * (F.col("x_n") + F.col("y_n") - differ) >= similar * (F.col("x_n") + F.col("y_n") + differ)
-        pairs = both.filter(size & place & near).select(F.col("x_c8").alias("x"), F.col("y_c8").alias("y"))
+        pairs = both.filter(place & near(F.col("x_n"), F.col("y_n"), F.col("x_sketch"), F.col("y_sketch"))).select(F.col("x_c8").alias("x"), F.col("y_c8").alias("y"))
     return stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
 
 
@@ -446,7 +453,7 @@ def _joined(docs: DataFrame, k: int, similar: int) -> tuple[DataFrame, DataFrame
     several = filled.join(small(copies, n_copies), "c").groupBy("c").agg(*[F.first(x).alias(x) for x in (*about, "rep", "docs")])  # a row a class and task
     classes = stored(alone.unionByName(several), "classes")
     short, long_ = prefixes(classes, docs, k, similar)
-    post = postings(short).unionByName(postings(long_))
+    post = postings(short).unionByName(postings(long_, FIRST))
     dealt = post.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "pos")
     bound_batches(spark, POSTINGS)
     found = stored(candidates(dealt, similar), "candidates")
