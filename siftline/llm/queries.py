@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftline.llm import decontaminate, jaccard_join, language_id, mixing, ordinal_quality, quality_rules, sharding, token_shards, toxicity, url_filters
+from siftline.llm import byte_bpe, decontaminate, jaccard_join, language_id, mixing, ordinal_quality, quality_rules, sharding, token_shards, toxicity, url_filters, vector_codes, yinyang
 from siftline.llm._common import table
 
 
@@ -56,7 +56,21 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal_quality.grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), grade)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_language_id, op4_source_mixing, op5_sharding, op6_decontamination, op7_toxicity, op8_token_shards, op9_jaccard_join, op10_quality_classifier)}
+def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.cluster(table(spark, sf_dir, "embeddings"), size=64)[0]
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checksums of every text's ids, and of the bytes that they decode to."""
+    coded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_language_id, op4_source_mixing, op5_sharding, op6_decontamination, op7_toxicity, op8_token_shards, op9_jaccard_join, op10_quality_classifier, op11_yinyang, op12_byte_bpe, op13_vector_codes)}
 
 #: A word, as a class of characters.
 _WORD = r"[^\x20\x09-\x0D]+"
