@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections import defaultdict
 from collections.abc import Callable
 from functools import lru_cache
@@ -190,7 +191,8 @@ def _chunks(docs: DataFrame, tokens: dict[bytes, int], pattern: str, chunk_bytes
         tokens, plain, spelled, odd = held.value
         single = np.array([tokens[bytes([b])] for b in range(256)])
         usual, unusual = regex.compile(plain), regex.compile(spelled)
-        strange = regex.compile(f"[{regex.escape(odd)}]") if odd else None
+        strange = frozenset(odd)
+        young = re.compile(f"[{min(strange, default=chr(0x10FFFF))}-\U0010ffff]")  # no other text can hold one
         ids, counts, numbers, size = [], [], [], 0
         number = defaultdict(count().__next__)
         kind = None
@@ -214,7 +216,7 @@ def _chunks(docs: DataFrame, tokens: dict[bytes, int], pattern: str, chunk_bytes
                     yield row()
                     ids, counts, numbers, size = [], [], [], 0
                     number = defaultdict(count().__next__)
-                found = (unusual if strange and not text.isascii() and strange.search(text) else usual).findall(text)
+                found = (unusual if not text.isascii() and young.search(text) and not strange.isdisjoint(text) else usual).findall(text)
                 ids.append(b.column(0)[i].as_py())
                 counts.append(len(found))
                 numbers.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)).tobytes())
