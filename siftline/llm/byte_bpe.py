@@ -9,9 +9,10 @@ are ids, so the map takes a pair of ids (a, b) to the rank of their joined bytes
 in `cells` at starts[a] + b, as a * 2^16 + rank, so that cell xor a * 2^16 is the rank if the cell is of row a, and at least
 2^16 if it is not.
 
-Only distinct words are merged. A task reads texts up to CHUNK_BYTES, numbers their distinct words, and hands one row on:
-the words that are no token (as ids of their bytes), and the texts as numbers of words. The fold runs over that row's words, and the next step of
-the same task puts ids in the place of numbers. Nothing is shuffled, counted beforehand or held for the whole corpus; memory
+Only distinct words are merged. A task reads texts up to CHUNK_BYTES, numbers their distinct stretches between blanks, cuts
+those into words, and hands one row on: the distinct words that are no token (as ids of their bytes, with the ranks of the first
+pairs), and the texts as numbers of stretches. The fold runs over that row's words, and the next step of the same task puts ids in
+the place of numbers. Nothing is shuffled, counted beforehand or held for the whole corpus; memory
 is bounded by a chunk, or by one text where that is larger.
 
 A pair that occurs several times in a long word is merged everywhere at once, if no pair that arises meanwhile would have gone first;
@@ -48,7 +49,7 @@ from siftline.llm._common import bound_batches
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bytes of text whose distinct words are merged together.
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 #: Ids are below this, so that a row and a rank fit a cell.
 MOST_IDS = (1 << 16) - 1
 #: Words of more pieces merge equal pairs together.
@@ -88,7 +89,7 @@ def laid_out(pairs: list[tuple[int, int, int]], ids: int) -> tuple[list[int], li
                 bad |= taken[tries + x]
             start, base = (-1, base + 4096) if bad.all() else (int(tries[bad.argmin()]), base)
         starts[a], taken[start + b], cells[start + b] = start, True, (a << 16) | rank
-    return starts, cells[: int(np.flatnonzero(taken).max(initial=0)) + 1].tolist()
+    return [*starts, 0], cells[: max(starts) + ids + 1].tolist()  # the last row is the mark's, which stands in no pair
 
 
 @lru_cache(maxsize=4)
@@ -103,57 +104,69 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def _merge(acc: Column, rank: Callable[[Column, Column], Column]) -> Column:
-    """acc (parts; ranks of each with the next one, null for the last) after the merge that goes first, or after several of the same rank."""
+    """acc (parts, from mark to mark; ranks, of each with the next one) after the merge that goes first, or after several of the same rank; acc itself if none is left."""
     parts, ranks = acc["parts"], acc["ranks"]
     n = F.size(parts)
 
     def with_low(low: Column) -> Column:
         def leftmost(p: Column) -> Column:
-            """Only the ranks with the neighbours are new."""
-            before = F.when(p > 1, F.concat(F.slice(ranks, F.lit(1), p - 2), F.array(rank(F.get(parts, p - 2), low)))).otherwise(F.array().cast("array<bigint>"))
-            after = F.concat(F.array(rank(low, F.get(parts, p + 1))), F.slice(ranks, p + 2, n))
-            return F.struct(F.concat(F.slice(parts, F.lit(1), p - 1), F.array(low), F.slice(parts, p + 2, n)).alias("parts"), F.concat(before, after).alias("ranks"))
+            """Only the ranks with the neighbours are new; the marks see to it that there are two."""
+            new = F.zip_with(F.array(F.get(parts, p - 2), low), F.array(low, F.get(parts, p + 1)), rank)
+            return F.struct(F.concat(F.slice(parts, F.lit(1), p - 1), F.array(low), F.slice(parts, p + 2, n)).alias("parts"), F.concat(F.slice(ranks, F.lit(1), p - 2), new, F.slice(ranks, p + 2, n)).alias("ranks"))
 
         def everywhere(taken: Column) -> Column:
             def first(i: Column) -> Column:
                 return F.coalesce(F.get(taken, i) == "1", F.lit(False))
 
-            def lower(r: Column) -> Column:
-                return F.coalesce(r < low, F.lit(False))
-
-            early = F.exists(F.sequence(F.lit(0), n - 2), lambda i: first(i) & (lower(rank(low, F.get(parts, i + 2))) | (~first(i - 2) & lower(rank(F.get(parts, i - 1), low)))))
+            early = F.exists(F.sequence(F.lit(1), n - 3), lambda i: first(i) & ((rank(low, F.get(parts, i + 2)) < low) | (~first(i - 2) & (rank(F.get(parts, i - 1), low) < low))))
             merged = F.filter(F.transform(parts, lambda p, i: F.when(first(i), low).when(~first(i - 1), p)), lambda p: p.isNotNull())
-            all_ranks = lambda q: F.struct(q.alias("parts"), F.transform(q, lambda a, i: rank(a, F.get(q, i + 1))).alias("ranks"))
-            return F.when(early | lower(rank(low, low)), one).otherwise(_let(merged, all_ranks))
+            all_ranks = lambda q: F.struct(q.alias("parts"), F.zip_with(F.slice(q, F.lit(1), F.size(q) - 1), F.slice(q, F.lit(2), F.size(q)), rank).alias("ranks"))
+            return F.when(early | (rank(low, low) < low), one).otherwise(_let(merged, all_ranks))
 
         one = _let(F.array_position(ranks, low).cast("int"), leftmost)
         # of pairs that overlap, the left one is taken: "11" in the row of flags becomes "10" from the left
         taken = F.split(F.replace(F.array_join(F.transform(ranks, lambda r: F.when(r == low, "1").otherwise("0")), ""), F.lit("11"), F.lit("10")), "")
-        some = F.when(n > LONG, _let(taken, everywhere)).otherwise(one)
-        return F.when(low < 1 << 16, some).otherwise(F.struct(parts.alias("parts"), F.array().cast("array<bigint>").alias("ranks")))
+        return F.when(low >= 1 << 16, acc).when(n > LONG, _let(taken, everywhere)).otherwise(one)
 
     return _let(F.array_min(ranks), with_low)
 
 
 def merged(words: Column, path: str) -> Column:
-    """array<array<int>>: the ids of each of an array of words, as arrays of the ids of two bytes or more; none is a token by itself."""
+    """array<array<int>>: the ids of each of an array of words, none of which is a token by itself. A word: struct(parts, ranks) of its bytes, see `bytewise`."""
     tables = F.array(F.struct(*[F.from_json(F.lit(text), "array<bigint>").alias(name) for name, text in zip(("starts", "cells"), _literals(path))]))
 
     def all_words(t: Column) -> Column:
         def rank(a: Column, b: Column) -> Column:
-            """Null if there is no b."""
             return F.get(t["cells"], (F.get(t["starts"], a.cast("int")) + b).cast("int")).bitwiseXOR(F.shiftleft(a, 16))
 
         def one(word: Column) -> Column:
-            start = F.struct(word.alias("parts"), F.transform(word, lambda a, i: rank(a, F.get(word, i + 1))).alias("ranks"))
-            fold = F.aggregate(F.sequence(F.lit(2), F.size(word)), start, lambda acc, _: F.when(F.size(acc["ranks"]) < 2, acc).otherwise(_merge(acc, rank)))
-            return fold["parts"].cast("array<int>")
+            fold = F.aggregate(F.sequence(F.lit(4), F.size(word["parts"])), word, lambda acc, _: _merge(acc, rank))
+            return F.slice(fold["parts"], F.lit(2), F.size(fold["parts"]) - 2).cast("array<int>")
 
         return F.transform(words, one)
 
     return F.get(F.transform(tables, all_words), 0)
 
 
+def bytewise(words: list[bytes], tokens: dict[bytes, int]) -> pa.Array:
+    """Where the fold over each word begins: the ids of its bytes between two marks (an id in no pair), and the rank of each with the next one."""
+    single = np.array([tokens[bytes([b])] for b in range(256)])
+    of_pair = np.full((256, 256), MOST_IDS << 16)
+    for k, r in tokens.items():
+        if len(k) == 2:
+            of_pair[k[0], k[1]] = r
+    data, size = np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))
+    first = np.cumsum(size + 2) - size - 2  # of each word's mark
+    own = np.arange(len(data)) + 1 + 2 * np.repeat(np.arange(len(words)), size)
+    parts = np.full(len(data) + 2 * len(words), max(tokens.values()) + 1)
+    parts[own] = single[data]
+    ranks = np.full(len(parts), MOST_IDS << 16)
+    ranks[own[:-1]] = np.where(np.diff(own) == 1, of_pair[data[:-1], data[1:]], MOST_IDS << 16)
+    ranks = np.delete(ranks, first + size + 1)  # a word has a rank less than parts
+    ends = lambda extra: pa.array(np.concatenate([[0], np.cumsum(size + extra)]).astype(np.int32))
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends(2), pa.array(parts)), pa.ListArray.from_arrays(ends(1), pa.array(ranks))], names=["parts", "ranks"])
+
+
 @lru_cache(maxsize=4)
 def splitter(pattern: str) -> tuple[str, str]:
     """(pattern that spells out the tokenizer engine's classes, characters that need it)."""
@@ -180,33 +193,63 @@ def _ranges(characters: set[str]) -> str:
     return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in out)
 
 
+class Numbers(dict):
+    """Strings to numbers in the order they come; -1 for what stands beside other white space than one blank."""
+
+    def __missing__(self, x: str) -> int:
+        if not x or x[0].isspace() or x[-1].isspace():
+            return -1
+        self[x] = n = len(self)
+        return n
+
+
 def _chunks(docs: DataFrame, tokens: dict[bytes, int], pattern: str, chunk_bytes: int) -> DataFrame:
-    """A row a chunk: ids and counts (words) of its texts, numbers (of distinct words, text after text), known (a distinct word's id, or -1 - its place in words), words."""
+    """A row a chunk: ids and counts (stretches) of its texts, numbers (of distinct stretches, text after text), sizes (pieces of each distinct stretch), pieces (a piece's id, or -1 - its place in words), words.
+
+    A stretch is what lies between two single blanks: with the blank before it, it is cut like the text around it, since no piece
+    goes over a blank between two other characters. Texts with other runs of white space are cut as a whole.
+    """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((tokens, pattern, *splitter(pattern)))
     id_type = docs.schema["doc_id"].dataType
-    schema = spark.createDataFrame([], "counts binary, numbers binary, known binary, words array<array<bigint>>").schema.add("ids", ArrayType(id_type))
+    word = "struct<parts: array<bigint>, ranks: array<bigint>>"
+    schema = spark.createDataFrame([], f"counts binary, numbers binary, sizes binary, pieces binary, words array<{word}>").schema.add("ids", ArrayType(id_type))
+    word_type = pa.struct([("parts", pa.list_(pa.int64())), ("ranks", pa.list_(pa.int64()))])
 
     def run(batches):
         tokens, plain, spelled, odd = held.value
-        single = np.array([tokens[bytes([b])] for b in range(256)])
-        usual, unusual = regex.compile(plain), regex.compile(spelled)
-        strange = frozenset(odd)
-        young = re.compile(f"[{min(strange, default=chr(0x10FFFF))}-\U0010ffff]")  # no other text can hold one
-        ids, counts, numbers, size = [], [], [], 0
-        number = defaultdict(count().__next__)
+        usual, unusual, strange = regex.compile(plain), regex.compile(spelled), frozenset(odd)
+        young = re.compile(f"[{min(strange, default=chr(0x10FFFF))}-\U0010ffff]")  # nothing else can hold one
+        cut = lambda x: (unusual if not x.isascii() and young.search(x) and not strange.isdisjoint(x) else usual).findall(x)
         kind = None
 
+        def fresh():
+            return [], [], [], Numbers(), defaultdict(count().__next__)
+
+        ids, counts, numbers, after, own = fresh()
+        size = 0
+
         def row():
-            known, words = np.zeros(len(number), np.int32), []
-            for i, word in enumerate(number):
-                word = word.encode()
-                known[i] = tokens.get(word, -1 - len(words))
-                if known[i] < 0:
-                    words.append(single[np.frombuffer(word, np.uint8)])
-            body = b"".join(numbers)
-            parts = [pa.array([np.array(counts, np.int64).tobytes()], pa.binary()), pa.array([body], pa.binary()), pa.array([known.tobytes()], pa.binary()), pa.array([words], pa.list_(pa.list_(pa.int64()))), pa.array([ids], pa.list_(kind))]
-            return pa.RecordBatch.from_arrays(parts, names=schema.names)
+            words, seen, pieces, sizes = [], {}, [], []
+            for x in (*(" " + x for x in after), *own):
+                found = cut(x)
+                sizes.append(len(found))
+                for piece in found:
+                    n = seen.get(piece)
+                    if n is None:
+                        raw = piece.encode()
+                        n = tokens.get(raw)
+                        if n is None:
+                            n = -1 - len(words)
+                            words.append(raw)
+                        seen[piece] = n
+                    pieces.append(n)
+            stream = np.concatenate(numbers)
+            stream = np.where(stream & 1, len(after) + (stream >> 1), stream >> 1).astype(np.int32)
+            bodies = [pa.array([x.tobytes()], pa.binary()) for x in (np.array(counts, np.int64), stream, np.array(sizes, np.int32), np.array(pieces, np.int32))]
+            starts = bytewise(words, tokens) if words else pa.array([], word_type)
+            listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), starts)
+            return pa.RecordBatch.from_arrays([*bodies, listed, pa.array([ids], pa.list_(kind))], names=schema.names)
 
         for b in batches:
             kind = b.column(0).type
@@ -214,12 +257,18 @@ def _chunks(docs: DataFrame, tokens: dict[bytes, int], pattern: str, chunk_bytes
                 text = b.column(1)[i].as_py() or ""
                 if ids and size + len(text) > chunk_bytes:
                     yield row()
-                    ids, counts, numbers, size = [], [], [], 0
-                    number = defaultdict(count().__next__)
-                found = (unusual if not text.isascii() and young.search(text) and not strange.isdisjoint(text) else usual).findall(text)
+                    ids, counts, numbers, after, own = fresh()
+                    size = 0
+                first, *rest = text.split(" ")
+                found = np.fromiter(map(after.__getitem__, rest), np.int32, len(rest)) * 2
+                if len(found) and found.min() < 0 or not first or first[-1].isspace():
+                    whole = cut(text)
+                    found = np.fromiter(map(own.__getitem__, whole), np.int32, len(whole)) * 2 + 1
+                else:
+                    found = np.concatenate([np.array([own[first] * 2 + 1], np.int32), found])
                 ids.append(b.column(0)[i].as_py())
                 counts.append(len(found))
-                numbers.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)).tobytes())
+                numbers.append(found)
                 size += len(text)
         if ids:
             yield row()
@@ -232,21 +281,27 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     path = path or public_tokenizers.path(VOCABULARY)
     bound_batches(docs.sparkSession)
     chunks = _chunks(docs, vocabulary(path), pattern, chunk_bytes)
-    folded = chunks.select("ids", "counts", "numbers", "known", merged(F.col("words"), path).alias("folded"))
+    folded = chunks.select("ids", "counts", "numbers", "sizes", "pieces", merged(F.col("words"), path).alias("folded"))
     schema = docs.select("doc_id").schema.add("n_tokens", "long").add("ids", "binary")
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                counts, numbers, known = (np.frombuffer(b.column(j)[i].as_buffer(), t) for j, t in ((1, np.int64), (2, np.int32), (3, np.int32)))
-                words = b.column(4)[i].values
+                counts, numbers, sizes, pieces = (np.frombuffer(b.column(j)[i].as_buffer(), t) for j, t in ((1, np.int64), (2, np.int32), (3, np.int32), (4, np.int32)))
+                words = b.column(5)[i].values
                 flat = words.flatten().to_numpy() if len(words) else np.zeros(0, np.int32)
                 size = words.value_lengths().to_numpy() if len(words) else np.zeros(0, np.int32)
-                ends = np.concatenate([[0], np.cumsum(size)])
-                # a distinct word's ids lie in `all_ids`, those of words that are tokens behind those of the others
-                all_ids = np.concatenate([flat, np.maximum(known, 0)]).astype("<u4")
-                at = np.where(known < 0, ends[np.where(known < 0, -1 - known, 0)], len(flat) + np.arange(len(known)))
-                n = np.where(known < 0, np.append(size, 1)[np.where(known < 0, -1 - known, 0)], 1)
+                # the ids of every distinct stretch, one behind the other: a piece has one, or those of its word
+                word = np.where(pieces < 0, -1 - pieces, len(size))
+                of_piece = np.append(size, 1)[word].astype(np.int64)
+                begin = np.append(np.cumsum(size) - size, 0)[word]
+                piece_ends = np.concatenate([[0], np.cumsum(of_piece)])
+                all_ids = np.repeat(np.maximum(pieces, 0), of_piece)
+                inside = np.repeat(pieces < 0, of_piece)
+                all_ids[inside] = flat[(np.arange(piece_ends[-1]) + np.repeat(begin - piece_ends[:-1], of_piece))[inside]]
+                all_ids = all_ids.astype("<u4")
+                ends = piece_ends[np.concatenate([[0], np.cumsum(sizes)])]
+                at, n = ends[:-1], np.diff(ends)
                 last = np.concatenate([[0], np.cumsum(counts)])
                 for lo, hi in _pieces(counts):
                     own = numbers[last[lo] : last[hi]]

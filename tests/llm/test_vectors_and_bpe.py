@@ -170,7 +170,7 @@ def test_ids_are_those_of_the_public_library(spark, name):
 def test_any_ranks_merge_in_the_same_order(spark, tmp_path):
     """Vocabularies whose ranks follow no training: joined pairs may go before those that they arise from, and long words merge together only where that is the same."""
     r = random.Random(8)
-    for turn in range(3):
+    for turn in range(2):
         tokens = {bytes([b]) for b in range(256)}
         while len(tokens) < 256 + 60:
             tokens.add(bytes(r.choice(b"abc") for _ in range(r.randint(2, 5))))
@@ -179,7 +179,7 @@ def test_any_ranks_merge_in_the_same_order(spark, tmp_path):
         path = str(tmp_path / f"{turn}.tiktoken")
         with open(path, "wb") as f:
             f.writelines(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens))
-        words = ["".join(r.choice("abc" if i % 2 else "ab") for _ in range(r.choice([2, 5, 9, 60, 90]))) for i in range(150)] + ["a" * 77, "ab" * 40]
+        words = ["".join(r.choice("abc" if i % 2 else "ab") for _ in range(r.choice([2, 5, 9, 60, 90]))) for i in range(90)] + ["a" * 77, "ab" * 40]
         df = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string").coalesce(1)
         own = tiktoken_of(path)
         assert [x[1] for x in encoded(df, path=path)] == [own.encode_ordinary(w) for w in words]
