@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from siftline.functions import vocabulary as V
+from siftline.operators.places import average_ranks
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -29,15 +32,9 @@ def label_summary(rates: DataFrame) -> DataFrame:
     return rates.agg(*[F.sum(n).alias(n) for n in names], F.coalesce(F.sum("estimated_lost"), F.lit(0.0)).alias("estimated_lost")).withColumn("rate", ratio(F.col("good"), F.col("good") + F.col("bad")))
 
 
-def average_ranks(df: DataFrame, value: str, out: str, by: list[str]) -> DataFrame:
-    """Ranks from 1 within groups, ties sharing the mean of their places."""
-    w = Window.partitionBy(*by)
-    return df.withColumn(out, F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2)
-
-
-def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Rank correlation of each group; null for fewer than two rows or a side that does not vary."""
-    ranked = average_ranks(average_ranks(df, x, "_rx", by), y, "_ry", by)
+def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rank correlation of each group, or of all rows if by is empty; null for fewer than two rows or a side that does not vary."""
+    ranked = average_ranks(average_ranks(df.select(*by, x, y), x, "_rx", by), y, "_ry", by)
     ok = (F.var_pop("_rx") > 0) & (F.var_pop("_ry") > 0)
     n, sx, sy, sxy, sxx, syy = F.count(F.lit(1)), F.sum("_rx"), F.sum("_ry"), F.sum(F.col("_rx") * F.col("_ry")), F.sum(F.col("_rx") ** 2), F.sum(F.col("_ry") ** 2)
     rho = F.try_divide(n * sxy - sx * sy, F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)))

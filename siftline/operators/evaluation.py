@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from siftline.functions import text as T, vocabulary as V
 from siftline.operators import audit as A, state as K
+from siftline.operators.places import placed_in_all
 
 
 def labels(decisions: DataFrame, key: str = "job_id") -> DataFrame:
-    """The newest decision of each key, over all users (ties go to the user first by name): status, reasons and good (true, false, or null where it says nothing)."""
-    newest = K.latest(decisions.withColumn("_not_user", F.expr("-ascii(user)")), [key], ["decided_at", "_not_user"]).drop("_not_user")
+    """The newest decision of each key, over all users (ties go to the user last by name): status, reasons and good (true, false, or null where it says nothing)."""
+    newest = K.latest(decisions, [key], ["decided_at", "user"])
     return newest.withColumn("good", F.when(F.col("status").isin(*V.GOOD_DECISIONS), True).when(F.col("status").isin(*V.BAD_DECISIONS), False))
 
 
@@ -42,7 +42,7 @@ def decision_eval(decisions: DataFrame, filters: DataFrame, screen: DataFrame, s
     unseen = unseen.groupBy("figure").agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("unseen").alias("part"), "figure", "value")
     scored = wide.filter("score is not null").withColumn("_y", F.col("good").cast("int"))
     means = scored.agg(F.count(F.lit(1)).alias("scored"), F.avg(F.when(F.col("good"), F.col("score"))).alias("mean_positive"), F.avg(F.when(~F.col("good"), F.col("score"))).alias("mean_negative"))
-    rho = A.spearman(scored.withColumn("_all", F.lit(1)), "score", "_y", ["_all"]).select("rho")
+    rho = A.spearman(scored, "score", "_y").select("rho")
     best = A.precision_at(scored, [F.desc("score"), F.col(key)], F.col("good"), list(ks)).select(F.concat(F.lit("at "), F.col("k")).alias("part"), F.inline(F.array(*[F.struct(F.lit(c).alias("figure"), F.col(c).cast("double").alias("value")) for c in ("k_used", "positives", "precision")])))
     parts = [_figures(counts, "counts"), _figures(gate, "screen"), unseen, _figures(means, "labelled"), _figures(rho, "labelled"), best]
     out = parts[0]
@@ -62,13 +62,13 @@ def skip_reasons(decisions: DataFrame, scores: DataFrame, vocabulary: Sequence[s
 def orderings(measured: DataFrame, columns: Sequence[str], target: Column, truth: str, tie: str, key: str, depths: Sequence[int] = V.DEPTHS) -> DataFrame:
     """How early each of several orderings of the same rows reaches the targets, and how each agrees with the truth: a row an ordering.
 
-    Rows without a score stand last; ties go by the column tie, then by key. measured: a queue, so placing it is one window.
+    Rows without a score stand last; ties go by the column tie, then by key.
     """
     out = None
     for c in columns:
-        rows = measured.withColumn("_score", F.coalesce(c, F.lit(0.0))).withColumn("_place", F.row_number().over(Window.orderBy(F.desc("_score"), F.desc(F.coalesce(tie, F.lit(0.0))), key)))
+        rows = placed_in_all(measured.withColumn("_score", F.coalesce(c, F.lit(0.0))), [F.desc("_score"), F.desc(F.coalesce(tie, F.lit(0.0))), F.col(key)], "_place")
         deep = A.reading_depth(rows, "_place", target, depths)
-        rho = A.spearman(measured.filter(F.col(c).isNotNull()).withColumn("_all", F.lit(1)), c, truth, ["_all"]).select(F.col("n").alias("compared"), "rho")
+        rho = A.spearman(measured.filter(F.col(c).isNotNull()), c, truth).select(F.col("n").alias("compared"), "rho")
         row = deep.join(F.broadcast(rho)).withColumn("ordering", F.lit(c))  # one row each
         out = row if out is None else out.unionByName(row)
     return out

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from siftline.functions import vocabulary as V
+from siftline.operators import places as P
 
 
 def rank_queue(passed: DataFrame, ranked: DataFrame, prior: DataFrame, key: str, score: str) -> DataFrame:
@@ -81,16 +82,19 @@ def read_in_windows(queue: DataFrame, score, key: str, window: int, top: int, pa
 
 
 def placed(df: DataFrame, order: list[Column], out: str = "place", by: list[str] | None = None) -> DataFrame:
-    """Places from 1 within groups (or over all rows: only for reports and queues, which are small by nature)."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(w))
+    """Places from 1 within groups of a task's size, or over all rows (by range, in no single task)."""
+    if by is None:
+        return P.placed_in_all(df, order, out)
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
 def sections(parts: list[tuple[str, DataFrame, list[Column], int | None]], columns: list[str]) -> DataFrame:
     """Named sections one below the other, each ordered and cut to its size, with places."""
     out = None
     for name, df, order, n in parts:
-        one = placed(df.orderBy(*order).limit(n) if n else df, order).select(F.lit(name).alias("section"), "place", *columns)
+        # a section's first n rows are a page; one without a size is placed by range
+        one = df.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long")) if n else P.placed_in_all(df, order)
+        one = one.select(F.lit(name).alias("section"), "place", *columns)
         out = one if out is None else out.unionByName(one)
     return out
 

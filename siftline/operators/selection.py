@@ -33,33 +33,55 @@ def resolved(parts: DataFrame, chosen: DataFrame) -> DataFrame:
     return j.groupBy("slot").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda r: r["text"]).alias("texts"))
 
 
-def trimmed(chosen: DataFrame, budget: float, keep_least: dict[str, int]) -> tuple[DataFrame, float]:
-    """Drop parts in drop order until the heights fit, never below a slot's least; (what stays, its height).
+def drop_order(chosen: DataFrame, wanted: DataFrame, by: str = "selection") -> DataFrame:
+    """by, place, slot, part_id, problem: null for the first mention of a chosen part, else unknown or twice. wanted: by, place, slot, part_id."""
+    known = chosen.select(by, "slot", "part_id").distinct().withColumn("_known", F.lit(True))
+    j = wanted.join(known, [by, "slot", "part_id"], "left")
+    again = F.row_number().over(Window.partitionBy(by, "slot", "part_id").orderBy("place")) > 1
+    return j.select(by, "place", "slot", "part_id", F.when(F.col("_known").isNull(), "unknown").when(again, "twice").alias("problem"))
 
-    A selection is a page's worth of rows, so the greedy walk is the driver's. chosen: slot, part_id, height, drop_order (null: never).
+
+def heights(chosen: DataFrame, by: str = "selection") -> DataFrame:
+    """What each selection's parts take together, with what its non-empty slots' headings take (a column header, once a slot)."""
+    slots = chosen.groupBy(by, "slot").agg(F.sum("height").alias("_h"), F.max("header").alias("_head"), F.count(F.lit(1)).alias("_n"))
+    return slots.groupBy(by).agg(F.sum(F.col("_h") + F.col("_head")).alias("height"), F.sum("_n").alias("parts"))
+
+
+def trimmed(chosen: DataFrame, budgets: DataFrame, by: str = "selection", tolerance: float = 0.0) -> DataFrame:
+    """Every selection trimmed to its budget at once: by, dropped (slot, part_id in the order they go), height that is left, fits.
+
+    Parts go in the order of drop_order (null: not named there), ties by slot and part. A part stays if its slot would fall below its
+    least; one that was passed over is not tried again. When no named part is left and the height is still too great, parts
+    without a drop_order go by the fixed rule: from the last slot (by slot_order) that is above its least, its last part (by position).
+
+    A selection is a row while it is trimmed: its parts are an array, and `aggregate` folds over the candidates with what is left
+    as state. Selections are pages, so an array is small; there may be any number of them, over all tasks.
+    chosen: by, slot, slot_order, part_id, position, height, least (of a slot: the greatest of its parts), drop_order. budgets: by, budget, error (by how much the real
+    height is above the model's, null: 0).
     """
-    rows = chosen.collect()
-    left = {s: sum(r["slot"] == s for r in rows) for s in {r["slot"] for r in rows}}
-    total, gone = sum(r["height"] for r in rows), set()
-    for r in sorted((r for r in rows if r["drop_order"] is not None), key=lambda r: (r["drop_order"], r["part_id"])):
-        if total <= budget:
-            break
-        if left[r["slot"]] > keep_least.get(r["slot"], 0):
-            gone.add((r["slot"], r["part_id"]))
-            left[r["slot"]] -= 1
-            total -= r["height"]
-    stays = [r for r in rows if (r["slot"], r["part_id"]) not in gone]
-    return chosen.sparkSession.createDataFrame(stays, chosen.schema), float(total)
-
-
-def claim_name(taken: dict[str, str], candidates: list[str], owner: str) -> str:
-    """The first candidate that is free or the owner's already; then the last one with a number. Registers the claim."""
-    n = 1
-    for name in candidates:
-        if taken.get(name, owner) == owner:
-            taken[name] = owner
-            return name
-    while taken.get(f"{candidates[-1]}-{n}", owner) != owner:
-        n += 1
-    taken[f"{candidates[-1]}-{n}"] = owner
-    return f"{candidates[-1]}-{n}"
+    part = F.struct(
+        F.col("drop_order").isNull().alias("unnamed"), F.col("drop_order").alias("named"), F.when(F.col("drop_order").isNull(), -F.col("slot_order")).alias("from_last"),
+        F.when(F.col("drop_order").isNull(), -F.col("position")).alias("last_part"), "slot", "part_id", F.col("height").cast("double").alias("height"), "least",
+    )
+    each = chosen.groupBy(by).agg(F.array_sort(F.collect_list(part)).alias("_parts"), F.array_sort(F.collect_set("slot")).alias("_slots"), F.sum(F.col("height").cast("double")).alias("_height"))
+    each = look_up(each, budgets.select(by, F.col("budget").cast("double").alias("_budget"), F.coalesce(F.col("error").cast("double"), F.lit(0.0)).alias("_error")), by, "inner")
+    of = lambda s: F.filter("_parts", lambda p: p["slot"] == s)
+    counted = F.transform("_slots", lambda s: F.struct(s.alias("slot"), (F.size(of(s)) - F.array_max(F.transform(of(s), lambda p: p["least"]))).cast("int").alias("spare")))
+    nothing = F.array().cast("array<struct<slot:string,part_id:string>>")
+
+    def step(acc, p):
+        spare = F.exists(acc["slots"], lambda s: (s["slot"] == p["slot"]) & (s["spare"] > 0))
+        goes = (acc["height"] > F.col("_budget") - F.col("_error") + tolerance) & spare
+        less = F.transform(acc["slots"], lambda s: F.struct(s["slot"].alias("slot"), F.when(s["slot"] == p["slot"], s["spare"] - 1).otherwise(s["spare"]).alias("spare")))
+        after = F.struct((acc["height"] - p["height"]).alias("height"), less.alias("slots"), F.concat(acc["dropped"], F.array(F.struct(p["slot"].cast("string").alias("slot"), p["part_id"].cast("string").alias("part_id")))).alias("dropped"))
+        return F.when(goes, after).otherwise(acc)
+
+    start = F.struct(F.col("_height").alias("height"), counted.alias("slots"), nothing.alias("dropped"))
+    done = each.withColumn("_done", F.aggregate("_parts", start, step))
+    return done.select(by, F.col("_done.dropped").alias("dropped"), F.col("_done.height").alias("height"), (F.col("_done.height") <= F.col("_budget") - F.col("_error") + tolerance).alias("fits"))
+
+
+def kept_parts(chosen: DataFrame, trims: DataFrame, by: str = "selection") -> DataFrame:
+    """chosen without what the trims dropped."""
+    gone = trims.select(by, F.inline("dropped"))
+    return chosen.join(gone, [by, "slot", "part_id"], "left_anti")

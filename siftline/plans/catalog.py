@@ -776,4 +776,4 @@ def session_counts(spark, sf):
     return ST.sessions(e, "user_id", "ts", "6 hours", "1 hour").select("user_id", "n")
 
 
-from siftline.plans import extra as _extra  # noqa: E402,F401  registers its queries
+from siftline.plans import extra as _extra, mechanisms as _mechanisms  # noqa: E402,F401  register their queries

@@ -160,18 +160,13 @@ def test_selection(spark):
     assert {r.slot: r.texts for r in C.resolved(parts, chosen).collect()}["a"] == ["A2", "A1"]
     wrong = spark.createDataFrame([("a", "1"), ("a", "1"), ("a", "9"), ("b", "3"), ("b", "4")], "slot string, part_id string")
     assert sorted((r.slot, r.problem) for r in C.violations(parts.select("slot", "part_id"), wrong, limits).collect()) == [("a", "too many"), ("a", "twice"), ("a", "unknown"), ("b", "too many"), ("c", "empty")]
-    sized = spark.createDataFrame([("a", "1", 5.0, 1), ("a", "2", 5.0, 2), ("b", "3", 4.0, None)], "slot string, part_id string, height double, drop_order int")
-    stays, height = C.trimmed(sized, 6.0, {"a": 1})
-    assert height == 9.0 and {r.part_id for r in stays.collect()} == {"2", "3"}
 
 
-def test_criteria_and_claims(spark):
+def test_criteria_and_orders(spark):
     df = spark.createDataFrame([({"fit": 120, "Pay level": -5, "odd": 3},)], "m map<string,int>")
     names = {"pay": "Pay level", "fit": "Fit"}
     r = df.select(S.normalised_criteria(F.col("m"), names).alias("n"), S.unknown_criteria(F.col("m"), names).alias("u")).first()
     assert r.n == {"pay": 0, "fit": 100} and r.u == ["odd"]
-    taken = {}
-    assert [C.claim_name(taken, ["a", "b"], o) for o in ("1", "2", "1", "3", "4")] == ["a", "b", "a", "b-1", "b-2"]
     ids = spark.createDataFrame([(i,) for i in range(5)], "id int")
     assert O.entered(ids.filter("id < 2"), ids.filter("id < 4"), ids.filter("id > 2"), "id") == 1
     two = O.shuffled_twice(ids, "id", 3, 2)
