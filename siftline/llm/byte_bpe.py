@@ -49,7 +49,7 @@ from siftline.llm._common import bound_batches
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bytes of text whose distinct words are merged together.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Ids are below this, so that a row and a rank fit a cell.
 MOST_IDS = (1 << 16) - 1
 #: Words of more pieces merge equal pairs together.
