@@ -465,8 +465,9 @@ def _joined(docs: DataFrame, k: int, similar: int) -> tuple[DataFrame, DataFrame
         lists = listed(hot, classes, similar)
         for step in ("leaders", "members", "all"):  # each on the components that the one before it left
             more = across(lists, comps, similar, step)
-            if more.isEmpty():
-                break
+            if more.isEmpty():  # a later step may still find links
+                dropped(more)
+                continue
             links, comps = resolved(bounded(more, classes, similar), links, comps, docs, k, similar)
             dropped(more)
         dropped(lists)

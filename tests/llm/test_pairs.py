@@ -231,3 +231,22 @@ def test_long_words_are_told_apart(spark):
     rows = [(1, a), (2, b), (3, a.upper()), (4, "u v w " + a), (5, "u v w " + b)]
     got = J.jaccard_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got)) == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 1, 4), (5, 1, 5)]
+
+
+def test_members_of_groups_link_though_no_leader_does(spark):
+    """Pairs held together by a rare word; what links one pair to the other is in frequent lists only, between members that do not lead."""
+    for seed in range(1):
+        r = random.Random(seed)
+        pool = [f"f{i}" for i in range(60)]
+        texts = [r.sample(pool, 25) + [f"own{i}_{j}" for j in range(5)] for i in range(110)]
+        for f in range(8):
+            core = r.sample(pool, 40)
+            rest = [w for w in pool if w not in core]
+            changed = lambda n, seed: [w for i, w in enumerate(core) if i not in random.Random(seed).sample(range(40), n)] + random.Random(seed + 1).sample(rest, n)
+            texts += [changed(4, 10 * f) + [f"rare{f}a"], changed(1, 10 * f + 2) + [f"rare{f}a"], changed(1, 10 * f + 4) + [f"rare{f}b"], changed(4, 10 * f + 6) + [f"rare{f}b"]]
+        # the case of four sets of 41: 0 and 1, 2 and 3 share a rare word, and only 1 and 2 link across
+        base = [f"f{i}" for i in range(36)]
+        texts += [base + ["f36", "f40", "f41", "f42", "four_a"], base + ["f36", "f37", "f40", "f41", "four_a"], base + ["f36", "f37", "f50", "f51", "four_b"], base + ["f36", "f50", "f51", "f52", "four_b"]]
+        rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        assert sorted(map(tuple, J.jaccard_report(df, k=1).collect()), key=str) == brute(rows, 1, 85)
