@@ -61,32 +61,55 @@ def listed_rule(host: Column, path: Column, rules=LISTED) -> Column:
     return out
 
 
-def mined_rules(labelled: DataFrame, url: str = "url", bad: str = "bad") -> DataFrame:
-    """Rules from urls with a boolean label: rule_id, tokens, confidence, n_tokens."""
+def mined_classes(labelled: DataFrame, url: str = "url", bad: str = "bad") -> tuple[DataFrame, DataFrame]:
+    """(rules: rule_id, classes, confidence, n_classes; members: class, token) from urls with a boolean label.
+
+    Tokens that stand in the same labelled urls are one class, named by the least of them: any of them says the same about a
+    url, and 30 tokens that always come together are one item to mine and not 2^30 sets. Two tokens' sets of urls are told apart
+    by their size and two 64-bit sums.
+    """
     spark = labelled.sparkSession
     items = F.concat(url_tokens(F.col(url)), F.when(F.col(bad), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>")))
     baskets = stored(labelled.filter(F.col(bad).isNotNull() & F.col(url).isNotNull()).select(F.monotonically_increasing_id().alias("basket"), items.alias("items")).filter(F.size("items") > 0), "baskets")
     n, n_bad = baskets.agg(F.count(F.lit(1)), F.count_if(F.array_contains("items", BAD))).first()
-    schema = "rule_id bigint, tokens array<string>, confidence double, n_tokens int"
     least = max(MIN_URLS, ceil(MIN_SUPPORT * n))
     if not n_bad or n_bad < least:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "rule_id bigint, classes array<string>, confidence double, n_classes int"), spark.createDataFrame([], "class string, token string")
     # A rule's tokens are each in as many bad urls as its support asks; other tokens go by exact count, which loses no rule.
     each = baskets.select("basket", F.array_contains("items", BAD).alias("bad"), F.explode("items").alias("token"))
-    often = stored(each.groupBy("token").agg(F.count_if("bad").alias("n_bad")).filter(F.col("n_bad") >= least).select("token"), "frequent_tokens")
-    kept = stored(each.join(small(often, often.count()), "token").groupBy("basket").agg(F.collect_list("token").alias("items")), "mined")
+    told = each.groupBy("token").agg(F.count_if("bad").alias("n_bad"), F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64(F.lit(i), "basket")).alias(f"h{i}") for i in (1, 2)]).filter(F.col("n_bad") >= least)
+    often = stored(told, "frequent_tokens")
+    same = ["n", "h1", "h2"]
+    named = often.filter(F.col("token") != BAD).groupBy(*same).agg(F.min("token").alias("class"))
+    members = stored(often.filter(F.col("token") != BAD).join(named, same).select("class", "token"), "token_classes")
+    one = members.select("class").distinct().select(F.col("class").alias("token")).union(spark.createDataFrame([(BAD,)], "token string"))
+    one = stored(one, "class_names")
+    kept = stored(each.join(small(one, one.count()), "token").groupBy("basket").agg(F.collect_list("token").alias("items")), "mined")
     model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / kept.count(), minConfidence=MIN_CONFIDENCE).fit(kept)
     rules = model.associationRules.filter((F.element_at("consequent", 1) == BAD) & (F.col("confidence") >= MIN_LIFT * n_bad / n))
-    return rules.select(F.xxhash64(F.array_join(F.array_sort("antecedent"), "\u0001")).alias("rule_id"), F.col("antecedent").alias("tokens"), "confidence", F.size("antecedent").alias("n_tokens"))
+    return rules.select(F.xxhash64(F.array_join(F.array_sort("antecedent"), "\u0001")).alias("rule_id"), F.col("antecedent").alias("classes"), "confidence", F.size("antecedent").alias("n_classes")), members
 
 
-def matched_urls(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """Distinct urls that some rule fits, with the best confidence, through the inverted index."""
+def mined_rules(labelled: DataFrame, url: str = "url", bad: str = "bad") -> DataFrame:
+    """All rules, spelled out in tokens: rule_id, tokens, confidence, n_tokens. A class of n tokens gives 2^n - 1 of them, so this is for reading; urls are matched by classes."""
+    rules, members = mined_classes(labelled, url, bad)
+    of = members.groupBy("class").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    lists = rules.select("rule_id", "confidence", F.explode("classes").alias("class")).join(of, "class").groupBy("rule_id", "confidence").agg(F.collect_list("tokens").alias("lists"))
+    nothing = F.array(F.array().cast("array<string>"))
+    subsets = lambda tokens: F.filter(F.aggregate(tokens, nothing, lambda acc, t: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(t))))), lambda s: F.size(s) > 0)
+    spelled = F.aggregate("lists", nothing, lambda acc, tokens: F.flatten(F.transform(acc, lambda left: F.transform(subsets(tokens), lambda s: F.concat(left, s)))))
+    out = lists.select("confidence", F.explode(spelled).alias("tokens"))
+    return out.select(F.xxhash64(F.array_join(F.array_sort("tokens"), "\u0001")).alias("rule_id"), "tokens", "confidence", F.size("tokens").alias("n_tokens"))
+
+
+def matched_urls(urls: DataFrame, rules: DataFrame, members: DataFrame, url: str = "url") -> DataFrame:
+    """Distinct urls that some rule fits (that have a token of each of its classes), with the best confidence, through the inverted index."""
     rules = stored(rules, "url_rules")
-    index = rules.select(F.explode("tokens").alias("token"), "rule_id", "n_tokens", "confidence")
-    n_postings = rules.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    index = rules.select(F.explode("classes").alias("class"), "rule_id", "n_classes", "confidence")
+    n_postings = rules.agg(F.coalesce(F.sum("n_classes"), F.lit(0))).first()[0]
     tokens = urls.select(F.col(url).alias("url")).filter(F.col("url").isNotNull()).distinct().select("url", F.explode(url_tokens(F.col("url"))).alias("token"))
-    met = tokens.join(small(index, n_postings), "token").groupBy("url", "rule_id").agg(F.count(F.lit(1)).alias("met"), F.max("n_tokens").alias("need"), F.max("confidence").alias("confidence"))
+    classes = tokens.join(small(members, members.count()), "token").select("url", "class").distinct()
+    met = classes.join(small(index, n_postings), "class").groupBy("url", "rule_id").agg(F.count(F.lit(1)).alias("met"), F.max("n_classes").alias("need"), F.max("confidence").alias("confidence"))
     return met.filter("met = need").groupBy("url").agg(F.max("confidence").alias("mined_confidence"))
 
 
@@ -95,7 +118,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", u
     base = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))
     known = labels.select(F.col(label_id).alias("_id"), F.col(bad).alias("bad"))
     labelled = base.join(known, F.col("page_id") == F.col("_id")).select("url", "bad")
-    hits = matched_urls(base, mined_rules(labelled)).withColumnRenamed("url", "_url")
+    hits = matched_urls(base, *mined_classes(labelled)).withColumnRenamed("url", "_url")
     judged = base.join(hits, F.col("url") == F.col("_url"), "left")
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     judged = judged.withColumns({"host": host, "path": path}).withColumn("_listed", listed_rule(F.col("host"), F.col("path")))

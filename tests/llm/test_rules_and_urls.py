@@ -138,3 +138,16 @@ def test_support_is_the_same_rule_at_every_size(spark):
     rows = [(i, f"http://z.example.org/{'bad' if i < 9 else 'good'}/x") for i in range(60)]
     known = spark.createDataFrame([(u, i < 9) for i, u in rows], "url string, bad boolean")
     assert U.mined_rules(known).count() == 0  # nine urls, one below MIN_URLS
+
+
+def test_tokens_that_come_together_are_one_item(spark):
+    """Thirty fixed parts of one bad host: one class to mine, and any of its tokens tells."""
+    fixed = "/".join("abcdefghij"[i % 10] * 2 + "klm"[i // 10] for i in range(30))
+    bad = [f"http://spam.example.org/{fixed}" for _ in range(30)]
+    good = [f"http://fine{i % 5}.example.org/{'abcdefghij'[i % 10] * 3}" for i in range(60)]
+    pages = spark.createDataFrame(list(enumerate(bad + good)) + [(500, "http://other.example.edu/aak/zzz"), (501, "http://other.example.edu/zzz")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, i < 30) for i in range(90)], "page_id long, bad boolean")
+    rules, members = U.mined_classes(pages.join(labels, "page_id").select("url", "bad"))
+    assert rules.count() < 20 and members.groupBy("class").count().agg({"count": "max"}).first()[0] >= 30
+    got = {r.page_id: r.verdict for r in U.filter_urls(pages, labels).collect()}
+    assert got == {**{i: "block" for i in range(30)}, **{i: "allow" for i in range(30, 90)}, 500: "block", 501: "allow"}
