@@ -58,29 +58,6 @@ def rank_stop(windows: DataFrame, order: str, ranked: str, entered: str, queue_l
     return "budget" if windows.agg(F.sum(ranked)).first()[0] >= budget else "go on"
 
 
-def read_in_windows(queue: DataFrame, score, key: str, window: int, top: int, patience: int, budget: int) -> tuple[DataFrame, str]:
-    """Read an ordered queue window by window through score(df) -> (key, score) until a stop rule holds.
-
-    The queue's places are fixed once; each round takes a slice, never the whole queue.
-    """
-    spark = queue.sparkSession
-    done, log, round_, before = None, [], 0, set()
-    while True:
-        part = queue.filter((F.col("place") > round_ * window) & (F.col("place") <= (round_ + 1) * window))
-        got = score(part).select(key, "score")
-        rows = got.collect()  # one window
-        if not rows:
-            return done if done is not None else got, "queue empty"
-        fresh = spark.createDataFrame(rows, got.schema)
-        done = fresh if done is None else done.unionByName(fresh)
-        best = {r[key] for r in done.orderBy(F.desc("score"), key).limit(top).collect()}
-        log.append((round_, len(rows), len(best & {r[key] for r in rows} - before)))
-        before, round_ = best, round_ + 1
-        why = rank_stop(spark.createDataFrame(log, "n int, ranked int, entered int"), "n", "ranked", "entered", 1, patience, budget)
-        if why != "go on":
-            return done, why
-
-
 def placed(df: DataFrame, order: list[Column], out: str = "place", by: list[str] | None = None) -> DataFrame:
     """Places from 1 within groups of a task's size, or over all rows (by range, in no single task)."""
     if by is None:

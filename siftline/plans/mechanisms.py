@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from siftline import scratch
-from siftline.operators import asof, claims, places, selection
+from siftline.operators import asof, claims, places, rounds, selection
 from siftline.plans.catalog import Tables, query
 from siftline.streaming import presence as PR
 
@@ -127,3 +127,34 @@ def claimed_names(spark, sf):
     d = Tables(spark, sf).documents
     names = F.array(F.concat_ws("-", "source", F.col("doc_id") % 7), F.concat_ws("-", "lang", F.col("n_chars") % 100), F.concat_ws("-", "Source", "lang", F.col("n_chars")))
     return claims.claimed(d.select(F.col("doc_id").alias("owner"), names.alias("candidates")))
+
+
+# ------------------------------------------------------------------ iteration to a fixed point
+_WINDOW, _TOP, _PATIENCE = 100, 12, 300
+_QUEUE = """q AS (SELECT l_orderkey AS k, row_number() OVER (ORDER BY sum(l_quantity) DESC, l_orderkey) AS p, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) % 10007 AS DOUBLE) AS s FROM lineitem GROUP BY l_orderkey)"""
+
+
+def _queue(t: Tables) -> DataFrame:
+    """Orders by quantity, with a score that has nothing to do with it."""
+    orders = t.lineitem.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"), (F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) % 10_007).cast("double").alias("score"))
+    return places.placed_in_all(orders, [F.desc("q"), F.asc("l_orderkey")])
+
+
+@query(f"""WITH RECURSIVE {_QUEUE}, w AS (SELECT (p - 1) // {_WINDOW} AS w, list({{'s': -s, 'k': k}} ORDER BY -s, k) AS of, count(*) AS n FROM q GROUP BY 1),
+r AS (SELECT 0 AS w, of[:{_TOP}] AS top, 0 AS missed FROM w WHERE w = 0
+UNION ALL SELECT w, merged, CASE WHEN len(list_filter(merged, lambda x: list_contains(of, x))) > 0 THEN 0 ELSE missed + n END FROM (SELECT w.w, list_sort(list_concat(r.top, w.of))[:{_TOP}] AS merged, w.of, w.n, r.missed FROM r JOIN w ON w.w = r.w + 1 WHERE r.missed < {_PATIENCE}))
+SELECT k AS l_orderkey, s AS score, CAST((p - 1) // {_WINDOW} AS INTEGER) AS round FROM q WHERE (p - 1) // {_WINDOW} <= (SELECT max(w) FROM r)""")
+def windowed_reading(spark, sf):
+    """The orders that a reading by windows scores until its patience ends, with their rounds."""
+    return rounds.read_windows(_queue(Tables(spark, sf)), lambda d: d, "l_orderkey", _WINDOW, _TOP, _PATIENCE, 1 << 40).rows
+
+
+@query(f"""WITH RECURSIVE {_QUEUE}, b AS (SELECT k, s AS prior, CASE WHEN k % 3 = 0 THEN s / 2 ELSE s - 1 END AS refined FROM q),
+r AS (SELECT 0 AS n, CAST([] AS BIGINT[]) AS done UNION ALL
+SELECT n + 1, list_concat(done, new) FROM (SELECT r.n, r.done, (SELECT list(k) FROM (SELECT k FROM b ORDER BY CASE WHEN list_contains(r.done, k) THEN refined ELSE prior END DESC, k LIMIT {_TOP}) t WHERE NOT list_contains(r.done, k)) AS new FROM r) WHERE len(new) > 0)
+SELECT k AS l_orderkey, refined FROM b WHERE list_contains((SELECT done FROM r ORDER BY n DESC LIMIT 1), k)""")
+def refined_top(spark, sf):
+    """Every order that was refined before the best ones all were: a third of them fall by half when they are."""
+    q = _queue(Tables(spark, sf)).select("l_orderkey", F.col("score").alias("prior"))
+    fall = lambda d: d.withColumn("score", F.when(F.col("l_orderkey") % 3 == 0, F.col("prior") / 2).otherwise(F.col("prior") - 1))
+    return rounds.refine_top(q, fall, "l_orderkey", _TOP, 1_000).rows.select("l_orderkey", "refined")

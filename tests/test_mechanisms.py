@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.operators import asof, audit as A, claims, evaluation as E, ordering as O, places as P, selection as C
+from siftline.operators import asof, audit as A, claims, evaluation as E, ordering as O, places as P, rounds as RD, selection as C
 from siftline.plans import catalog
 from siftline.streaming import presence as PR
 
@@ -145,6 +145,31 @@ def test_claimed_names_of_documents(spark):
     assert {x.owner: x.name for x in catalog.QUERIES["claimed_names"](spark, SF).collect()} == sequential(owners, {})
 
 
+def test_reading_stops_for_each_reason(spark):
+    queue = spark.createDataFrame([(i, i + 1, float(100 - i)) for i in range(20)], "id int, place int, score double")
+    read = lambda **more: RD.read_windows(queue, lambda d: d, "id", **{"window": 5, "top": 3, "patience": 10, "budget": 1000, **more})
+    a = read()
+    assert (a.why, a.rounds, a.rows.count(), [r.id for r in a.best.orderBy("id").collect()]) == ("patience", 3, 15, [0, 1, 2])
+    b = read(budget=8)
+    assert (b.why, b.rounds, b.rows.count()) == ("budget", 2, 10)
+    c = read(patience=99)
+    assert (c.why, c.rounds, c.rows.count(), {r.round for r in c.rows.collect()}) == ("queue empty", 4, 20, {0, 1, 2, 3})
+    late = queue.withColumn("score", F.col("place").cast("double"))
+    assert RD.read_windows(late, lambda d: d, "id", 5, 3, 5, 1000).why == "queue empty"  # somebody enters in every window
+    assert RD.read_windows(queue.limit(0), lambda d: d, "id", 5, 3, 5, 1000).why == "queue empty"
+
+
+def test_refining_goes_on_until_the_top_is_refined(spark):
+    rows = spark.createDataFrame([(i, float(100 - i)) for i in range(12)], "id int, prior double")
+    halve = lambda d: d.withColumn("score", F.when(F.col("id") < 4, F.col("prior") / 2).otherwise(F.col("prior") - 1))
+    out = RD.refine_top(rows, halve, "id", 3, 9)
+    # 0, 1, 2 fall, then 3 falls and 4, 5 stay, then 6
+    assert out.why == "refined" and sorted(r.id for r in out.best.collect()) == [4, 5, 6] and {r.id: r.round for r in out.rows.collect()} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1, 6: 2}
+    assert RD.refine_top(rows, halve, "id", 3, 1).why == "passes" and RD.refine_top(rows.limit(0), halve, "id", 3, 1).why == "nothing to refine"
+    bounds = [5.0, 4.0, 4.0, 1.0]
+    assert RD.until_boundary_holds(lambda n: (n, bounds[n]), 9) == (2, 3) and RD.until_boundary_holds(lambda n: (n, -n), 4) == (3, 4)
+
+
 @pytest.fixture
 def rocks(spark):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")

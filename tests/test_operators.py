@@ -115,9 +115,6 @@ def test_ordering(spark):
     w = spark.createDataFrame([(1, 10, 1), (2, 10, 0), (3, 10, 0), (4, 10, 2), (5, 7, 0)], "n int, ranked int, entered int")
     assert [r.miss_run for r in O.miss_runs(w, "n", "ranked", "entered").orderBy("n").collect()] == [0, 10, 20, 0, 7]
     assert O.rank_stop(w, "n", "ranked", "entered", 5, 30, 99) == "go on" and O.rank_stop(w, "n", "ranked", "entered", 5, 7, 99) == "patience" and O.rank_stop(w, "n", "ranked", "entered", 5, 30, 40) == "budget" and O.rank_stop(w, "n", "ranked", "entered", 0, 1, 1) == "queue empty"
-    queue = spark.createDataFrame([(i, i + 1, 100 - i) for i in range(20)], "id int, place int, score int")
-    done, why = O.read_in_windows(queue, lambda d: d, "id", 5, 3, 10, 1000)
-    assert why == "patience" and done.count() == 15
     d = {r.id: r.change for r in O.diff(df, spark.createDataFrame([(0, 70), (1, 75), (9, 5)], "id int, s int"), "id", "s").collect()}
     assert d == {0: "moved", 2: "new", 3: "new", 4: "new", 9: "gone"}
 
