@@ -7,7 +7,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siftline.functions import dates as D, places as P, text as T, vocabulary as V
+from siftline.functions import dates as D, dictionary as W, places as P, text as T, vocabulary as V
 
 
 @dataclass(frozen=True)
@@ -129,15 +129,14 @@ def language_requirements(docs: DataFrame, key: str, text: str) -> DataFrame:
     A clause decides for the languages it names; one without keywords takes its sentence's verdict; a negated one
     makes them optional. What one sentence requires stays required.
     """
-    names = {c: r"(?iuU)(?<!\w)(?:" + "|".join(map(_escape, n)) + ")" for c, n in V.LANGUAGE_NAMES.items()}
-    every = "|".join(_escape(n) for x in V.LANGUAGE_NAMES.values() for n in x)
+    names = [n for x in V.LANGUAGE_NAMES.values() for n in x]
+    every = W.tree_pattern(names)
     clause = r"(?iuU)\s*[;,()/]\s*|\s+[-–—]\s+|\s+(?:and|und|ja|och|og|e|y|et)\s+(?=(?:" + every + "))"
     s = docs.select(F.col(key), F.posexplode(F.split(F.coalesce(text, F.lit("")), V.SENTENCE_END)).alias("_p", "_s"))
-    s = s.withColumn("_s", F.trim("_s")).filter((F.col("_s") != "") & (F.length("_s") <= V.LONGEST_SENTENCE)).withColumn("_low", F.lower("_s")).filter(F.col("_low").rlike(r"(?iuU)(?<!\w)(?:" + every + ")"))
+    s = s.withColumn("_s", F.trim("_s")).filter((F.col("_s") != "") & (F.length("_s") <= V.LONGEST_SENTENCE)).withColumn("_low", F.lower("_s")).filter(F.col("_low").rlike(W.mentions(names)))
     s = s.withColumn("_sreq", F.col("_low").rlike(V.REQUIRED) & ~F.col("_low").rlike(V.OPTIONAL)).withColumn("_sneg", F.col("_low").rlike(V.NOT_NEEDED))
     c = s.select(key, "_p", "_s", "_sreq", "_sneg", F.explode(F.split("_low", clause)).alias("_c"))
-    hit = F.filter(F.array(*[F.when(F.col("_c").rlike(p), code) for code, p in names.items()]), lambda x: x.isNotNull())
-    c = c.withColumn("_hits", hit).filter(F.size("_hits") > 0)
+    c = c.withColumn("_hits", W.codes_in(F.col("_c"), V.LANGUAGE_NAMES)).filter(F.size("_hits") > 0)
     req, opt, neg = (F.col("_c").rlike(p) for p in (V.REQUIRED, V.OPTIONAL, V.NOT_NEEDED))
     needs = F.when(neg | (~req & ~opt & F.col("_sneg")), False).when(req | opt, req & ~opt).otherwise(F.col("_sreq"))
     c = c.withColumn("_needs", needs).select(key, "_p", "_s", "_needs", F.explode("_hits").alias("code"))
@@ -146,6 +145,3 @@ def language_requirements(docs: DataFrame, key: str, text: str) -> DataFrame:
     said = F.map_from_entries(F.filter(F.collect_list(F.when(F.col("_needs"), F.struct("code", F.substring("_said", 1, 200).alias("s")))), lambda x: x.isNotNull()))
     return g.groupBy(key).agg(pick(True).alias("required"), pick(False).alias("optional"), said.alias("evidence"))
 
-
-def _escape(name: str) -> str:
-    return "".join(c if c.isalnum() or c == " " else "\\" + c for c in name)

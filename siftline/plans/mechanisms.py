@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from siftline import scratch
-from siftline.operators import asof, claims, places, rounds, selection
+from siftline.functions import vocabulary as V
+from siftline.operators import asof, claims, places, rounds, rules as R, selection
 from siftline.plans.catalog import Tables, query
 from siftline.streaming import presence as PR
 
@@ -158,3 +159,29 @@ def refined_top(spark, sf):
     q = _queue(Tables(spark, sf)).select("l_orderkey", F.col("score").alias("prior"))
     fall = lambda d: d.withColumn("score", F.when(F.col("l_orderkey") % 3 == 0, F.col("prior") / 2).otherwise(F.col("prior") - 1))
     return rounds.refine_top(q, fall, "l_orderkey", _TOP, 1_000).rows.select("l_orderkey", "refined")
+
+
+# ------------------------------------------------------------------ dictionaries in one pass
+_SAID = ["Fluent English required; Finnish is a plus.", "Swedish is not required.", "You speak German and Dutch is a preference.", "Nothing of the kind.", "Italian, French (native) or Polish. Russian would be a bonus", "You must know Danish and Norwegian"]
+_NAMES = "|".join(n for x in V.LANGUAGE_NAMES.values() for n in x)
+_EDGE = r"(?:^|[^\p{L}\p{M}\p{N}_])"
+_SAYS = lambda x, p: f"regexp_matches({x}, '{p.replace('(?iuU)', '(?i)').replace(chr(39), chr(39) * 2)}')"
+_CODES = "[" + ", ".join(f"CASE WHEN regexp_matches(c, '{_EDGE}(?:{'|'.join(n)})') THEN '{code}' END" for code, n in V.LANGUAGE_NAMES.items()) + "]"
+
+
+@query(rf"""WITH v(i, said) AS (VALUES {", ".join(f"({i}, '{x}')" for i, x in enumerate(_SAID))}), t AS (SELECT doc_id, text || chr(10) || said AS t FROM documents JOIN v ON doc_id % {len(_SAID)} = i),
+m AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(t, '([.!?•\n])\s+', '\1' || chr(1), 'g'), '\s*[•·▪▸►]\s*', chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)) AS parts FROM t),
+u AS (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS p FROM m), s AS (SELECT doc_id, p, trim(s, ' ') AS s, lower(trim(s, ' ')) AS low FROM u WHERE trim(s, ' ') <> '' AND length(trim(s, ' ')) <= {V.LONGEST_SENTENCE}),
+f AS (SELECT *, {_SAYS("low", V.REQUIRED)} AND NOT {_SAYS("low", V.OPTIONAL)} AS sreq, {_SAYS("low", V.NOT_NEEDED)} AS sneg FROM s WHERE regexp_matches(low, '{_EDGE}(?:{_NAMES})')),
+c AS (SELECT doc_id, p, s, sreq, sneg, unnest(string_split(regexp_replace(regexp_replace(low, '\s*[;,()/]\s*|\s+[-–—]\s+', chr(1), 'g'), '\s+(?:and|und|ja|och|og|e|y|et)\s+({_NAMES})', chr(1) || '\1', 'g'), chr(1))) AS c FROM f),
+h AS (SELECT *, list_filter({_CODES}, lambda x: x IS NOT NULL) AS hits, {_SAYS("c", V.REQUIRED)} AS req, {_SAYS("c", V.OPTIONAL)} AS opt, {_SAYS("c", V.NOT_NEEDED)} AS neg FROM c),
+e AS (SELECT doc_id, p, s, unnest(hits) AS code, CASE WHEN neg OR (NOT req AND NOT opt AND sneg) THEN false WHEN req OR opt THEN req AND NOT opt ELSE sreq END AS needs FROM h),
+g AS (SELECT doc_id, code, bool_or(needs) AS needs, arg_min(s, CASE WHEN needs THEN p END) AS said FROM e GROUP BY 1, 2)
+SELECT doc_id, coalesce(string_agg(code, ',' ORDER BY code) FILTER (needs), '') AS required, coalesce(string_agg(code, ',' ORDER BY code) FILTER (NOT needs), '') AS optional, coalesce(string_agg(code || '=' || left(said, 200), ' | ' ORDER BY code) FILTER (needs), '') AS evidence FROM g GROUP BY doc_id""")
+def language_needs(spark, sf):
+    """Required and optional languages of every document with a sentence about them, and the sentences that say so."""
+    v = spark.createDataFrame(list(enumerate(_SAID)), "i int, said string")
+    d = Tables(spark, sf).documents.select("doc_id", "text").join(F.broadcast(v), F.col("doc_id") % len(_SAID) == F.col("i"))  # six rows
+    out = R.language_requirements(d.select("doc_id", F.concat(F.col("text"), F.lit("\n"), F.col("said")).alias("text")), "doc_id", "text")
+    evidence = F.transform(F.array_sort(F.map_keys("evidence")), lambda c: F.concat(c, F.lit("="), F.col("evidence")[c]))
+    return out.select("doc_id", F.array_join("required", ",").alias("required"), F.array_join("optional", ",").alias("optional"), F.array_join(evidence, " | ").alias("evidence"))

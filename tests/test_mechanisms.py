@@ -196,3 +196,22 @@ def test_presence_goes_on_after_a_restart(spark, tmp_path, rocks):
     assert told[0] == {"a": (2, 1, False, 1, 2), "b": (1, 2, False, 1, 1), "c": (1, 1, False, 2, 2), "clock": (1, 0, False, 3, 3)}
     assert told[1] == {"a": (3, 0, False, 1, 6), "b": (1, 3, True, 1, 1), "c": (2, 0, False, 2, 6), "clock": (2, 0, False, 3, 6)}
     assert told[2] == {"a": (3, 3, True, 1, 6), "b": (2, 0, False, 1, 9), "c": (2, 3, True, 2, 6), "clock": (3, 0, False, 3, 9)}
+
+
+def test_dictionaries_find_what_single_patterns_find(spark):
+    """Names that begin others, overlap, stand in words, and differ in case."""
+    import re
+
+    from siftline.functions import dictionary as W
+
+    names = {"a": ["ab", "abc d"], "b": ["abc", "c++"], "c": ["d e", "x"], "d": ["ab"], "e": ["été", "straße"]}
+    r = random.Random(2)
+    texts = [None, "", "abc d e", "xabc", "ABC D E", "c++x", "é été", "STRASSE straßen", "ſx", "x_ab ab_"] + ["".join(r.choice("abcdex +é_-") for _ in range(r.randint(1, 30))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {x.i: x.c for x in df.select("i", W.codes_in(F.lower("t"), names).alias("c")).collect()}
+    some = {x.i for x in df.filter(F.lower("t").rlike(W.mentions(n for v in names.values() for n in v))).collect()}
+    for i, t in enumerate(texts):
+        want = None if t is None else sorted(c for c, n in names.items() if any(re.search(r"(?i)(?<!\w)" + re.escape(x), t.lower()) for x in n))
+        assert got[i] == want, (t, got[i], want)
+        assert (i in some) == bool(want)
+    assert W.tree_pattern(["ab", "abc", "b"]) == "(?:ab(?:c)?|b)"
