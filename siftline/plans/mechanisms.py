@@ -8,6 +8,7 @@ from siftline import scratch
 from siftline.functions import vocabulary as V
 from siftline.operators import asof, claims, places, rounds, rules as R, selection
 from siftline.plans.catalog import Tables, query
+from siftline.sources import append_log as LG
 from siftline.streaming import presence as PR
 
 
@@ -185,3 +186,15 @@ def language_needs(spark, sf):
     out = R.language_requirements(d.select("doc_id", F.concat(F.col("text"), F.lit("\n"), F.col("said")).alias("text")), "doc_id", "text")
     evidence = F.transform(F.array_sort(F.map_keys("evidence")), lambda c: F.concat(c, F.lit("="), F.col("evidence")[c]))
     return out.select("doc_id", F.array_join("required", ",").alias("required"), F.array_join("optional", ",").alias("optional"), F.array_join(evidence, " | ").alias("evidence"))
+
+
+# ------------------------------------------------------------------ a log that is appended to
+@query("SELECT event_type, count(*) AS notes, min(event_id) AS first_id, max(event_id) AS last_id, CAST(sum(CAST(round(value, 2) AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY event_type")
+def appended_notes(spark, sf):
+    """All events, appended to a log in three writes and read back."""
+    e = Tables(spark, sf).events.select("event_id", "event_type", "value")
+    root = scratch.fresh(spark, "log")
+    for i in range(3):
+        LG.append(e.filter(F.col("event_id") % 3 == i), root, "event_id")
+    rows = LG.read_log(spark, root, "event_id long, event_type string, value double")
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("notes"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.sum(F.round("value", 2).cast("decimal(18,2)")).cast("double").alias("total"))

@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 from siftline.functions import text as T
 
@@ -64,13 +64,23 @@ def adapters_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, description string, complete_listing boolean, needs_browser boolean")
 
 
-class _Unit(InputPartition):
-    def __init__(self, url: str):
-        self.url = url
+def host_of(url: str) -> str:
+    return url.split("://", 1)[-1].split("/", 1)[0].split("?", 1)[0].lower()
+
+
+class _Host(InputPartition):
+    """A host's urls, in their order: no other task reads from it."""
+
+    def __init__(self, urls: list[str]):
+        self.urls = urls
 
 
 class FetchSource(DataSource):
-    """spark.read.format("fetch").option("urls", JSON list): one partition a url; options root (files instead of a network), cache, delay, retries."""
+    """spark.read.format("fetch").option("urls", JSON list): one partition a host, whose urls are read one after the other.
+
+    Options: root (files instead of a network), cache, delay (seconds between two reads of a host, also between attempts), retries, log (a folder in
+    which a file a host tells when it was read). A host's rate is what limits a fetch, so hosts are the tasks; filters on the url, by equality or list, are pushed down.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -88,26 +98,46 @@ class _FetchReader(DataSourceReader):
         self.urls = json.loads(options.get("urls", "[]"))
         self.root, self.cache = options.get("root"), options.get("cache")
         self.delay, self.retries, self.only = float(options.get("delay", 0)), int(options.get("retries", 2)), None
+        self.log, self.read_at = options.get("log"), None
 
     def pushFilters(self, filters):
         """A filter on the url decides which units are fetched at all."""
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("url",):
-                self.only = f.value
+            wanted = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if wanted is not None and f.attribute == ("url",):
+                self.only = wanted if self.only is None else self.only & wanted
             else:
                 yield f
 
     def partitions(self):
-        return [_Unit(u) for u in self.urls if self.only in (None, u)]
+        hosts: dict[str, list[str]] = {}
+        for u in self.urls:
+            if self.only is None or u in self.only:
+                hosts.setdefault(host_of(u), []).append(u)
+        return [_Host(urls) for urls in hosts.values()]
 
     def read(self, partition) -> Iterator[tuple]:
-        url = partition.url
+        for url in partition.urls:
+            yield from self._one(url)
+
+    def _wait(self, url: str) -> None:
+        """Until the host may be read again."""
+        now = time.monotonic()
+        if self.read_at is not None and self.read_at + self.delay > now:
+            time.sleep(self.read_at + self.delay - now)
+        self.read_at = time.monotonic()
+        if self.log:
+            with open(os.path.join(self.log, hashlib.sha1(host_of(url).encode()).hexdigest()), "a", encoding="utf-8") as f:
+                f.write(f"{host_of(url)} {time.time()} {url}\n")
+
+    def _one(self, url: str) -> Iterator[tuple]:
         kept = self.cache and os.path.join(self.cache, hashlib.sha1(url.encode()).hexdigest())
         if kept and os.path.exists(kept):
             with open(kept, encoding="utf-8") as f:
                 yield (url, 200, f.read(), None)
             return
         if self.root:
+            self._wait(url)
             try:
                 with open(os.path.join(self.root, url.split("://", 1)[-1].replace("/", "_")), encoding="utf-8") as f:
                     yield (url, 200, f.read(), None)
@@ -122,7 +152,7 @@ class _FetchReader(DataSourceReader):
 
     def _get(self, url: str):
         for turn in range(self.retries + 1):
-            time.sleep(self.delay)
+            self._wait(url)
             try:
                 with urllib.request.urlopen(url, timeout=30) as r:
                     return r.status, decoded(r.read()), None

@@ -215,3 +215,48 @@ def test_dictionaries_find_what_single_patterns_find(spark):
         assert got[i] == want, (t, got[i], want)
         assert (i in some) == bool(want)
     assert W.tree_pattern(["ab", "abc", "b"]) == "(?:ab(?:c)?|b)"
+
+
+def test_appends_cost_their_own_rows_and_failed_ones_leave_nothing(spark, tmp_path):
+    from siftline.sources import append_log as LG
+
+    root = f"{tmp_path}/log"
+    schema = "id long, note string"
+    assert LG.next_id(spark, root) == 1 and LG.read_log(spark, root, schema).count() == 0
+    LG.append(spark.createDataFrame([(1, "a"), (2, None)], schema).repartition(2), root, "id")
+    files = lambda: {p.name: p.stat().st_mtime_ns for p in (tmp_path / "log/data").glob("*/*.parquet")}
+    before = files()
+    LG.append(spark.createDataFrame([(7, "b")], schema), root, "id")
+    after = files()
+    assert before.items() <= after.items() and len(after) == len(before) + 1
+    assert sorted(map(tuple, LG.read_log(spark, root, schema).collect())) == [(1, "a"), (2, None), (7, "b")] and LG.next_id(spark, root) == 8
+    broken = spark.range(100, 104, 1, 4).select("id", F.when(F.col("id") == 103, F.raise_error(F.lit("no"))).otherwise("x").alias("note"))
+    with pytest.raises(Exception):
+        LG.append(broken, root, "id")
+    assert LG.read_log(spark, root, schema).count() == 3
+    LG.clean(spark, root)  # of tasks that the failure overtook
+    assert LG.left_over(spark, root) == [] and files().keys() == after.keys() and LG.read_log(spark, root, schema).count() == 3
+    LG.append(spark.createDataFrame([], schema), root)
+    assert LG.read_log(spark, root, schema).count() == 3
+    with pytest.raises(Exception, match="appended"):
+        spark.createDataFrame([(1, "a")], schema).write.format(LG.FORMAT).mode("overwrite").option("path", root).save()
+
+
+def test_hosts_are_read_in_turn(spark, tmp_path):
+    """No two reads of a host within the delay, whatever the number of tasks; other hosts do not wait; filters decide what is read."""
+    from siftline.sources import connector as N
+
+    urls = [f"http://{h}.example/{n}" for n in range(4) for h in ("a", "b", "A")]
+    for u in urls:
+        (tmp_path / u.split("://")[1].replace("/", "_")).write_text(u)
+    for turn in ("all", "some"):
+        (tmp_path / turn).mkdir()
+    df = N.fetch(spark, urls, root=str(tmp_path), delay="0.2", log=str(tmp_path / "all"))
+    assert df.rdd.getNumPartitions() == 2 and sorted(r.payload for r in df.collect()) == sorted(urls)
+    for f in (tmp_path / "all").iterdir():
+        lines = [x.split() for x in f.read_text().splitlines()]
+        times = [float(t) for _, t, _ in lines]
+        assert len({h for h, _, _ in lines}) == 1 and all(b - a >= 0.19 for a, b in zip(times, times[1:])) and [u for _, _, u in lines] == [u for u in urls if N.host_of(u) == lines[0][0]]
+    few = N.fetch(spark, urls, root=str(tmp_path), log=str(tmp_path / "some")).filter(F.col("url").isin(urls[0], urls[4]))
+    assert {r.url for r in few.collect()} == {urls[0], urls[4]}
+    assert sum(len(f.read_text().splitlines()) for f in (tmp_path / "some").iterdir()) == 2
