@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from siftline.functions import vocabulary as V
 
-#: Stands where a phrase was found; texts do not hold it.
+#: Stand where a phrase was found; what a text has of them is taken for blanks.
 MARK, END = "\u0001", "\u0002"
 
 
@@ -62,7 +62,7 @@ def find_deadline(text: Column, today: date) -> Column:
     read, and the first that is one is it.
     """
     cue = "(?iu)" + deadline_cue()
-    after = F.slice(F.split(F.regexp_replace(text, cue, MARK + "$1"), MARK), 2, 1_000_000)
+    after = F.slice(F.split(F.regexp_replace(F.translate(text, MARK + END, "  "), cue, MARK + "$1"), MARK), 2, 1_000_000)
     windows = F.transform(after, lambda x: F.regexp_replace(F.substring(x, 1, V.DEADLINE_WINDOW), V.DEADLINE_STOP, "$1"))
     dates = F.flatten(F.transform(windows, lambda w: F.transform(F.regexp_extract_all(w, F.lit("(?iu)" + date_pattern()), F.lit(0)), lambda d: _read(d, today))))
     return F.when(text.rlike(cue), F.get(F.filter(dates, lambda d: d.isNotNull()), 0))
@@ -70,7 +70,7 @@ def find_deadline(text: Column, today: date) -> Column:
 
 def years_required(text: Column) -> Column:
     """The first figure of years, 1 to 20, within 80 characters of words for experience. Figures are marked, and judged with what stands around them."""
-    pieces = F.split(F.regexp_replace(text, f"(?iu)({V.YEARS})", f"{MARK}$1{END}"), MARK)
+    pieces = F.split(F.regexp_replace(F.translate(text, MARK + END, "  "), f"(?iu)({V.YEARS})", f"{MARK}$1{END}"), MARK)
     far = 1 + V.YEARS_WINDOW // 3  # a figure of years has three characters or more
 
     def judged(i: Column) -> Column:

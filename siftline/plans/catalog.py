@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from siftline import scratch
 from siftline.functions import dates as DT, language as L, parsers as P, places as G, text as T, vocabulary as V
 from siftline.operators import audit as A, dedupe as D, facets as C, ordering as O, rules as R, scorer as X, scoring as S, state as K
-from siftline.streaming import state as ST
+from siftline.streaming import presence as PR, state as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -752,13 +752,13 @@ def scorer_incremental(spark, sf):
 @query("SELECT user_id, CAST(min(ts) AS TIMESTAMP) AS first_seen, CAST(max(ts) AS TIMESTAMP) AS last_seen, count(*) AS n FROM events GROUP BY user_id")
 def stream_upsert(spark, sf):
     """events read as a stream of files into first and last seen by user, to the end of what is there."""
-    name = f"siftline_seen_{uuid.uuid4().hex[:8]}"
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
-    spark.conf.set("spark.sql.streaming.schemaInference", "false")
-    q = ST.seen(stream, "user_id", "ts").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    root = scratch.fresh(spark, "seen")
+    PR.run_to_end(ST.seen(stream, "user_id", "ts"), f"{root}/rows", f"{root}/checkpoint")  # a key's row comes again when it changes
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/rows")
+    last = rows.groupBy("user_id").agg(F.max_by(F.struct("first_seen", "last_seen", "n"), "batch").alias("_r"))
+    return last.select("user_id", "_r.*")
 
 
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n, CAST(sum(CAST(round(value, 2) AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2")

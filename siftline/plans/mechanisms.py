@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from siftline import scratch
 from siftline.functions import vocabulary as V
-from siftline.operators import asof, claims, places, rounds, rules as R, selection
+from siftline.operators import asof, claims, places, rounds, rules as R, selection, shortlist
 from siftline.plans.catalog import Tables, query
 from siftline.sources import append_log as LG
 from siftline.streaming import presence as PR
@@ -198,3 +200,33 @@ def appended_notes(spark, sf):
         LG.append(e.filter(F.col("event_id") % 3 == i), root, "event_id")
     rows = LG.read_log(spark, root, "event_id long, event_type string, value double")
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("notes"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.sum(F.round("value", 2).cast("decimal(18,2)")).cast("double").alias("total"))
+
+
+# ------------------------------------------------------------------ functions of whole sets
+_CALL, _ANCHORS = 30_000, 3
+
+
+def placed_among(rows: pa.Table) -> pa.Table:
+    """A deterministic scorer of sets: the share of a set that is not longer, in hundredths, moved by how far the anchors' scores lie from 50."""
+    size = np.array([len(t or "") for t in rows.column("text").to_pylist()])
+    known = rows.column("anchor").to_numpy(zero_copy_only=False).astype(float)
+    shift = np.nanmean(known) - 50 if (~np.isnan(known)).any() else 0.0
+    share = np.searchsorted(np.sort(size), size, side="right") / len(size)
+    score = np.floor(100 * share + shift)
+    new = np.isnan(known)
+    return pa.table({"list": rows.column("list").filter(pa.array(new)), "split": rows.column("split").filter(pa.array(new)), "key": rows.column("key").filter(pa.array(new)), "members": pa.array(np.full(new.sum(), len(size)), pa.int64()), "score": pa.array(score[new], pa.float64())})
+
+
+@query(f"""WITH k AS (SELECT doc_id, source, text, CAST(n_chars % 101 AS DOUBLE) AS anchor FROM documents WHERE doc_id % 4 = 0),
+a AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY source ORDER BY anchor DESC, doc_id) <= {_ANCHORS}),
+n AS (SELECT doc_id, source, text, CAST(floor(coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {_CALL}) AS INTEGER) AS split FROM documents WHERE doc_id % 4 <> 0),
+b AS (SELECT source, split, doc_id, length(text) AS size, CAST(NULL AS DOUBLE) AS anchor FROM n UNION ALL SELECT s.source, s.split, a.doc_id, length(a.text), a.anchor FROM (SELECT DISTINCT source, split FROM n) s JOIN a ON s.source IS NOT DISTINCT FROM a.source),
+w AS (SELECT *, count(*) OVER g AS members, count(*) OVER (PARTITION BY source, split ORDER BY size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, avg(anchor) OVER g AS mean FROM b WINDOW g AS (PARTITION BY source, split))
+SELECT source AS list, split, doc_id AS key, members, floor(100 * (upto / members) + coalesce(mean - 50, 0)) AS score FROM w WHERE anchor IS NULL""")
+def set_scores(spark, sf):
+    """Every source's documents as a shortlist, split by what a call may hold, each split scored beside the source's best known documents."""
+    d = Tables(spark, sf).documents.select("doc_id", "source", "text", "n_chars")
+    known = d.filter("doc_id % 4 = 0").select("doc_id", (F.col("n_chars") % 101).alias("score"))
+    new, anchors = shortlist.members(d, known, "source", "doc_id", _ANCHORS)
+    parts = shortlist.split(new, "source", "doc_id", [], F.length("text"), _CALL)
+    return shortlist.score_sets(parts, anchors, placed_among, "list string, split int, key long, members long, score double", "source", "doc_id", "text")

@@ -127,11 +127,11 @@ register(Adapter("multilingual", parse_multilingual, "records of multilingual te
 
 # ------------------------------------------------------------------ XML shapes
 def rss_items(pages: DataFrame) -> DataFrame:
-    """url and one row an item: title, link, guid, date, region, category, description."""
+    """url and one row an item: pos, title, link, guid, date, region, category, description."""
     names = {"title": "title", "link": "link", "guid": "guid", "date": "pubDate", "region": "region", "category": "category", "description": "description", "skills": "skills"}
     item = F.regexp_extract_all("payload", F.lit(r"(?s)<item[\s>].*?</item>"), F.lit(0))
-    items = pages.withColumn("_item", F.explode(item))
-    return items.select("url", *[F.nullif(F.expr(f"xpath_string(regexp_replace(_item, '<(/?)[a-zA-Z0-9]+:', '<$1'), 'item/{tag}')"), F.lit("")).alias(c) for c, tag in names.items()])
+    items = pages.select("*", F.posexplode(item).alias("pos", "_item"))
+    return items.select("url", "pos", *[F.nullif(F.expr(f"xpath_string(regexp_replace(_item, '<(/?)[a-zA-Z0-9]+:', '<$1'), 'item/{tag}')"), F.lit("")).alias(c) for c, tag in names.items()])
 
 
 def split_title(title: Column) -> tuple[Column, Column]:
@@ -143,7 +143,9 @@ def parse_rss(pages: DataFrame) -> DataFrame:
     i = rss_items(pages)
     company, title = split_title(F.col("title"))
     skills = F.transform(F.split(F.coalesce("skills", F.lit("")), ","), lambda s: F.regexp_replace(F.trim(s), "^and ", ""))
-    return postings(i, "rss", source_id=F.coalesce("guid", "link"), url=F.col("link"), title=title, company=company, description=P.clean_description(F.col("description")), location_raw=F.col("region"), remote_region=F.col("region"), remote=F.lit("remote"), tags=F.filter(skills, lambda s: s != ""), posted_at=D.parse_date(F.col("date"))).dropDuplicates(["url"])
+    out = postings(i, "rss", _order=F.struct(i["url"].alias("page_url"), "pos"), source_id=F.coalesce("guid", "link"), url=F.col("link"), title=title, company=company, description=P.clean_description(F.col("description")), location_raw=F.col("region"), remote_region=F.col("region"), remote=F.lit("remote"), tags=F.filter(skills, lambda s: s != ""), posted_at=D.parse_date(F.col("date")))
+    first = out.groupBy("url").agg(F.min_by(F.struct(*out.columns), "_order").alias("_row"))  # the copy that stands first
+    return first.select("_row.*").drop("_order")
 
 
 register(Adapter("rss", parse_rss, "RSS items with 'Company: Title'", complete_listing=True))

@@ -260,3 +260,31 @@ def test_hosts_are_read_in_turn(spark, tmp_path):
     few = N.fetch(spark, urls, root=str(tmp_path), log=str(tmp_path / "some")).filter(F.col("url").isin(urls[0], urls[4]))
     assert {r.url for r in few.collect()} == {urls[0], urls[4]}
     assert sum(len(f.read_text().splitlines()) for f in (tmp_path / "some").iterdir()) == 2
+
+
+def test_shortlists_are_split_and_scored_as_sets(spark):
+    import pyarrow as pa
+
+    from siftline.operators import shortlist as SL
+
+    rows = [(i, "hot" if i % 4 else None, "x" * (i % 5 + 1)) for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, g string, t string").repartition(5)
+    known = spark.createDataFrame([(i, float(i % 7)) for i in range(0, 80, 5)], "id int, score double")
+    new, anchors = SL.members(df, known, "g", "id", 2)
+    assert {r.id for r in new.collect()} == {i for i in range(80) if i % 5}
+    for g in ("hot", None):
+        mine = sorted((i for i, h, _ in rows if h == g and i % 5 == 0), key=lambda i: (-(i % 7), i))[:2]
+        assert sorted(r.id for r in anchors.collect() if r.g == g) == sorted(mine)
+    parts = SL.split(new, "g", "id", [], F.length("t"), 20)
+    got, before = {r.id: r.split for r in parts.collect()}, {}
+    for i, g, t in rows:
+        if i % 5:
+            assert got[i] == before.get(g, 0) // 20
+            before[g] = before.get(g, 0) + len(t)
+
+    def count(t: pa.Table) -> pa.Table:
+        return pa.table({"list": t.column("list").slice(0, 1), "n": pa.array([t.num_rows], pa.int64()), "anchors": pa.array([t.num_rows - t.column("anchor").null_count], pa.int64())})
+
+    out = [tuple(r) for r in SL.score_sets(parts, anchors, count, "list string, n long, anchors long", "g", "id", "t").collect()]
+    assert len(out) == len({(g, got[i]) for i, g, _ in rows if i in got}) and all(a == 2 for _, _, a in out) and sum(n - a for _, n, a in out) == len(got)
+    assert SL.members(df, known, "g", "id", 2, again=True)[1].count() == 0
