@@ -136,7 +136,13 @@ def sampled(df: DataFrame, rows: int, order: Column) -> DataFrame:
 
 
 def whole_texts(df: DataFrame, text: str, rows: int, size: int, order: Column, kind: str) -> DataFrame:
-    """Of a bounded sample, the first rows of each kind by order (ties by text) whose texts have so many bytes together: whole texts, so that fitting on them takes bounded memory."""
-    first = Window.partitionBy(kind).orderBy("_order", text)
-    so_far = F.sum(F.octet_length(text)).over(first.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_order", order).withColumn("_n", F.row_number().over(first)).withColumn("_bytes", so_far).filter((F.col("_n") <= rows) & (F.col("_bytes") <= size)).drop("_n", "_bytes")
+    """Of a bounded sample, the first rows of each kind by order (ties by text) whose texts have so many bytes together: whole texts, so that fitting on them takes bounded memory.
+
+    Texts of more than a sixteenth of the bytes come after all others, and those of more than all of them are passed over, so that
+    a few giant texts do not keep out the rest.
+    """
+    long = F.coalesce(F.octet_length(text), F.lit(0))
+    first = Window.partitionBy(kind).orderBy("_giant", "_order", text)
+    so_far = F.sum(long).over(first.rowsBetween(Window.unboundedPreceding, 0))
+    fits = df.filter(long <= size).withColumn("_order", order).withColumn("_giant", long * 16 > size)
+    return fits.withColumn("_n", F.row_number().over(first)).withColumn("_bytes", so_far).filter((F.col("_n") <= rows) & (F.col("_bytes") <= size)).drop("_n", "_bytes", "_giant")

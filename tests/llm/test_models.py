@@ -167,3 +167,15 @@ def test_tails_equal_the_cumulative_link_word_by_word(spark):
         for _, _, buf, offs in _bytes.chunks(pa.array([text])):
             word, shape, first = O.features(buf, offs)
             assert np.allclose(model.tails(O._means(model.weights[word] + model.weights[shape], first))[0], want)
+
+
+def test_giant_texts_do_not_keep_out_the_rest(spark):
+    """The first text is over the bound, or most of it: the others are still learnt from."""
+    from siftline.llm._common import whole_texts
+
+    rows = [(0, "x" * 2_000, "a"), (1, "y" * 900, "a"), *[(i, "z" * 10, "a") for i in range(2, 12)], (12, "w" * 950, "b"), (13, None, "b")]
+    df = spark.createDataFrame(rows, "i int, text string, kind string")
+    got = sorted(r.i for r in whole_texts(df, "text", 100, 1_000, F.col("i"), "kind").collect())
+    assert got == [*range(1, 12), 12, 13]
+    assert sorted(r.i for r in whole_texts(df, "text", 100, 899, F.col("i"), "kind").collect()) == [*range(2, 12), 13]
+    assert sorted(r.i for r in whole_texts(df, "text", 3, 1_000, F.col("i"), "kind").collect()) == [2, 3, 4, 12, 13]
