@@ -101,4 +101,47 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM ruled JOIN verdicts ON source IS NOT DISTINCT FROM host
 """
 
-ORACLES = {"op1_quality_rules": _OP1}
+_WHOLE = lambda scale: f"list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT))"
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_SQUARES = "CAST(list_sum(list_transform(v.x, lambda a, i: (a - k.x[i]) * (a - k.x[i]))) AS BIGINT)"
+#: floor(s / n) of whole numbers.
+_MEAN = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+
+
+def _op11() -> str:
+    """Rounds of assignment and floored means, a pair of tables a round."""
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, {_WHOLE(yinyang.SCALE)} AS x FROM embeddings WHERE len(embedding) = 64 AND {_FINITE})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, x FROM (SELECT sha256('{yinyang.SEED}:' || vec_id) AS h, x FROM v ORDER BY h LIMIT {yinyang.CENTROIDS}))",
+    ]
+    for i in range(yinyang.ROUNDS + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, arg_min(c, {{'d': d, 'c': c}}) AS c, min(d) AS d FROM (SELECT v.r, k.c, {_SQUARES} AS d FROM v, c{i} k) GROUP BY r)")
+        if i < yinyang.ROUNDS:
+            parts.append(f"m{i} AS (SELECT c, pos, {_MEAN} AS m FROM (SELECT c, pos, sum(e) AS s, count(*) AS n FROM (SELECT a.c, unnest(v.x) AS e, generate_subscripts(v.x, 1) AS pos FROM a{i} a JOIN v USING (r)) GROUP BY c, pos))")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT k.c, coalesce(l.x, k.x) AS x FROM c{i} k LEFT JOIN (SELECT c, list(m ORDER BY pos) AS x FROM m{i} GROUP BY c) l USING (c))")
+    n = yinyang.ROUNDS
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT v.vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k.x, ',')) AS centroid_sha256
+FROM v JOIN a{n} a USING (r) JOIN c{n} k ON k.c = a.c"""
+
+
+def _op13() -> str:
+    """The same by part; a part of a vector is a row."""
+    p = vector_codes.PARTS
+    parts = [
+        f"w AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, {_WHOLE(vector_codes.SCALE)} AS x FROM embeddings WHERE {_FINITE})",
+        f"v AS MATERIALIZED (SELECT r, p, x[p * (len(x) // {p}) + 1 : (p + 1) * (len(x) // {p})] AS x FROM w, range({p}) t(p))",
+        f"c0 AS MATERIALIZED (SELECT p, r - 1 AS c, x FROM v WHERE r <= {vector_codes.ENTRIES})",
+    ]
+    for i in range(vector_codes.ROUNDS + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, p, arg_min(c, {{'d': d, 'c': c}}) AS c, min(d) AS d FROM (SELECT v.r, v.p, k.c, {_SQUARES} AS d FROM v JOIN c{i} k USING (p)) GROUP BY r, p)")
+        if i < vector_codes.ROUNDS:
+            parts.append(f"m{i} AS (SELECT p, c, pos, {_MEAN} AS m FROM (SELECT p, c, pos, sum(e) AS s, count(*) AS n FROM (SELECT v.p, a.c, unnest(v.x) AS e, generate_subscripts(v.x, 1) AS pos FROM a{i} a JOIN v USING (r, p)) GROUP BY p, c, pos))")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT k.p, k.c, coalesce(l.x, k.x) AS x FROM c{i} k LEFT JOIN (SELECT p, c, list(m ORDER BY pos) AS x FROM m{i} GROUP BY p, c) l USING (p, c))")
+    n = vector_codes.ROUNDS
+    return "WITH " + ",\n".join(parts) + f""",
+g AS (SELECT r, string_agg(printf('%02x', c), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{n} GROUP BY r)
+SELECT w.vec_id, g.code, g.error, CAST(sum(g.error) OVER (PARTITION BY w.label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, c)) FROM c{n}) AS codebooks_sha256 FROM w JOIN g USING (r)"""
+
+
+ORACLES = {"op1_quality_rules": _OP1, "op11_yinyang": _op11(), "op13_vector_codes": _op13()}
