@@ -18,7 +18,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 @pytest.fixture(scope="module")
 def sql():
     c = duckdb.connect()
-    for name in ("documents", "pages", "labels", "benchmark"):
+    for name in ("documents", "embeddings", "pages", "labels", "benchmark"):
         c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return c
 
