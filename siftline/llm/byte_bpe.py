@@ -10,8 +10,7 @@ in `cells` at starts[a] + b, as a * 2^16 + rank, so that cell xor a * 2^16 is th
 2^16 if it is not.
 
 Only distinct words are merged. A task reads texts up to CHUNK_BYTES, numbers their distinct stretches between blanks, cuts
-those into words, and hands one row on: the distinct words that are no token (as ids of their bytes, with the ranks of the first
-pairs), and the texts as numbers of stretches. The fold runs over that row's words, and the next step of the same task puts ids in
+those into words, and hands one row on: the distinct words that are no token (as ids of their bytes), and the texts as numbers of stretches. The fold runs over that row's words, and the next step of the same task puts ids in
 the place of numbers. Nothing is shuffled, counted beforehand or held for the whole corpus; memory
 is bounded by a chunk, or by one text where that is larger.
 
@@ -89,7 +88,7 @@ def laid_out(pairs: list[tuple[int, int, int]], ids: int) -> tuple[list[int], li
                 bad |= taken[tries + x]
             start, base = (-1, base + 4096) if bad.all() else (int(tries[bad.argmin()]), base)
         starts[a], taken[start + b], cells[start + b] = start, True, (a << 16) | rank
-    return [*starts, 0], cells[: max(starts) + ids + 1].tolist()  # the last row is the mark's, which stands in no pair
+    return starts, cells[: int(np.flatnonzero(taken).max(initial=0)) + 1].tolist()
 
 
 @lru_cache(maxsize=4)
@@ -104,44 +103,51 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def _merge(acc: Column, rank: Callable[[Column, Column], Column]) -> Column:
-    """acc (parts, from mark to mark; ranks, of each with the next one) after the merge that goes first, or after several of the same rank; acc itself if none is left."""
+    """acc (parts; ranks of each with the next one, null for the last) after the merge that goes first, or after several of the same rank."""
     parts, ranks = acc["parts"], acc["ranks"]
     n = F.size(parts)
 
     def with_low(low: Column) -> Column:
         def leftmost(p: Column) -> Column:
-            """Only the ranks with the neighbours are new; the marks see to it that there are two."""
-            new = F.zip_with(F.array(F.get(parts, p - 2), low), F.array(low, F.get(parts, p + 1)), rank)
-            return F.struct(F.concat(F.slice(parts, F.lit(1), p - 1), F.array(low), F.slice(parts, p + 2, n)).alias("parts"), F.concat(F.slice(ranks, F.lit(1), p - 2), new, F.slice(ranks, p + 2, n)).alias("ranks"))
+            """Only the ranks with the neighbours are new."""
+            before = F.when(p > 1, F.concat(F.slice(ranks, F.lit(1), p - 2), F.array(rank(F.get(parts, p - 2), low)))).otherwise(F.array().cast("array<bigint>"))
+            after = F.concat(F.array(rank(low, F.get(parts, p + 1))), F.slice(ranks, p + 2, n))
+            return F.struct(F.concat(F.slice(parts, F.lit(1), p - 1), F.array(low), F.slice(parts, p + 2, n)).alias("parts"), F.concat(before, after).alias("ranks"))
 
         def everywhere(taken: Column) -> Column:
             def first(i: Column) -> Column:
                 return F.coalesce(F.get(taken, i) == "1", F.lit(False))
 
-            early = F.exists(F.sequence(F.lit(1), n - 3), lambda i: first(i) & ((rank(low, F.get(parts, i + 2)) < low) | (~first(i - 2) & (rank(F.get(parts, i - 1), low) < low))))
+            def lower(r: Column) -> Column:
+                return F.coalesce(r < low, F.lit(False))
+
+            early = F.exists(F.sequence(F.lit(0), n - 2), lambda i: first(i) & (lower(rank(low, F.get(parts, i + 2))) | (~first(i - 2) & lower(rank(F.get(parts, i - 1), low)))))
             merged = F.filter(F.transform(parts, lambda p, i: F.when(first(i), low).when(~first(i - 1), p)), lambda p: p.isNotNull())
-            all_ranks = lambda q: F.struct(q.alias("parts"), F.zip_with(F.slice(q, F.lit(1), F.size(q) - 1), F.slice(q, F.lit(2), F.size(q)), rank).alias("ranks"))
-            return F.when(early | (rank(low, low) < low), one).otherwise(_let(merged, all_ranks))
+            all_ranks = lambda q: F.struct(q.alias("parts"), F.transform(q, lambda a, i: rank(a, F.get(q, i + 1))).alias("ranks"))
+            return F.when(early | lower(rank(low, low)), one).otherwise(_let(merged, all_ranks))
 
         one = _let(F.array_position(ranks, low).cast("int"), leftmost)
         # of pairs that overlap, the left one is taken: "11" in the row of flags becomes "10" from the left
         taken = F.split(F.replace(F.array_join(F.transform(ranks, lambda r: F.when(r == low, "1").otherwise("0")), ""), F.lit("11"), F.lit("10")), "")
-        return F.when(low >= 1 << 16, acc).when(n > LONG, _let(taken, everywhere)).otherwise(one)
+        some = F.when(n > LONG, _let(taken, everywhere)).otherwise(one)
+        return F.when(low < 1 << 16, some).otherwise(F.struct(parts.alias("parts"), F.array().cast("array<bigint>").alias("ranks")))
 
     return _let(F.array_min(ranks), with_low)
 
 
 def merged(words: Column, path: str) -> Column:
-    """array<array<int>>: the ids of each of an array of words, none of which is a token by itself. A word: struct(parts, ranks) of its bytes, see `bytewise`."""
+    """array<array<int>>: the ids of each of an array of words, as arrays of the ids of two bytes or more; none is a token by itself."""
     tables = F.array(F.struct(*[F.from_json(F.lit(text), "array<bigint>").alias(name) for name, text in zip(("starts", "cells"), _literals(path))]))
 
     def all_words(t: Column) -> Column:
         def rank(a: Column, b: Column) -> Column:
+            """Null if there is no b."""
             return F.get(t["cells"], (F.get(t["starts"], a.cast("int")) + b).cast("int")).bitwiseXOR(F.shiftleft(a, 16))
 
         def one(word: Column) -> Column:
-            fold = F.aggregate(F.sequence(F.lit(4), F.size(word["parts"])), word, lambda acc, _: _merge(acc, rank))
-            return F.slice(fold["parts"], F.lit(2), F.size(fold["parts"]) - 2).cast("array<int>")
+            start = F.struct(word.alias("parts"), F.transform(word, lambda a, i: rank(a, F.get(word, i + 1))).alias("ranks"))
+            fold = F.aggregate(F.sequence(F.lit(2), F.size(word)), start, lambda acc, _: F.when(F.size(acc["ranks"]) < 2, acc).otherwise(_merge(acc, rank)))
+            return fold["parts"].cast("array<int>")
 
         return F.transform(words, one)
 
@@ -149,22 +155,10 @@ def merged(words: Column, path: str) -> Column:
 
 
 def bytewise(words: list[bytes], tokens: dict[bytes, int]) -> pa.Array:
-    """Where the fold over each word begins: the ids of its bytes between two marks (an id in no pair), and the rank of each with the next one."""
+    """Where the fold over each word begins: the ids of its bytes."""
     single = np.array([tokens[bytes([b])] for b in range(256)])
-    of_pair = np.full((256, 256), MOST_IDS << 16)
-    for k, r in tokens.items():
-        if len(k) == 2:
-            of_pair[k[0], k[1]] = r
-    data, size = np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))
-    first = np.cumsum(size + 2) - size - 2  # of each word's mark
-    own = np.arange(len(data)) + 1 + 2 * np.repeat(np.arange(len(words)), size)
-    parts = np.full(len(data) + 2 * len(words), max(tokens.values()) + 1)
-    parts[own] = single[data]
-    ranks = np.full(len(parts), MOST_IDS << 16)
-    ranks[own[:-1]] = np.where(np.diff(own) == 1, of_pair[data[:-1], data[1:]], MOST_IDS << 16)
-    ranks = np.delete(ranks, first + size + 1)  # a word has a rank less than parts
-    ends = lambda extra: pa.array(np.concatenate([[0], np.cumsum(size + extra)]).astype(np.int32))
-    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends(2), pa.array(parts)), pa.ListArray.from_arrays(ends(1), pa.array(ranks))], names=["parts", "ranks"])
+    ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(single[np.frombuffer(b"".join(words), np.uint8)]))
 
 
 @lru_cache(maxsize=4)
@@ -212,9 +206,7 @@ def _chunks(docs: DataFrame, tokens: dict[bytes, int], pattern: str, chunk_bytes
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((tokens, pattern, *splitter(pattern)))
     id_type = docs.schema["doc_id"].dataType
-    word = "struct<parts: array<bigint>, ranks: array<bigint>>"
-    schema = spark.createDataFrame([], f"counts binary, numbers binary, sizes binary, pieces binary, words array<{word}>").schema.add("ids", ArrayType(id_type))
-    word_type = pa.struct([("parts", pa.list_(pa.int64())), ("ranks", pa.list_(pa.int64()))])
+    schema = spark.createDataFrame([], "counts binary, numbers binary, sizes binary, pieces binary, words array<array<bigint>>").schema.add("ids", ArrayType(id_type))
 
     def run(batches):
         tokens, plain, spelled, odd = held.value
@@ -247,7 +239,7 @@ def _chunks(docs: DataFrame, tokens: dict[bytes, int], pattern: str, chunk_bytes
             stream = np.concatenate(numbers)
             stream = np.where(stream & 1, len(after) + (stream >> 1), stream >> 1).astype(np.int32)
             bodies = [pa.array([x.tobytes()], pa.binary()) for x in (np.array(counts, np.int64), stream, np.array(sizes, np.int32), np.array(pieces, np.int32))]
-            starts = bytewise(words, tokens) if words else pa.array([], word_type)
+            starts = bytewise(words, tokens) if words else pa.array([], pa.list_(pa.int64()))
             listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), starts)
             return pa.RecordBatch.from_arrays([*bodies, listed, pa.array([ids], pa.list_(kind))], names=schema.names)
 
