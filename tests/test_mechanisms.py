@@ -198,6 +198,25 @@ def test_presence_goes_on_after_a_restart(spark, tmp_path, rocks):
     assert told[2] == {"a": (3, 3, True, 1, 6), "b": (2, 0, False, 1, 9), "c": (2, 3, True, 2, 6), "clock": (3, 0, False, 3, 9)}
 
 
+def test_presence_keeps_a_table_a_bucket(spark, tmp_path, rocks):
+    """Many keys in seven buckets: seven rows of state, and what a count by hand gives."""
+    r, start, period, limit = random.Random(4), datetime(2024, 1, 1), 86_400, 4
+    seconds = {i: sorted(r.randrange(i * 7 * period, (i + 1) * 7 * period) for _ in range(300)) for i in range(3)}
+    rows = {i: [(r.randrange(150), s) for s in of] for i, of in seconds.items()}
+    for i in range(3):
+        spark.createDataFrame([(k, start + timedelta(seconds=s)) for k, s in rows[i]], "key int, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("key int, ts timestamp").parquet(f"{tmp_path}/in")
+        PR.run_to_end(PR.presence(stream, "key", "ts", limit, buckets=7), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    assert spark.read.format("statestore").load(f"{tmp_path}/checkpoint").count() == 7
+    seen = {}
+    for k, s in (x for i in range(3) for x in rows[i]):
+        seen.setdefault(k, []).append(s)
+    now = max(seconds[2]) // period
+    want = {k: (len(x), start + timedelta(seconds=min(x)), start + timedelta(seconds=max(x)), min(limit, now - max(x) // period)) for k, x in seen.items()}
+    got = PR.newest(spark, f"{tmp_path}/out", "key").collect()
+    assert {x.key: (x.sightings, x.first_seen, x.last_seen, x.missed_runs) for x in got} == want and all(x.down == (x.missed_runs == limit) for x in got)
+
+
 def test_dictionaries_find_what_single_patterns_find(spark):
     """Names that begin others, overlap, stand in words, and differ in case."""
     import re
