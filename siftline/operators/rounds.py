@@ -17,6 +17,8 @@ from siftline.operators.joins import look_up
 from siftline.scratch import deleted, fresh
 
 Score = Callable[[DataFrame], DataFrame]
+#: Passes that the first head of a queue is long enough for, and how much longer the next one is.
+REACH = 16
 
 
 @dataclass(frozen=True)
@@ -70,14 +72,20 @@ def refine_top(scored: DataFrame, refine: Score, key: str, top: int, passes: int
 
     scored: key, prior. A pass refines those of the present top that have no refined score: others move up when these fall.
     rows: key, refined, round; best: the top by effective score. Reasons: refined, passes, or nothing to refine.
+
+    After n passes at most n * top rows are refined, so the top is among those and the first (n + 1) * top by prior: a head of the
+    queue, which is cut anew, REACH times as long, when the passes outgrow it. The queue is stored and sorted a few times, not once a pass.
     """
     spark = scored.sparkSession
     root = fresh(spark, "passes")
-    base = scored.select(key, F.col("prior").cast("double").alias("prior"))
+    base = _kept(scored.select(key, F.col("prior").cast("double").alias("prior")), f"{root}/base")
     done = base.select(key, F.col("prior").alias("refined"), F.lit(0).alias("round")).limit(0)
-    rows, n = done, 0
+    rows, n, reach, head = done, 0, 0, base
     while True:
-        seen = look_up(base, rows.select(key, "refined"), key)
+        if n + 1 > reach:
+            reach = REACH * max(reach, 1)
+            head = _kept(base.orderBy(F.desc("prior"), key).limit(reach * top), f"{root}/head-{reach}")
+        seen = look_up(head, rows.select(key, "refined"), key)
         best = _kept(seen.withColumn("score", effective(F.col("prior"), F.col("refined"))).orderBy(F.desc("score"), key).limit(top).coalesce(1), f"{root}/best-{n}")
         if n:
             deleted(spark, f"{root}/best-{n - 1}")

@@ -138,10 +138,13 @@ _WINDOW, _TOP, _PATIENCE = 100, 12, 300
 _QUEUE = """q AS (SELECT l_orderkey AS k, row_number() OVER (ORDER BY sum(l_quantity) DESC, l_orderkey) AS p, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) % 10007 AS DOUBLE) AS s FROM lineitem GROUP BY l_orderkey)"""
 
 
+def _orders(t: Tables) -> DataFrame:
+    """Orders with their quantity and a score that has nothing to do with it."""
+    return t.lineitem.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"), (F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) % 10_007).cast("double").alias("score"))
+
+
 def _queue(t: Tables) -> DataFrame:
-    """Orders by quantity, with a score that has nothing to do with it."""
-    orders = t.lineitem.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"), (F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) % 10_007).cast("double").alias("score"))
-    return places.placed_in_all(orders, [F.desc("q"), F.asc("l_orderkey")])
+    return places.placed_in_all(_orders(t), [F.desc("q"), F.asc("l_orderkey")])
 
 
 @query(f"""WITH RECURSIVE {_QUEUE}, w AS (SELECT (p - 1) // {_WINDOW} AS w, list({{'s': -s, 'k': k}} ORDER BY -s, k) AS of, count(*) AS n FROM q GROUP BY 1),
@@ -159,7 +162,7 @@ SELECT n + 1, list_concat(done, new) FROM (SELECT r.n, r.done, (SELECT list(k) F
 SELECT k AS l_orderkey, refined FROM b WHERE list_contains((SELECT done FROM r ORDER BY n DESC LIMIT 1), k)""")
 def refined_top(spark, sf):
     """Every order that was refined before the best ones all were: a third of them fall by half when they are."""
-    q = _queue(Tables(spark, sf)).select("l_orderkey", F.col("score").alias("prior"))
+    q = _orders(Tables(spark, sf)).select("l_orderkey", F.col("score").alias("prior"))
     fall = lambda d: d.withColumn("score", F.when(F.col("l_orderkey") % 3 == 0, F.col("prior") / 2).otherwise(F.col("prior") - 1))
     return rounds.refine_top(q, fall, "l_orderkey", _TOP, 1_000).rows.select("l_orderkey", "refined")
 

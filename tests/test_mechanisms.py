@@ -170,6 +170,32 @@ def test_refining_goes_on_until_the_top_is_refined(spark):
     assert RD.until_boundary_holds(lambda n: (n, bounds[n]), 9) == (2, 3) and RD.until_boundary_holds(lambda n: (n, -n), 4) == (3, 4)
 
 
+def test_refining_reads_the_queue_once(spark, monkeypatch):
+    """Many passes, which outgrow the head of the queue several times: what a pass over all rows gives, from one reading."""
+    monkeypatch.setattr(RD, "REACH", 2)
+    r = random.Random(5)
+    prior = {i: float(r.randrange(60)) for i in range(120)}
+    lower = {i: p / 2 if i % 3 else p - 1 for i, p in prior.items()}
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    rows = spark.createDataFrame(list(prior.items()), "id int, prior double").mapInPandas(counted, "id int, prior double")
+    out = RD.refine_top(rows, lambda d: d.withColumn("score", F.when(F.col("id") % 3 != 0, F.col("prior") / 2).otherwise(F.col("prior") - 1)), "id", 4, 99)
+    done, n = {}, 0
+    while True:
+        best = sorted(prior, key=lambda i: (-(lower if i in done else prior)[i], i))[:4]
+        new = [i for i in best if i not in done]
+        if not new:
+            break
+        done, n = done | dict.fromkeys(new, n), n + 1
+    assert n > 4 and (out.why, out.rounds) == ("refined", n) and {x.id: x.round for x in out.rows.collect()} == done and {x.id for x in out.best.collect()} == set(best)
+    assert read.value == 120
+
+
 @pytest.fixture
 def rocks(spark):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
