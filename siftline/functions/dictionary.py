@@ -16,6 +16,10 @@ from pyspark.sql import Column, functions as F
 START = r"(?iuU)(?<!\w)"
 
 
+#: The same for texts in lower case in which all that fits is spelled as it is: no case, and starts of ASCII words, which are more.
+PLAIN_START = "(?<![a-z0-9_])"
+
+
 def _escaped(c: str) -> str:
     return c if c.isalnum() or c == " " else "\\" + c
 
@@ -39,9 +43,9 @@ def tree_pattern(phrases: Iterable[str]) -> str:
     return written(tree)
 
 
-def mentions(phrases: Iterable[str]) -> str:
+def mentions(phrases: Iterable[str], start: str = START) -> str:
     """A pattern for `rlike`: some phrase at the start of a word."""
-    return START + tree_pattern(phrases)
+    return start + tree_pattern(phrases)
 
 
 def codes_in(text: Column, names: Mapping[str, Iterable[str]]) -> Column:

@@ -90,3 +90,41 @@ def test_names(spark):
     assert values(spark, ["ACME Corp. GmbH", "Nokia Oyj", "IBM", "Maersk A/S"], T.short_company) == ["Acme", "Nokia", "IBM", "Maersk"]
     assert values(spark, ["gap: x", "other", "what: y"], lambda c: T.note_kind(c, ["gap"])) == ["gap", "uncategorised", "uncategorised"]
     assert spark.range(1).select(T.in_vocabulary(F.array(F.lit("b"), F.lit("z"), F.lit("a"), F.lit("b")), ["a", "b", "c"])).first()[0] == ["a", "b"]
+
+
+def _fits(pattern, r):
+    """A text that a pattern fits, by chance."""
+    from re import _constants as C, _parser
+
+    def one(part):
+        out = ""
+        for op, x in part:
+            if op is C.LITERAL:
+                out += chr(x)
+            elif op is C.BRANCH:
+                out += one(r.choice(x[1]))
+            elif op is C.SUBPATTERN:
+                out += one(x[3])
+            elif op is C.MAX_REPEAT:
+                out += "".join(one(x[2]) for _ in range(r.randint(x[0], min(x[1], x[0] + 2))))
+            elif op is C.IN:
+                kind, value = r.choice(x)
+                out += {C.LITERAL: lambda: chr(value), C.RANGE: lambda: chr(r.randint(*value)), C.CATEGORY: lambda: " " if value is C.CATEGORY_SPACE else "y"}[kind]()
+            else:
+                assert op in (C.AT, C.ASSERT, C.ASSERT_NOT), op
+        return out
+
+    return one(_parser.parse(pattern))
+
+
+def test_stack_pieces_lose_no_tag(spark):
+    """What a pattern fits holds one of its pieces: tags are those of the patterns alone, also with odd capitals."""
+    import random
+
+    r = random.Random(3)
+    texts = [w for p in T.V.STACKS.values() for w in (_fits(p, r) for _ in range(120)) if w]
+    texts += [t.upper() for t in texts] + [t.replace("s", "\u017f").replace("k", "\u212a").replace("i", "\u0130") for t in texts] + ["", None, "nothing of the kind", "go / c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select(F.concat(F.lit("x "), "t", F.lit(" y")).alias("t"))
+    plain = F.filter(F.array(*[F.when(T.found(F.col("t"), "(?iuU)" + p), tag) for tag, p in sorted(T.V.STACKS.items())]), lambda x: x.isNotNull())
+    rows = df.select(T.stack_tags(F.col("t")).alias("got"), plain.alias("want"), T.folds_oddly(F.col("t")).alias("odd")).collect()
+    assert all(x.got == x.want for x in rows) and {t for x in rows for t in x.want} == set(T.V.STACKS) and any(x.odd and x.want for x in rows)
