@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import Column, functions as F
 
-from siftline.functions import vocabulary as V
+from siftline.functions import text as T, vocabulary as V
 
 #: Stand where a phrase was found; what a text has of them is taken for blanks.
 MARK, END = "\u0001", "\u0002"
@@ -65,7 +65,13 @@ def find_deadline(text: Column, today: date) -> Column:
     after = F.slice(F.split(F.regexp_replace(F.translate(text, MARK + END, "  "), cue, MARK + "$1"), MARK), 2, 1_000_000)
     windows = F.transform(after, lambda x: F.regexp_replace(F.substring(x, 1, V.DEADLINE_WINDOW), V.DEADLINE_STOP, "$1"))
     dates = F.flatten(F.transform(windows, lambda w: F.transform(F.regexp_extract_all(w, F.lit("(?iu)" + date_pattern()), F.lit(0)), lambda d: _read(d, today))))
-    return F.when(text.rlike(cue), F.get(F.filter(dates, lambda d: d.isNotNull()), 0))
+    return F.when(_may_have_cue(text) & text.rlike(cue), F.get(F.filter(dates, lambda d: d.isNotNull()), 0))
+
+
+def _may_have_cue(text: Column) -> Column:
+    """Whether a text has the longest word of a deadline phrase, which it cannot do without; plain, so it is quick."""
+    longest = {max(c.lower().split(), key=len) for c in V.DEADLINE_CUES} | {"apply"}
+    return F.lower(text).rlike("|".join(sorted(longest))) | T.folds_oddly(text)
 
 
 def years_required(text: Column) -> Column:

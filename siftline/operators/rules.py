@@ -132,6 +132,8 @@ def language_requirements(docs: DataFrame, key: str, text: str) -> DataFrame:
     names = [n for x in V.LANGUAGE_NAMES.values() for n in x]
     every = W.tree_pattern(names)
     clause = r"(?iuU)\s*[;,()/]\s*|\s+[-–—]\s+|\s+(?:and|und|ja|och|og|e|y|et)\s+(?=(?:" + every + "))"
+    low = F.lower(F.col(text))
+    docs = docs.filter(low.rlike(W.mentions(names, W.PLAIN_START)) | T.folds_oddly(low))  # most texts name no language: they are read once, plainly
     s = docs.select(F.col(key), F.posexplode(F.split(F.coalesce(text, F.lit("")), V.SENTENCE_END)).alias("_p", "_s"))
     s = s.withColumn("_s", F.trim("_s")).filter((F.col("_s") != "") & (F.length("_s") <= V.LONGEST_SENTENCE)).withColumn("_low", F.lower("_s")).filter(F.col("_low").rlike(W.mentions(names)))
     s = s.withColumn("_sreq", F.col("_low").rlike(V.REQUIRED) & ~F.col("_low").rlike(V.OPTIONAL)).withColumn("_sneg", F.col("_low").rlike(V.NOT_NEEDED))

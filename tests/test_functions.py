@@ -128,3 +128,20 @@ def test_stack_pieces_lose_no_tag(spark):
     plain = F.filter(F.array(*[F.when(T.found(F.col("t"), "(?iuU)" + p), tag) for tag, p in sorted(T.V.STACKS.items())]), lambda x: x.isNotNull())
     rows = df.select(T.stack_tags(F.col("t")).alias("got"), plain.alias("want"), T.folds_oddly(F.col("t")).alias("odd")).collect()
     assert all(x.got == x.want for x in rows) and {t for x in rows for t in x.want} == set(T.V.STACKS) and any(x.odd and x.want for x in rows)
+
+
+def test_plain_searches_pass_over_no_cue_or_language(spark):
+    """Texts that are passed over quickly hold no deadline phrase and no name of a language, in whatever case."""
+    from siftline.functions import dictionary as W
+
+    names = [n for x in T.V.LANGUAGE_NAMES.values() for n in x]
+    texts = [f"Hello. {x} 2024-05-02 is required" for x in [*names, *T.V.DEADLINE_CUES, "apply soon or by"]]
+    odd = str.maketrans("ski\u0441", "\u017f\u212a\u0131\u1c83")
+    texts = [y for x in texts for y in (x, x.upper(), x.translate(odd))] + ["nothing", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    cue = F.col("t").rlike("(?iu)" + D.deadline_cue())
+    rows = df.select(cue.alias("cue"), D._may_have_cue(F.col("t")).alias("may")).collect()
+    assert sum(x.cue for x in rows) >= 3 * len(T.V.DEADLINE_CUES) and all(x.may for x in rows if x.cue) and not all(x.may for x in rows)
+    low = F.lower("t")
+    rows = df.select(low.rlike(W.mentions(names)).alias("named"), (low.rlike(W.mentions(names, W.PLAIN_START)) | T.folds_oddly(low)).alias("may")).collect()
+    assert sum(x.named for x in rows) >= 2 * len(names) and all(x.may for x in rows if x.named) and not all(x.may for x in rows)
