@@ -34,7 +34,7 @@ def label_summary(rates: DataFrame) -> DataFrame:
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Rank correlation of each group, or of all rows if by is empty; null for fewer than two rows or a side that does not vary."""
-    ranked = average_ranks(average_ranks(df.select(*by, x, y), x, "_rx", by), y, "_ry", by)
+    ranked = average_ranks(df.select(*by, x, y), [x, y], ["_rx", "_ry"], by)
     ok = (F.var_pop("_rx") > 0) & (F.var_pop("_ry") > 0)
     n, sx, sy, sxy, sxx, syy = F.count(F.lit(1)), F.sum("_rx"), F.sum("_ry"), F.sum(F.col("_rx") * F.col("_ry")), F.sum(F.col("_rx") ** 2), F.sum(F.col("_ry") ** 2)
     rho = F.try_divide(n * sxy - sx * sy, F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)))

@@ -36,6 +36,26 @@ def test_places_over_partition_edges(spark):
     assert P.placed_in_all(df.limit(0), order).count() == 0 == P.average_ranks(df.limit(0), "v", "r").count()
 
 
+def test_ranks_within_groups_shuffle_the_rows_once(spark):
+    """Only groups above the bound are dealt by range and joined; they get the same ranks."""
+    r = random.Random(2)
+    values = [None, float("nan"), -0.0, 0.0, 1.5, 2.5, 2.5]
+    rows = [(i, r.choice([None, 1, 2, 2, 2, 2]), r.choice(values), float(r.randrange(9))) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, g int, x double, y double").repartition(5)
+    rank = lambda most: P.average_ranks(df, ["x", "y"], ["rx", "ry"], ["g"], parts=5, group_rows=most)
+    plan = rank(400)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    place = lambda v: (v is not None, v != v, v or 0) if v is None or v == v else (True, True, 0)
+    mean = lambda mine, v: sum(place(o) < place(v) for o in mine) + (sum(place(o) == place(v) for o in mine) + 1) / 2
+    want = {i: tuple(mean([o[c] for o in rows if o[1] == g], v) for c, v in ((2, x), (3, y))) for i, g, x, y in rows}
+    for most in (400, 150, 0):
+        assert {a.id: (a.rx, a.ry) for a in rank(most).collect()} == want
+    whole = {a.g: (a.n, a.rho) for a in A.spearman(df, "x", "y", ["g"]).collect()}
+    for g in (None, 1, 2):
+        mine = pd.DataFrame([want[o[0]] for o in rows if o[1] == g])
+        assert whole[g][0] == len(mine) and abs(whole[g][1] - mine[0].corr(mine[1])) < 1e-9
+
+
 def test_running_counts_by_range(spark):
     counts = spark.createDataFrame([(i, (i * 7) % 5) for i in range(50)], "k int, n long").repartition(6)
     got = {r.k: r.before for r in P.running_counts(counts, ["k"], "n", "before", parts=4).collect()}
