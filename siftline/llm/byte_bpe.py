@@ -135,6 +135,45 @@ def _merge(acc: Column, rank: Callable[[Column, Column], Column]) -> Column:
     return _let(F.array_min(ranks), with_low)
 
 
+def _short(word: Column, rank: Callable[[Column, Column], Column]) -> Column:
+    """The fold over a word of LONG pieces at most, in one array: a piece and its rank with the next one are rank * 2^16 + piece.
+
+    With its place put where the piece stands, the smallest of these numbers is the merge that goes first. After the last merge, pieces are -1 - piece.
+    """
+
+    def piece(key: Column) -> Column:
+        return key.bitwiseAND(0xFFFF)
+
+    def key(a: Column, b: Column) -> Column:
+        return F.shiftleft(F.coalesce(rank(a, b), F.lit(1 << 16)), 16).bitwiseOR(a)
+
+    def merge(keys: Column) -> Column:
+        def first(best: Column) -> Column:
+            low = F.shiftright(best, 16)
+
+            def joined(at: Column) -> Column:
+                def put(k: Column, i: Column) -> Column:
+                    """Null in the place of the right piece."""
+                    far = F.when(i < at - 1, k).when(i > at + 1, k)
+                    return far.when(i == at, key(low, piece(F.get(keys, at + 2)))).when(i == at - 1, key(piece(k), low))
+
+                return F.filter(F.transform(keys, put), lambda k: k.isNotNull())
+
+            return F.when(low < 1 << 16, _let(piece(best).cast("int"), joined)).otherwise(F.transform(keys, lambda k: -1 - piece(k)))
+
+        return _let(F.array_min(F.transform(keys, lambda k, i: k.bitwiseAND(-1 << 16).bitwiseOR(i.cast("bigint")))), first)
+
+    start = F.transform(word, lambda a, i: key(a.cast("bigint"), F.get(word, i + 1)))
+    fold = F.aggregate(F.sequence(F.lit(2), F.size(word)), start, lambda keys, _: F.when(F.get(keys, 0) < 0, keys).otherwise(merge(keys)))
+    return F.transform(fold, lambda k: F.when(k < 0, -1 - k).otherwise(piece(k)).cast("int"))
+
+
+def _long(word: Column, rank: Callable[[Column, Column], Column]) -> Column:
+    start = F.struct(word.alias("parts"), F.transform(word, lambda a, i: rank(a, F.get(word, i + 1))).alias("ranks"))
+    fold = F.aggregate(F.sequence(F.lit(2), F.size(word)), start, lambda acc, _: F.when(F.size(acc["ranks"]) < 2, acc).otherwise(_merge(acc, rank)))
+    return fold["parts"].cast("array<int>")
+
+
 def merged(words: Column, path: str) -> Column:
     """array<array<int>>: the ids of each of an array of words, as arrays of the ids of two bytes or more; none is a token by itself."""
     tables = F.array(F.struct(*[F.from_json(F.lit(text), "array<bigint>").alias(name) for name, text in zip(("starts", "cells"), _literals(path))]))
@@ -144,19 +183,14 @@ def merged(words: Column, path: str) -> Column:
             """Null if there is no b."""
             return F.get(t["cells"], (F.get(t["starts"], a.cast("int")) + b).cast("int")).bitwiseXOR(F.shiftleft(a, 16))
 
-        def one(word: Column) -> Column:
-            start = F.struct(word.alias("parts"), F.transform(word, lambda a, i: rank(a, F.get(word, i + 1))).alias("ranks"))
-            fold = F.aggregate(F.sequence(F.lit(2), F.size(word)), start, lambda acc, _: F.when(F.size(acc["ranks"]) < 2, acc).otherwise(_merge(acc, rank)))
-            return fold["parts"].cast("array<int>")
-
-        return F.transform(words, one)
+        return F.transform(words, lambda word: F.when(F.size(word) > LONG, _long(word.cast("array<bigint>"), rank)).otherwise(_short(word, rank)))
 
     return F.get(F.transform(tables, all_words), 0)
 
 
 def bytewise(words: list[bytes], tokens: dict[bytes, int]) -> pa.Array:
     """Where the fold over each word begins: the ids of its bytes."""
-    single = np.array([tokens[bytes([b])] for b in range(256)])
+    single = np.array([tokens[bytes([b])] for b in range(256)], np.int32)
     ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(single[np.frombuffer(b"".join(words), np.uint8)]))
 
@@ -206,7 +240,7 @@ def _chunks(docs: DataFrame, tokens: dict[bytes, int], pattern: str, chunk_bytes
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((tokens, pattern, *splitter(pattern)))
     id_type = docs.schema["doc_id"].dataType
-    schema = spark.createDataFrame([], "counts binary, numbers binary, sizes binary, pieces binary, words array<array<bigint>>").schema.add("ids", ArrayType(id_type))
+    schema = spark.createDataFrame([], "counts binary, numbers binary, sizes binary, pieces binary, words array<array<int>>").schema.add("ids", ArrayType(id_type))
 
     def run(batches):
         tokens, plain, spelled, odd = held.value
@@ -239,7 +273,7 @@ def _chunks(docs: DataFrame, tokens: dict[bytes, int], pattern: str, chunk_bytes
             stream = np.concatenate(numbers)
             stream = np.where(stream & 1, len(after) + (stream >> 1), stream >> 1).astype(np.int32)
             bodies = [pa.array([x.tobytes()], pa.binary()) for x in (np.array(counts, np.int64), stream, np.array(sizes, np.int32), np.array(pieces, np.int32))]
-            starts = bytewise(words, tokens) if words else pa.array([], pa.list_(pa.int64()))
+            starts = bytewise(words, tokens) if words else pa.array([], pa.list_(pa.int32()))
             listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), starts)
             return pa.RecordBatch.from_arrays([*bodies, listed, pa.array([ids], pa.list_(kind))], names=schema.names)
 

@@ -185,6 +185,28 @@ def test_any_ranks_merge_in_the_same_order(spark, tmp_path):
         assert [x[1] for x in encoded(df, path=path)] == [own.encode_ordinary(w) for w in words]
 
 
+def test_pieces_of_words_are_ints_until_they_fold(spark):
+    """As longs they took twice the memory of a chunk's words."""
+    path, tokens = public_tokenizers.path(byte_bpe.VOCABULARY), byte_bpe.vocabulary(public_tokenizers.path(byte_bpe.VOCABULARY))
+    words = ["gfqzxwvkpj", "gfqzxwvkpj" * 6]
+    df = spark.createDataFrame([([[tokens[bytes([b])] for b in w.encode()] for w in words],)], "words array<array<int>>")
+    own = tiktoken_of(path)
+    assert df.select(byte_bpe.merged(F.col("words"), path).alias("ids")).first()["ids"] == [own.encode_ordinary(w) for w in words]
+    chunks = byte_bpe._chunks(spark.createDataFrame([(1, "gfqzxwvkpj")], "doc_id long, text string"), tokens, public_tokenizers.PATTERN, 1 << 20)
+    assert chunks.schema["words"].dataType == df.schema["words"].dataType
+
+
+@pytest.mark.parametrize("pieces", [2, 3, byte_bpe.LONG - 1, byte_bpe.LONG, byte_bpe.LONG + 1, byte_bpe.LONG + 2])
+def test_short_and_long_words_fold_to_the_same(spark, pieces):
+    """Ids of two bytes fill the number that holds a rank and a piece."""
+    r = random.Random(pieces)
+    words = ["".join(r.choice("etaoinqzñ") for _ in range(pieces)) for _ in range(20)]
+    words = [w for w in words if w.encode() not in byte_bpe.vocabulary(public_tokenizers.path(byte_bpe.VOCABULARY))]
+    own = tiktoken_of(public_tokenizers.path(byte_bpe.VOCABULARY))
+    df = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    assert [x[1] for x in encoded(df)] == [own.encode_ordinary(w) for w in words]
+
+
 def test_bpe_of_awkward_documents(spark, documents, empty):
     assert byte_bpe.encode(empty).collect() == []
     own = tiktoken_of(public_tokenizers.path(byte_bpe.VOCABULARY))
