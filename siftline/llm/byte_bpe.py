@@ -10,9 +10,10 @@ in `cells` at starts[a] + b, as a * 2^16 + rank, so that cell xor a * 2^16 is th
 2^16 if it is not.
 
 Only distinct words are merged. A task reads texts up to CHUNK_BYTES, numbers their distinct stretches between blanks, cuts
-those into words, and hands one row on: the distinct words that are no token (as ids of their bytes), and the texts as numbers of stretches. The fold runs over that row's words, and the next step of the same task puts ids in
-the place of numbers. Nothing is shuffled, counted beforehand or held for the whole corpus; memory
-is bounded by a chunk, or by one text where that is larger.
+those into words, and hands on rows of PORTION words: the distinct words that are no token (as keys of their bytes: the ids, with the ranks of the pairs they begin), and with the last of them the texts as numbers of stretches. The fold runs over each row's words, and the next step of the same task puts ids in
+the place of numbers. Both steps remember the stretches and words of a task's earlier chunks, so that a task merges a word once,
+until they are REMEMBERED or more; then both forget all of them. Nothing is shuffled, counted beforehand or held for the whole corpus; memory
+is bounded by a chunk and what is remembered, or by one text where that is larger.
 
 A pair that occurs several times in a long word is merged everywhere at once, if no pair that arises meanwhile would have gone first;
 this gives the same pieces in fewer rounds.
@@ -33,7 +34,7 @@ import re
 from collections import defaultdict
 from collections.abc import Callable
 from functools import lru_cache
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -49,6 +50,10 @@ from siftline.llm._common import bound_batches
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bytes of text whose distinct words are merged together.
 CHUNK_BYTES = 8 << 20
+#: Words in a row at most.
+PORTION = 1 << 14
+#: Distinct stretches after which a task forgets what its chunks had.
+REMEMBERED = 1 << 19
 #: Ids are below this, so that a row and a rank fit a cell.
 MOST_IDS = (1 << 16) - 1
 #: Words of more pieces merge equal pairs together.
@@ -135,37 +140,40 @@ def _merge(acc: Column, rank: Callable[[Column, Column], Column]) -> Column:
     return _let(F.array_min(ranks), with_low)
 
 
-def _short(word: Column, rank: Callable[[Column, Column], Column]) -> Column:
-    """The fold over a word of LONG pieces at most, in one array: a piece and its rank with the next one are rank * 2^16 + piece.
+def _piece(key: Column) -> Column:
+    return key.bitwiseAND(0xFFFF)
 
-    With its place put where the piece stands, the smallest of these numbers is the merge that goes first. After the last merge, pieces are -1 - piece.
-    """
 
-    def piece(key: Column) -> Column:
-        return key.bitwiseAND(0xFFFF)
+def _key(a: Column, b: Column, rank: Callable[[Column, Column], Column]) -> Column:
+    """a and its rank with the next piece, MOST_IDS if none, in an int that is smaller where the rank is: (rank - 2^15) * 2^16 + a."""
+    low = F.least(rank(a, b), F.lit(MOST_IDS).cast("bigint"))
+    return F.shiftleft((low - (1 << 15)).cast("int"), 16).bitwiseOR(a)
+
 
-    def key(a: Column, b: Column) -> Column:
-        return F.shiftleft(F.coalesce(rank(a, b), F.lit(1 << 16)), 16).bitwiseOR(a)
+def _short(start: Column, rank: Callable[[Column, Column], Column]) -> Column:
+    """The fold over the keys of a word of LONG pieces at most.
+
+    With its place put where the piece stands, the smallest of the keys is the merge that goes first.
+    """
 
     def merge(keys: Column) -> Column:
         def first(best: Column) -> Column:
-            low = F.shiftright(best, 16)
+            low = F.shiftright(best, 16) + (1 << 15)
 
             def joined(at: Column) -> Column:
                 def put(k: Column, i: Column) -> Column:
                     """Null in the place of the right piece."""
                     far = F.when(i < at - 1, k).when(i > at + 1, k)
-                    return far.when(i == at, key(low, piece(F.get(keys, at + 2)))).when(i == at - 1, key(piece(k), low))
+                    return far.when(i == at, _key(low, _piece(F.get(keys, at + 2)), rank)).when(i == at - 1, _key(_piece(k), low, rank))
 
                 return F.filter(F.transform(keys, put), lambda k: k.isNotNull())
 
-            return F.when(low < 1 << 16, _let(piece(best).cast("int"), joined)).otherwise(F.transform(keys, lambda k: -1 - piece(k)))
+            return F.when(low < MOST_IDS, _let(_piece(best), joined)).otherwise(keys)
 
-        return _let(F.array_min(F.transform(keys, lambda k, i: k.bitwiseAND(-1 << 16).bitwiseOR(i.cast("bigint")))), first)
+        return _let(F.array_min(F.transform(keys, lambda k, i: k.bitwiseAND(-1 << 16).bitwiseOR(i))), first)
 
-    start = F.transform(word, lambda a, i: key(a.cast("bigint"), F.get(word, i + 1)))
-    fold = F.aggregate(F.sequence(F.lit(2), F.size(word)), start, lambda keys, _: F.when(F.get(keys, 0) < 0, keys).otherwise(merge(keys)))
-    return F.transform(fold, lambda k: F.when(k < 0, -1 - k).otherwise(piece(k)).cast("int"))
+    fold = F.aggregate(F.sequence(F.lit(2), F.size(start)), start, lambda keys, _: merge(keys))
+    return F.transform(fold, _piece)
 
 
 def _long(word: Column, rank: Callable[[Column, Column], Column]) -> Column:
@@ -174,25 +182,46 @@ def _long(word: Column, rank: Callable[[Column, Column], Column]) -> Column:
     return fold["parts"].cast("array<int>")
 
 
-def merged(words: Column, path: str) -> Column:
-    """array<array<int>>: the ids of each of an array of words, as arrays of the ids of two bytes or more; none is a token by itself."""
+def _every(words: Column, path: str, ids_of: Callable[[Column, Callable[[Column, Column], Column]], Column]) -> Column:
+    """ids_of(word, rank of two pieces) for each of an array of words."""
     tables = F.array(F.struct(*[F.from_json(F.lit(text), "array<bigint>").alias(name) for name, text in zip(("starts", "cells"), _literals(path))]))
 
     def all_words(t: Column) -> Column:
         def rank(a: Column, b: Column) -> Column:
             """Null if there is no b."""
-            return F.get(t["cells"], (F.get(t["starts"], a.cast("int")) + b).cast("int")).bitwiseXOR(F.shiftleft(a, 16))
+            return F.get(t["cells"], (F.get(t["starts"], a.cast("int")) + b).cast("int")).bitwiseXOR(F.shiftleft(a.cast("bigint"), 16))
 
-        return F.transform(words, lambda word: F.when(F.size(word) > LONG, _long(word.cast("array<bigint>"), rank)).otherwise(_short(word, rank)))
+        return F.transform(words, lambda word: ids_of(word, rank))
 
     return F.get(F.transform(tables, all_words), 0)
 
 
-def bytewise(words: list[bytes], tokens: dict[bytes, int]) -> pa.Array:
-    """Where the fold over each word begins: the ids of its bytes."""
-    single = np.array([tokens[bytes([b])] for b in range(256)], np.int32)
+def folded(keys: Column, path: str) -> Column:
+    """array<array<int>>: the ids of each of an array of words, as arrays of the keys of two bytes or more; none is a token by itself."""
+    return _every(keys, path, lambda word, rank: F.when(F.size(word) > LONG, _long(F.transform(word, lambda k: _piece(k).cast("bigint")), rank)).otherwise(_short(word, rank)))
+
+
+def merged(words: Column, path: str) -> Column:
+    """folded(), of words as arrays of the ids of their bytes."""
+    return folded(_every(words, path, lambda word, rank: F.transform(word, lambda a, i: _key(a, F.get(word, i + 1), rank))), path)
+
+
+def byte_keys(tokens: dict[bytes, int]) -> np.ndarray:
+    """The key of every byte (row) before every other one; in the last column, at a word's end."""
+    out = np.full((256, 257), MOST_IDS, np.int64)
+    for pair, rank in tokens.items():
+        if len(pair) == 2:
+            out[pair[0], pair[1]] = rank
+    return (((out - (1 << 15)) << 16) | np.array([[tokens[bytes([b])]] for b in range(256)])).astype(np.int32)
+
+
+def bytewise(words: list[bytes], keys: np.ndarray) -> pa.Array:
+    """Where the fold over each word begins: the keys of its bytes."""
     ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(single[np.frombuffer(b"".join(words), np.uint8)]))
+    every = np.frombuffer(b"".join(words), np.uint8)
+    following = np.append(every[1:], 0).astype(np.int16)
+    following[ends[1:] - 1] = 256
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[every, following]))
 
 
 @lru_cache(maxsize=4)
@@ -231,8 +260,10 @@ class Numbers(dict):
         return n
 
 
-def _chunks(docs: DataFrame, tokens: dict[bytes, int], pattern: str, chunk_bytes: int) -> DataFrame:
-    """A row a chunk: ids and counts (stretches) of its texts, numbers (of distinct stretches, text after text), sizes (pieces of each distinct stretch), pieces (a piece's id, or -1 - its place in words), words.
+def _chunks(docs: DataFrame, tokens: dict[bytes, int], pattern: str, chunk_bytes: int, remembered: int = REMEMBERED) -> DataFrame:
+    """Rows of a chunk: PORTION of its words that are not remembered, in each; fresh, if nothing is from here on.
+
+    The last one has the rest too, null in the others: ids and counts (stretches) of its texts, numbers (of distinct stretches, text after text), sizes (pieces of each new stretch), pieces (a piece's id, or -1 - its place among the words remembered).
 
     A stretch is what lies between two single blanks: with the blank before it, it is cut like the text around it, since no piece
     goes over a blank between two other characters. Texts with other runs of white space are cut as a whole.
@@ -240,51 +271,82 @@ def _chunks(docs: DataFrame, tokens: dict[bytes, int], pattern: str, chunk_bytes
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((tokens, pattern, *splitter(pattern)))
     id_type = docs.schema["doc_id"].dataType
-    schema = spark.createDataFrame([], "counts binary, numbers binary, sizes binary, pieces binary, words array<array<int>>").schema.add("ids", ArrayType(id_type))
+    schema = spark.createDataFrame([], "counts binary, numbers binary, sizes binary, pieces binary, fresh boolean, words array<array<int>>").schema.add("ids", ArrayType(id_type))
 
     def run(batches):
         tokens, plain, spelled, odd = held.value
         usual, unusual, strange = regex.compile(plain), regex.compile(spelled), frozenset(odd)
         young = re.compile(f"[{min(strange, default=chr(0x10FFFF))}-\U0010ffff]")  # nothing else can hold one
         cut = lambda x: (unusual if not x.isascii() and young.search(x) and not strange.isdisjoint(x) else usual).findall(x)
-        kind = None
+        keys, kind = byte_keys(tokens), None
+
+        def nothing():
+            """Stretches after a blank and others, their places among all, and pieces; how many words those have."""
+            return Numbers(), defaultdict(count().__next__), [np.zeros(0, np.int32)] * 2, {}, 0
 
         def fresh():
-            return [], [], [], Numbers(), defaultdict(count().__next__)
+            return [], [], []
 
-        ids, counts, numbers, after, own = fresh()
+        ids, counts, numbers = fresh()
+        after, own, places, seen, known = nothing()
         size = 0
 
-        def row():
-            words, seen, pieces, sizes = [], {}, [], []
-            for x in (*(" " + x for x in after), *own):
+        def stretches(old):
+            """The pieces of every stretch that is new, and how many each has; many stretches at once."""
+            new = islice(after, old[0], None)
+            while some := list(islice(new, 1 << 14)):
+                found = cut(" " + " ".join(some))
+                first = np.flatnonzero(np.fromiter((x[0] == " " for x in found), bool, len(found)))  # no stretch has another blank
+                if len(first) == len(some):
+                    yield found, np.diff(first, append=len(found)).tolist()
+                else:  # a pattern that leaves blanks out
+                    yield from ((found, [len(found)]) for found in (cut(" " + x) for x in some))
+            for x in islice(own, old[1], None):
                 found = cut(x)
-                sizes.append(len(found))
+                yield found, [len(found)]
+
+        def rows():
+            nonlocal known
+            begin, old = known, [len(x) for x in places]
+            words, pieces, sizes = [], [], []
+            for found, lengths in stretches(old):
+                sizes += lengths
                 for piece in found:
                     n = seen.get(piece)
                     if n is None:
                         raw = piece.encode()
                         n = tokens.get(raw)
                         if n is None:
-                            n = -1 - len(words)
+                            n = -1 - begin - len(words)
                             words.append(raw)
                         seen[piece] = n
                     pieces.append(n)
+            known += len(words)
+            at = sum(old)
+            for i, x in enumerate((after, own)):
+                places[i] = np.concatenate([places[i], np.arange(at, at := at + len(x) - old[i], dtype=np.int32)])
             stream = np.concatenate(numbers)
-            stream = np.where(stream & 1, len(after) + (stream >> 1), stream >> 1).astype(np.int32)
-            bodies = [pa.array([x.tobytes()], pa.binary()) for x in (np.array(counts, np.int64), stream, np.array(sizes, np.int32), np.array(pieces, np.int32))]
-            starts = bytewise(words, tokens) if words else pa.array([], pa.list_(pa.int32()))
-            listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), starts)
-            return pa.RecordBatch.from_arrays([*bodies, listed, pa.array([ids], pa.list_(kind))], names=schema.names)
+            mine = (stream & 1).astype(bool)
+            stream >>= 1
+            stream[mine], stream[~mine] = places[1][stream[mine]], places[0][stream[~mine]]
+            bodies = [x.tobytes() for x in (np.array(counts, np.int64), stream, np.array(sizes, np.int32), np.array(pieces, np.int32))]
+            for lo in range(0, max(1, len(words)), PORTION):
+                part, last = words[lo : lo + PORTION], lo + PORTION >= len(words)
+                starts = bytewise(part, keys) if part else pa.array([], pa.list_(pa.int32()))
+                listed = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), starts)
+                rest = [pa.array([x if last else None], pa.binary()) for x in bodies]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array([lo == 0 and sum(old) == 0]), listed, pa.array([ids if last else None], pa.list_(kind))], names=schema.names)
 
         for b in batches:
             kind = b.column(0).type
             for i in range(b.num_rows):
                 text = b.column(1)[i].as_py() or ""
                 if ids and size + len(text) > chunk_bytes:
-                    yield row()
-                    ids, counts, numbers, after, own = fresh()
+                    yield from rows()
+                    ids, counts, numbers = fresh()
                     size = 0
+                    if len(after) + len(own) >= remembered:
+                        after, own, places, seen, known = nothing()
                 first, *rest = text.split(" ")
                 found = np.fromiter(map(after.__getitem__, rest), np.int32, len(rest)) * 2
                 if len(found) and found.min() < 0 or not first or first[-1].isspace():
@@ -297,37 +359,46 @@ def _chunks(docs: DataFrame, tokens: dict[bytes, int], pattern: str, chunk_bytes
                 numbers.append(found)
                 size += len(text)
         if ids:
-            yield row()
+            yield from rows()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = CHUNK_BYTES, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) of every text."""
     path = path or public_tokenizers.path(VOCABULARY)
     bound_batches(docs.sparkSession)
-    chunks = _chunks(docs, vocabulary(path), pattern, chunk_bytes)
-    folded = chunks.select("ids", "counts", "numbers", "sizes", "pieces", merged(F.col("words"), path).alias("folded"))
+    chunks = _chunks(docs, vocabulary(path), pattern, chunk_bytes, remembered)
+    merges = chunks.select("ids", "counts", "numbers", "sizes", "pieces", "fresh", folded(F.col("words"), path).alias("folded"))
     schema = docs.select("doc_id").schema.add("n_tokens", "long").add("ids", "binary")
 
     def run(batches):
+        none = np.zeros(0, np.int32)
         for b in batches:
             for i in range(b.num_rows):
+                if b.column(5)[i].as_py():  # words with their ids and sizes, stretches with theirs, as far as they are remembered
+                    flat, size, all_ids, n = none, none, none.astype("<u4"), none.astype(np.int64)
+                    new_flat, new_size = [], []
+                words = b.column(6)[i].values
+                if len(words):
+                    new_flat.append(words.flatten().to_numpy())
+                    new_size.append(words.value_lengths().to_numpy())
+                if not b.column(1)[i].is_valid:
+                    continue
+                flat, size = np.concatenate([flat, *new_flat]), np.concatenate([size, *new_size])
+                new_flat, new_size = [], []
                 counts, numbers, sizes, pieces = (np.frombuffer(b.column(j)[i].as_buffer(), t) for j, t in ((1, np.int64), (2, np.int32), (3, np.int32), (4, np.int32)))
-                words = b.column(5)[i].values
-                flat = words.flatten().to_numpy() if len(words) else np.zeros(0, np.int32)
-                size = words.value_lengths().to_numpy() if len(words) else np.zeros(0, np.int32)
                 # the ids of every distinct stretch, one behind the other: a piece has one, or those of its word
                 word = np.where(pieces < 0, -1 - pieces, len(size))
                 of_piece = np.append(size, 1)[word].astype(np.int64)
                 begin = np.append(np.cumsum(size) - size, 0)[word]
                 piece_ends = np.concatenate([[0], np.cumsum(of_piece)])
-                all_ids = np.repeat(np.maximum(pieces, 0), of_piece)
+                new_ids = np.repeat(np.maximum(pieces, 0), of_piece)
                 inside = np.repeat(pieces < 0, of_piece)
-                all_ids[inside] = flat[(np.arange(piece_ends[-1]) + np.repeat(begin - piece_ends[:-1], of_piece))[inside]]
-                all_ids = all_ids.astype("<u4")
-                ends = piece_ends[np.concatenate([[0], np.cumsum(sizes)])]
-                at, n = ends[:-1], np.diff(ends)
+                new_ids[inside] = flat[(np.arange(piece_ends[-1]) + np.repeat(begin - piece_ends[:-1], of_piece))[inside]]
+                all_ids = np.concatenate([all_ids, new_ids.astype("<u4")])
+                n = np.concatenate([n, np.diff(piece_ends[np.concatenate([[0], np.cumsum(sizes)])])])
+                at = np.cumsum(n) - n
                 last = np.concatenate([[0], np.cumsum(counts)])
                 for lo, hi in _pieces(counts):
                     own = numbers[last[lo] : last[hi]]
@@ -338,7 +409,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
                     body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(edges.astype(np.int64) * 4), pa.py_buffer(out.tobytes())]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays([b.column(0)[i].values.slice(lo, hi - lo), pa.array(np.diff(edges)), body], names=schema.names)
 
-    return folded.mapInArrow(run, schema)
+    return merges.mapInArrow(run, schema)
 
 
 def _pieces(counts: np.ndarray, words: int = 1 << 20) -> list[tuple[int, int]]:
@@ -359,11 +430,11 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
     pieces: list[bytes | None] = [None] * (max(tokens.values()) + 1)
     for piece, i in tokens.items():
         pieces[i] = piece
-    held = df.sparkSession.sparkContext.broadcast(pieces)
+    held = df.sparkSession.sparkContext.broadcast(np.array(pieces, object))
 
     @F.pandas_udf("binary")
     def bytes_of(column: pd.Series) -> pd.Series:
-        piece = held.value.__getitem__
-        return pd.Series([None if x is None else b"".join(map(piece, np.frombuffer(x, "<u4").tolist())) for x in column], dtype=object)
+        every = held.value
+        return pd.Series([None if x is None else b"".join(every[np.frombuffer(x, "<u4")].tolist()) for x in column], dtype=object)
 
     return df.withColumn(out, bytes_of(ids))

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 import public_tokenizers
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -207,6 +208,29 @@ def test_short_and_long_words_fold_to_the_same(spark, pieces):
     assert [x[1] for x in encoded(df)] == [own.encode_ordinary(w) for w in words]
 
 
+def test_a_task_merges_a_word_once(spark):
+    """Each chunk used to hand on its words anew."""
+    tokens = byte_bpe.vocabulary(public_tokenizers.path(byte_bpe.VOCABULARY))
+    df = spark.createDataFrame([(i, f"gfqzxwvkpj qqzzvvk own{i}zqx") for i in range(8)], "doc_id long, text string").coalesce(1)
+    rows = byte_bpe._chunks(df, tokens, public_tokenizers.PATTERN, 40).collect()
+    assert [len(r["ids"]) for r in rows] == [1] * 8
+    words = {w.encode() for r in df.collect() for w in regex.findall(public_tokenizers.PATTERN, r["text"])} - tokens.keys()
+    assert sum(len(r["words"]) for r in rows) == len(words)
+
+
+@pytest.mark.parametrize("remembered", [1, 40, byte_bpe.REMEMBERED])
+def test_remembered_and_forgotten_words_give_the_same(spark, monkeypatch, remembered):
+    monkeypatch.setattr(byte_bpe, "PORTION", 3)
+    r = random.Random(5)
+    some = [None, "", " ", *(" ".join("".join(r.choice("eqzñx\n1") for _ in range(r.randint(1, 4))) for _ in range(20)) for _ in range(30))] * 2
+    df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").coalesce(1)
+    path = public_tokenizers.path(byte_bpe.VOCABULARY)
+    for pattern in (public_tokenizers.PATTERN, r"\w+"):  # the second one leaves blanks out
+        own = tiktoken_of(path, pattern)
+        got = byte_bpe.encode(df, pattern=pattern, chunk_bytes=150, remembered=remembered).collect()
+        assert [np.frombuffer(x["ids"], "<u4").tolist() for x in sorted(got)] == [own.encode_ordinary(t or "") for t in some]
+
+
 def test_bpe_of_awkward_documents(spark, documents, empty):
     assert byte_bpe.encode(empty).collect() == []
     own = tiktoken_of(public_tokenizers.path(byte_bpe.VOCABULARY))
