@@ -56,7 +56,7 @@ PORTION = 1 << 14
 REMEMBERED = 1 << 19
 #: Ids are below this, so that a row and a rank fit a cell.
 MOST_IDS = (1 << 16) - 1
-#: Words of more pieces merge equal pairs together.
+#: Words of more pieces merge equal pairs together; a place below this has six bits.
 LONG = 48
 _NONE = MOST_IDS << 16
 
@@ -103,8 +103,8 @@ def _literals(path: str) -> tuple[str, str]:
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with value computed once."""
-    return F.get(F.transform(F.array(value), then), 0)
+    """then(value), with value computed once: the end of a fold over nothing. An element of a transformed array would be copied, and its type worked out anew each time."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, then)
 
 
 def _merge(acc: Column, rank: Callable[[Column, Column], Column]) -> Column:
@@ -153,27 +153,36 @@ def _key(a: Column, b: Column, rank: Callable[[Column, Column], Column]) -> Colu
 def _short(start: Column, rank: Callable[[Column, Column], Column]) -> Column:
     """The fold over the keys of a word of LONG pieces at most.
 
-    With its place put where the piece stands, the smallest of the keys is the merge that goes first.
+    They get their places between rank and piece first, in longs, so that the smallest one is the merge that goes first and no two are equal. A piece keeps the place it began at.
     """
+    no_rank = MOST_IDS << 22
+
+    def placed(k: Column, i: Column) -> Column:
+        return F.shiftleft(F.shiftright(k, 16).cast("bigint") + (1 << 15), 22).bitwiseOR(F.shiftleft(i, 16)).bitwiseOR(_piece(k))
+
+    def ranked(a: Column, b: Column) -> Column:
+        return F.coalesce(F.shiftleft(rank(a, b), 22), F.lit(no_rank))
 
     def merge(keys: Column) -> Column:
         def first(best: Column) -> Column:
-            low = F.shiftright(best, 16) + (1 << 15)
+            def with_low(low: Column) -> Column:
+                def joined(before: Column) -> Column:
+                    """before: where the piece before the left one stands."""
+
+                    def put(k: Column, i: Column) -> Column:
+                        both = ranked(low, _piece(F.get(keys, before + 3))).bitwiseOR(best.bitwiseAND(0x3F << 16)).bitwiseOR(low)
+                        return F.when(k == best, both).when(i == before, ranked(_piece(k), low).bitwiseOR(k.bitwiseAND((1 << 22) - 1))).otherwise(k)
 
-            def joined(at: Column) -> Column:
-                def put(k: Column, i: Column) -> Column:
-                    """Null in the place of the right piece."""
-                    far = F.when(i < at - 1, k).when(i > at + 1, k)
-                    return far.when(i == at, _key(low, _piece(F.get(keys, at + 2)), rank)).when(i == at - 1, _key(_piece(k), low, rank))
+                    return _let(F.get(keys, before + 2), lambda right: F.transform(F.array_remove(keys, right), put))
 
-                return F.filter(F.transform(keys, put), lambda k: k.isNotNull())
+                return _let((F.array_position(keys, best) - 2).cast("int"), joined)
 
-            return F.when(low < MOST_IDS, _let(_piece(best), joined)).otherwise(keys)
+            return F.when(best < no_rank, _let(F.shiftright(best, 22), with_low)).otherwise(keys)
 
-        return _let(F.array_min(F.transform(keys, lambda k, i: k.bitwiseAND(-1 << 16).bitwiseOR(i))), first)
+        return _let(F.array_min(keys), first)
 
-    fold = F.aggregate(F.sequence(F.lit(2), F.size(start)), start, lambda keys, _: merge(keys))
-    return F.transform(fold, _piece)
+    fold = F.aggregate(F.sequence(F.lit(2), F.size(start)), F.transform(start, placed), lambda keys, _: merge(keys))
+    return F.transform(fold, lambda k: _piece(k).cast("int"))
 
 
 def _long(word: Column, rank: Callable[[Column, Column], Column]) -> Column:
@@ -184,16 +193,16 @@ def _long(word: Column, rank: Callable[[Column, Column], Column]) -> Column:
 
 def _every(words: Column, path: str, ids_of: Callable[[Column, Callable[[Column, Column], Column]], Column]) -> Column:
     """ids_of(word, rank of two pieces) for each of an array of words."""
-    tables = F.array(F.struct(*[F.from_json(F.lit(text), "array<bigint>").alias(name) for name, text in zip(("starts", "cells"), _literals(path))]))
+    starts, cells = (F.from_json(F.lit(text), "array<bigint>") for text in _literals(path))
 
-    def all_words(t: Column) -> Column:
+    def all_words(starts: Column, cells: Column) -> Column:
         def rank(a: Column, b: Column) -> Column:
             """Null if there is no b."""
-            return F.get(t["cells"], (F.get(t["starts"], a.cast("int")) + b).cast("int")).bitwiseXOR(F.shiftleft(a.cast("bigint"), 16))
+            return F.get(cells, F.get(starts, a) + b).bitwiseXOR(F.shiftleft(a.cast("bigint"), 16))
 
         return F.transform(words, lambda word: ids_of(word, rank))
 
-    return F.get(F.transform(tables, all_words), 0)
+    return _let(starts, lambda s: _let(cells, lambda c: all_words(s, c)))
 
 
 def folded(keys: Column, path: str) -> Column:

@@ -208,6 +208,16 @@ def test_short_and_long_words_fold_to_the_same(spark, pieces):
     assert [x[1] for x in encoded(df)] == [own.encode_ordinary(w) for w in words]
 
 
+def test_folds_copy_no_array_to_name_a_value(spark):
+    """A value named as the element of a transformed array was copied, and its type worked out anew, in every round. Equal pairs of a word have keys of their own."""
+    path, tokens = public_tokenizers.path(byte_bpe.VOCABULARY), byte_bpe.vocabulary(public_tokenizers.path(byte_bpe.VOCABULARY))
+    words = [w * (byte_bpe.LONG // len(w)) for w in ("zq", "qqz", "xzxq", "z")] + ["zq" * 60]
+    df = spark.createDataFrame([([[tokens[bytes([b])] for b in w.encode()] for w in words],)], "words array<array<int>>").select(byte_bpe.merged(F.col("words"), path).alias("ids"))
+    own = tiktoken_of(path)
+    assert df.first()["ids"] == [own.encode_ordinary(w) for w in words]
+    assert "transform(array(" not in df._jdf.queryExecution().analyzed().toString()
+
+
 def test_a_task_merges_a_word_once(spark):
     """Each chunk used to hand on its words anew."""
     tokens = byte_bpe.vocabulary(public_tokenizers.path(byte_bpe.VOCABULARY))
