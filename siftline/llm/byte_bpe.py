@@ -31,6 +31,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Callable
 from functools import lru_cache
@@ -259,6 +260,12 @@ def _ranges(characters: set[str]) -> str:
     return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in out)
 
 
+def _one_value(x: np.ndarray | array) -> pa.Array:
+    """The bytes of x as one binary value, not copied."""
+    data = pa.py_buffer(x)
+    return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, data.size], np.int32)), data])
+
+
 class Numbers(dict):
     """Strings to numbers in the order they come; -1 for what stands beside other white space than one blank."""
 
@@ -317,9 +324,9 @@ def _chunks(docs: DataFrame, tokens: dict[bytes, int], pattern: str, chunk_bytes
         def rows():
             nonlocal known
             begin, old = known, [len(x) for x in places]
-            words, pieces, sizes = [], [], []
+            words, pieces, sizes = [], array("i"), array("i")
             for found, lengths in stretches(old):
-                sizes += lengths
+                sizes.extend(lengths)
                 for piece in found:
                     n = seen.get(piece)
                     if n is None:
@@ -335,15 +342,17 @@ def _chunks(docs: DataFrame, tokens: dict[bytes, int], pattern: str, chunk_bytes
             for i, x in enumerate((after, own)):
                 places[i] = np.concatenate([places[i], np.arange(at, at := at + len(x) - old[i], dtype=np.int32)])
             stream = np.concatenate(numbers)
+            numbers.clear()
             mine = (stream & 1).astype(bool)
             stream >>= 1
-            stream[mine], stream[~mine] = places[1][stream[mine]], places[0][stream[~mine]]
-            bodies = [x.tobytes() for x in (np.array(counts, np.int64), stream, np.array(sizes, np.int32), np.array(pieces, np.int32))]
+            for i, of in enumerate((~mine, mine)):
+                stream[of] = places[i][stream[of]]
+            bodies = [_one_value(x) for x in (np.array(counts, np.int64), stream, sizes, pieces)]
             for lo in range(0, max(1, len(words)), PORTION):
                 part, last = words[lo : lo + PORTION], lo + PORTION >= len(words)
                 starts = bytewise(part, keys) if part else pa.array([], pa.list_(pa.int32()))
                 listed = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), starts)
-                rest = [pa.array([x if last else None], pa.binary()) for x in bodies]
+                rest = bodies if last else [pa.nulls(1, pa.binary())] * len(bodies)
                 yield pa.RecordBatch.from_arrays([*rest, pa.array([lo == 0 and sum(old) == 0]), listed, pa.array([ids if last else None], pa.list_(kind))], names=schema.names)
 
         for b in batches:
@@ -386,7 +395,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
         for b in batches:
             for i in range(b.num_rows):
                 if b.column(5)[i].as_py():  # words with their ids and sizes, stretches with theirs, as far as they are remembered
-                    flat, size, all_ids, n = none, none, none.astype("<u4"), none.astype(np.int64)
+                    flat, size, all_ids, n = none, none, none.astype("<u4"), none
                     new_flat, new_size = [], []
                 words = b.column(6)[i].values
                 if len(words):
@@ -399,28 +408,43 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
                 counts, numbers, sizes, pieces = (np.frombuffer(b.column(j)[i].as_buffer(), t) for j, t in ((1, np.int64), (2, np.int32), (3, np.int32), (4, np.int32)))
                 # the ids of every distinct stretch, one behind the other: a piece has one, or those of its word
                 word = np.where(pieces < 0, -1 - pieces, len(size))
-                of_piece = np.append(size, 1)[word].astype(np.int64)
-                begin = np.append(np.cumsum(size) - size, 0)[word]
-                piece_ends = np.concatenate([[0], np.cumsum(of_piece)])
+                of_piece = np.append(size, np.int32(1))[word]
+                begin = np.append(np.cumsum(size, dtype=np.int32) - size, np.int32(0))[word]
+                piece_ends = _sums(of_piece)
                 new_ids = np.repeat(np.maximum(pieces, 0), of_piece)
                 inside = np.repeat(pieces < 0, of_piece)
-                new_ids[inside] = flat[(np.arange(piece_ends[-1]) + np.repeat(begin - piece_ends[:-1], of_piece))[inside]]
+                new_ids[inside] = flat[_runs(begin, of_piece, piece_ends)[inside]]
                 all_ids = np.concatenate([all_ids, new_ids.astype("<u4")])
-                n = np.concatenate([n, np.diff(piece_ends[np.concatenate([[0], np.cumsum(sizes)])])])
-                at = np.cumsum(n) - n
+                n = np.concatenate([n, np.diff(piece_ends[_sums(sizes)])])
+                at = np.cumsum(n, dtype=np.int32) - n
                 last = np.concatenate([[0], np.cumsum(counts)])
                 for lo, hi in _pieces(counts):
                     own = numbers[last[lo] : last[hi]]
                     lengths = n[own]
-                    after = np.concatenate([[0], np.cumsum(lengths)])
-                    out = all_ids[np.arange(after[-1]) + np.repeat(at[own] - after[:-1], lengths)]
-                    edges = after[last[lo : hi + 1] - last[lo]]
-                    body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(edges.astype(np.int64) * 4), pa.py_buffer(out.tobytes())]).cast(pa.binary())
+                    after = _sums(lengths)
+                    out = all_ids[_runs(at[own], lengths, after)]
+                    edges = after[last[lo : hi + 1] - last[lo]].astype(np.int64)
+                    ends = pa.array(edges * 4).cast(pa.int32())  # an error beyond 2 GB
+                    body = pa.Array.from_buffers(pa.binary(), hi - lo, [None, ends.buffers()[1], pa.py_buffer(out)])
                     yield pa.RecordBatch.from_arrays([b.column(0)[i].values.slice(lo, hi - lo), pa.array(np.diff(edges)), body], names=schema.names)
 
     return merges.mapInArrow(run, schema)
 
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, ... of x, in 32 bits: of ids and words there are no more than bytes of texts."""
+    out = np.zeros(len(x) + 1, np.int32)
+    np.cumsum(x, out=out[1:])
+    return out
+
+
+def _runs(begin: np.ndarray, sizes: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Places from each begin on, as many as its size, run after run."""
+    out = np.repeat(begin - sums[:-1], sizes)
+    out += np.arange(sums[-1], dtype=np.int32)
+    return out
+
+
 def _pieces(counts: np.ndarray, words: int = 1 << 20) -> list[tuple[int, int]]:
     """Texts from first up to end that have about so many words together, or one text."""
     total = np.cumsum(counts)
